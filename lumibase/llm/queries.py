@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumibase.llm import bpe, packing
+from lumibase.llm import bpe, packing, simhash
 from lumibase.llm.shared import table
 
 
@@ -24,6 +24,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), threshold=4)
+    return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     pieces = packing.harmonic_pack(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -31,7 +36,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe, op6_packing)}
+    return {f.__name__: f for f in (op2_bpe, op4_simhash, op6_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
