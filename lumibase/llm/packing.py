@@ -17,49 +17,85 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumibase.llm.shared import small_batches, text_or_empty
+from lumibase.llm.shared import Remembered, small_batches, text_or_empty
 
-#: A worker remembers the ids of so many different words, and then starts anew.
-REMEMBERED_WORDS = 200_000
+#: A worker remembers about so many different words, and as many runs of letters.
+REMEMBERED = 250_000
 #: Longer words are encoded each time.
 REMEMBERED_LENGTH = 48
+#: Marks that may follow a word's letters; the splitter always parts them from letters.
+MARKS = ".,;:!?#$%&*"
 
 
-class WordIds(dict):
+class WordIds(Remembered):
     """Word -> its ids as little-endian unsigned 32-bit integers.
 
     The vocabulary's normaliser and splitter never join characters across a blank or a newline, so the ids of a text
-    are those of its words, one after another."""
+    are those of its words, one after another. Likewise a run of letters and the marks behind it are encoded apart.
+    New runs of letters are encoded many at a time: each is one word to the vocabulary, and its last id tells so."""
 
     def __init__(self, path: str):
-        super().__init__()
+        super().__init__(REMEMBERED)
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
+        last = [i for token, i in self.encoder.get_vocab().items() if token.endswith("</w>")]
+        self.ends = np.zeros(self.encoder.get_vocab_size(), bool)
+        self.ends[last] = True
+        self.letters = Remembered(REMEMBERED)
+        self.marks: dict[str, bytes] = {"": b""}
+
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.encoder.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        ids = b"".join(i.to_bytes(4, "little") for i in self.encoder.encode(word, add_special_tokens=False).ids)
+        ids = self._encode(word)
         if len(word) <= REMEMBERED_LENGTH:
             self[word] = ids
         return ids
 
-    def of(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+    def learn(self, words: set[str]) -> None:
+        parts = []
+        for word in self.unknown(words):
+            run = word.rstrip(MARKS)
+            low = run.lower()
+            if run.isalpha() and low.isalpha() and len(word) <= REMEMBERED_LENGTH:
+                parts.append((word, low if run.isascii() else run, word[len(run) :]))
+        new = list(self.letters.unknown({run for _, run, _ in parts}))
+        for first in range(0, len(new), 1000):
+            runs = new[first : first + 1000]
+            ids = np.array(self.encoder.encode(" ".join(runs), add_special_tokens=False).ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            raw = ids.tobytes()
+            self.letters.update((run, raw[a:b]) for run, a, b in zip(runs, [0, *ends], ends, strict=False))
+            if len(ends) != len(runs):  # a run that is no single word to the vocabulary
+                self.letters.update((run, self._encode(run)) for run in runs)
+        for word, run, marks in parts:
+            if marks not in self.marks:
+                if len(self.marks) > 10_000:
+                    self.marks = {"": b""}
+                self.marks[marks] = self._encode(marks)
+            self[word] = self.letters[run] + self.marks[marks]
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        cut = [text.replace("\n", " ").split(" ") for text in texts]
+        self.learn(set().union(*cut))
+        return [b"".join(map(self.__getitem__, words)) for words in cut]
 
 
 _WORDS: dict[str, WordIds] = {}
 
 
 def words_of(path: str) -> WordIds:
-    found = _WORDS.get(path)
-    if found is None or len(found) > REMEMBERED_WORDS:
-        found = _WORDS[path] = WordIds(path)
-    return found
+    if path not in _WORDS:
+        _WORDS[path] = WordIds(path)
+    return _WORDS[path]
 
 
 class HarmonicBins:
@@ -147,8 +183,8 @@ def harmonic_pack(
         bins = HarmonicBins(capacity, TaskContext.get().partitionId() << 40, put)
         for batch in batches:
             words, id_arrow = words_of(vocabulary), batch.schema.field(0).type
-            for document, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = words.of(text) + end
+            for document, ids in zip(batch.column(0).to_pylist(), words.of(batch.column(1).to_pylist()), strict=True):
+                ids += end
                 bins.add((document, len(ids) // 4), memoryview(ids))
             yield flush()
         if id_arrow is not None:

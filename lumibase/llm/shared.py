@@ -48,3 +48,23 @@ def text_or_empty(name: str) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+class Remembered(dict):
+    """What a worker keeps of words it has met: at most twice ``most`` entries. Once there are ``most`` new ones, those
+    that are not met again until the next time are dropped."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.older = most, {}
+
+    def unknown(self, words: set[str]) -> set[str]:
+        if len(self) > self.most:
+            self.older = dict(self)
+            self.clear()
+        new = words - self.keys()
+        if self.older:
+            again = new & self.older.keys()
+            self.update((w, self.older[w]) for w in again)
+            new -= again
+        return new
