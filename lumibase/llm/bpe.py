@@ -6,8 +6,7 @@ each position of the rank is merged, and only the pairs with its two neighbours
 bring up a pair of a lower rank; then the rest of the current rank waits until that one is done, so each word
 passes through the very merges that it would see alone.
 
-Texts are cut at each blank before a visible character, where the splitting pattern always ends a match, so that a
-worker can remember the ids of such chunks. Texts with other runs of blanks are split by the pattern as a whole.
+A text is split by the pattern; a worker remembers the ids of the words that recur.
 
 Defined results: a null or empty text has no ids, and decodes to no bytes. Ids outside of the ranks can't be decoded
 and raise a KeyError. Repeated rows, null ids and further columns are kept as they are; an empty table gives no rows.
@@ -17,7 +16,6 @@ from __future__ import annotations
 
 import base64
 import heapq
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,18 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumibase.llm.shared import small_batches, text_or_empty
+from lumibase.llm.shared import Remembered, small_batches, text_or_empty
 
-#: A worker remembers so many chunks (and words), and then starts anew.
-REMEMBERED = 250_000
-#: A blank that isn't directly before a visible character, or white space that the two regex libraries may see differently.
-ODD_BLANK = re.compile(r" (?=\s|$)|[\x1c-\x1f\x85᠎​﻿]")
+#: A worker remembers about so many words.
+REMEMBERED = 300_000
 #: White space as Unicode's White_Space property has it (fixed values).
-WHITE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
+WHITE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 class Ranks:
-    """The rank file, and what this worker remembers of chunks and words."""
+    """The rank file, and what this worker remembers of words."""
 
     def __init__(self, path: str, pattern: str):
         import regex
@@ -44,82 +40,80 @@ class Ranks:
         with open(path, "rb") as lines:
             self.rank = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         self.token = {rank: token for token, rank in self.rank.items()}
-        self.byte = [self.rank[bytes([b])] for b in range(256)]
         own = pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]")
         self.split = regex.compile(own).findall
-        self.pairs: dict[int, int] = {}
-        self.forget()
-
-    def forget(self) -> None:
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
-        self.firsts: dict[str, bytes] = {}
-
-    def pair(self, a: int, b: int) -> int:
-        """The rank of two neighbours together, or -1."""
-        key = a << 32 | b
-        rank = self.pairs.get(key)
-        if rank is None:
-            if len(self.pairs) > 2_000_000:
-                self.pairs.clear()
-            rank = self.pairs[key] = self.rank.get(self.token[a] + self.token[b], -1)
-        return rank
+        self.words = Remembered(REMEMBERED)
+        #: Two neighbouring ranks, as one number -> the rank of both together.
+        self.pairs = {}
+        for token, rank in self.rank.items():
+            for n in range(1, len(token)):
+                a, b = self.rank.get(token[:n]), self.rank.get(token[n:])
+                if a is not None and b is not None:
+                    self.pairs[a << 32 | b] = rank
 
     def replay(self, words: list[bytes]) -> list[list[int]]:
         """The tokens of each word, by all merges in the order of their ranks."""
-        pair, byte = self.pair, self.byte
+        together = self.pairs.get
+        byte = [self.rank[bytes([b])] for b in range(256)]
         token: list[int] = []
         after: list[int] = []
-        before: list[int] = []
         starts = []
-        index: dict[int, list[int]] = {}
         for word in words:
-            first = len(token)
-            starts.append(first)
-            token.extend(byte[b] for b in word)
-            end = len(token)
-            before.append(-1)
-            before.extend(range(first, end - 1))
-            after.extend(range(first + 1, end))
+            starts.append(len(token))
+            token += [byte[b] for b in word]
+            after += range(starts[-1] + 1, len(token))
             after.append(-1)
-            for p in range(first, end - 1):
-                rank = pair(token[p], token[p + 1])
-                if rank >= 0:
-                    index.setdefault(rank, []).append(p)
+        before = [-1] * len(token)
+        index: dict[int, list[int]] = {}
+        for p, q in enumerate(after):
+            if q >= 0:
+                before[q] = p
+                rank = together(token[p] << 32 | token[q])
+                if rank is not None:
+                    if rank in index:
+                        index[rank].append(p)
+                    else:
+                        index[rank] = [p]
         heap = list(index)
         heapq.heapify(heap)
+        push, pop = heapq.heappush, heapq.heappop
         while heap:
-            rank = heapq.heappop(heap)
+            rank = pop(heap)
             places = index.pop(rank, None)
             if places is None:
                 continue
             places.sort()
             for n, p in enumerate(places):
+                q = after[p]
+                if q < 0 or token[p] < 0 or together(token[p] << 32 | token[q]) != rank:
+                    continue
                 if heap and heap[0] < rank:
                     index[rank] = places[n:]
-                    heapq.heappush(heap, rank)
+                    push(heap, rank)
                     break
-                q = after[p]
-                if q < 0 or token[p] < 0 or pair(token[p], token[q]) != rank:
-                    continue
                 token[p], token[q] = rank, -1
                 after[p] = right = after[q]
+                left = before[p]
                 if right >= 0:
                     before[right] = p
-                    if (new := pair(rank, token[right])) >= 0:
-                        if new not in index:
-                            index[new] = []
-                            heapq.heappush(heap, new)
-                        index[new].append(p)
-                left = before[p]
-                if left >= 0 and (new := pair(token[left], rank)) >= 0:
-                    if new not in index:
-                        index[new] = []
-                        heapq.heappush(heap, new)
-                    index[new].append(left)
+                    new = together(rank << 32 | token[right])
+                    if new is not None:
+                        if new in index:
+                            index[new].append(p)
+                        else:
+                            index[new] = [p]
+                            push(heap, new)
+                if left >= 0:
+                    new = together(token[left] << 32 | rank)
+                    if new is not None:
+                        if new in index:
+                            index[new].append(left)
+                        else:
+                            index[new] = [left]
+                            push(heap, new)
         out = []
-        for first in starts:
-            ids, p = [], first
+        for p in starts:
+            ids = []
             while p >= 0:
                 ids.append(token[p])
                 p = after[p]
@@ -129,7 +123,7 @@ class Ranks:
     def learn(self, words: set[str]) -> None:
         """Remember the ids of words; a word that is a token itself needs no merge."""
         new = []
-        for word in words - self.words.keys():
+        for word in self.words.unknown(words):
             raw = word.encode()
             rank = self.rank.get(raw)
             if rank is None:
@@ -140,27 +134,11 @@ class Ranks:
             self.words[word] = np.array(ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) + len(self.chunks) > REMEMBERED:
-            self.forget()
-        cut, whole, unknown, unknown_firsts = {}, {}, set(), set()
-        for n, text in enumerate(texts):
-            if ODD_BLANK.search(text):
-                whole[n] = self.split(text)
-            else:
-                first, *rest = text.split(" ")
-                cut[n] = first, rest
-                if first not in self.firsts:
-                    unknown_firsts.add(first)
-                unknown.update(rest)
-        unknown -= self.chunks.keys()
-        chunks = {c: self.split(" " + c) for c in unknown}
-        firsts = {c: self.split(c) for c in unknown_firsts}
-        self.learn({w for part in (whole, chunks, firsts) for found in part.values() for w in found})
+        """The ids of each text."""
+        parted = [self.split(text) for text in texts]
+        self.learn(set().union(*parted))
         known = self.words.__getitem__
-        for own, part in ((self.chunks, chunks), (self.firsts, firsts)):
-            own.update((c, b"".join(map(known, found))) for c, found in part.items())
-        chunk = self.chunks.__getitem__
-        return [b"".join(map(known, whole[n])) if n in whole else self.firsts[cut[n][0]] + b"".join(map(chunk, cut[n][1])) for n in range(len(texts))]
+        return [b"".join(map(known, words)) for words in parted]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))

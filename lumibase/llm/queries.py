@@ -8,10 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumibase.llm import bpe, imatch, media, packing, simhash, urlfilter, warc
+from lumibase.llm import bpe, imatch, media, packing, quality, simhash, toxicity, urlfilter, warc
 from lumibase.llm.shared import shared_path, table
 
 
+def _judged(scored: DataFrame, modulus: int, held_out: int) -> DataFrame:
+    """The contract's columns: fold, score and the decision at 0.3."""
+    held = quality.fold(F.col("doc_id"), modulus) == held_out
+    return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.classify(docs, table(spark, sf_dir, "labels"), label_col="quality", modulus=5, held_out=0)
+    return _judged(scored, 5, 0)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -65,6 +77,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.classify(docs, table(spark, sf_dir, "labels"), label_col="toxic", modulus=4, held_out=2)
+    return _judged(scored, 4, 2)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     pieces = packing.harmonic_pack(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -110,7 +128,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe, op3_url_filter, op4_simhash, op6_packing, op8_warc, op9_imatch, op10_media)}
+    return {f.__name__: f for f in (op1_quality, op2_bpe, op3_url_filter, op4_simhash, op5_toxicity, op6_packing, op8_warc, op9_imatch, op10_media)}
 
 
 def oracle_sql() -> dict[str, str]:
