@@ -1,12 +1,65 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before it has kept. All but the last return the
+columns of documents. Classifiers are fit on the labels of documents that are still there, none of the held-out folds.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lumibase.llm import packing, quality, repeats, simhash, toxicity
 from lumibase.llm.shared import materialize, table
 
-STAGES: list = []
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Scores from which on a document counts as good, or as toxic.
+GOOD, TOXIC = 0.3, 0.3
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble doesn't reject."""
+    scored = quality.classify(docs.select(*COLUMNS), table(spark, sf_dir, "labels"), label_col="quality", modulus=5, held_out=0, out="_score")
+    return scored.where(F.col("_score") >= GOOD).select(*COLUMNS)
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the clause grammar doesn't reject."""
+    scored = toxicity.classify(docs.select(*COLUMNS), table(spark, sf_dir, "labels"), label_col="toxic", modulus=4, held_out=2, out="_score")
+    return scored.where(F.col("_score") < TOXIC).select(*COLUMNS)
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of linked fingerprints the document with the least id. Rows without an id are kept only where
+    their component has no id at all; rows that repeat the kept id stay once."""
+    found = simhash.near_duplicates(docs, threshold=4)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id"))).select(*COLUMNS).dropDuplicates(["doc_id"])
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the bytes that a string of 100 bytes covers which also starts earlier; whole characters are
+    removed, and n_chars counts what is left."""
+    others = docs.drop("text", "n_chars")
+    kept = repeats.remove_repeats(docs, least=100, whole_characters=True).select("doc_id", F.col("kept").cast("string").alias("text"))
+    joined = others.join(kept.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")))
+    return joined.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents in sequences of 2048 tokens."""
+    pieces = packing.harmonic_pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("toxicity", not_toxic),
+    ("simhash near-dedup", one_of_near_copies),
+    ("suffix-array dedup", without_repeats),
+    ("packing", packed),
+]
 
 #: Learned models, merges and suffix order can't be put in SQL.
 ORACLE_SQL = None
@@ -14,7 +67,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for n, (name, stage) in enumerate(STAGES):
+    for n, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if n + 1 < len(STAGES):
             docs = materialize(docs, f"pipeline-{n}")

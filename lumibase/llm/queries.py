@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumibase.llm import bpe, imatch, media, packing, quality, simhash, toxicity, urlfilter, warc
+from lumibase.llm import bpe, imatch, media, packing, quality, repeats, simhash, toxicity, urlfilter, warc
 from lumibase.llm.shared import shared_path, table
 
 
@@ -89,6 +89,17 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"), least=100)
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     path = shared_path(spark, "warc")
@@ -128,7 +139,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_bpe, op3_url_filter, op4_simhash, op5_toxicity, op6_packing, op8_warc, op9_imatch, op10_media)}
+    return {f.__name__: f for f in (op1_quality, op2_bpe, op3_url_filter, op4_simhash, op5_toxicity, op6_packing, op7_suffix_array, op8_warc, op9_imatch, op10_media)}
 
 
 def oracle_sql() -> dict[str, str]:
