@@ -31,20 +31,22 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked fingerprints the document with the least id. Rows without an id are kept only where
-    their component has no id at all; rows that repeat the kept id stay once."""
+    """Of each component of linked fingerprints the row with the least id (and of these the least hash of its text);
+    rows without an id come last, and rows that repeat both stay once."""
     found = simhash.near_duplicates(docs, threshold=4)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id"))).select(*COLUMNS).dropDuplicates(["doc_id"])
+    least = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least"))
+    key = lambda id_, row: F.xxhash64(id_.isNull(), id_, row)
+    kept = least.select(key(F.col("least.doc_id"), F.col("least.row")).alias("key")).distinct()
+    keyed = docs.select(*COLUMNS, key(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit("")))).alias("key"))
+    return keyed.join(kept, "key").dropDuplicates(["key"]).select(*COLUMNS)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes that a string of 100 bytes covers which also starts earlier; whole characters are
     removed, and n_chars counts what is left."""
-    others = docs.drop("text", "n_chars")
-    kept = repeats.remove_repeats(docs, least=100, whole_characters=True).select("doc_id", F.col("kept").cast("string").alias("text"))
-    joined = others.join(kept.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")))
-    return joined.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+    kept = repeats.remove_repeats(docs, least=100, whole_characters=True, carry=("lang", "source"))
+    kept = kept.withColumn("text", F.col("kept").cast("string"))
+    return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -125,11 +125,11 @@ def _needs(repeats: np.ndarray, compare: np.ndarray, crowded: np.ndarray) -> pa.
 
 
 def _taken(batches: Iterator[pa.RecordBatch], least: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """(key, raw, runs) -> (bucket, anchor, key, first, data): the bytes of runs by anchor, and the packed windows of
+    """(runs, key, raw, ...) -> (bucket, anchor, key, first, data): the bytes of runs by anchor, and the packed windows of
     crowded anchors by hash (these without an anchor)."""
     for batch in batches:
         rows, windows = [], []
-        for key, raw, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for runs, key, raw in zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True):
             for run in runs:
                 first, count, anchor = run["first"], run["count"], run["anchor"]
                 data = raw[first : first + count + least - 1]
@@ -202,12 +202,12 @@ def _compared(batches: Iterator[pa.RecordBatch], least: int, enough: int = 1 <<
         yield hashed(np.concatenate(packed))
 
 
-def _cut(batches: Iterator[pa.RecordBatch], least: int, whole_characters: bool, id_col: str) -> Iterator[pa.RecordBatch]:
-    """(id, raw, spans) -> (id, n_bytes, removed, kept)."""
+def _cut(batches: Iterator[pa.RecordBatch], least: int, whole_characters: bool, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """(raw, spans, others) -> (others, n_bytes, removed, kept)."""
     removed_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for batch in batches:
         sizes, removed, kept = [], [], []
-        for raw, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for raw, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             joined: list[list[int]] = []
             for first, end in sorted((s["first"], s["first"] + s["count"] + least - 1) for s in spans or ()):
                 if joined and first <= joined[-1][1]:
@@ -228,7 +228,8 @@ def _cut(batches: Iterator[pa.RecordBatch], least: int, whole_characters: bool,
             sizes.append(len(raw))
             removed.append([tuple(s) for s in joined])
             kept.append(b"".join(out))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, removed_type), pa.array(kept, pa.binary())], names=[id_col, "n_bytes", "removed", "kept"])
+        made = [pa.array(sizes, pa.int64()), pa.array(removed, removed_type), pa.array(kept, pa.binary())]
+        yield pa.RecordBatch.from_arrays([*batch.columns[2:], *made], names=[*names, "n_bytes", "removed", "kept"])
 
 
 def _keyed(docs: DataFrame, id_col: str) -> DataFrame:
@@ -243,9 +244,9 @@ def _keyed(docs: DataFrame, id_col: str) -> DataFrame:
 
 
 def remove_repeats(
-    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = 100, crowd: int = 32, whole_characters: bool = False
+    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = 100, crowd: int = 32, whole_characters: bool = False, carry: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Per row: id, n_bytes, removed (spans of bytes: start, end) and kept (the remaining bytes).
+    """Per row: id, the columns to carry, n_bytes, removed (spans of bytes: start, end) and kept (the remaining bytes).
 
     With ``whole_characters`` spans are narrowed to whole characters, so that what is kept is UTF-8."""
     if least < suffixes.GRAM:
@@ -253,7 +254,9 @@ def remove_repeats(
     spark = df.sparkSession
     small_batches(spark)
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = _keyed(df.select(F.col(id_col), text_or_empty(text_col).cast("binary").alias("raw")), id_col).select("key", "raw", id_col)
+    others = [f"other{n}" for n in range(1 + len(carry))]  # names of their own, as the caller's may clash
+    rows = df.select(text_or_empty(text_col).cast("binary").alias("raw"), *(F.col(c).alias(o) for c, o in zip((id_col, *carry), others, strict=True)))
+    docs = _keyed(rows, others[0]).select("key", "raw", *others)
 
     packed = docs.select("key", "raw").mapInArrow(lambda b: _found_runs(b, least, buckets, crowd), "bucket bigint, packed binary")
     dealt = F.when(F.col("bucket") < 0, F.xxhash64("packed")).otherwise(F.col("bucket"))
@@ -261,12 +264,14 @@ def remove_repeats(
     sorted_out = materialize(ordered.mapInArrow(lambda b: _sorted_out(b, crowd), f"{SPAN_SCHEMA}, anchor bigint, crowded boolean"), "runs")
 
     asked = sorted_out.where("anchor IS NOT NULL").groupBy("key").agg(F.collect_list(F.struct("first", "count", "anchor", "crowded")).alias("runs"))
-    taken = docs.select("key", "raw").join(asked, "key").select("key", "raw", "runs").mapInArrow(lambda b: _taken(b, least, buckets), "bucket bigint, anchor bigint, key bigint, first bigint, data binary")
+    # the texts are dealt by key once: both joins read the same exchange, so both have the same columns
+    asked_rows = docs.join(asked, "key").select("runs", "key", "raw", *others)
+    taken = asked_rows.mapInArrow(lambda b: _taken(b, least, buckets), "bucket bigint, anchor bigint, key bigint, first bigint, data binary")
     matched = taken.repartition("bucket").sortWithinPartitions("bucket", "anchor").mapInArrow(lambda b: _compared(b, least), SPAN_SCHEMA)
 
     spans = sorted_out.where("anchor IS NULL").select("key", "first", "count").union(matched)
     of_text = spans.groupBy("key").agg(F.collect_list(F.struct("first", "count")).alias("spans"))
-    joined = docs.join(of_text, "key", "left").select(id_col, "raw", "spans")
-    id_type = df.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {id_type}, n_bytes bigint, removed array<struct<start: bigint, end: bigint>>, kept binary"
-    return joined.mapInArrow(lambda b: _cut(b, least, whole_characters, id_col), schema)
+    joined = docs.join(of_text, "key", "left").select("raw", "spans", *others)
+    names = [id_col, *carry]
+    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names), "n_bytes bigint, removed array<struct<start: bigint, end: bigint>>, kept binary"])
+    return joined.mapInArrow(lambda b: _cut(b, least, whole_characters, names), schema)

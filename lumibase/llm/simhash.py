@@ -60,16 +60,17 @@ def simhash(text: str) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and fp: the fingerprint as a signed bigint of the same bits."""
+    """id, row (a hash of the text) and fp: the fingerprint as a signed bigint of the same bits."""
     small_batches(df.sparkSession)
-    rows = df.select(F.col(id_col), text_or_empty(text_col).alias("text"))
+    text = text_or_empty(text_col)
+    rows = df.select(F.col(id_col), F.xxhash64(text).alias("row"), text.alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = np.fromiter(map(simhash, batch.column(1).to_pylist()), np.uint64, batch.num_rows).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made)], names=[id_col, "fp"])
+            made = np.fromiter(map(simhash, batch.column(2).to_pylist()), np.uint64, batch.num_rows).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made)], names=[id_col, "row", "fp"])
 
-    return rows.mapInArrow(work, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, fp bigint")
+    return rows.mapInArrow(work, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, row bigint, fp bigint")
 
 
 def _code_homes() -> np.ndarray:
@@ -216,14 +217,15 @@ def links(fps: DataFrame, threshold: int = 4, cell: int = 4096) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int = 4) -> DataFrame:
-    """Per row: id, fp, component_id (the least id that its fingerprint reaches)."""
+    """Per row: id, row (a hash of the text), fp, root (the component's least fingerprint) and component_id (the least
+    id that its fingerprint reaches)."""
     prints = materialize(fingerprints(df, id_col, text_col), "fingerprints")
     classes = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
     members = components(links(classes, threshold)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
     rooted = classes.join(members, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_print = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return prints.join(of_print, "fp").select(id_col, "fp", "component_id")
+    of_print = rooted.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
+    return prints.join(of_print, "fp").select(id_col, "row", "fp", "root", "component_id")
 
 
 def as_hex(fp: Column) -> Column:
