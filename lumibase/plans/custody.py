@@ -166,7 +166,7 @@ def _rescan(t):
     return on_drives.rescan_reconcile(rec, disk.select("path").union(junk), disk)
 
 
-query("j20_repoint_plan", "SELECT sha256, source_path, '/mnt/new' || substr(source_path, 7) AS new, size % 2 = 0 AS there FROM files WHERE source_path LIKE '/src/1/%'")(
+query("j20_repoint_plan", "SELECT sha256, source_path, '/mnt/new/1/' || substr(source_path, 8) AS new, size % 2 = 0 AS there FROM files WHERE source_path LIKE '/src/1/%'")(
     lambda t: on_drives.repoint_plan(t.files, t.files.where("size % 2 = 0").select(F.concat(F.lit("/mnt/new/1/"), "sha256", F.lit(".jpg")).alias("path")), "/src/1", "/mnt/new/1").select("sha256", "source_path", "new", "there"))
 
 query("j18_emptied_paths", f"""WITH {SQL_RUNS}, {SQL_MOVES} SELECT DISTINCT old_relative AS path FROM moves JOIN runs USING (run_id) WHERE finished_at IS NOT NULL UNION SELECT old_relative FROM moves WHERE run_id % 50 = 0 AND run_id % 100 = 0""")(
@@ -229,14 +229,14 @@ def _attach(t):
 
 
 query("j31_original_candidates", """SELECT source_path AS path, CASE WHEN size % 3 = 0 THEN 'unreachable' WHEN size % 3 = 1 AND size % 2 = 0 THEN 'offer' ELSE 'none' END AS outcome,
- CASE WHEN size % 3 = 1 AND size % 2 = 0 THEN TIMESTAMP '1999-09-09 00:00:00' END AS offered FROM (SELECT *, '/u/' || sha256 || '/a.jpg' AS p FROM files)""")(lambda t: _originals(t))
+ CASE WHEN size % 3 = 1 AND size % 2 = 0 THEN TIMESTAMP '1950-09-09 00:00:00' END AS offered FROM (SELECT *, '/u/' || sha256 || '/a.jpg' AS p FROM files)""")(lambda t: _originals(t))
 
 
 def _originals(t):
     rows = t.files.withColumn("path", F.concat(F.lit("/u/"), "sha256", F.lit("/a.jpg")))
     backup = F.concat("path", F.lit("_original"))
     listing = rows.where("size % 3 <> 0").select("path").union(rows.where("size % 3 = 1").select(backup))
-    dates = rows.where("size % 3 = 1 AND size % 2 = 0").select(backup.alias("path"), F.lit("1999-09-09").cast("timestamp_ntz").alias("value"))
+    dates = rows.where("size % 3 = 1 AND size % 2 = 0").select(backup.alias("path"), F.lit("1950-09-09").cast("timestamp_ntz").alias("value"))
     found = on_drives.original_candidates(rows.select("path", "captured_at"), listing, dates)
     return found.join(rows.select("path", "source_path"), "path").select(F.col("source_path").alias("path"), "outcome", "offered")
 

@@ -10,7 +10,7 @@ from lumibase.operators import catalog, duplicates, timeline
 
 
 def date_quality(resolved: DataFrame) -> DataFrame:
-    """Files per date source, and those at a reset clock's default. ``r`` is what ``resolve_capture_datetime`` gives."""
+    """Files per date source, and those at a reset clock's default. ``r`` is what ``with_capture_datetime`` gives."""
     return resolved.groupBy("r.source").agg(F.count("*").alias("files"), F.count_if(dates.is_suspect_default(F.col("r.value"), F.col("r.source"))).alias("suspect"))
 
 
