@@ -31,7 +31,7 @@ def _listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for e in entries:
                 is_dir = e.is_dir(follow_symlinks=False)
                 s = e.stat(follow_symlinks=False)
-                rows.append((e.path, None if is_dir else s.st_size, pd.Timestamp(s.st_mtime, unit="s"), "hidden" if e.name.startswith(".") else "dir" if is_dir else "file"))
+                rows.append((e.path, None if is_dir else s.st_size, pd.Timestamp(s.st_mtime_ns // 1000, unit="us"), "hidden" if e.name.startswith(".") else "dir" if is_dir else "file"))
         yield pd.DataFrame(rows, columns=["path", "length", "mtime", "kind"])
 
 
