@@ -77,9 +77,9 @@ def read_decisions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_decisions(rows: DataFrame, path: str) -> None:
-    """One document per drive."""
+    """One document per drive, each in a file of its own."""
     docs = rows.groupBy("drive_uuid").agg(F.max("written").alias("written"), F.collect_list(F.struct("section", "key", "value")).alias("sections"))
-    docs.write.mode("overwrite").json(path)
+    docs.withColumn("drive", F.col("drive_uuid")).write.mode("overwrite").partitionBy("drive").json(path)
 
 
 def write_run_record(outcomes: DataFrame, path: str) -> None:
