@@ -131,7 +131,7 @@ def with_next(df: DataFrame, key: str, order: list[str], lead: list[str], rows_a
     at = F.col(key)
     literal = _longs(bounds)
     block = _block_of(literal, len(bounds), at)
-    starts = (F.element_at(literal, F.greatest(block, F.lit(1))) == at) & (block > 0)
+    starts = F.coalesce(F.get(literal, block - 1) == at, F.lit(False))
     copies = F.array_compact(
         F.array(
             F.struct(block.alias("block"), F.lit(0).alias("guest")),

@@ -145,14 +145,16 @@ def learn_lexicon(sample: DataFrame, text_col: str, *, most: int = 2000, least_d
     least = F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - 2, F.lit(1))), lambda n: F.xxhash64(F.array_join(F.slice("words", n, 3), " "))))
     rows = rows.withColumn("least", least)
     rows = rows.groupBy("toxic", "least").agg(F.max("words").alias("words"))
-    grams = F.array_distinct(F.flatten(F.array(F.transform("words", lambda w: F.struct(F.lit(0).alias("stem"), w.alias("gram"))), *(_beginnings(n) for n in STEMS))))
+    # marked strings, 0 for a word and 1 for a beginning: arrays of structs have no hashed array_distinct
+    grams = F.array_distinct(F.flatten(F.array(F.transform("words", lambda w: F.concat(F.lit("0"), w)), *(_beginnings(n) for n in STEMS))))
     total = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     p, n = total.get(1, 0), total.get(0, 0)
     if not p or not n:
         return {}, {}
     toxic = F.col("toxic") == 1
     counts = (
-        rows.select("toxic", "least", F.explode(grams).alias("g")).groupBy("g.stem", "g.gram")
+        rows.select("toxic", "least", F.explode(grams).alias("g"))
+        .groupBy(F.substring("g", 1, 1).cast("int").alias("stem"), F.expr("substring(g, 2)").alias("gram"))
         .agg(F.count_if(toxic).alias("a"), F.count_if(~toxic).alias("b"), F.collect_list(F.when(toxic, F.col("least"))).alias("found"))
     )
     a, b = F.col("a"), F.col("b")
@@ -173,7 +175,7 @@ def learn_lexicon(sample: DataFrame, text_col: str, *, most: int = 2000, least_d
 
 def _beginnings(n: int) -> Column:
     longer = F.filter("words", lambda w: F.char_length(w) > n)
-    return F.transform(longer, lambda w: F.struct(F.lit(1).alias("stem"), F.substring(w, 1, n).alias("gram")))
+    return F.transform(longer, lambda w: F.concat(F.lit("1"), F.substring(w, 1, n)))
 
 
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> np.ndarray:
