@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumibase.functions import dates, measures, origin, paths
-from lumibase.operators import catalog, decisions, duplicates, sidecars, timeline
+from lumibase.operators import decisions, duplicates, sidecars, timeline
 from lumibase.operators import copies as on_drives
 from lumibase.plans import pipelines
 from lumibase.plans.registry import query
@@ -18,7 +18,6 @@ def _now():
     return F.lit(NOW).cast("timestamp_ntz")
 
 
-NAME = "name"
 MESSENGER = r"""CASE WHEN regexp_matches(name, '^(IMG|VID|AUD|PTT|DOC|STK)-[0-9]{8}-WA[0-9]+', 'i') THEN 'WhatsApp'
  WHEN regexp_matches(name, '^(photo|video|audio|file)_[0-9]{4}-[0-9]{2}-[0-9]{2}_[0-9]{2}-[0-9]{2}-[0-9]{2}', 'i') THEN 'Telegram'
  WHEN regexp_matches(name, '^(photo|video|audio|file)_[0-9]+@[0-9]{2}-[0-9]{2}-[0-9]{4}_[0-9]{2}-[0-9]{2}-[0-9]{2}', 'i') THEN 'Telegram'
@@ -53,7 +52,6 @@ query("c18_junk_folders", "SELECT p_partkey, p_partkey % 6 NOT IN (4, 5) AS junk
     lambda t: t.raw("part").selectExpr("p_partkey", "CASE p_partkey % 6 WHEN 0 THEN 'DCIM' WHEN 1 THEN '100APPLE' WHEN 2 THEN '2015-07-29' WHEN 3 THEN 'Testing new' WHEN 4 THEN 'Goa Trip' ELSE 'Test Match' END AS f").select("p_partkey", origin.is_junk_folder(F.col("f")).alias("junk")))
 query("c19_oversized", "SELECT sha256, size > 300000 AS oversized FROM files")(lambda t: t.files.select("sha256", origin.is_oversized(F.col("size"), 300000).alias("oversized")))
 
-ISO = "'(?:^|[^0-9])((?:19|20)[0-9]{2})-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])(?:[^0-9]|$)'"
 FILENAME_DATE = f"""CASE id % 14 WHEN 6 THEN NULL WHEN 7 THEN NULL WHEN 9 THEN NULL WHEN 12 THEN NULL WHEN 13 THEN NULL WHEN 8 THEN CASE WHEN year(od) >= 2000 AND NOT (month(od) = 1 AND day(od) % 10 >= 1 AND day(od) < 30) THEN date_trunc('day', od)::TIMESTAMP END ELSE date_trunc('day', od)::TIMESTAMP END"""
 DATED = f"d AS (SELECT media.*, o_orderdate od FROM media JOIN orders ON o_orderkey = id)"
 query("f3_f4_date_from_filename", f"WITH {DATED} SELECT id, {FILENAME_DATE} AS value FROM d")(lambda t: t.media.select("id", dates.date_from_filename(F.col("name")).alias("value")))
@@ -147,7 +145,6 @@ query("j24_ingest_writes", """SELECT sha256 AS path, CASE WHEN date_source = 'ta
 
 # duplicates: the documents' first quarter as the catalog
 
-DUP = """first AS (SELECT sha256, min((part > 0, path)) f FROM docs GROUP BY 1)"""
 query("a10_size_prefilter", "WITH k AS (SELECT DISTINCT size FROM docs WHERE part = 0), s AS (SELECT size, count(*) n FROM docs WHERE part > 0 GROUP BY 1) SELECT doc_id, s.n > 1 OR k.size IS NOT NULL AS needs_hash FROM docs JOIN s USING (size) LEFT JOIN k USING (size) WHERE part > 0")(
     lambda t: duplicates.size_prefilter(t.docs.where("part > 0"), t.docs.where("part = 0")).select("doc_id", "needs_hash"))
 query("j2_exact_dedup", """WITH r AS (SELECT path, sha256, part, row_number() OVER (PARTITION BY sha256 ORDER BY part > 0, path) n, first_value(path) OVER (PARTITION BY sha256 ORDER BY part > 0, path) p, first_value(part > 0) OVER (PARTITION BY sha256 ORDER BY part > 0, path) b FROM docs)
