@@ -33,12 +33,15 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of linked fingerprints the row with the least id (and of these the least hash of its text);
     rows without an id come last, and rows that repeat both stay once."""
-    found = simhash.near_duplicates(docs, threshold=4)
+    found = materialize(simhash.near_duplicates(docs, threshold=4).select("doc_id", "row", "root"), "near-copies")
     least = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least"))
     key = lambda id_, row: F.xxhash64(id_.isNull(), id_, row)
     kept = least.select(key(F.col("least.doc_id"), F.col("least.row")).alias("key")).distinct()
     keyed = docs.select(*COLUMNS, key(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit("")))).alias("key"))
-    return keyed.join(kept, "key").dropDuplicates(["key"]).select(*COLUMNS)
+    chosen = keyed.join(kept, "key", "left_semi")
+    if not found.groupBy("doc_id", "row").count().where("count > 1").isEmpty():
+        chosen = chosen.dropDuplicates(["key"])  # only where rows repeat both: it sorts whole texts once more
+    return chosen.select(*COLUMNS)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
