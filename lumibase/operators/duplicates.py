@@ -141,3 +141,25 @@ def planned_actions(resolved: DataFrame, *, skip_undated: bool = False) -> DataF
     undated = F.col("captured_at").isNull() if skip_undated else F.lit(False)
     action = F.when(F.col("kind") == "exact", "duplicate").when(undated, "skipped_undated").otherwise("planned")
     return resolved.groupBy(action.alias("action"), "category").agg(F.count("*").alias("files"))
+
+
+def uncompared_photos(rows: DataFrame, kind: Column, sample: int = 20) -> DataFrame:
+    """Images that were read, and tried, and whose look could not be computed: the first by path, and the total."""
+    failed = rows.where((kind == "image") & F.col("sha256").isNotNull() & F.col("perceptual_computed") & F.col("perceptual").isNull())
+    total = failed.agg(F.count("*").alias("total")).withColumn("k", F.lit(0))
+    return failed.orderBy("path").limit(sample).select("path", F.lit(0).alias("k")).join(total, "k").drop("k")
+
+
+def write_candidates(resolved: DataFrame, limit: int, *, skip_undated: bool = False) -> DataFrame:
+    """What a run would write: files, bytes, and those over the target's limit for a file."""
+    goes = F.col("kind") != "exact"
+    if skip_undated:
+        goes = goes & F.col("captured_at").isNotNull()
+    return resolved.where(goes).agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count_if(F.col("size") > limit).alias("oversized"))
+
+
+def folder_groups(listing: DataFrame, folder: Column, first: int = 20) -> DataFrame:
+    """T5: the first folders with their files, and how many folders there are."""
+    groups = listing.groupBy(folder.alias("folder")).agg(F.count("*").alias("files"))
+    total = groups.agg(F.count("*").alias("folders")).withColumn("k", F.lit(0))
+    return groups.orderBy(F.desc("files"), "folder").limit(first).withColumn("k", F.lit(0)).join(total, "k").drop("k")

@@ -197,3 +197,25 @@ def stride_sample(rows: DataFrame, group: str, order: str, n: int) -> DataFrame:
 def suffix_max(rows: DataFrame, group: str, order: str, size: str) -> DataFrame:
     """The largest size at or after each position."""
     return rows.withColumn("largest_left", F.max(size).over(W.partitionBy(group).orderBy(order).rowsBetween(0, W.unboundedFollowing)))
+
+
+def record_trips(days: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Claimed days (trip_id, day) after an upsert, a day keeping its first trip, and the trips' spans derived
+    from their days anew."""
+    new = incoming.select("trip_id", "day").join(days.select("day"), "day", "left_anti").groupBy("day").agg(F.min("trip_id").alias("trip_id"))
+    claimed = days.select("trip_id", "day").unionByName(new)
+    return claimed, claimed.groupBy("trip_id").agg(F.min("day").alias("start_date"), F.max("day").alias("end_date"), F.count("*").alias("days"))
+
+
+def record_events(events: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Names by signature; a later name replaces an earlier one."""
+    joined = events.select("signature", F.col("name").alias("old")).join(incoming.select("signature", F.col("name").alias("new")), "signature", "full_outer")
+    return joined.select("signature", F.coalesce("new", "old").alias("name"))
+
+
+def apply_events(rows: DataFrame, members: DataFrame, *, composed: bool = False) -> DataFrame:
+    """Rows (sha256, folder) whose content is in a named event (members: sha256, start, name) go to its folder."""
+    joined = rows.join(members.select("sha256", "start", "name"), "sha256", "left")
+    event = paths.event_folder(F.col("start"), paths.slugify(F.col("name")), F.col("name"), composed=composed)
+    inside = F.concat_ws("/", F.date_format("start", "yyyy"), event)
+    return joined.select("sha256", F.when(F.col("name").isNotNull(), inside).otherwise(F.col("folder")).alias("folder"))

@@ -297,3 +297,51 @@ query("a28_library_status", """SELECT (SELECT count(*) FROM files) AS files, (SE
     lambda t: pipelines.library_status(t.files, t.copies))
 query("k3_analyze", """WITH s AS (SELECT size, count(*) n FROM docs GROUP BY 1), e AS (SELECT sha256, count(*) n FROM docs GROUP BY 1) SELECT (SELECT sum(n) FROM s)::BIGINT AS files, (SELECT coalesce(sum(n), 0) FROM s WHERE n > 1)::BIGINT AS colliding_files, (SELECT sum(n - 1) FROM e)::BIGINT AS exact_files""")(
     lambda t: pipelines.analyze(t.docs))
+
+# pipelines of the above
+
+query("k2_plan", f"""WITH {RULES}, {DATED}, {EMBED}, {RESOLVED}, w AS (SELECT z.id, src, CASE src WHEN 'inferred_local' THEN val + INTERVAL 2 HOUR WHEN 'exif' THEN val WHEN 'takeout' THEN z.taken_at WHEN 'filename' THEN fd END cap FROM z)
+SELECT c.id, label, cap AS captured_at, src AS source, CASE WHEN rule NOT IN ('device', 'camera_filename') THEN label || '/' || CASE WHEN cap IS NULL THEN 'Undated' ELSE strftime(cap, '%Y/%Y-%m') END WHEN cap IS NULL THEN 'Undated' ELSE strftime(cap, '%Y/%Y-%m/%Y-%m - Everyday') END AS folder,
+ confidence = 'low' OR src IN ('none', 'rejected_sentinel', 'rejected_future', 'rejected_early') AS needs_review FROM c JOIN w USING (id)""")(
+    lambda t: pipelines.plan(t.media, _now(), taken="taken_at").select("id", "label", "captured_at", "source", "folder", "needs_review"))
+query("a14_inferred_shifts", f"WITH {DATED}, {EMBED}, {RESOLVED} SELECT id, CASE WHEN zone IS NOT NULL THEN 'TimeZone' ELSE 'filename:VID_' END AS evidence, 120 AS minutes FROM z WHERE src = 'inferred_local'")(
+    lambda t: pipelines.inferred_local_shifts(dates.with_capture_datetime(t.media, _now(), taken="taken_at", out="r").select("id", "r.source", "r.tag")))
+query("a23_uncompared_photos", "WITH u AS (SELECT source_path AS path FROM files WHERE lower(split_part(original_name, '.', -1)) IN ('jpg', 'heic', 'png') AND size % 3 > 0 AND perceptual IS NULL) SELECT path, (SELECT count(*) FROM u) AS total FROM u ORDER BY path LIMIT 20")(
+    lambda t: duplicates.uncompared_photos(t.files.withColumns({"path": F.col("source_path"), "perceptual_computed": F.col("size") % 3 > 0}), origin.media_kind(F.col("original_name"))))
+query("a30_write_candidates", f"WITH {KIND} SELECT count(*) AS files, sum(size)::BIGINT AS bytes, count(*) FILTER (size > 3000) AS oversized FROM k WHERE kind <> 'exact' AND size % 4 <> 0")(
+    lambda t: duplicates.write_candidates(_resolved(t), 3000, skip_undated=True))
+query("t5_folder_groups", "WITH g AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) folder, count(*) files FROM docs GROUP BY 1) SELECT folder, files, (SELECT count(*) FROM g) AS folders FROM g ORDER BY files DESC, folder LIMIT 20")(
+    lambda t: duplicates.folder_groups(t.docs, paths.parent(F.col("path"))))
+query("j23_apply_events", "SELECT sha256, CASE WHEN event_id IS NOT NULL AND captured_at IS NOT NULL THEN strftime(captured_at, '%Y/%Y-%m-%d') || ' - Event ' || CAST(event_id AS STRING) ELSE 'old' END AS folder FROM files")(
+    lambda t: timeline.apply_events(t.files.select("sha256", F.lit("old").alias("folder")), t.files.where("event_id IS NOT NULL AND captured_at IS NOT NULL").select("sha256", F.col("captured_at").alias("start"), F.concat(F.lit("Event "), F.col("event_id").cast("string")).alias("name")), composed=True))
+TRIP_DAYS = "old AS (SELECT DISTINCT user_id % 5 AS trip_id, CAST(ts AS DATE) + CAST(user_id % 5 * 400 AS INT) AS day FROM events WHERE event_id % 3 = 0 AND day(ts) < 20), new AS (SELECT DISTINCT user_id % 5 AS trip_id, CAST(ts AS DATE) + CAST(user_id % 5 * 400 AS INT) AS day FROM events)"
+
+
+def _trip_days(t, where):
+    return t.raw("events").where(where).selectExpr("user_id % 5 AS trip_id", "date_add(CAST(ts AS DATE), CAST(user_id % 5 * 400 AS INT)) AS day").distinct()
+
+
+query("s15_record_trips", f"WITH {TRIP_DAYS}, a AS (SELECT * FROM old UNION ALL SELECT min(trip_id), day FROM new WHERE day NOT IN (SELECT day FROM old) GROUP BY day) SELECT trip_id, min(day) AS start_date, max(day) AS end_date, count(*) AS days FROM a GROUP BY 1".replace("SELECT min(trip_id), day FROM new", "SELECT min(trip_id) AS trip_id, day FROM new"))(
+    lambda t: timeline.record_trips(_trip_days(t, "event_id % 3 = 0 AND day(ts) < 20"), _trip_days(t, "true"))[1])
+query("s15_record_events", "SELECT event_id AS signature, CASE WHEN event_id % 4 = 0 THEN 'new' ELSE event_type END AS name FROM events WHERE event_id % 2 = 0 OR event_id % 4 = 0")(
+    lambda t: timeline.record_events(t.raw("events").where("event_id % 2 = 0").selectExpr("event_id AS signature", "event_type AS name"), t.raw("events").where("event_id % 4 = 0").selectExpr("event_id AS signature", "'new' AS name")))
+query("k5_ingest_preview", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY sha256 ORDER BY part > 0, path) n FROM docs) SELECT CASE WHEN doc_id % 3 = 0 THEN 'takeout' ELSE 'exif' END AS date_source, count(*) FILTER (n = 1) AS kept, count(*) FILTER (n > 1) AS collapsed,
+ coalesce(sum(size) FILTER (n > 1), 0)::BIGINT AS freed, count(*) FILTER (doc_id % 5 = 0) AS missing_sidecars FROM r WHERE part > 0 GROUP BY 1""")(lambda t: _ingest(t))
+
+
+def _ingest(t):
+    rows = t.docs.withColumns({"folder": paths.parent(F.col("path")), "name": paths.basename(F.col("path")), "date_source": F.when(F.col("doc_id") % 3 == 0, "takeout").otherwise("exif")})
+    batch = rows.where("part > 0")
+    jsons = batch.where("doc_id % 5 > 0").select("folder", F.concat("name", F.lit(".supplemental-meta.json")).alias("name"))
+    return pipelines.ingest_preview(t.docs.where("part = 0"), batch, batch.select("folder", "name"), jsons)
+
+
+query("k9_reconcile_decisions", f"""WITH {SECTION}, r AS ({LATEST}), m AS (SELECT * FROM r WHERE n = 1) SELECT CASE WHEN key LIKE '1%' THEN 'awaiting_content' WHEN len(key) % 2 = 0 AND CAST(value AS BIGINT) % 3 = 0 THEN 'unchanged' WHEN len(key) % 2 = 0 AND written < TIMESTAMP '2024-01-29' THEN 'newer_locally' ELSE 'applied' END AS action,
+ count(*) AS decisions FROM m GROUP BY 1""")(lambda t: _reconcile(t))
+
+
+def _reconcile(t):
+    section = _section(t).where("written IS NOT NULL")
+    merged = decisions.merge_section(section)
+    current = merged.where("char_length(key) % 2 = 0").selectExpr("key", "CASE WHEN CAST(value AS BIGINT) % 3 = 0 THEN value ELSE 'old' END AS value", "timestamp_ntz'2024-01-29 00:00:00' AS updated")
+    return pipelines.reconcile_decisions(section, current, merged.where("key NOT LIKE '1%'"))

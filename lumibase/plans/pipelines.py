@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumibase.functions import dates
-from lumibase.operators import catalog, duplicates, timeline
+from lumibase.functions import dates, origin, paths
+from lumibase.operators import catalog, decisions, duplicates, sidecars, timeline
 
 
 def date_quality(resolved: DataFrame) -> DataFrame:
@@ -44,3 +44,38 @@ def analyze(batch: DataFrame) -> DataFrame:
     sizes = duplicates.forecast(batch, F.lit(False)).select("files", "colliding_files", F.lit(0).alias("k"))
     exact = batch.groupBy("sha256").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") - 1).alias("exact_files")).withColumn("k", F.lit(0))
     return sizes.join(exact, "k").drop("k")
+
+
+def plan(media: DataFrame, now: Column, *, taken: str | None = None, heavy: Column | None = None) -> DataFrame:
+    """K2: per file its label, capture date and source, dated name and folder."""
+    dated = dates.with_capture_datetime(media, now, taken=taken, out="_r").withColumn("_m", origin.classify(F.col("name"), F.col("tags")))
+    at = F.col("_r.value")
+    place = paths.classify_placement(F.col("_m.rule"), F.lit(None), F.lit(None), F.lit(False) if heavy is None else heavy)
+    nothing = F.lit(None).cast("string")
+    dated = dated.withColumns({"_place": place, "_label": paths.sanitize_value(F.col("_m.label"))})  # sanitized once, for all layouts
+    folder = paths.PRESETS["everyday"].folder(F.col("_place"), at, F.col("_label"), nothing, nothing, composed=True)
+    time_known = F.col("_r.source") != "filename"
+    return dated.select(
+        "id", F.col("_m.label").alias("label"), at.alias("captured_at"), F.col("_r.source").alias("source"), F.col("_r.tag").alias("tag"),
+        paths.dated_filename(F.col("name"), at, time_known).alias("new_name"), folder.alias("folder"), origin.needs_review(F.col("_m.confidence"), F.col("_r.source")).alias("needs_review"),
+    )
+
+
+def inferred_local_shifts(planned: DataFrame) -> DataFrame:
+    """The files whose clock was shifted, with the evidence and the minutes."""
+    return planned.where("source = 'inferred_local'").withColumn("p", dates.parse_date_tag(F.col("tag"))).select("id", "p.evidence", "p.minutes")
+
+
+def ingest_preview(catalog_rows: DataFrame, batch: DataFrame, media: DataFrame, sidecar_files: DataFrame) -> DataFrame:
+    """K5: a batch (path, folder, name, sha256, perceptual, size, date_source) matched to its sidecars, resolved against
+    the catalog, and reported per source of the date."""
+    matched = sidecars.match_sidecars(media, sidecar_files).withColumnRenamed("media", "name")
+    resolved = duplicates.resolve(catalog_rows, batch, perceptual=False).select("path", "kind")
+    return sidecars.ingest_report(batch.join(resolved, "path").join(matched, ["folder", "name"], "left"))
+
+
+def reconcile_decisions(section: DataFrame, current: DataFrame, known: DataFrame) -> DataFrame:
+    """K9: the drives' documents merged, and what each decision would do to the catalog."""
+    newest = section.groupBy("key").agg(F.max("written").alias("written"))
+    merged = decisions.merge_section(section).select("key", "value").join(newest, "key")
+    return decisions.restore_apply(merged, current, known).groupBy("action").agg(F.count("*").alias("decisions"))
