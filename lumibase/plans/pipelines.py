@@ -63,7 +63,9 @@ def plan(media: DataFrame, now: Column, *, taken: str | None = None, heavy: Colu
 
 def inferred_local_shifts(planned: DataFrame) -> DataFrame:
     """The files whose clock was shifted, with the evidence and the minutes."""
-    return planned.where("source = 'inferred_local'").withColumn("p", dates.parse_date_tag(F.col("tag"))).select("id", "p.evidence", "p.minutes")
+    # exploding keeps the condition above the ladder; as a filter it would be pushed down into each of its steps
+    shift = F.when(F.col("source") == "inferred_local", F.array(dates.parse_date_tag(F.col("tag"))))
+    return planned.select("id", F.explode(shift).alias("p")).select("id", "p.evidence", "p.minutes")
 
 
 def ingest_preview(catalog_rows: DataFrame, batch: DataFrame, media: DataFrame, sidecar_files: DataFrame) -> DataFrame:
