@@ -161,15 +161,15 @@ def _compared(batches: Iterator[pa.RecordBatch], least: int, enough: int = 1 <<
     """Rows (bucket, anchor, key, first, data) sorted by bucket and anchor -> repeated windows. Anchors are taken
     together until there are ``enough`` bytes; equal windows of different anchors don't exist."""
 
-    def match(rows: list[tuple]) -> pa.RecordBatch:
-        rows.sort(key=lambda r: (r[1], r[2]))
-        data = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
-        sizes = np.fromiter((len(r[3]) for r in rows), np.int64, len(rows))
+    def match(runs: dict[tuple[int, int], bytes]) -> pa.RecordBatch:
+        rows = sorted(runs.items())
+        data = np.frombuffer(b"".join(d for _, d in rows), np.uint8)
+        sizes = np.fromiter((len(d) for _, d in rows), np.int64, len(rows))
         counts = sizes - (least - 1)
         within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         starts = np.repeat(np.cumsum(sizes) - sizes, counts) + within
-        key = np.repeat(np.fromiter((r[1] for r in rows), np.int64, len(rows)), counts)
-        first = np.repeat(np.fromiter((r[2] for r in rows), np.int64, len(rows)), counts) + within
+        key = np.repeat(np.fromiter((k for (k, _), _ in rows), np.int64, len(rows)), counts)
+        first = np.repeat(np.fromiter((f for (_, f), _ in rows), np.int64, len(rows)), counts) + within
         hit = suffixes.previous_matches(data, starts, least)
         return _stretches(key[hit], first[hit])
 
@@ -179,7 +179,8 @@ def _compared(batches: Iterator[pa.RecordBatch], least: int, enough: int = 1 <<
         hit = hit[np.lexsort((hit["first"], hit["key"]))]
         return _stretches(hit["key"], hit["first"].astype(np.int64))
 
-    rows, size, group = [], 0, None
+    # rows of one key hold one text, so a run that comes again at its place is no repeat
+    rows, size, group = {}, 0, None
     packed, bucket = [], None
     for batch in batches:
         for here, anchor, key, first, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -192,10 +193,11 @@ def _compared(batches: Iterator[pa.RecordBatch], least: int, enough: int = 1 <<
                 continue
             if anchor != group and size >= enough:
                 yield match(rows)
-                rows, size = [], 0
+                rows, size = {}, 0
             group = anchor
-            rows.append((anchor, key, first, data))
-            size += len(data)
+            if (key, first) not in rows:
+                rows[key, first] = data
+                size += len(data)
     if rows:
         yield match(rows)
     if packed:

@@ -269,6 +269,18 @@ def test_repeats_odd_rows(spark):
         repeats.remove_repeats(none(spark), least=10)
 
 
+@pytest.mark.parametrize("crowd", [1, 32])
+def test_repeated_rows_keep_the_first_occurrence(spark, crowd):
+    rng = random.Random(9)
+    a, b, c, d = ("".join(rng.choice("abcdefgh ") for _ in range(200)) for _ in range(4))
+    # document 3 shares 150 bytes with the repeated row, and document 4 no more than 40
+    rows = [(1, a + b), (1, a + b), (3, c + b[:150]), (4, d + a[100:140] + d[::-1])]
+    found = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), crowd=crowd).collect()
+    want = plain_repeats(list(dict(rows).items()))
+    assert sorted((r.doc_id, bytes(r.kept)) for r in found) == sorted((n, want[n]) for n, _ in rows)
+    assert want[1] == (a + b).encode() and want[3] == c.encode() and len(want[4]) == 440
+
+
 # media
 
 
