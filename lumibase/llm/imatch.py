@@ -1,7 +1,8 @@
 """I-Match fingerprints over randomised lexicon subsets.
 
 The lexicon has the terms whose document frequency lies in a band: in at least ``least_share`` and at most
-``most_share`` of the documents (and in two at least). The lower end bounds the lexicon: a document has ``d``
+``most_share`` of the different texts (and in two at least). Copies of a text count once, so that a text which many
+rows repeat keeps its terms. The lower end bounds the lexicon: a document has ``d``
 different terms on average, so no more than ``d / least_share`` terms can be in so many documents, whatever the
 corpus's size. It is held as a bitmap of a fixed number of bits, addressed by the term's hash; a term outside of the band
 whose place is taken counts as one of it, in every document alike.
@@ -50,15 +51,10 @@ def _place(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BITMAP_BITS))
 
 
-def lexicon_bitmap(docs: DataFrame, text_col: str, least_share: float, most_share: float) -> Column:
-    """The bitmap of the terms whose document frequency is in the band, as an array of 64-bit words."""
-    total = docs.count()
-    words = docs.select(F.explode(terms(F.col(text_col))).alias("term"))
-    counted = words.groupBy("term").agg(F.count("*").alias("n"))
-    band = counted.where(F.col("n").between(max(2, least_share * total), max(2, most_share * total)))
-    place = _place(F.col("term"))
+def _bitmap(places: DataFrame) -> Column:
+    """The bitmap of a table of places (column place), as an array of 64-bit words."""
     found = (
-        band.select((place / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int")).alias("bit"))
+        places.select((F.col("place") / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("place", F.lit(64)).cast("int")).alias("bit"))
         .groupBy("word").agg(F.bit_or("bit").alias("bits"))
         .collect()  # at most BITMAP_BITS / 64 rows
     )
@@ -66,15 +62,34 @@ def lexicon_bitmap(docs: DataFrame, text_col: str, least_share: float, most_shar
     return _longs([bits.get(n, 0) for n in range(BITMAP_BITS // 64)])
 
 
+def _marked(bitmap: Column, place: Column) -> Column:
+    word = F.element_at(bitmap, (place / 64).cast("int") + 1)
+    return F.call_function("shiftrightunsigned", word, F.pmod(place, F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
+def different_texts(docs: DataFrame, text_col: str) -> DataFrame:
+    """Each text once (column text). Only texts whose hash may occur again, told by a bitmap, are dealt by text; copies
+    are dropped before the shuffle and after it. The bitmap never misses a copy."""
+    text = F.col(text_col)
+    again = docs.groupBy(F.xxhash64(text).alias("hash")).count().where("count > 1")
+    copied = _marked(_bitmap(again.select(F.pmod("hash", F.lit(BITMAP_BITS)).alias("place"))), _place(text))
+    rows = docs.select(text.alias("text"), copied.alias("copied"))
+    return rows.where("NOT copied").select("text").union(rows.where("copied").select("text").distinct())
+
+
+def lexicon_bitmap(docs: DataFrame, text_col: str, least_share: float, most_share: float) -> Column:
+    """The bitmap of the terms whose document frequency is in the band, as an array of 64-bit words."""
+    total = docs.select(F.xxhash64(text_col).alias("hash")).distinct().count()
+    words = different_texts(docs, text_col).select(F.explode(terms(F.col("text"))).alias("term"))
+    counted = words.groupBy("term").agg(F.count("*").alias("n"))
+    band = counted.where(F.col("n").between(max(2, least_share * total), max(2, most_share * total)))
+    return _bitmap(band.select(_place(F.col("term")).alias("place")))
+
+
 def _banded(text: Column, bitmap: Column) -> Column:
     """The sorted terms of a text that are in the lexicon."""
 
-    def inside(term: Column) -> Column:
-        place = _place(term)
-        word = F.element_at(bitmap, (place / 64).cast("int") + 1)
-        return F.call_function("shiftrightunsigned", word, F.pmod(place, F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
-
-    return F.array_sort(F.filter(terms(text), inside))
+    return F.array_sort(F.filter(terms(text), lambda term: _marked(bitmap, _place(term))))
 
 
 def _dealt(banded: Column, key: int) -> Column:

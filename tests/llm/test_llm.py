@@ -426,6 +426,24 @@ def test_imatch(spark):
     assert np.mean([r.near_edited for r in rows.values()]) > 3 * np.mean([r.near_next for r in rows.values()])
 
 
+def test_imatch_counts_copies_of_a_text_once(spark):
+    rng = random.Random(3)
+    words = [f"word{n}" for n in range(400)]
+    texts = [" ".join(rng.sample(words, 20)) for _ in range(120)]
+    hot, other = texts[:2]
+    rows = [*enumerate(texts), *((1000 + n, hot) for n in range(90)), *((2000 + n, other) for n in range(60)), (3000, ""), (3001, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    found = imatch.fingerprints_of_edits(df).withColumn("near_next", imatch.likeness(F.col("fingerprint"), F.col("next_fingerprint")))
+    found = by_id(found.withColumn("near_edited", imatch.likeness(F.col("fingerprint"), F.col("edited_fingerprint"))).collect())
+    empty = found[3000].fingerprint
+    assert set(empty) == {"0"} and found[3001].fingerprint == empty
+    assert len({found[0].fingerprint, found[1].fingerprint, empty}) == 3 and found[1000].fingerprint == found[0].fingerprint
+    # unrelated neighbours: the last of the one group, and the last of the other before the empty text
+    assert found[1000].near_next == 1.0 and found[1089].near_next < 0.5 and found[2059].near_next == 0.0
+    assert found[1089].near_edited > 0
+    assert sorted(r.text for r in imatch.different_texts(df.fillna(""), "text").collect()) == sorted({"", *texts})
+
+
 def test_imatch_over_many_blocks(spark):
     rows = [(n * n, f"t{n} word{n % 7}") for n in range(60)] + [(None, "null"), (100, "a"), (100, "b")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
