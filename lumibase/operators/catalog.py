@@ -112,12 +112,12 @@ def near_dup_flagged(files: DataFrame) -> DataFrame:
 
 
 def custody_freshness(drives: DataFrame, copies: DataFrame, now: str) -> DataFrame:
-    """Drives never wholly checked, the oldest check of the others, its age and tier."""
+    """Drives never wholly checked and all their names, the oldest check of the others, its age and tier."""
     listed = list_drives(drives, copies).where("files > 0")
     days = measures.age_days(F.min("verified"), F.lit(now).cast("timestamp_ntz"))
     return listed.agg(
         F.count_if(F.col("verified").isNull()).alias("never_checked"),
-        F.array_join(F.slice(F.array_sort(F.collect_list(F.when(F.col("verified").isNull(), F.col("label")))), 1, 20), ";").alias("never_checked_names"),
+        F.array_join(F.array_sort(F.collect_list(F.when(F.col("verified").isNull(), F.col("label")))), ";").alias("never_checked_names"),
         F.min("verified").alias("oldest_check"),
         days.cast("long").alias("age_days"),
         measures.custody_tier(days).alias("tier"),

@@ -48,7 +48,17 @@ j AS (SELECT * FROM d JOIN drives ON uuid = drive_uuid)
 SELECT count(*) FILTER (v IS NULL) AS never_checked, coalesce(array_to_string(list_sort(list(label) FILTER (v IS NULL))[1:20], ';'), '') AS never_checked_names, min(v) AS oldest_check,
  greatest(0, floor((epoch(TIMESTAMP '{NOW}') - epoch(min(v))) / 86400))::BIGINT AS age_days,
  CASE WHEN greatest(0, floor((epoch(TIMESTAMP '{NOW}') - epoch(min(v))) / 86400)) >= 90 THEN 'stale' WHEN greatest(0, floor((epoch(TIMESTAMP '{NOW}') - epoch(min(v))) / 86400)) >= 30 THEN 'softening' ELSE 'fresh' END AS tier FROM j""")(
-    lambda t: catalog.custody_freshness(t.drives, t.copies.where("sha256 LIKE '%77'"), NOW))
+    lambda t: catalog.custody_freshness(t.drives, t.copies.where("sha256 LIKE '%77'"), NOW).withColumn("never_checked_names", F.substring_index("never_checked_names", ";", 20)))
+
+# the same two over every copy; the SQL of the two above is theirs alone
+
+query("a4_drive_verified_all_copies", """SELECT drive_uuid AS uuid, CASE WHEN count(*) = count(last_verified) THEN min(last_verified) END AS verified FROM copies GROUP BY 1""")(
+    lambda t: catalog.list_drives(t.drives, t.copies).where("files > 0").select("uuid", "verified"))
+
+query("a18_custody_freshness_all_copies", f"""WITH d AS (SELECT drive_uuid, CASE WHEN count(*) = count(last_verified) THEN min(last_verified) END v FROM copies GROUP BY 1), j AS (SELECT label, v FROM d JOIN drives ON uuid = drive_uuid),
+a AS (SELECT count(*) FILTER (v IS NULL) AS never_checked, coalesce(string_agg(label, ';' ORDER BY label) FILTER (v IS NULL), '') AS never_checked_names, min(v) AS oldest_check, greatest(0, floor((epoch(TIMESTAMP '{NOW}') - epoch(min(v))) / 86400))::BIGINT AS days FROM j)
+SELECT never_checked, never_checked_names, oldest_check, days AS age_days, CASE WHEN days >= 90 THEN 'stale' WHEN days >= 30 THEN 'softening' ELSE 'fresh' END AS tier FROM a""")(
+    lambda t: catalog.custody_freshness(t.drives, t.copies, NOW))
 
 query("a19_label_routes", f"SELECT category, count(*) AS files, CASE WHEN {SIDE} THEN 'side_bin' ELSE 'ambiguous' END AS route FROM files GROUP BY category")(lambda t: catalog.label_routes(t.files))
 

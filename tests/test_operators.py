@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from lumibase.operators import copies, duplicates, timeline
+from lumibase.operators import catalog, copies, duplicates, timeline
 
 
 def brute(rows, threshold):
@@ -90,3 +90,11 @@ def test_empty_tables(spark):
     df = spark.createDataFrame([], "path string, sha256 string, perceptual bigint")
     assert duplicates.resolve(df, df).count() == 0
     assert copies.verify_copies(spark.createDataFrame([], "sha256 string, drive_uuid string, relative string, copy_sha256 string"), spark.createDataFrame([], "drive_uuid string, relative string, digest string")).count() == 0
+
+
+def test_custody_freshness_names_every_drive(spark):
+    drives = spark.range(30).selectExpr("CAST(id AS STRING) AS uuid", "'drive ' || lpad(CAST(id AS STRING), 2, '0') AS label")
+    copies_ = spark.range(60).selectExpr("CAST(id AS STRING) AS sha256", "CAST(id % 30 AS STRING) AS drive_uuid", "1L AS size", "CASE WHEN id % 30 = 7 OR id < 30 THEN timestamp_ntz'2004-12-01 00:00:00' END AS last_verified", "CAST(NULL AS timestamp_ntz) AS missing_at")
+    row = catalog.custody_freshness(drives, copies_, "2005-01-01 00:00:00").first()
+    assert row.never_checked == 29 and row.never_checked_names.split(";") == [f"drive {n:02}" for n in range(30) if n != 7]
+    assert (row.age_days, row.tier) == (31, "softening")
