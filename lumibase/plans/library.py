@@ -253,6 +253,10 @@ p AS (SELECT r.sha256, relative, CASE WHEN category <> 'Camera' THEN category ||
 SELECT sha256, relative, "new", relative = "new" AS unchanged, count(*) OVER (PARTITION BY lower("new")) > 1 AS collides, length("new") > 200 AS long FROM p""")(lambda t: _migration(t).drop("axis"))
 query("j26_rederive", "SELECT sha256, category, 'Saved' AS label, 'fallback' AS rule FROM files WHERE category NOT IN ('Screenshots', 'Saved')")(
     lambda t: on_drives.rederive(t.files, t.media.limit(0).select(F.col("id").cast("string").alias("sha256"), "tags")))
+# the same with all tags; the SQL of the one above states a table without any
+FILES_AS_MEDIA = "FROM (SELECT media.* REPLACE (original_name AS name), sha256, category FROM files JOIN media ON sha256 = CAST(id AS STRING) WHERE category NOT IN ('Screenshots', 'Saved'))"
+query("j26_rederive_with_tags", f"WITH {RULES.replace('FROM media', FILES_AS_MEDIA)} SELECT sha256, category, label, rule FROM c")(
+    lambda t: on_drives.rederive(t.files, t.media.select(F.col("id").cast("string").alias("sha256"), "tags")))
 
 # decisions: the events of four drives
 

@@ -98,3 +98,15 @@ def test_custody_freshness_names_every_drive(spark):
     row = catalog.custody_freshness(drives, copies_, "2005-01-01 00:00:00").first()
     assert row.never_checked == 29 and row.never_checked_names.split(";") == [f"drive {n:02}" for n in range(30) if n != 7]
     assert (row.age_days, row.tier) == (31, "softening")
+
+
+def test_rederive_query_reads_tags(spark):
+    rows = library_queries()["j26_rederive_with_tags"](spark, "/root/testdata/sf0.001")
+    assert {"device", "software", "screenshot_metadata", "fallback"} <= {r.rule for r in rows.select("rule").distinct().collect()}
+    assert rows.count() == library_queries()["j26_rederive"](spark, "/root/testdata/sf0.001").count()
+
+
+def library_queries():
+    from lumibase.plans import library, registry  # noqa: F401
+
+    return registry.QUERIES
