@@ -85,6 +85,8 @@ query("f18_event_folder", r"SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN
     lambda t: t.raw("orders").select("o_orderkey", paths.event_folder(F.col("o_orderdate"), F.lit("goa"), F.when(F.col("o_orderkey") % 3 == 0, "///").otherwise(F.concat(F.lit("Trip: "), F.col("o_custkey").cast("string"), F.lit(". "))), composed=True).alias("folder")))
 query("f19_sanitize_value", r"""SELECT doc_id, rtrim(trim(regexp_replace(substr(split_part(text, ' ', 1), 1, 40), '[<>:"/\\|?*\x00-\x1f]', '_', 'g')), ' .') AS value FROM documents""")(
     lambda t: t.raw("documents").select("doc_id", paths.sanitize_value(F.substring(F.split("text", " ")[0], 1, 40)).alias("value")))
+# whole texts; DuckDB has no cut to bytes, so it is tested by brute force
+query("f19_sanitize_whole_value")(lambda t: t.raw("documents").select("doc_id", paths.sanitize_value(F.col("text")).alias("value")))
 FOLDER = "CASE WHEN captured_at IS NULL THEN 'Undated' ELSE strftime(captured_at, '%Y/%Y-%m/%Y-%m - Everyday') END"
 query("f20_render_path", f"SELECT sha256, {FOLDER} AS folder FROM files")(lambda t: t.files.select("sha256", paths.render_path(paths.EVERYDAY_TEMPLATE, F.col("captured_at"), F.col("category"), composed=True).alias("folder")))
 query("f21_f22_placement", f"""SELECT sha256, CASE WHEN category <> 'Camera' THEN 'side_bin' WHEN size % 5 = 0 THEN 'trip_day' WHEN event_id IS NOT NULL THEN 'event_day' WHEN size % 3 = 0 THEN 'day_bucket' ELSE 'everyday' END AS placement,
@@ -213,6 +215,14 @@ query("w3_disambiguate_folders", """SELECT key, CASE WHEN n > 1 THEN folder || '
 query("w8_merge_cards", """WITH m AS (SELECT user_id AS library, user_id % 3 AS merge, min(CAST(ts AS DATE)) AS first_day, max(CAST(ts AS DATE)) AS last_day FROM events WHERE user_id < 30 AND day(ts) <= 10 + user_id GROUP BY 1, 2), c AS (SELECT user_id AS library, CAST(ts AS DATE) AS day, count(*) n FROM events GROUP BY 1, 2)
 SELECT m.library, merge, first_day, last_day, sum(n)::BIGINT AS files, CASE WHEN last_day - first_day + 1 > 20 THEN 'over_span' END AS error FROM m JOIN c ON c.library = m.library AND day BETWEEN first_day AND last_day GROUP BY ALL""")(
     lambda t: timeline.merge_cards(t.raw("events").where("user_id < 30 AND day(ts) <= 10 + user_id").selectExpr("user_id AS library", "user_id % 3 AS merge", "CAST(ts AS DATE) AS first_day", "CAST(ts AS DATE) AS last_day").groupBy("library", "merge").agg(F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day")), t.raw("events").groupBy(F.col("user_id").alias("library"), F.to_date("ts").alias("day")).agg(F.count("*").alias("n")), 20))
+# all users: cards of one event type each, merged over stretches of 8 to 27 days
+query("w8_merge_cards_all_users", """WITH e AS (SELECT user_id AS library, CAST(ts AS DATE) AS day, CAST(floor((CAST(ts AS DATE) - DATE '2024-01-01') / (8 + user_id % 20)) AS BIGINT) AS merge, event_type FROM events),
+k AS (SELECT library, merge, event_type, min(day) AS a, max(day) AS b FROM e GROUP BY ALL), c AS (SELECT library, day, count(*) n FROM e GROUP BY ALL), d AS (SELECT DISTINCT k.library, merge, day, n FROM k JOIN c ON c.library = k.library AND day BETWEEN a AND b),
+s AS (SELECT library, merge, min(a) AS first_day, max(b) AS last_day FROM k GROUP BY ALL)
+SELECT library, merge, first_day, last_day, sum(n)::BIGINT AS files, CASE WHEN year(first_day) <> year(last_day) THEN 'crosses_year' WHEN last_day - first_day + 1 > 20 THEN 'over_span' END AS error FROM s JOIN d USING (library, merge) GROUP BY ALL""")(
+    lambda t: timeline.merge_cards(
+        t.raw("events").selectExpr("user_id AS library", "CAST(floor(datediff(ts, DATE '2024-01-01') / (8 + user_id % 20)) AS BIGINT) AS merge", "event_type", "CAST(ts AS DATE) AS day").groupBy("library", "merge", "event_type").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day")),
+        t.raw("events").groupBy(F.col("user_id").alias("library"), F.to_date("ts").alias("day")).agg(F.count("*").alias("n")), 20))
 query("w8_split_card", "SELECT user_id AS library, CASE WHEN CAST(ts AS DATE) < DATE '2024-01-15' THEN 'first' ELSE 'second' END AS side, min(CAST(ts AS DATE)) AS first_day, max(CAST(ts AS DATE)) AS last_day, count(*) AS files FROM events GROUP BY 1, 2")(
     lambda t: timeline.split_card(t.raw("events").groupBy(F.col("user_id").alias("library"), F.to_date("ts").alias("day")).agg(F.count("*").alias("n")), "2024-01-15"))
 query("w9_commit_trips", """WITH d AS (SELECT o_custkey AS decision, CAST(o_orderdate AS DATE) AS day FROM orders), c AS (SELECT CAST(o_orderdate AS DATE) AS day, min(o_custkey % 5) AS trip_id FROM orders WHERE o_orderkey % 7 = 0 GROUP BY 1),

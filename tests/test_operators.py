@@ -1,6 +1,8 @@
 """Operators against brute force and small examples; every one also over empty tables."""
 
 import random
+import re
+import unicodedata
 from datetime import datetime, timedelta
 
 import pytest
@@ -106,6 +108,28 @@ def test_rederive_query_reads_tags(spark):
     assert rows.count() == library_queries()["j26_rederive"](spark, "/root/testdata/sf0.001").count()
 
 
+def test_sanitize_whole_values_by_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+
+    def tail(value):
+        return re.sub(r"[ .]+$", "", value.strip(" "))
+
+    want = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        clean = tail(re.sub(r'[<>:"/\\|?*\x00-\x1f]', "_", r.text))
+        want[r.doc_id] = tail(unicodedata.normalize("NFC", clean).encode()[:255].decode(errors="ignore"))
+    found = {r.doc_id: r.value for r in library_queries()["f19_sanitize_whole_value"](spark, sf).collect()}
+    assert found == want and max(len(v.encode()) for v in found.values()) == 255
+
+
+def test_merged_cards_of_all_users(spark):
+    sf = "/root/testdata/sf0.001"
+    cards = library_queries()["w8_merge_cards_all_users"](spark, sf)
+    users = spark.read.parquet(f"{sf}/events.parquet").select("user_id").distinct().count()
+    assert cards.select("library").distinct().count() == users
+    assert {r.error for r in cards.select("error").distinct().collect()} == {None, "over_span"}
+
+
 def library_queries():
     from lumibase.plans import library, registry  # noqa: F401
 
