@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from lumibase.functions import dates, origin
 from lumibase.operators.timeline import Clustering
+from lumibase.sources import METADATA_SCHEMA
 
 
 def dedup_stream(items: DataFrame, horizon: str = "7 days") -> DataFrame:
@@ -90,8 +92,9 @@ def late_rows(batch: DataFrame, closed_until: DataFrame) -> tuple[DataFrame, Dat
 
 
 def ingest_batch(catalog_path: str):
-    """A ``foreachBatch`` function that adds the contents of a batch which the catalog lacks. A batch that is run
-    again writes the same folder again, so a retry changes nothing."""
+    """A ``foreachBatch`` function that adds the contents of a batch which the catalog lacks, with label and rule,
+    captured_at, date_source and date_tag. A batch that is run again writes the same folder again, so a retry changes
+    nothing. Batches have sha256, name and tags; a batch without names or tags counts as one where all are null."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -102,6 +105,17 @@ def ingest_batch(catalog_path: str):
         except Exception as e:  # the first batch: no catalog yet
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
-        rows.write.mode("overwrite").parquet(f"{catalog_path}/batch={batch_id}")
+        _with_evidence(rows).write.mode("overwrite").parquet(f"{catalog_path}/batch={batch_id}")
 
     return run
+
+
+def _with_evidence(rows: DataFrame) -> DataFrame:
+    """Adds label, rule, captured_at, date_source and date_tag, by name and tags."""
+    kinds = {"name": "string", "tags": METADATA_SCHEMA.removeprefix("path string, tags ")}
+    missing = [c for c in kinds if c not in rows.columns]
+    made = rows.withColumns({c: F.lit(None).cast(kinds[c]) for c in missing}) if missing else rows
+    made = made.withColumn("_origin", origin.classify(F.col("name"), F.col("tags")))
+    made = dates.with_capture_datetime(made, F.localtimestamp(), out="_date")
+    found = {"label": "_origin.label", "rule": "_origin.rule", "captured_at": "_date.value", "date_source": "_date.source", "date_tag": "_date.tag"}
+    return made.withColumns({c: F.col(x) for c, x in found.items()}).drop("_origin", "_date", *missing)

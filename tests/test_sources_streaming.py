@@ -92,3 +92,28 @@ def test_ingest_batch_is_idempotent(spark, tmp_path):
     run(batch.union(spark.createDataFrame([("c",)], "sha256 string")), 1)
     run(batch.union(spark.createDataFrame([("c",)], "sha256 string")), 1)
     assert sorted(r.sha256 for r in spark.read.parquet(str(tmp_path / "catalog")).select(F.col("sha256")).collect()) == ["a", "b", "c"]
+
+
+def test_ingest_stream_labels_and_dates(spark, tmp_path):
+    schema = f"sha256 string, name string, {sources.METADATA_SCHEMA.removeprefix('path string, ')}"
+    batches = [
+        [("a", "IMG-20240102-WA0020.jpg", {}), ("b", "x.jpg", {"Model": "SM-A546B", "DateTimeOriginal": "2020:05:06 07:08:09"})],
+        [("a", "again.jpg", {}), ("c", "x.bin", None), ("d", "IMG_20240102_120000.jpg", None)],
+    ]
+    for n, rows in enumerate(batches):
+        path = tmp_path / "in" / f"{n}.json"
+        path.parent.mkdir(exist_ok=True)
+        path.write_text("\n".join(json.dumps({"sha256": s, "name": m, "tags": t}) for s, m, t in rows))
+        stream = spark.readStream.schema(schema).json(str(tmp_path / "in"))
+        query = stream.writeStream.foreachBatch(streaming.ingest_batch(str(tmp_path / "catalog"))).option("checkpointLocation", str(tmp_path / "cp")).start()
+        query.processAllAvailable()
+        query.stop()
+    rows = {r.sha256: r for r in spark.read.parquet(str(tmp_path / "catalog")).collect()}
+    assert spark.read.parquet(str(tmp_path / "catalog")).count() == 4
+    got = {s: (r.label, r.rule, r.captured_at and r.captured_at.date().isoformat(), r.date_source, r.batch) for s, r in rows.items()}
+    assert got == {
+        "a": ("WhatsApp", "filename_convention", None, "none", 0),  # a messenger's name tells when it was sent
+        "b": ("Camera", "device", "2020-05-06", "exif", 0),
+        "c": ("Saved", "fallback", None, "none", 1),
+        "d": ("Camera", "camera_filename", "2024-01-02", "filename", 1),
+    }
