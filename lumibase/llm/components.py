@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumibase.llm.shared import materialize
+from lumibase.llm.shared import discard, materialize
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -40,7 +40,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = materialize(now, "edges")
     mark = None
     for _ in range(max_rounds):
-        now = materialize(_small_star(_large_star(now)).distinct(), "edges")
+        before, now = now, materialize(_small_star(_large_star(now)).distinct(), "edges")
+        discard(before)
         seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
             return now

@@ -7,13 +7,19 @@ covered. One suffix array of a corpus doesn't fit a worker, so the corpus is fir
 1. Each worker finds the runs of windows with a common anchor (see ``suffixes``). Runs of equal bytes within a batch
    are repeats of the first of them. One of each goes on, packed, to the bucket of its anchor.
 2. There, of runs of equal bytes, all but the first are repeats. Anchors that have runs of different bytes go on.
-3. The bytes of these runs are taken from the texts, and gathered by anchor; their suffixes are put in order, which
-   gives the previous matches across runs of different bytes (copies that differ around the anchor).
+3. The bytes of these runs are taken from the texts and gathered by anchor. Their suffixes are put in order by prefix
+   doubling; previous and next smaller positions give the array of longest previous factors, and so the repeated
+   windows across runs of different bytes (copies that differ around the anchor).
 4. All repeated windows of a text are joined to it, and the bytes that they cover removed.
 
-An anchor with more than ``crowd`` different runs in one batch is dealt over many buckets by the runs' bytes, and each
-worker tells the anchor's own bucket so. The runs of crowded anchors are compared in step 3 window by window: their
-128-bit hashes are dealt by hash, so no anchor, however common, has to be in one place.
+Runs count as equal if the 64-bit hashes of their anchors and of their bytes are. An anchor with more than ``crowd``
+different runs (2 MB of them) doesn't fit one suffix array. Its windows are put in order by name instead: a name stands
+for the first ``least`` bytes of a suffix, as a rank of prefix doubling does, but is a 128-bit hash, so that names are
+dealt over all workers and no anchor, however common, has to be in one place. Within a name, the previous smaller
+position is the window before. An anchor with many different runs in one batch (a 64th of ``crowd``) is already dealt
+over many buckets in step 1; a sign tells the anchor's own bucket so.
+
+The number of buckets grows with the bytes of the texts, so that a bucket's size does not.
 
 Strings are bytes of one text each. Order is by id, then by start. Defined results: a null or empty text has no bytes.
 A null id comes before all others. Rows that repeat an id but not the text are documents in the order of a hash of
@@ -33,11 +39,13 @@ from pyspark.sql import functions as F
 from lumibase.llm import suffixes
 from lumibase.llm.shared import materialize, small_batches, text_or_empty
 
-RUN = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("key", "<i8"), ("first", "<u4"), ("count", "u1"), ("kind", "u1")])
+RUN = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("key", "<i8"), ("first", "<u4"), ("count", "<u4"), ("kind", "u1")])
 #: Kinds of packed runs: of the anchor's own bucket, of a crowded anchor, and the sign that an anchor is crowded.
 OWN, CROWDED, SIGN = range(3)
 WINDOW = np.dtype([("content", "<u8"), ("anchor", "<u8"), ("key", "<i8"), ("first", "<u4")])
 SALTS = np.uint64(61)
+#: Bytes of runs in one suffix array, of texts for each bucket of packed runs, and of texts in a task that joins them.
+ARRAY_BYTES, BUCKET_BYTES, TASK_BYTES = 2 << 20, 16 << 20, 32 << 20
 SPAN_SCHEMA = "key bigint, first bigint, count bigint"
 
 
@@ -67,7 +75,7 @@ def _found_runs(batches: Iterator[pa.RecordBatch], least: int, buckets: int, cro
         repeats, runs = runs[again], runs[~same]
         new = suffixes.changes(runs["anchor"]) if len(runs) else np.zeros(0, bool)
         group = np.cumsum(new) - 1
-        crowded = (np.bincount(group) > crowd)[group] if len(runs) else new
+        crowded = (np.bincount(group) > max(1, crowd // 64))[group] if len(runs) else new
         runs["kind"] = np.where(crowded, CROWDED, OWN)
         signs = runs[crowded & new]
         signs["kind"] = SIGN
@@ -110,7 +118,7 @@ def _sorted_out(batches: Iterator[pa.RecordBatch], crowd: int) -> Iterator[pa.Re
             continue
         different = suffixes.changes(group, runs["content"])
         kinds = np.bincount(group, weights=different, minlength=len(signed))
-        crowded = ((kinds > 64 * crowd) | signed)[group] | (runs["kind"] == CROWDED)
+        crowded = ((kinds > crowd) | signed)[group] | (runs["kind"] == CROWDED)
         compare = different & (crowded | (kinds > 1)[group])
         repeat = ~different & suffixes.changes(group, runs["content"], runs["key"], runs["first"])
         yield _needs(runs[repeat], runs[compare], crowded[compare])
@@ -158,19 +166,16 @@ def _stretches(key: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
 
 
 def _compared(batches: Iterator[pa.RecordBatch], least: int, enough: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, anchor, key, first, data) sorted by bucket and anchor -> repeated windows. Anchors are taken
-    together until there are ``enough`` bytes; equal windows of different anchors don't exist."""
+    """Rows (bucket, anchor, key, first, data) sorted by bucket and anchor -> repeated windows. Anchors share a suffix
+    array until there are ``enough`` bytes; equal windows of different anchors don't exist."""
 
     def match(runs: dict[tuple[int, int], bytes]) -> pa.RecordBatch:
         rows = sorted(runs.items())
-        data = np.frombuffer(b"".join(d for _, d in rows), np.uint8)
-        sizes = np.fromiter((len(d) for _, d in rows), np.int64, len(rows))
-        counts = sizes - (least - 1)
+        counts = np.fromiter((len(d) - least + 1 for _, d in rows), np.int64, len(rows))
         within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        starts = np.repeat(np.cumsum(sizes) - sizes, counts) + within
         key = np.repeat(np.fromiter((k for (k, _), _ in rows), np.int64, len(rows)), counts)
         first = np.repeat(np.fromiter((f for (_, f), _ in rows), np.int64, len(rows)), counts) + within
-        hit = suffixes.previous_matches(data, starts, least)
+        hit = suffixes.previous_matches([d for _, d in rows], least)
         return _stretches(key[hit], first[hit])
 
     def hashed(windows: np.ndarray) -> pa.RecordBatch:
@@ -240,13 +245,14 @@ def _keyed(docs: DataFrame, id_col: str) -> DataFrame:
     if docs.groupBy(key.alias("key")).count().where("count > 1").isEmpty():
         return docs.withColumn("key", key)
     content = F.xxhash64("raw")
-    numbered = docs.select(key.alias("_id"), content.alias("_content")).distinct().orderBy("_id", "_content").rdd.zipWithIndex()
-    numbers = materialize(numbered.map(lambda x: (*x[0], x[1])).toDF("_id bigint, _content bigint, key bigint"), "keys")
+    # partitions of a sorted table are in order, so these numbers are too
+    numbers = docs.select(key.alias("_id"), content.alias("_content")).distinct().orderBy("_id", "_content").withColumn("key", F.monotonically_increasing_id())
+    numbers = materialize(numbers, "keys")
     return docs.withColumns({"_id": key, "_content": content}).join(numbers, ["_id", "_content"]).drop("_id", "_content")
 
 
 def remove_repeats(
-    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = 100, crowd: int = 32, whole_characters: bool = False, carry: tuple[str, ...] = ()
+    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = 100, crowd: int | None = None, whole_characters: bool = False, carry: tuple[str, ...] = ()
 ) -> DataFrame:
     """Per row: id, the columns to carry, n_bytes, removed (spans of bytes: start, end) and kept (the remaining bytes).
 
@@ -255,21 +261,28 @@ def remove_repeats(
         raise ValueError(f"strings of fewer than {suffixes.GRAM} bytes have no anchor")
     spark = df.sparkSession
     small_batches(spark)
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    crowd = crowd or max(1, ARRAY_BYTES // (2 * least))
     others = [f"other{n}" for n in range(1 + len(carry))]  # names of their own, as the caller's may clash
     rows = df.select(text_or_empty(text_col).cast("binary").alias("raw"), *(F.col(c).alias(o) for c, o in zip((id_col, *carry), others, strict=True)))
     docs = _keyed(rows, others[0]).select("key", "raw", *others)
+    size, parallel = rows.agg(F.sum(F.octet_length("raw"))).first()[0] or 0, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets, tasks = max(2 * parallel, size // BUCKET_BYTES), size // TASK_BYTES
+
+    def deal(df: DataFrame, column) -> DataFrame:
+        return df.repartition(tasks, column) if tasks > parallel else df.repartition(column)
 
     packed = docs.select("key", "raw").mapInArrow(lambda b: _found_runs(b, least, buckets, crowd), "bucket bigint, packed binary")
     dealt = F.when(F.col("bucket") < 0, F.xxhash64("packed")).otherwise(F.col("bucket"))
-    ordered = packed.repartition(dealt).sortWithinPartitions("bucket")
+    ordered = deal(packed, dealt).sortWithinPartitions("bucket")
     sorted_out = materialize(ordered.mapInArrow(lambda b: _sorted_out(b, crowd), f"{SPAN_SCHEMA}, anchor bigint, crowded boolean"), "runs")
 
     asked = sorted_out.where("anchor IS NOT NULL").groupBy("key").agg(F.collect_list(F.struct("first", "count", "anchor", "crowded")).alias("runs"))
+    if tasks > parallel:
+        docs = docs.repartition(tasks, "key")
     # the texts are dealt by key once: both joins read the same exchange, so both have the same columns
     asked_rows = docs.join(asked, "key").select("runs", "key", "raw", *others)
     taken = asked_rows.mapInArrow(lambda b: _taken(b, least, buckets), "bucket bigint, anchor bigint, key bigint, first bigint, data binary")
-    matched = taken.repartition("bucket").sortWithinPartitions("bucket", "anchor").mapInArrow(lambda b: _compared(b, least), SPAN_SCHEMA)
+    matched = deal(taken, F.col("bucket")).sortWithinPartitions("bucket", "anchor").mapInArrow(lambda b: _compared(b, least), SPAN_SCHEMA)
 
     spans = sorted_out.where("anchor IS NULL").select("key", "first", "count").union(matched)
     of_text = spans.groupBy("key").agg(F.collect_list(F.struct("first", "count")).alias("spans"))

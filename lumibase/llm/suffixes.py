@@ -1,4 +1,4 @@
-"""The numpy core of suffix-array deduplication: anchors of windows, and previous matches in suffix order.
+"""The numpy core of suffix-array deduplication: anchors of windows, suffix order, and longest previous factors.
 
 Every window of ``least`` bytes has an anchor: of the ``GRAM``-byte strings in it the one with the least hash, the
 leftmost of equals. Equal windows have equal anchors at equal places, so only windows of equal anchors need to be
@@ -128,18 +128,103 @@ def changes(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
-def previous_matches(data: np.ndarray, starts: np.ndarray, least: int) -> np.ndarray:
-    """Whether the longest previous factor at each start has ``least`` bytes. Starts are in text order.
-
-    The suffixes are put in order by their first ``least`` bytes, and in text order where these are equal. The
-    candidates for the longest previous factor of a suffix are its previous and its next smaller position in that
-    order. Only neighbours without a shorter common prefix between them share ``least`` bytes; within such a stretch
-    positions ascend, so its next smaller position lies beyond it, and its previous one is the suffix before it."""
-    if not len(starts):
+def _dense(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the keys (equal ones stay in place) and each place's rank, equal for equal keys."""
+    order = np.argsort(keys, kind="stable")
+    rank = np.empty(len(keys), np.int64)
+    rank[order] = np.cumsum(changes(keys[order])) - 1
+    return order, rank
+
+
+def suffix_order(symbols: np.ndarray, most: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """The suffixes of a string of symbols below 511 in order of their first ``most`` symbols at least (in text order
+    where these are equal), by prefix doubling; and for each width met the ranks of all prefixes of that width.
+
+    The first ranks are those of seven symbols, which one number holds; each step joins the ranks of two neighbouring
+    prefixes. What lies behind the end counts as 0, below all symbols."""
+    n = len(symbols)
+    ends = np.concatenate((symbols.astype(np.int64) + 1, np.zeros(6, np.int64)))
+    keys = np.zeros(n, np.int64)
+    for k in range(7):
+        keys = keys << 9 | ends[k : k + n]
+    order, rank = _dense(keys)
+    widths, width = [(7, rank)], 7
+    while n and width < most and rank[order[-1]] < n - 1:
+        behind = np.zeros(n, np.int64)
+        behind[: max(0, n - width)] = rank[width:] + 1
+        order, rank = _dense(rank * (n + 1) + behind)
+        width *= 2
+        widths.append((width, rank))
+    return order, widths
+
+
+def common_prefixes(symbols: np.ndarray, widths: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """How many symbols the suffixes at ``a`` and ``b`` share, up to ``most``: by descending widths, then by symbols."""
+    n, shared = len(symbols), np.zeros(len(a), np.int64)
+
+    def same(values: np.ndarray) -> np.ndarray:
+        x, y = a + shared, b + shared
+        inside = np.maximum(x, y) < n
+        return inside & (values[np.minimum(x, n - 1)] == values[np.minimum(y, n - 1)])
+
+    for width, rank in reversed(widths):
+        shared += width * same(rank)
+    for _ in range(6):
+        hit = same(symbols)
+        if not hit.any():
+            break
+        # a suffix whose widths have all matched may go on; others have stopped at their first difference
+        shared += hit
+    return np.minimum(shared, most)
+
+
+def nearest_smaller(order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place in suffix order the nearest place before it, and after it, that has a smaller text position
+    (-1: none). All places step at once: whoever points at a larger position goes on to where that one points."""
+    found = []
+    for values in (order, order[::-1]):
+        at = np.arange(len(values)) - 1
+        open_ = np.flatnonzero(at >= 0)
+        while len(open_):
+            open_ = open_[values[at[open_]] > values[open_]]
+            at[open_] = at[at[open_]]
+            open_ = open_[at[open_] >= 0]
+        found.append(at)
+    after = found[1][::-1]
+    return found[0], np.where(after < 0, -1, len(order) - 1 - after)
+
+
+def longest_previous_factors(symbols: np.ndarray, most: int, asked: np.ndarray | None = None) -> np.ndarray:
+    """For each position the length, up to ``most``, of the longest string from there on that also starts earlier (0
+    where a mask of ``asked`` positions leaves it out).
+
+    In suffix order the earlier positions that share most with a suffix are the nearest ones before and after it that
+    have a smaller position; the longer of the two common prefixes is the longest previous factor."""
+    lpf = np.zeros(len(symbols), np.int64)
+    if not len(symbols):
+        return lpf
+    order, widths = suffix_order(symbols, most)
+    for near in nearest_smaller(order):
+        has = np.flatnonzero(near >= 0 if asked is None else (near >= 0) & asked[order])
+        here = order[has]
+        lpf[here] = np.maximum(lpf[here], common_prefixes(symbols, widths, here, order[near[has]], most))
+    return lpf
+
+
+def previous_matches(runs_of_bytes: list[bytes], least: int) -> np.ndarray:
+    """Whether the longest previous factor of each window of ``least`` bytes in runs that are in text order has
+    ``least`` bytes. A separator below all bytes stands behind each run; no window holds one, so no match does."""
+    if not runs_of_bytes:
         return np.zeros(0, bool)
-    windows = np.lib.stride_tricks.sliding_window_view(data, least)[starts]
-    order = np.argsort(np.ascontiguousarray(windows).view(f"S{least}").ravel(), kind="stable")
-    ranked = windows[order]
-    found = np.zeros(len(starts), bool)
-    found[order[1:]] = (ranked[1:] == ranked[:-1]).all(axis=1)
-    return found
+    sizes = np.fromiter(map(len, runs_of_bytes), np.int64, len(runs_of_bytes))
+    begin = np.cumsum(sizes + 1) - sizes - 1
+    symbols = np.zeros(int((sizes + 1).sum()), np.int16)
+    inside = np.ones(len(symbols), bool)
+    inside[begin + sizes] = False
+    symbols[inside] = np.frombuffer(b"".join(runs_of_bytes), np.uint8).astype(np.int16) + 1
+    counts = sizes - (least - 1)
+    within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    windows = np.repeat(begin, counts) + within
+    asked = np.zeros(len(symbols), bool)
+    asked[windows] = True
+    return longest_previous_factors(symbols, least, asked)[windows] >= least

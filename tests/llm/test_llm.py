@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from lumibase.llm import bpe, imatch, media, packing, quality, repeats, simhash, toxicity, urlfilter, warc
+from lumibase.llm import bpe, imatch, media, packing, quality, repeats, simhash, suffixes, toxicity, urlfilter, warc
 from lumibase.llm import queries as Q
 from lumibase.llm.components import components
 from lumibase.llm.shared import materialize, shared_path
@@ -226,21 +226,61 @@ def plain_repeats(rows, least=100):
     return out
 
 
-@pytest.mark.parametrize("crowd", [1, 32])
-def test_repeats_equal_brute_force(spark, crowd):
+def plain_factors(symbols, most):
+    """The longest previous factors by comparing every position with every earlier one."""
+    out = []
+    for i in range(len(symbols)):
+        best = 0
+        for j in range(i):
+            k = 0
+            while k < most and i + k < len(symbols) and symbols[j + k] == symbols[i + k]:
+                k += 1
+            best = max(best, k)
+        out.append(best)
+    return out
+
+
+def test_longest_previous_factors_equal_brute_force():
+    rng = random.Random(1)
+    for _ in range(150):
+        kinds = rng.choice([1, 2, 5])
+        symbols = np.array([rng.randint(0, kinds) for _ in range(rng.randint(0, 60))], np.int16)
+        for most in (1, 7, 20, 100):
+            assert suffixes.longest_previous_factors(symbols, most).tolist() == plain_factors(symbols.tolist(), most)
+        order, _ = suffixes.suffix_order(symbols, 100)
+        assert order.tolist() == sorted(range(len(symbols)), key=lambda n: symbols[n:].tolist())
+        before, after = suffixes.nearest_smaller(order)
+        for n, place in enumerate(order.tolist()):
+            assert before[n] == max((k for k in range(n) if order[k] < place), default=-1)
+            assert after[n] == min((k for k in range(n + 1, len(order)) if order[k] < place), default=-1)
+
+
+def long_letters(rng, letters, most):
+    return "".join(rng.choice(letters) for _ in range(rng.randint(0, most)))
+
+
+@pytest.mark.parametrize("crowd", [1, None])
+@pytest.mark.parametrize("least", [32, 100, 287, 700])
+def test_repeats_equal_brute_force(spark, crowd, least):
     rng = random.Random(5)
-    passage = "".join(rng.choice("abcdé fghij") for _ in range(300))
+    passage = "".join(rng.choice("abcdé fghij") for _ in range(3 * least))
     rows = [(n, t) for n, t in enumerate(TEXTS)]
-    for n in range(100, 300):
-        a, z = ("".join(rng.choice(s) for _ in range(rng.randint(0, 150))) for s in ("klmnop qrst", "uvwxyz ß"))
-        rows.append((n, a + (passage if n % 3 else passage[:150]) + z))
-    found = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5), crowd=crowd)
-    assert {r.doc_id: bytes(r.kept) for r in found.collect()} == plain_repeats(rows)
+    for n in range(100, 250):
+        a, z = long_letters(rng, "klmnop qrst", 2 * least), long_letters(rng, "uvwxyz ß", 2 * least)
+        rows.append((n, a + (passage if n % 3 else passage[: 3 * least // 2]) + z))
+    rows += [(300, passage[: least - 1]), (301, passage[:least])]
+    found = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5), crowd=crowd, least=least)
+    assert {r.doc_id: bytes(r.kept) for r in found.collect()} == plain_repeats(rows, least)
 
 
-def test_long_texts_are_cut_into_segments(spark, monkeypatch):
-    from lumibase.llm import suffixes
+@pytest.mark.parametrize("crowd", [1, None])
+def test_repeats_of_documents(spark, crowd):
+    table = docs(spark).where("n_chars < 20000")
+    found = repeats.remove_repeats(table.select("doc_id", "text"), crowd=crowd, least=100)
+    assert {r.doc_id: bytes(r.kept) for r in found.collect()} == plain_repeats([(r.doc_id, r.text) for r in table.collect()])
 
+
+def test_long_texts_are_cut_into_segments(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "SEGMENT", 1000)
     rng = random.Random(6)
     texts = ["".join(rng.choice("abc ") for _ in range(n)) for n in (4200, 150, 99, 0)]
@@ -269,7 +309,7 @@ def test_repeats_odd_rows(spark):
         repeats.remove_repeats(none(spark), least=10)
 
 
-@pytest.mark.parametrize("crowd", [1, 32])
+@pytest.mark.parametrize("crowd", [1, None])
 def test_repeated_rows_keep_the_first_occurrence(spark, crowd):
     rng = random.Random(9)
     a, b, c, d = ("".join(rng.choice("abcdefgh ") for _ in range(200)) for _ in range(4))
