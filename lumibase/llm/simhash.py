@@ -1,15 +1,23 @@
 """SimHash near-duplicates, linked by anchor points of a covering code.
 
-The fingerprint's 64 bits lie in three parts. Two fingerprints that differ in at most ``t`` bits differ in at most
-``s = t // 3`` of some part. A part's anchors are the words of a code: Hamming's perfect [15, 11] code on 15 of its
-bits, all words on the others. Each part is within the covering radius of 1 of just one anchor, its home. A
-fingerprint goes to its home, and as a visitor to every anchor within the covering radius plus ``s``: whoever is
-within ``s`` of it has its home there. (An anchor's free bits cost a visitor one of ``s`` each, as the code only
-covers the 15 others.) At an anchor each visitor is compared with those at home, in blocks.
+The fingerprint's 64 bits lie in parts. Two fingerprints that differ in at most ``t`` bits differ in at most ``s`` bits
+of some part, where the parts' reaches ``s`` are dealt so that all of ``s + 1`` together are ``t + 1``. A part's anchors
+are the words of a code: Hamming's perfect code on as many of its bits as one has (15 or 31), all words on the others.
+Each word of a part is within the covering radius of 1 of just one anchor, its home. A fingerprint goes to its home,
+and as a visitor to every anchor within the covering radius plus ``s``: whoever is within ``s`` of it has its home
+there. (An anchor's free bits cost a visitor one of ``s`` each, as the code only covers the others.) At an anchor each
+visitor is compared with those at home, in blocks.
 
-Equal fingerprints are one before that. An anchor passes on a spanning forest of its links, not all pairs, so a group
-of n near copies costs n - 1 edges an anchor. An anchor with more than ``cell`` at home or visiting is split: its homes
-and its visitors are dealt to rows and columns of a grid by hash, and each cell of the grid is compared on its own.
+The anchors grow with the corpus. Three parts have 2 ** 17 or 2 ** 18 anchors each, and cost a fingerprint 34 rows at a
+threshold of 4; two parts have 2 ** 27 each and cost 195 rows or so. The layout is chosen by the number of different
+fingerprints, as that of the least cost: more rows, or more at home at each anchor.
+
+Equal fingerprints are one before that. An anchor passes on a spanning forest of its links, in which no fingerprint has
+more than 64 below it, not all pairs. An anchor with more than ``cell`` at home or visiting is split: its homes and its
+visitors are dealt to rows and columns of a grid by hash, and each cell of the grid is compared on its own.
+
+Components are those of nodes (least id, fingerprint), so that the least node of a component is its answer and nothing
+is joined by component.
 
 Defined results: a null or empty text has no words and the fingerprint zero, which is linked like any other. A null
 id counts as a row of its own and is never the least of a component unless all its ids are null. Repeated rows share
@@ -20,6 +28,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property
 from itertools import combinations
 
 import numpy as np
@@ -31,9 +41,10 @@ from lumibase.llm.components import components
 from lumibase.llm.shared import materialize, small_batches, text_or_empty
 
 SHINGLE, SEED, BITS = 4, 42, 64
-#: First bit and width of each part. The code covers the lowest 15 bits of a part.
-PARTS = ((0, 21), (21, 21), (42, 22))
-CODED = 15
+#: What a row at an anchor costs, in comparisons of two fingerprints.
+ROW_COST = 500
+#: How many links of a forest may hang below one fingerprint.
+FAN_OUT = 64
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Row b has the bits of the byte b, lowest first.
@@ -73,50 +84,88 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.mapInArrow(work, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, row bigint, fp bigint")
 
 
-def _code_homes() -> np.ndarray:
-    """For each word of 15 bits the code word within one bit: the syndrome is the place of the bit that is off, or 0."""
-    words = np.arange(1 << CODED, dtype=np.uint64)
-    off = np.zeros_like(words)
-    for place in range(1, CODED + 1):
-        off ^= ((words >> np.uint64(place - 1)) & np.uint64(1)) * np.uint64(place)
-    return words ^ np.where(off > 0, np.uint64(1) << (np.maximum(off, 1) - np.uint64(1)), np.uint64(0))
+@dataclass(frozen=True)
+class Part:
+    """Some bits of the fingerprint. The Hamming code with ``checks`` check bits is on the lowest ``coded`` of them."""
+
+    first: int
+    width: int
+    reach: int
+
+    @cached_property
+    def checks(self) -> int:
+        return (self.width + 1).bit_length() - 1
+
+    @cached_property
+    def coded(self) -> int:
+        return (1 << self.checks) - 1
+
+    @property
+    def anchors(self) -> int:
+        return 1 << (self.width - self.checks)
+
+    def of(self, fps: np.ndarray) -> np.ndarray:
+        return (fps >> np.uint64(self.first)) & np.uint64((1 << self.width) - 1)
+
+    def homes(self, words: np.ndarray) -> np.ndarray:
+        """The anchor within one bit of each word: the syndrome is the place of the coded bit that is off, or 0."""
+        off = np.zeros_like(words)
+        for k in range(self.checks):
+            mask = sum(1 << (place - 1) for place in range(1, self.coded + 1) if place >> k & 1)
+            off |= (np.bitwise_count(words & np.uint64(mask)).astype(np.uint64) & np.uint64(1)) << np.uint64(k)
+        return words ^ np.where(off > 0, np.uint64(1) << (np.maximum(off, np.uint64(1)) - np.uint64(1)), np.uint64(0))
+
+    def visited(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of (indices, anchors): all anchors that can be the home of a word within the reach, once each.
+
+        These are the homes of all words within the reach: for each choice of flips, the home of the flipped word."""
+        flips = np.array([sum(1 << p for p in places) for n in range(self.reach + 1) for places in combinations(range(self.width), n)], np.uint64)
+        found = np.sort(self.homes(words[:, None] ^ flips[None, :]), axis=1)
+        once = np.ones(found.shape, bool)
+        once[:, 1:] = found[:, 1:] != found[:, :-1]
+        return np.nonzero(once)[0], found[once]
+
+
+def layout(threshold: int, parts: int) -> list[Part]:
+    """Parts with reaches such that all ``reach + 1`` together are ``threshold + 1``; a part that isn't needed is left out."""
+    widths = [64 // parts + (n < 64 % parts) for n in range(parts)]
+    reaches = [(threshold + 1) // parts - 1 + (n < (threshold + 1) % parts) for n in range(parts)]
+    found, first = [], 0
+    for width, reach in zip(widths, reaches, strict=True):
+        if reach >= 0:
+            found.append(Part(first, width, reach))
+        first += width
+    return found
+
 
+def cheapest_layout(threshold: int, fingerprints: int, choices: tuple[int, ...] = (3, 2)) -> list[Part]:
+    """The layout of the least cost for so many different fingerprints."""
 
-HOMES = _code_homes()
+    def cost(parts: list[Part]) -> float:
+        some = _RANDOM_WORDS
+        return sum(len(p.visited(p.of(some))[0]) / len(some) * (ROW_COST + fingerprints / p.anchors) for p in parts)
 
+    return min((layout(threshold, n) for n in choices), key=cost)
 
-def anchors(part: np.ndarray, width: int, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of (indices, anchors): all anchors that can be the home of a part within ``reach`` bits, once each.
 
-    These are the homes of all words within ``reach`` bits: for each choice of flips, the home of the flipped word."""
-    low, high = part & np.uint64((1 << CODED) - 1), part >> np.uint64(CODED)
-    found_at, found = [], []
-    everyone = np.arange(len(part))
-    for flips in range(reach + 1):
-        for places in combinations(range(width), flips):
-            mask = np.uint64(sum(1 << p for p in places))
-            found_at.append(everyone)
-            found.append(HOMES[low ^ (mask & np.uint64((1 << CODED) - 1))] | (high ^ (mask >> np.uint64(CODED))) << np.uint64(CODED))
-    at, anchor = np.concatenate(found_at), np.concatenate(found)
-    keys = np.unique(at.astype(np.uint64) << np.uint64(width) | anchor)
-    return (keys >> np.uint64(width)).astype(np.int64), keys & np.uint64((1 << width) - 1)
+_RANDOM_WORDS = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 64, 256, np.uint64)
 
 
-def _dealt(batch: pa.RecordBatch, reach: int) -> pa.RecordBatch:
+def _dealt(batch: pa.RecordBatch, parts: list[Part]) -> pa.RecordBatch:
     """Rows (anchor, visitor, fp): where each fingerprint is at home (visitor 0) and where it visits (1)."""
     fps = np.ascontiguousarray(batch.column(0).to_numpy(zero_copy_only=False)).view(np.uint64)
     out = []
-    for number, (first, width) in enumerate(PARTS):
-        part = (fps >> np.uint64(first)) & np.uint64((1 << width) - 1)
-        for visitor in (0, 1):
-            at, anchor = anchors(part, width, reach * visitor)
+    for number, part in enumerate(parts):
+        words = part.of(fps)
+        for visitor, (at, anchor) in enumerate(((np.arange(len(fps)), part.homes(words)), part.visited(words))):
             out.append((anchor.astype(np.int64) << 2 | number, np.full(len(at), visitor, np.int8), fps[at].view(np.int64)))
     columns = [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)]
     return pa.RecordBatch.from_arrays(columns, names=["anchor", "visitor", "fp"])
 
 
 def _forest(homes: np.ndarray, visitors: np.ndarray, threshold: int, block: int = 64) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the links between homes and visitors of one anchor, compared block by block."""
+    """A spanning forest of the links between homes and visitors of one anchor, compared block by block. What a
+    fingerprint newly connects hangs below it as a tree, not as a star, so that no fingerprint is in very many links."""
     nodes = np.unique(np.concatenate((homes, visitors)))
     label = np.arange(len(nodes))
     there = np.searchsorted(nodes, visitors)
@@ -128,7 +177,8 @@ def _forest(homes: np.ndarray, visitors: np.ndarray, threshold: int, block: int
             apart = hit[label[hit] != own]
             if len(apart):
                 others, one_each = np.unique(label[apart], return_index=True)
-                yield from ((int(x), int(y)) for y in nodes[apart[one_each]])
+                tree = [int(x), *nodes[apart[one_each]].tolist()]
+                yield from ((tree[(n - 1) // FAN_OUT], tree[n]) for n in range(1, len(tree)))
                 label[np.isin(label, others)] = own
 
 
@@ -183,30 +233,31 @@ def _compared(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.
         yield groups(done[:, :3], done[:, 3], np.ascontiguousarray(done[:, 4]).view(np.uint64))
 
 
-def links(fps: DataFrame, threshold: int = 4, cell: int = 4096) -> DataFrame:
+def links(fps: DataFrame, threshold: int = 4, cell: int = 4096, parts: int | None = None) -> DataFrame:
     """Links (u, v) between different fingerprints (column fp, each once) that differ in at most ``threshold`` bits:
-    enough of them to connect all that are connected."""
+    enough of them to connect all that are connected. ``parts`` (2 or 3) fixes the layout."""
     if not 0 <= threshold < 6:
         raise ValueError("anchors are laid out for thresholds from 0 to 5")
-    reach = threshold // len(PARTS)
+    laid = layout(threshold, parts) if parts else cheapest_layout(threshold, fps.count())
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield _dealt(batch, reach)
+                yield _dealt(batch, laid)
 
-    dealt = fps.select("fp").mapInArrow(deal, "anchor bigint, visitor tinyint, fp bigint")
+    small_batches(fps.sparkSession)
+    dealt = materialize(fps.select("fp").mapInArrow(deal, "anchor bigint, visitor tinyint, fp bigint"), "anchors")
     crowded = (
         dealt.groupBy("anchor").agg(F.count_if(F.expr("visitor = 0")).alias("homes"), F.count_if(F.expr("visitor = 1")).alias("visitors"))
         .where((F.col("homes") > cell) | ((F.col("homes") > 1) & (F.col("visitors") > cell)))
         .select("anchor", F.ceil(F.col("homes") / cell).alias("rows"), F.ceil(F.col("visitors") / cell).alias("columns"))
     )
     crowded = materialize(crowded, "crowded")
-    # a crowded anchor has over `cell` of the fingerprints, each of which visits a fixed number of anchors: there are at most so many
-    at_grid = dealt if crowded.isEmpty() else dealt.join(F.broadcast(crowded), "anchor", "left")
-    if at_grid is dealt:
+    if crowded.isEmpty():
         placed = dealt.select("anchor", F.lit(0).alias("row"), F.lit(0).alias("column"), "visitor", "fp")
     else:
+        # a crowded anchor has over `cell` of the fingerprints, each of which visits a fixed number of anchors: there are at most so many
+        at_grid = dealt.join(crowded, "anchor", "left")
         own = lambda n: F.pmod(F.xxhash64("fp"), F.coalesce(F.col(n), F.lit(1))).cast("int")
         every = lambda n: F.sequence(F.lit(0), F.coalesce(F.col(n), F.lit(1)).cast("int") - 1)
         row = F.when(F.col("visitor") == 0, F.array(own("rows"))).otherwise(every("rows"))
@@ -217,14 +268,16 @@ def links(fps: DataFrame, threshold: int = 4, cell: int = 4096) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int = 4) -> DataFrame:
-    """Per row: id, row (a hash of the text), fp, root (the component's least fingerprint) and component_id (the least
-    id that its fingerprint reaches)."""
+    """Per row: id, row (a hash of the text), fp, root (the fingerprint with the component's least id) and component_id
+    (the least id that its fingerprint reaches)."""
     prints = materialize(fingerprints(df, id_col, text_col), "fingerprints")
-    classes = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
-    members = components(links(classes, threshold)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
-    rooted = classes.join(members, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_print = rooted.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
+    classes = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "classes")
+    node = F.struct(F.col("least").isNull().alias("none"), F.col("least"), F.col("fp"))
+    nodes = lambda end: classes.select(F.col("fp").alias(end), node.alias(f"node_{end}"))
+    edges = links(classes, threshold).join(nodes("u"), "u").join(nodes("v"), "v").select(F.col("node_u").alias("u"), F.col("node_v").alias("v"))
+    members = components(edges).select(F.col("u.fp").alias("fp"), F.col("v").alias("first"))
+    of_print = classes.join(members, "fp", "left").withColumn("first", F.coalesce("first", node))
+    of_print = of_print.select("fp", F.col("first.fp").alias("root"), F.col("first.least").alias("component_id"))
     return prints.join(of_print, "fp").select(id_col, "row", "fp", "root", "component_id")
 
 

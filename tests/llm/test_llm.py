@@ -175,9 +175,24 @@ def test_simhash_equals_brute_force(spark):
     assert {i: r.component_id for i, r in got.items()} == {i: least[root[f]] for i, f in prints.items()}
 
 
-@pytest.mark.parametrize("cell", [4096, 40])
+def test_layouts_cover_and_grow():
+    rng = np.random.default_rng(4)
+    for threshold in range(6):
+        for parts in (2, 3):
+            laid = simhash.layout(threshold, parts)
+            assert sum(p.reach + 1 for p in laid) == threshold + 1
+            for p in laid:
+                words = p.of(rng.integers(0, 1 << 64, 20, np.uint64))
+                assert (np.bitwise_count(words ^ p.homes(words)) <= 1).all() and (p.homes(p.homes(words)) == p.homes(words)).all()
+                assert len(np.unique(p.homes(np.arange(1 << 12, dtype=np.uint64)))) == 1 << (12 - p.checks) or p.coded > 12
+    rows = lambda laid: sum(1 + len(p.visited(p.of(simhash._RANDOM_WORDS))[0]) / 256 for p in laid)
+    assert 30 < rows(simhash.layout(4, 3)) < 36 and 180 < rows(simhash.layout(4, 2)) < 210
+    assert simhash.cheapest_layout(4, 10**6) == simhash.layout(4, 3) and simhash.cheapest_layout(4, 10**10) == simhash.layout(4, 2)
+
+
+@pytest.mark.parametrize("cell, parts", [(4096, None), (4096, 2), (40, 3), (40, 2)])
 @pytest.mark.parametrize("threshold", [0, 2, 4, 5])
-def test_anchors_lose_no_link(spark, cell, threshold):
+def test_anchors_lose_no_link(spark, cell, parts, threshold):
     rng = random.Random(threshold)
     fps = set()
     for _ in range(25):
@@ -189,12 +204,22 @@ def test_anchors_lose_no_link(spark, cell, threshold):
     fps = sorted(fps)
     signed = lambda f: f - (1 << 64) if f >> 63 else f
     df = spark.createDataFrame([(signed(f),) for f in fps], "fp bigint")
-    found = {r.u: r.v for r in components(simhash.links(df, threshold, cell=cell)).collect()}
+    found = {r.u: r.v for r in components(simhash.links(df, threshold, cell=cell, parts=parts)).collect()}
     groups = lambda of: sorted(sorted(g) for g in {k: [f for f in fps if of(f) == k] for k in map(of, fps)}.values())
     want = roots(fps, threshold)
     assert groups(lambda f: found.get(signed(f), signed(f))) == groups(want.__getitem__)
 
 
+def test_a_large_group_hangs_in_trees(spark):
+    """Some 2000 fingerprints within two bits of one: a single component, and no fingerprint in very many links."""
+    fps = {0, *(1 << n for n in range(63)), *(1 << n | 1 << m for n in range(63) for m in range(n))}
+    df = spark.createDataFrame([(f,) for f in fps], "fp bigint")
+    for cell in (4096, 300):
+        found = materialize(simhash.links(df, 4, cell=cell), "links")
+        members = components(found).collect()
+        assert len(members) == len(fps) - 1 and {r.v for r in members} == {0}
+
+
 def test_simhash_odd_rows(spark):
     rows = simhash.near_duplicates(odd(spark)).collect()
     assert len(rows) == len(TEXTS) + 2
