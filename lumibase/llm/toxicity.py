@@ -1,11 +1,19 @@
 """Toxicity by a weighted finite-state grammar of clauses.
 
-Words become classes: insult and threat (with learned weights), target, negation and reported speech. Small
-transducers read a clause's classes: one lets a negation soften what follows closely, one softens what stands in
-reported speech, one strengthens what comes with a target. They are composed to a single machine whose transitions
-carry the product of the factors; a clause's score is the sum of its weighted insults and threats along its path.
-The score of a document is a logistic function of its strongest clause, the sum and the number of its clauses, and
-the sum over the different words matched.
+Words become classes: insult (learned, with weights), threat (given verbs of violence), target, negation and reported
+speech. Five transducers read a clause's classes side by side, composed to one machine whose transitions carry the
+product of the factors:
+
+- insult: an insult close behind another one is strengthened;
+- threat: a verb of violence alone weighs little; it counts in full behind a target, or once its target follows;
+- target: an insult behind a target is strengthened, and so is one that its target follows;
+- negation: what follows a negation closely is softened;
+- reported speech: what follows a verb of speech in its clause is softened.
+
+A transition may also echo: add a multiple of what the clause's last insult or last threat has given, which is how a
+target that comes behind the harm works. A clause's score is the sum along its path; no word counts outside of a
+clause. The score of a document is a logistic function of its clauses' scores: the strongest, the second strongest, the
+sum, the number of them and their share of all clauses.
 
 Insults are learned from a bounded sample of labelled documents: words and word beginnings that toxic documents have
 significantly more often. Near copies in the sample (equal least shingle hash) count once, so that the chance words of
@@ -23,7 +31,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import product
+from math import prod
 
 import numpy as np
 import pyarrow as pa
@@ -33,105 +41,149 @@ from pyspark.sql import functions as F
 from lumibase.llm.quality import labelled_sample
 from lumibase.llm.shared import materialize, small_batches, text_or_empty
 
-OTHER, HARM, TARGET, NEGATION, REPORT = range(5)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = CLASSES = range(6)
 #: Words of the closed classes in English, French, German and Spanish.
 TARGETS = "you your yours yourself u ur he she they him her them tu toi te vous vos il elle ils du dich dir dein deine ihr euch sie er tú ti usted ustedes él ella ellos".split()
 NEGATIONS = "not no never nobody isn't aren't don't doesn't ne pas jamais aucun nicht kein keine nie niemals nunca jamás ningún".split()
 REPORTS = "said says say called calls wrote writes claimed claims quoted reported dit disait écrit sagte sagt schrieb dijo dice escribió".split()
 THREATS = "kill killed hurt destroy murder strangle stab shoot tuer détruire töten umbringen matar destruir".split()
+#: The weight of a threat that has a target.
+THREAT_WEIGHT = 4.0
 CLAUSE = re.compile(r"[.!?;:,\n]+")
 WORD = re.compile(r"\w[\w']*")
 #: Lengths of word beginnings that may be learned.
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8)
+
+
+Move = tuple[int, float, float, float]
 
 
 @dataclass(frozen=True)
 class Machine:
-    """A transducer over classes: (state, class) -> (state, factor). The start is state 0."""
+    """A transducer over classes: (state, class) -> (state, factor, echo of the last insult, echo of the last threat).
+    The start is state 0; where there is no move, the state stays and the factor is 1."""
 
     states: int
-    moves: dict[tuple[int, int], tuple[int, float]]
+    moves: dict[tuple[int, int], Move]
 
-    def step(self, state: int, kind: int) -> tuple[int, float]:
-        return self.moves.get((state, kind), (state, 1.0))
+    def step(self, state: int, kind: int) -> Move:
+        return self.moves.get((state, kind), (state, 1.0, 0.0, 0.0))
+
+
+def _fading(window: int, kinds: tuple[int, ...]) -> dict[tuple[int, int], Move]:
+    """States 1 to ``window`` count down on these classes."""
+    return {(s, kind): (s - 1, 1.0, 0.0, 0.0) for s in range(1, window + 1) for kind in kinds}
+
+
+def insult(window: int = 2, factor: float = 1.25) -> Machine:
+    """An insult within so many words after another one is strengthened."""
+    moves = _fading(window, (OTHER, THREAT, TARGET, NEGATION, REPORT))
+    moves |= {(s, INSULT): (window, factor if s else 1.0, 0.0, 0.0) for s in range(window + 1)}
+    return Machine(window + 1, moves)
+
+
+def threat(window: int = 4, alone: float = 0.25) -> Machine:
+    """A threat counts in full behind a target. Before that it counts for little, but if the clause's first target comes
+    within so many words, the last threat is made up to its full weight. The last state has met a target."""
+    met = window + 1
+    moves = _fading(window, (OTHER, INSULT, NEGATION, REPORT))
+    moves |= {(s, THREAT): (window, alone, 0.0, 0.0) for s in range(met)}
+    moves |= {(s, TARGET): (met, 1.0, 0.0, 1 / alone - 1 if s else 0.0) for s in range(met)}
+    return Machine(window + 2, moves)
+
+
+def target(window: int = 3, factor: float = 1.5) -> Machine:
+    """An insult behind a target is strengthened, and so is the last one if the clause's first target comes within so
+    many words. The last state has met a target."""
+    met = window + 1
+    moves = _fading(window, (OTHER, THREAT, NEGATION, REPORT))
+    moves |= {(s, INSULT): (window, 1.0, 0.0, 0.0) for s in range(met)} | {(met, INSULT): (met, factor, 0.0, 0.0)}
+    moves |= {(s, TARGET): (met, 1.0, factor - 1 if s else 0.0, 0.0) for s in range(met)}
+    return Machine(window + 2, moves)
 
 
 def negation(window: int = 3, factor: float = 0.5) -> Machine:
     """Harm within so many words after a negation is softened."""
-    moves = {(s, NEGATION): (window, 1.0) for s in range(window + 1)}
-    for s in range(1, window + 1):
-        moves |= {(s, kind): (s - 1, factor if kind == HARM else 1.0) for kind in (OTHER, HARM, TARGET, REPORT)}
+    moves = _fading(window, (OTHER, TARGET, REPORT)) | {(s, NEGATION): (window, 1.0, 0.0, 0.0) for s in range(window + 1)}
+    moves |= {(s, kind): (s - 1, factor, 0.0, 0.0) for s in range(1, window + 1) for kind in (INSULT, THREAT)}
     return Machine(window + 1, moves)
 
 
 def reported(factor: float = 0.5) -> Machine:
     """Harm behind a verb of speech in the same clause is softened."""
-    return Machine(2, {(0, REPORT): (1, 1.0), (1, HARM): (1, factor)})
-
-
-def targeted(factor: float = 1.5) -> Machine:
-    """Harm in a clause that has named its target is strengthened."""
-    return Machine(2, {(0, TARGET): (1, 1.0), (1, HARM): (1, factor)})
+    return Machine(2, {(0, REPORT): (1, 1.0, 0.0, 0.0)} | {(1, kind): (1, factor, 0.0, 0.0) for kind in (INSULT, THREAT)})
 
 
 def compose(*machines: Machine) -> Machine:
-    """One machine that does what all do side by side; its states are numbered tuples of theirs."""
-    states = list(product(*(range(m.states) for m in machines)))
-    number = {s: n for n, s in enumerate(states)}
-    moves = {}
-    for state in states:
-        for kind in (OTHER, HARM, TARGET, NEGATION, REPORT):
+    """One machine that does what all do side by side; its states are the reachable tuples of theirs, numbered."""
+    number, moves, ahead = {(0,) * len(machines): 0}, {}, [(0,) * len(machines)]
+    while ahead:
+        state = ahead.pop()
+        for kind in CLASSES:
             steps = [m.step(s, kind) for m, s in zip(machines, state, strict=True)]
-            moves[number[state], kind] = number[tuple(s for s, _ in steps)], float(np.prod([f for _, f in steps]))
-    return Machine(len(states), moves)
+            after = tuple(s[0] for s in steps)
+            if after not in number:
+                number[after] = len(number)
+                ahead.append(after)
+            moves[number[state], kind] = (number[after], prod(s[1] for s in steps), sum(s[2] for s in steps), sum(s[3] for s in steps))
+    return Machine(len(number), moves)
 
 
 class Grammar:
-    """The composed machine over a lexicon of weighted words and word beginnings."""
+    """The composed machine over a lexicon of weighted words and word beginnings, and the given threats."""
 
     def __init__(self, words: dict[str, float], stems: dict[str, float]):
         import ahocorasick
 
         self.words, self.stems = words, stems
-        self.kinds = dict.fromkeys(TARGETS, TARGET) | dict.fromkeys(NEGATIONS, NEGATION) | dict.fromkeys(REPORTS, REPORT)
-        self.machine = compose(negation(), reported(), targeted())
+        self.kinds = dict.fromkeys(TARGETS, TARGET) | dict.fromkeys(NEGATIONS, NEGATION) | dict.fromkeys(REPORTS, REPORT) | dict.fromkeys(THREATS, THREAT)
+        self.machine = compose(insult(), threat(), target(), negation(), reported())
         self.finder = ahocorasick.Automaton()
-        for entry in [*words, *stems]:
+        for entry in {*words, *stems, *THREATS}:
             self.finder.add_word(entry, len(entry))
-        if len(self.finder):
-            self.finder.make_automaton()
+        self.finder.make_automaton()
 
     def weight(self, word: str) -> float:
+        """The weight of a word as an insult."""
         found = self.words.get(word, 0.0)
         for n in STEMS:
             found = max(found, self.stems.get(word[:n], 0.0))
         return found
 
-    def clauses(self, text: str) -> tuple[list[float], dict[str, float]]:
-        """The scores of the clauses that match, and the weights of the different words in them. Texts in which no word begins with an entry are not read further."""
+    def clause(self, words: list[str]) -> float:
+        """The score along the clause's path."""
+        state, total, last = 0, 0.0, {INSULT: 0.0, THREAT: 0.0}
+        for word in words:
+            kind = self.kinds.get(word, OTHER)
+            weight = self.weight(word)
+            if weight and kind != THREAT:
+                kind = INSULT
+            elif kind == THREAT:
+                weight = max(weight, THREAT_WEIGHT)
+            state, factor, insults, threats = self.machine.moves[state, kind]
+            total += insults * last[INSULT] + threats * last[THREAT]
+            if kind in last:
+                last[kind] = weight * factor
+                total += last[kind]
+        return total
+
+    def clauses(self, text: str) -> tuple[list[float], int]:
+        """The scores of the clauses that match, and how many clauses there are. Texts in which no word begins with an entry are not read further."""
         low = text.lower()
-        if not len(self.finder) or not any(end - n + 1 == 0 or not low[end - n].isalnum() for end, n in self.finder.iter(low)):
-            return [], {}
-        out, met = [], {}
-        for clause in CLAUSE.split(low):
-            state, total = 0, 0.0
-            for word in WORD.findall(clause):
-                weight = self.weight(word)
-                state, factor = self.machine.step(state, HARM if weight else self.kinds.get(word, OTHER))
-                total += weight * factor
-                if weight:
-                    met[word] = weight
-            if total:
-                out.append(total)
-        return out, met
+        if not any(end - n + 1 == 0 or not low[end - n].isalnum() for end, n in self.finder.iter(low)):
+            return [], 0
+        parts = CLAUSE.split(low)
+        scores = [self.clause(WORD.findall(part)) for part in parts]
+        return [s for s in scores if s], len(parts)
 
 
-FEATURES = ("most", "sum", "count", "words")
+FEATURES = ("most", "second", "sum", "count", "share")
 
 
-def features(clauses: list[float], met: dict[str, float]) -> tuple[float, ...]:
-    """The strongest clause, the sum and the number of clauses, and the sum over different words, these on log scales."""
-    return max(clauses, default=0.0), float(np.log1p(sum(clauses))), float(np.log1p(len(clauses))), float(np.log1p(sum(met.values())))
+def features(scores: list[float], clauses: int) -> tuple[float, ...]:
+    """The strongest and the second strongest clause, their sum and number on log scales, and the root of their share."""
+    first, second, *_ = [*sorted(scores, reverse=True), 0.0, 0.0]
+    return first, second, float(np.log1p(sum(scores))), float(np.log1p(len(scores))), (len(scores) / max(1, clauses)) ** 0.5
 
 
 def learn_lexicon(sample: DataFrame, text_col: str, *, most: int = 2000, least_documents: int = 3, least_g: float = 18.0, sure_g: float = 50.0) -> tuple[dict[str, float], dict[str, float]]:
@@ -226,14 +278,13 @@ def classify(
     sample = labelled_sample(own, labels, label_col, id_col=id_col, modulus=modulus, held_out=held_out, most=most_labelled).select("_label", text_col)
     sample = materialize(sample, "labelled")
     words, stems = learn_lexicon(sample, text_col)
-    threats = {t: 1.0 for t in THREATS}
     if words or stems:
-        rows = _with_features(sample.select(F.col("_label").cast("double"), text_col), text_col, threats | words, stems).drop(text_col).toArrow()
+        rows = _with_features(sample.select(F.col("_label").cast("double"), text_col), text_col, words, stems).drop(text_col).toArrow()
         table = np.column_stack([c.to_numpy() for c in rows.columns])
         table = table[np.lexsort(table.T)]  # the order of the rows must not matter
         weights = _fit(table[:, 1:], (table[:, 0] > 0).astype(float))
     else:
-        weights = np.array([-3.0, 1.0, 1.0, 0.0, 0.0])
+        weights = np.array([-3.0, 1.0, 0.0, 1.0, 0.0, 0.0])
     total = F.lit(float(weights[0])) + sum(float(w) * F.col(f"_clause_{c}") for w, c in zip(weights[1:], FEATURES, strict=True))
-    scored = _with_features(docs, text_col, threats | words, stems)
+    scored = _with_features(docs, text_col, words, stems)
     return scored.withColumn(out, 1 / (1 + F.exp(-total))).select(*(c for c in docs.columns if c != out), out)

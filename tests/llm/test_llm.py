@@ -528,7 +528,7 @@ def test_imatch_odd_rows(spark):
 # classifiers
 
 
-@pytest.mark.parametrize("query, label, least", [(Q.op1_quality, "quality", 0.93), (Q.op5_toxicity, "toxic", 0.9)])
+@pytest.mark.parametrize("query, label, least", [(Q.op1_quality, "quality", 0.97), (Q.op5_toxicity, "toxic", 0.97)])
 def test_held_out_accuracy(spark, query, label, least):
     sf = "/root/testdata/sf0.1"
     labels = {r.doc_id: r[label] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
@@ -536,7 +536,8 @@ def test_held_out_accuracy(spark, query, label, least):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % (5 if label == "quality" else 4) == (0 if label == "quality" else 2)) for r in rows)
     assert np.mean([r.predicted == labels[r.doc_id] for r in rows]) >= least
     rare = 0 if label == "quality" else 1
-    assert np.mean([r.predicted == rare for r in rows if labels[r.doc_id] == rare]) >= 0.75
+    assert np.mean([r.predicted == rare for r in rows if labels[r.doc_id] == rare]) >= 0.9
+    assert np.mean([labels[r.doc_id] == rare for r in rows if r.predicted == rare]) >= 0.9
 
 
 def test_compiled_rules_equal_numpy(spark):
@@ -563,14 +564,52 @@ def test_classifiers_odd_rows(spark, classify):
     assert classify(none(spark), spark.createDataFrame([], schema)).count() == 0
 
 
+def plain_clause(kinds, weights):
+    """A clause's score, harm by harm, from the description of the five transducers."""
+    t = toxicity
+    met = next((n for n, k in enumerate(kinds) if k == t.TARGET), len(kinds))
+    total = 0.0
+    for n, kind in enumerate(kinds):
+        if kind not in (t.INSULT, t.THREAT):
+            continue
+        value = weights[n]
+        value *= 0.5 if t.NEGATION in kinds[max(0, n - 3) : n] else 1
+        value *= 0.5 if t.REPORT in kinds[:n] else 1
+        if kind == t.INSULT:
+            value *= 1.25 if t.INSULT in kinds[max(0, n - 2) : n] else 1
+            value *= 1.5 if met < n else 1
+        else:
+            value *= 1 if met < n else 0.25
+        last = n < met < len(kinds) and kind not in kinds[n + 1 : met]
+        if last and kind == t.INSULT and met - n <= 3:
+            value += 0.5 * value
+        if last and kind == t.THREAT and met - n <= 4:
+            value += 3 * value
+        total += value
+    return total
+
+
+def test_grammar_equals_plain_paths():
+    g, rng = toxicity.Grammar({"moron": 4.0, "scum": 3.0}, {"lowei": 2.0}), random.Random(6)
+    words = {toxicity.OTHER: ["a", "b"], toxicity.INSULT: ["moron", "scum", "loweixx"], toxicity.THREAT: ["kill"], toxicity.TARGET: ["you"], toxicity.NEGATION: ["not"], toxicity.REPORT: ["said"]}
+    for _ in range(4000):
+        kinds = [rng.choice(toxicity.CLASSES) for _ in range(rng.randint(0, 9))]
+        clause = [rng.choice(words[k]) for k in kinds]
+        weights = [{"moron": 4.0, "scum": 3.0, "loweixx": 2.0, "kill": toxicity.THREAT_WEIGHT}.get(w, 0.0) for w in clause]
+        assert abs(g.clause(clause) - plain_clause(kinds, weights)) < 1e-9, clause
+
+
 def test_grammar_reads_clauses():
     g = toxicity.Grammar({"moron": 4.0, "scum": 4.0}, {"lowei": 3.0})
     score = lambda text: sum(g.clauses(text)[0])
     assert score("a loweixx here") == 3.0 and score("nothing here") == 0 and g.clauses("scumbag alowei")[0] == []
-    assert score("you moron") == 6.0 and score("not a moron") == 2.0 and score("she said moron") == 3.0 and score("not a b c d moron") == 4.0
-    assert g.clauses("moron. scum, moron")[0] == [4.0, 4.0, 4.0]
-    product = toxicity.compose(toxicity.negation(), toxicity.reported(), toxicity.targeted())
-    assert product.states == 16
+    assert score("you moron") == 6.0 and score("moron, you") == 4.0 and score("a moron like you") == 6.0
+    assert score("not a moron") == 2.0 and score("she said moron") == 3.0 and score("not a b c d moron") == 4.0
+    assert score("kill the process") == 1.0 and score("kill you") == 4.0 and score("I will kill all of you") == 4.0 and score("never kill you") == 2.0
+    assert g.clauses("moron. scum, moron") == ([4.0, 4.0, 4.0], 3)
+    machines = toxicity.insult(), toxicity.threat(), toxicity.target(), toxicity.negation(), toxicity.reported()
+    whole = toxicity.compose(*machines)
+    assert whole.states <= np.prod([m.states for m in machines]) and len(whole.moves) == whole.states * len(toxicity.CLASSES)
 
 
 # the pipeline, and SQL
