@@ -13,7 +13,7 @@ covered. One suffix array of a corpus doesn't fit a worker, so the corpus is fir
 4. All repeated windows of a text are joined to it, and the bytes that they cover removed.
 
 Runs count as equal if the 64-bit hashes of their anchors and of their bytes are. An anchor with more than ``crowd``
-different runs (2 MB of them) doesn't fit one suffix array. Its windows are put in order by name instead: a name stands
+different runs (half a MB of them) doesn't fit one suffix array. Its windows are put in order by name instead: a name stands
 for the first ``least`` bytes of a suffix, as a rank of prefix doubling does, but is a 128-bit hash, so that names are
 dealt over all workers and no anchor, however common, has to be in one place. Within a name, the previous smaller
 position is the window before. An anchor with many different runs in one batch (a 64th of ``crowd``) is already dealt
@@ -45,7 +45,7 @@ OWN, CROWDED, SIGN = range(3)
 WINDOW = np.dtype([("content", "<u8"), ("anchor", "<u8"), ("key", "<i8"), ("first", "<u4")])
 SALTS = np.uint64(61)
 #: Bytes of runs in one suffix array, of texts for each bucket of packed runs, and of texts in a task that joins them.
-ARRAY_BYTES, BUCKET_BYTES, TASK_BYTES = 2 << 20, 16 << 20, 32 << 20
+ARRAY_BYTES, BUCKET_BYTES, TASK_BYTES = 512 << 10, 16 << 20, 32 << 20
 SPAN_SCHEMA = "key bigint, first bigint, count bigint"
 
 
