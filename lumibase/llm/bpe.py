@@ -6,10 +6,14 @@ each position of the rank is merged, and only the pairs with its two neighbours
 bring up a pair of a lower rank; then the rest of the current rank waits until that one is done, so each word
 passes through the very merges that it would see alone.
 
-A text is split by the pattern; a worker remembers the ids of the words that recur.
+A text is split by the pattern; a worker remembers the ids of the words that recur. The corpus is so taken block by
+block: a block is what a batch of texts has of words that its worker doesn't know. A merge never crosses a word, so the
+ids are those of one replay over all words of the corpus. Such a replay over a table of all different words was left
+out: their ids have to come back to every text, which shuffles the texts once and the words of each block twice.
 
 Defined results: a null or empty text has no ids, and decodes to no bytes. Ids outside of the ranks can't be decoded
-and raise a KeyError. Repeated rows, null ids and further columns are kept as they are; an empty table gives no rows.
+and raise a KeyError. Repeated rows, null ids and further columns are kept as they are, but for one that has the name
+of the new column, which is replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,7 +43,10 @@ class Ranks:
 
         with open(path, "rb") as lines:
             self.rank = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
-        self.token = {rank: token for token, rank in self.rank.items()}
+        tokens = {rank: token for token, rank in self.rank.items()}
+        laid = [tokens.get(rank, b"") for rank in range(max(tokens) + 1)]
+        self.sizes = np.fromiter(map(len, laid), np.int64, len(laid))
+        self.begins, self.flat = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(laid), np.uint8)
         own = pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]")
         self.split = regex.compile(own).findall
         self.words = Remembered(REMEMBERED)
@@ -141,7 +148,13 @@ class Ranks:
         return [b"".join(map(known, words)) for words in parted]
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        """The bytes of the ids, gathered from all tokens' bytes laid end to end."""
+        at = np.frombuffer(ids, "<u4")
+        if len(at) and (int(at.max()) >= len(self.sizes) or not self.sizes[at].all()):
+            raise KeyError("an id is outside of the ranks")
+        sizes = self.sizes[at]
+        within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return self.flat[np.repeat(self.begins[at], sizes) + within].tobytes()
 
 
 _RANKS: dict[tuple[str, str], Ranks] = {}
@@ -154,9 +167,9 @@ def ranks_of(path: str, pattern: str) -> Ranks:
 
 
 def _mapped(df: DataFrame, column: str, out: str, convert) -> DataFrame:
-    """Replace one column by a binary one, batch by batch."""
+    """Replace one column by a binary one, batch by batch; a column that has the new one's name is left out."""
     small_batches(df.sparkSession)
-    kept = [f for f in df.schema.fields if f.name != column]
+    kept = [f for f in df.schema.fields if f.name not in (column, out)]
     rows = df.select(*(F.col(f"`{f.name}`") for f in kept), F.col(f"`{column}`"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{out}` binary"])
 

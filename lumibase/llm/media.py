@@ -163,8 +163,9 @@ def text_to_media(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def media_features(df: DataFrame, *, media_col: str = "media") -> DataFrame:
-    """Adds payload (the image's bytes, read back) and feature. A null image has neither."""
+    """Adds payload (the image's bytes, read back) and feature; columns of these names are replaced. A null image has neither."""
     small_batches(df.sparkSession)
+    df = df.drop("payload", "feature")
     fields = [*df.schema.fields]
     place = df.columns.index(media_col)
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumibase.llm.shared import small_batches, text_or_empty
+from lumibase.llm.shared import materialize, small_batches, text_or_empty
 
 #: The date of every record, so that archives of equal pages are equal.
 DATE = "1970-01-01T00:00:00Z"
@@ -47,6 +47,7 @@ def _header() -> Column:
         F.lit(f"WARC-Date: {DATE}"),
         F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace("url", r"[\r\n]+", " ")),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), "sha1"),
+        F.when(~revisit, F.lit("Content-Type: text/html; charset=utf-8")),
         F.concat(F.lit("Content-Length: "), F.when(revisit, F.lit(0)).otherwise(F.col("size")).cast("string")),
         F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
         F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), record("best"))),
@@ -83,7 +84,7 @@ def write_archive(pages: DataFrame, path: str, *, id_col: str = "page_id", url_c
     stored = rows.select(F.unhex(F.sha2("payload", 256)).alias("digest"), "payload").dropDuplicates(["digest"])
     stored.write.option("compression", "zstd").parquet(f"{path}/payloads")
 
-    facts = rows.mapInArrow(_digested, f"id {id_type}, url string, digest binary, sha1 string, size bigint")
+    facts = materialize(rows.mapInArrow(_digested, f"id {id_type}, url string, digest binary, sha1 string, size bigint"), "facts")
     best = facts.where(F.col("size") >= least_bytes).groupBy("digest").agg(F.max("id").alias("best"))
     kind = F.when(F.col("best").isNull() | F.col("best").eqNullSafe(F.col("id")), "response").otherwise("revisit")
     headers = facts.join(best, "digest", "left").withColumn("kind", kind).select("id", "digest", _header().alias("header"))

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import struct
@@ -86,6 +87,17 @@ def test_bpe_odd_rows(spark, ranks):
     assert len(rows) == len(TEXTS) + 2 and all(r.ids == "clash" for r in rows)
     assert all(bytes(r.decoded).decode() == (TEXTS[r.doc_id] or "") for r in rows if r.doc_id is not None)
     assert bpe.encode(none(spark), *ranks).count() == 0
+    clash = bpe.encode(odd(spark), *ranks)  # has a column ids itself
+    assert clash.columns == ["doc_id", "fp", "ids"] and by_id(clash.collect())[4].ids == by_id(rows)[4].coded
+    with pytest.raises(KeyError):
+        bpe.Ranks(*ranks).decode(struct.pack("<I", 60000))
+
+
+def test_bpe_long_text(ranks):
+    e, own, rng = tiktoken_encoding(ranks[0]), bpe.Ranks(*ranks), random.Random(8)
+    text = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 12))) for _ in range(400_000)) + "x" * 3000
+    ids = own.encode([text])[0]
+    assert len(text) > 2_500_000 and ids == np.array(e.encode_ordinary(text), "<u4").tobytes() and own.decode(ids) == text.encode()
 
 
 # packing
@@ -395,9 +407,72 @@ def test_cosine_hash_survives_noise():
     assert bits(picture, noisy) < bits(picture, far)
 
 
+def plain_cosine_hash(samples):
+    """The hash by its definition: means over a grid, every frequency as a sum over all samples of the grid."""
+    height, width = samples.shape
+    part = lambda n, size: slice(n * size // 32, max((n + 1) * size // 32, n * size // 32 + 1))
+    grid = [[float(samples[part(y, height), part(x, width)].mean()) for x in range(32)] for y in range(32)]
+    low = []
+    for v in range(8):
+        for u in range(8):
+            total = sum(grid[y][x] * math.cos(math.pi * v * (2 * y + 1) / 64) * math.cos(math.pi * u * (2 * x + 1) / 64) for y in range(32) for x in range(32))
+            low.append(round(total * (0.25 if u else 32**-0.5) * (0.25 if v else 32**-0.5), 6))
+    middle = sorted(low[1:])[31]
+    bits = [n > 0 and x > middle for n, x in enumerate(low)]
+    return f"{sum(b << (63 - n) for n, b in enumerate(bits)):016x}"
+
+
+def test_cosine_hash_equals_plain_transform():
+    rng = np.random.default_rng(7)
+    for height in (1, 5, 32, 50, 129):
+        samples = rng.integers(0, 256, (height, 64), dtype=np.uint8)
+        assert media.cosine_hash(samples) == plain_cosine_hash(samples)
+
+
+def test_png_is_read_by_another_decoder():
+    """Chunk by chunk with the standard library alone, and row filters undone byte by byte."""
+    raw = bytes(random.Random(2).choices(range(256), k=64 * 9)) + bytes(range(64)) * 8
+    data = media.write_png(raw)
+    assert data[:8] == b"\x89PNG\r\n\x1a\n"
+    at, chunks = 8, []
+    while at < len(data):
+        (n,) = struct.unpack(">I", data[at : at + 4])
+        assert struct.unpack(">I", data[at + 8 + n : at + 12 + n])[0] == zlib.crc32(data[at + 4 : at + 8 + n])
+        chunks.append((data[at + 4 : at + 8], data[at + 8 : at + 8 + n]))
+        at += 12 + n
+    assert [k for k, _ in chunks] == [b"IHDR", b"IDAT", b"IEND"] and chunks[0][1] == struct.pack(">IIBBBBB", 64, 17, 8, 0, 0, 0, 0)
+    lines, out, above = zlib.decompress(chunks[1][1]), b"", bytes(64)
+    for y in range(17):
+        kind, line = lines[65 * y], lines[65 * y + 1 : 65 * y + 65]
+        assert kind in (0, 2)
+        above = bytes((b + a) % 256 for a, b in zip(above, line, strict=True)) if kind == 2 else line
+        out += above
+    assert out == raw
+
+
+def test_media_ties_and_clashes(spark):
+    rows = [(1, "same", b"x", "c"), (1, "same", b"y", "c"), (2, "same", None, None), (None, "same", b"z", "c")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, media binary, feature string")
+    stored = media.text_to_media(df)
+    found = media.media_features(stored).collect()
+    assert len(found) == 4 and len({(bytes(r.media), r.feature) for r in found}) == 1
+    again = media.media_features(stored.withColumn("payload", F.lit("clash")).withColumn("feature", F.lit("clash")))
+    assert again.columns == ["doc_id", "n_bytes", "media", "payload", "feature"] and "clash" not in {x for r in again.collect() for x in r}
+
+
 # archive
 
 
+def test_archive_ties_and_clashes(spark):
+    rows = [(2, "u", "same", b"p", "x"), (2, "v", "same", b"q", "y"), (1, "w", "same", None, None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, payload binary, digest string")
+    path = shared_path(spark, "warc-test")
+    warc.write_archive(pages, path)
+    found = warc.read_archive("bigint", path, spark).collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in found) == [(1, "revisit", 2), (2, "response", None), (2, "response", None)]
+    assert {b"Content-Type: " in bytes(r.header) for r in found if r.record_type == "response"} == {True}
+
+
 def test_archive(spark):
     rows = [(1, "http://a/\r\nx", "same"), (2, None, "same"), (3, "http://c", "same"), (4, "http://d", None), (5, "http://e", ""), (None, "http://f", "same"), (3, "http://c", "same"), (7, "u", "ünï")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
@@ -576,6 +651,29 @@ def test_held_out_accuracy(spark, query, label, least):
     assert np.mean([labels[r.doc_id] == rare for r in rows if r.predicted == rare]) >= 0.9
 
 
+def plain_statistics(text):
+    """The statistics by their names, character by character."""
+    words = text.split()
+    if not words:
+        return [0.0] * len(quality.STATISTICS)
+    raw = text.encode()
+    marks = ".,;:!?'\"()-"
+    share = lambda test: sum(b < 128 and test(chr(b)) for b in raw) / len(raw)
+    lines = [x for x in text.split("\n") if x]
+    return [
+        len(set(words)) / len(words), max(words.count(w) for w in set(words)) / len(words), sum(words[n] == words[n - 1] for n in range(1, len(words))) / len(words),
+        len(set(lines)) / len(lines), share(lambda c: "A" <= c <= "Z"), share(lambda c: "0" <= c <= "9"), share(lambda c: c in marks),
+        share(lambda c: 32 < ord(c) < 127 and not c.isalnum() and c not in marks), sum(map(len, words)) / len(words), share(lambda c: c in " \t\n\r"),
+        len(lines) / len(words), sum(not w[-1].isalnum() for w in words) / len(words),
+    ]
+
+
+def test_statistics_equal_plain_counts(spark):
+    texts = [t or "" for t in TEXTS] + [r.text for r in docs(spark).where("n_chars < 4000").limit(40).collect()]
+    for text in texts:
+        assert np.allclose(quality.statistics(text), plain_statistics(text)), text
+
+
 def test_compiled_rules_equal_numpy(spark):
     rng = np.random.default_rng(3)
     x = rng.random((300, len(quality.STATISTICS)))
