@@ -122,10 +122,16 @@ def with_banded(df: DataFrame, text_col: str, out: str, band: DataFrame, most_he
 
 def _dealt(banded: Column, key: int) -> Column:
     """A line for each subset of one dealing that there are terms of: its number, then its terms in order."""
-    pairs = F.array_sort(F.transform(banded, lambda t: F.concat(_number(F.pmod(F.xxhash64(t, F.lit(key + 1)), F.lit(SUBSETS[key])), key), t)))
+    made = F.array_sort(F.transform(banded, lambda t: F.concat(_number(F.pmod(F.xxhash64(t, F.lit(key + 1)), F.lit(SUBSETS[key])), key), t)))
     number = lambda p: F.substring(p, 1, NUMBER)
-    joined = F.transform(pairs, lambda p, n: F.concat(F.when((n > 0) & (number(F.get(pairs, n - 1)) == number(p)), F.concat(F.lit(" "), F.substring(p, NUMBER + 1, 1 << 20))).otherwise(F.concat(F.lit("\n"), p))))
-    return F.split(F.array_join(joined, ""), "\n")
+
+    def lines(pairs: Column) -> Column:
+        again = lambda p, n: (n > 0) & (number(F.get(pairs, n - 1)) == number(p))
+        return F.transform(pairs, lambda p, n: F.when(again(p, n), F.concat(F.lit(" "), F.substring(p, NUMBER + 1, 1 << 20))).otherwise(F.concat(F.lit("\n"), p)))
+
+    # a lambda's variable binds the sorted array; as a column's expression it would be sorted again for each term
+    joined = F.get(F.transform(F.array(made), lambda pairs: F.array_join(lines(pairs), "")), F.lit(0))
+    return F.split(joined, "\n")
 
 
 def _number(n: Column, key: int) -> Column:
