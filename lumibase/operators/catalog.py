@@ -29,20 +29,21 @@ def copy_counts(copies: DataFrame) -> DataFrame:
 
 
 def stats_summary(files: DataFrame, copies: DataFrame) -> DataFrame:
-    """A1: one row of totals over the library."""
+    """A1: one row of totals over the library. The timeline is what is dated and of a camera; all else is the side bin,
+    and a file without a copy has never been verified."""
     held = files.join(copy_counts(copies), "sha256", "left")
     n = F.coalesce("n_copies", F.lit(0))
-    side = origin.is_side_bin(F.col("category"))
+    dated, camera = F.col("captured_at").isNotNull(), F.col("category") == "Camera"
     return held.agg(
         F.count("*").alias("files"),
         F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"),
         F.count_if(n >= 2).alias("on_two_drives"),
         F.count_if(n == 1).alias("on_one_drive"),
         F.count_if(n == 0).alias("on_no_drive"),
-        F.count_if((n > 0) & (F.col("n_verified") == 0)).alias("never_verified"),
-        F.count_if(F.col("captured_at").isNull()).alias("undated"),
-        F.count_if(F.col("category") == "Camera").alias("timeline"),
-        F.count_if(side).alias("side_bin"),
+        F.count_if(F.coalesce("n_verified", F.lit(0)) == 0).alias("never_verified"),
+        F.count_if(~dated).alias("undated"),
+        F.count_if(dated & camera).alias("timeline"),
+        F.count_if(~dated | ~camera).alias("side_bin"),
         F.min("captured_at").alias("earliest"),
         F.max("captured_at").alias("latest"),
     )
@@ -158,21 +159,24 @@ def copies_on_drive(files: DataFrame, copies: DataFrame, drive: str, category: s
 def reclaim_candidates(files: DataFrame, copies: DataFrame, drive: str) -> DataFrame:
     """Files with a source that have a copy on the drive, and how many copies they have in all."""
     counts = copies.groupBy("sha256").agg(F.count("*").alias("copies"))
-    own = copies.where(F.col("drive_uuid") == drive).select("sha256", "relative", "last_verified")
+    own = copies.where(F.col("drive_uuid") == drive).select("sha256", "relative", "copy_sha256", "last_verified")
     return own.join(files.where("source_path IS NOT NULL").select("sha256", "source_path", "size"), "sha256").join(counts, "sha256")
 
 
-def reclaim_plan(candidates: DataFrame, listing: DataFrame, drive_root: str, min_copies: int = 2) -> DataFrame:
-    """What may be freed, by the first reason against it. ``listing`` has the paths that exist."""
+def reclaim_plan(candidates: DataFrame, listing: DataFrame, observed: DataFrame, drive_root: str, min_copies: int = 1) -> DataFrame:
+    """What may be freed, by the first reason against it. ``listing`` has the paths that exist, ``observed`` what
+    the drive's copies hash to now (relative, digest). A copy without a recorded digest, or whose digest is another or
+    can't be had, is unverified, whenever it was checked before."""
     there = listing.select(F.col("path").alias("source_path"), F.lit(True).alias("exists")).distinct()
     bucket = (
         F.when(F.col("exists").isNull(), "missing_source")
         .when(F.col("source_path") == F.concat(F.lit(drive_root), "relative"), "source_is_copy")
-        .when(F.col("last_verified").isNull(), "unverified")
+        .when(~F.coalesce(F.col("digest") == F.col("copy_sha256"), F.lit(False)), "unverified")
         .when(F.col("copies") < min_copies, "below_min_copies")
         .otherwise("candidate")
     )
-    judged = candidates.join(there, "source_path", "left").withColumn("bucket", bucket)
+    seen = observed.select("relative", "digest").dropDuplicates(["relative"])
+    judged = candidates.join(there, "source_path", "left").join(seen, "relative", "left").withColumn("bucket", bucket)
     return judged.groupBy("bucket").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
 
 
@@ -185,8 +189,14 @@ def find_copies(files: DataFrame, copies: DataFrame, drives: DataFrame, text: st
 
 
 def page(df: DataFrame, order: list[str], number: int, size: int = 50) -> DataFrame:
-    """One page of a total order."""
-    return df.orderBy(*order).offset(number * size).limit(size)
+    """One page of a total order, with the exact total and the number of pages."""
+    return with_total(df.orderBy(*order).offset(number * size).limit(size), df).withColumn("pages", F.ceil(F.col("total") / size))
+
+
+def with_total(shown: DataFrame, df: DataFrame) -> DataFrame:
+    """A few rows of a table with the exact number of all its rows."""
+    total = df.agg(F.count("*").alias("total")).withColumn("_one", F.lit(0))
+    return shown.withColumn("_one", F.lit(0)).join(F.broadcast(total), "_one").drop("_one")  # the total is one row
 
 
 def single_copy(files: DataFrame, copies: DataFrame, drives: DataFrame) -> DataFrame:
@@ -202,11 +212,17 @@ def zero_drive(files: DataFrame, copies: DataFrame) -> DataFrame:
     return files.join(copies, "sha256", "left_anti")
 
 
-def confirmations_to_bake(confirmations: DataFrame, copies: DataFrame, drives: DataFrame) -> DataFrame:
-    """Per drive, copies whose confirmed date isn't written into the file yet."""
-    waiting = copies.where("date_baked_at IS NULL").join(confirmations.select("sha256"), "sha256", "left_semi")
-    counted = waiting.groupBy("drive_uuid").agg(F.count("*").alias("waiting"))
-    return counted.join(drives.select(F.col("uuid").alias("drive_uuid"), "label"), "drive_uuid").select("label", "waiting")
+def confirmations_to_bake(confirmations: DataFrame, copies: DataFrame, drive: str) -> DataFrame:
+    """Copies of this drive whose confirmed date isn't written into the file yet."""
+    waiting = copies.where((F.col("drive_uuid") == drive) & F.col("date_baked_at").isNull()).select("sha256", "relative")
+    return confirmations.select("sha256", "captured_at").join(waiting, "sha256")
+
+
+def drives_awaiting_bake(confirmations: DataFrame, copies: DataFrame, drives: DataFrame, drive: str) -> DataFrame:
+    """The other drives that hold such copies, and how many."""
+    waiting = copies.where((F.col("drive_uuid") != drive) & F.col("date_baked_at").isNull()).join(confirmations.select("sha256"), "sha256", "left_semi")
+    counted = waiting.groupBy("drive_uuid").agg(F.count("*").alias("files"))
+    return counted.join(drives.select(F.col("uuid").alias("drive_uuid"), "label"), "drive_uuid").select(F.col("drive_uuid").alias("uuid"), "label", "files")
 
 
 def missing_on_target(copies: DataFrame, source: str, target: str) -> DataFrame:
@@ -238,13 +254,50 @@ def unplaced(hashes: DataFrame, copies: DataFrame) -> DataFrame:
 
 
 def largest_files(files: DataFrame, n: int = 20) -> DataFrame:
-    """The largest files."""
-    return files.where("size IS NOT NULL").orderBy(F.desc("size"), "source_path", "sha256").limit(n)
+    """The largest files, and how many have a size."""
+    sized = files.where("size IS NOT NULL")
+    return with_total(sized.orderBy(F.desc("size"), "source_path", "sha256").limit(n), sized)
 
 
 def date_tier(files: DataFrame, source: str | None, n: int = 50) -> DataFrame:
-    """The newest files of a date source; None is a source of its own."""
-    return files.where(F.col("date_source").eqNullSafe(F.lit(source))).orderBy(F.desc_nulls_last("captured_at"), "sha256").limit(n)
+    """The newest files of a date source and how many it has; None is a source of its own."""
+    own = files.where(F.col("date_source").eqNullSafe(F.lit(source)))
+    return with_total(own.orderBy(F.desc_nulls_last("captured_at"), "sha256").limit(n), own)
+
+
+def undated_samples(files: DataFrame, n: int = 12) -> DataFrame:
+    """Some undated files, and how many there are."""
+    own = files.where("captured_at IS NULL").select("sha256", "original_name", "source_path")
+    return with_total(own.orderBy("original_name", "sha256").limit(n), own)
+
+
+def zero_drive_samples(files: DataFrame, copies: DataFrame, n: int = 12) -> DataFrame:
+    """Some files on no drive, and how many there are."""
+    own = zero_drive(files, copies).select("sha256", "original_name", "source_path")
+    return with_total(own.orderBy("original_name", "sha256").limit(n), own)
+
+
+# What other operators read of the catalog
+
+
+def seed_rows(files: DataFrame) -> DataFrame:
+    """What duplicates are looked up in."""
+    return files.select("source_path", "sha256", "perceptual")
+
+
+def known_sizes(files: DataFrame) -> DataFrame:
+    """Sizes that some content has."""
+    return files.where("size IS NOT NULL").select("size").distinct()
+
+
+def organized_files(files: DataFrame, copies: DataFrame) -> DataFrame:
+    """Contents that have a copy, with their size."""
+    return files.join(copies, "sha256", "left_semi").select("sha256", "size")
+
+
+def copy_names(copies: DataFrame, drive: str) -> DataFrame:
+    """The names under which a drive keeps its copies."""
+    return copies.where(F.col("drive_uuid") == drive).select("sha256", F.element_at(F.split("relative", "/"), -1).alias("name"))
 
 
 # snapshot updates: each returns the table as it is afterwards

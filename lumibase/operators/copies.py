@@ -11,22 +11,31 @@ from lumibase.functions import origin, paths
 
 def rescan_reconcile(recorded: DataFrame, on_disk: DataFrame, identified: DataFrame) -> DataFrame:
     """Recorded (path, sha256), on_disk (path), identified (path, sha256 of files looked into). Disjoint buckets:
-    placed, moved (with the places found), unaccounted, stray (known content in a place unrecorded), debris (junk) and
-    unidentified."""
+    of the records placed, moved (with the places found) and unaccounted; of the other files claimed (where a moved
+    record's content is), stray (any other that was looked into), debris (hidden) and unidentified."""
     disk = on_disk.select("path").distinct().withColumn("there", F.lit(True))
     both = recorded.join(disk, "path", "full_outer").join(identified.select("path", F.col("sha256").alias("seen")), "path", "left")
-    loose = both.where("sha256 IS NULL AND seen IS NOT NULL")
-    found = loose.groupBy(F.col("seen").alias("sha256")).agg(F.array_join(F.array_sort(F.collect_set("path")), ";").alias("found"))
-    gone = both.where("sha256 IS NOT NULL AND there IS NULL").select("path", "sha256").join(found, "sha256", "left")
+    where = identified.groupBy("sha256").agg(F.array_join(F.array_sort(F.collect_set("path")), ";").alias("found"))
+    gone = both.where("sha256 IS NOT NULL AND there IS NULL").select("path", "sha256").join(where, "sha256", "left")
     lost = gone.select("path", "sha256", F.when(F.col("found").isNotNull(), "moved").otherwise("unaccounted").alias("bucket"), "found")
     placed = both.where("sha256 IS NOT NULL AND there").select("path", "sha256", F.lit("placed").alias("bucket"), F.lit(None).cast("string").alias("found"))
-    known = recorded.select(F.col("sha256").alias("seen")).distinct().withColumn("known", F.lit(True))
-    extra = both.where("sha256 IS NULL").select("path", "seen").join(known, "seen", "left")
+    absent = gone.select(F.col("sha256").alias("seen")).distinct().withColumn("wanted", F.lit(True))
+    extra = both.where("sha256 IS NULL").select("path", "seen").join(absent, "seen", "left")
     hidden = paths.basename(F.col("path")).startswith(".")
-    bucket = F.when(hidden, "debris").when(F.col("known"), "stray").otherwise("unidentified")
+    bucket = F.when(F.col("wanted"), "claimed").when(F.col("seen").isNotNull(), "stray").when(hidden, "debris").otherwise("unidentified")
     return lost.unionByName(placed).unionByName(extra.select("path", F.col("seen").alias("sha256"), bucket.alias("bucket"), F.lit(None).cast("string").alias("found")))
 
 
+def rescan_report(buckets: DataFrame, unreadable: DataFrame) -> DataFrame:
+    """How many rows each bucket has; complete if nothing was unreadable, and reconciled if besides nothing has
+    moved, strayed or gone."""
+    names = ("placed", "moved", "unaccounted", "claimed", "stray", "debris", "unidentified")
+    counts = buckets.agg(*(F.count_if(F.col("bucket") == n).alias(n) for n in names))
+    judged = counts.join(F.broadcast(unreadable.agg(F.count("*").alias("unreadable"))), F.lit(True))
+    complete = F.col("unreadable") == 0
+    return judged.withColumns({"complete": complete, "reconciled": complete & (F.col("moved") + F.col("stray") + F.col("unaccounted") == 0)})
+
+
 def verify_copies(copies: DataFrame, observed: DataFrame) -> DataFrame:
     """Observed (drive_uuid, relative, digest; null where it couldn't be read). By the first that holds: missing,
     unverifiable (no recorded digest), unreadable, mismatch, verified."""
@@ -46,7 +55,7 @@ def copies_for_migration(files: DataFrame, copies: DataFrame, drive: str, events
     return joined.join(trip_days.select("day", "trip_id"), "day", "left").join(trips.select("trip_id", F.col("name").alias("trip_name"), F.col("start").alias("trip_start")), "trip_id", "left")
 
 
-def plan_migration(rows: DataFrame, heavy: DataFrame, scheme: paths.Scheme = paths.PRESETS["everyday"], *, composed: bool = False) -> DataFrame:
+def plan_migration(rows: DataFrame, heavy: DataFrame, scheme: paths.Scheme = paths.DEFAULT_PRESET, *, composed: bool = False) -> DataFrame:
     """Rows of J5: the new place of each copy, and unchanged, collides (whatever the case), long and axis."""
     days = heavy.select("day").distinct().withColumn("is_heavy", F.lit(True))
     joined = rows.join(days, "day", "left")
@@ -69,22 +78,27 @@ def preview_warnings(rendered: DataFrame) -> DataFrame:
     return rendered.select("path", (n > 1).alias("collides"), (F.char_length("path") > paths.LONG_PATH).alias("long"))
 
 
-def free_relative(wanted: DataFrame, taken: DataFrame, rounds: int = 3) -> DataFrame:
-    """Wanted (key, path): a path that is taken, or asked for before, gets _1, _2, … before its extension. Each
-    round numbers those that still clash; what clashes after the last keeps a number and its key."""
-    now = wanted.select("key", "path", F.col("path").alias("free"))
-    have = taken.select(F.col("path").alias("free")).distinct().withColumn("taken", F.lit(True))
-    for n in range(rounds):
-        first = F.row_number().over(W.partitionBy("free").orderBy("key"))
-        held = F.max(F.coalesce("taken", F.lit(False))).over(W.partitionBy("free"))
-        placed = now.join(have, "free", "left").withColumns({"i": first, "held": held})
-        number = F.col("i") - F.when(F.col("held"), 0).otherwise(1)
-        stem = F.regexp_replace("path", r"(\.[^./]*)?$", "")
-        ext = F.regexp_extract("path", r"(\.[^./]*)?$", 1)
-        mark = F.concat(F.lit("_"), number.cast("string")) if n + 1 < rounds else F.concat(F.lit("_"), number.cast("string"), F.lit("_"), F.col("key").cast("string"))
-        suffixed = F.concat(stem, F.lit("_" * n), mark, ext)
-        now = placed.select("key", "path", F.when(number == 0, F.col("free")).otherwise(suffixed).alias("free"))
-    return now
+def free_relative(wanted: DataFrame, taken: DataFrame) -> DataFrame:
+    """Wanted (key, path) -> free: a path that is taken, or that an earlier key asks for, gets the least free _1,
+    _2, … before its suffix. Paths that others ask for as they are count as in use, so no two rows get the same.
+
+    Of a path's rows the r-th that needs a number gets the r-th free one. A number in use that is the i-th of its stem
+    has ``number - i`` free ones below it, so the r-th free number is r and the count of those with fewer than r."""
+    have = taken.select("path").distinct()
+    first = F.row_number().over(W.partitionBy("path").orderBy("key")) - 1
+    ranked = wanted.join(have.withColumn("_taken", F.lit(True)), "path", "left").withColumn("_r", first + F.when(F.col("_taken"), 1).otherwise(0))
+    named = r"^(.*?[^/])(\.[^./]*)?$"
+    numbered = r"^(.*[^/])_([1-9]\d{0,8})(\.[^./]*)?$"
+    all_paths = have.union(wanted.select("path")).distinct()
+    used = all_paths.where(F.col("path").rlike(numbered)).select(F.concat(F.regexp_extract("path", numbered, 1), F.regexp_extract("path", numbered, 3)).alias("path"), F.regexp_extract("path", numbered, 2).cast("long").alias("n")).distinct()
+    below = used.withColumn("free", F.col("n") - F.row_number().over(W.partitionBy("path").orderBy("n")))
+    # numbers in use come before the rows of the rank that is one above the free ones below them
+    events = below.select("path", F.col("free").alias("at"), F.lit(0).alias("row"), F.lit(None).cast(wanted.schema["key"].dataType).alias("key"))
+    events = events.union(ranked.where("_r > 0").select("path", (F.col("_r") - 1).cast("long"), F.lit(1), "key"))
+    passed = F.count_if(F.col("row") == 0).over(W.partitionBy("path").orderBy("at", "row", "key").rowsBetween(W.unboundedPreceding, 0))
+    number = events.withColumn("number", F.col("at") + 1 + passed).where("row = 1")
+    renamed = F.concat(F.regexp_extract("path", named, 1), F.lit("_"), F.col("number").cast("string"), F.regexp_extract("path", named, 2))
+    return ranked.where("_r = 0").select("key", "path", F.col("path").alias("free")).union(number.select("key", "path", renamed.alias("free")))
 
 
 def emptied_paths(runs: DataFrame, moves: DataFrame, in_place: DataFrame) -> DataFrame:

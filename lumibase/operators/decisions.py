@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Setting prefixes that belong to one machine and aren't merged.
-MACHINE_LOCAL = ("path.", "window.", "cache.")
+# Setting prefixes that belong to one machine and aren't written to a document.
+MACHINE_LOCAL = ("path_hint.", "decisions.", "catalog.")
 
 
 def merge_section(rows: DataFrame) -> DataFrame:
@@ -26,14 +26,20 @@ def merge_section(rows: DataFrame) -> DataFrame:
 
 
 def merge_confirmations(rows: DataFrame) -> DataFrame:
-    """Confirmations (drive_uuid, written, sha256, captured_at, confirmed_at): the newest row wins, ties by document."""
-    order = F.struct(F.col("confirmed_at"), F.coalesce(F.col("written").cast("timestamp"), F.lit("0001-01-01").cast("timestamp")), F.col("drive_uuid"))
-    return rows.groupBy("sha256").agg(F.max_by("captured_at", order).alias("captured_at"), F.max("confirmed_at").alias("confirmed_at"))
+    """Confirmations (drive_uuid, written, sha256, captured_at, confirmed_at): the newest row wins, ties by document
+    as in W4: the newest, then that of the smaller drive."""
+    order = W.partitionBy("sha256").orderBy(F.col("confirmed_at").desc_nulls_last(), F.col("written").desc_nulls_last(), "drive_uuid")
+    return rows.withColumn("rank", F.row_number().over(order)).where("rank = 1").select("sha256", "captured_at", "confirmed_at")
+
+
+def is_machine_local(key):
+    """Whether a setting belongs to one machine."""
+    return F.coalesce(key.rlike("^(" + "|".join(p.replace(".", r"\.") for p in MACHINE_LOCAL) + ")"), F.lit(False))
 
 
 def merge_settings(rows: DataFrame) -> DataFrame:
     """The last writer of each setting that isn't of one machine; whether its document has a time."""
-    shared = rows.where(~F.col("key").rlike("^(" + "|".join(p.replace(".", r"\.") for p in MACHINE_LOCAL) + ")"))
+    shared = rows.where(~is_machine_local(F.col("key")))
     rank = F.row_number().over(W.partitionBy("key").orderBy(F.col("written").desc_nulls_last(), "drive_uuid"))
     return shared.withColumn("rank", rank).where("rank = 1").select("key", "value", F.col("written").isNull().alias("undated"))
 
@@ -55,6 +61,45 @@ def restore_apply(merged: DataFrame, current: DataFrame, known: DataFrame) -> Da
     return joined.select("key", "theirs", "ours", action.alias("action"))
 
 
+def restore_trips(days: DataFrame, claimed: DataFrame) -> DataFrame:
+    """Trips of the merged documents (trip, name, day; a trip without days has one null day) against claimed days
+    (day, name): dayless, unchanged if all its days have its name already, conflicting if any is another's, else applied."""
+    held = claimed.select("day", F.col("name").alias("holder"))
+    judged = days.join(held, "day", "left").groupBy("trip").agg(
+        F.first("name").alias("name"), F.count("day").alias("days"), F.count("holder").alias("held"), F.count_if(F.col("holder") == F.col("name")).alias("own")
+    )
+    action = (
+        F.when(F.col("days") == 0, "dayless").when(F.col("own") == F.col("days"), "unchanged").when(F.col("held") > 0, "conflicting").otherwise("applied")
+    )
+    return judged.select("trip", "name", action.alias("action"))
+
+
+def restore_events(events: DataFrame, current: DataFrame) -> DataFrame:
+    """Events (signature, name): unmatched where the catalog has no such members, unchanged or applied."""
+    joined = events.join(current.select("signature", F.col("name").alias("ours")), "signature", "left")
+    action = F.when(F.col("ours").isNull(), "unmatched").when(F.col("ours") == F.col("name"), "unchanged").otherwise("applied")
+    return joined.select("signature", "name", action.alias("action"))
+
+
+def restore_confirmations(confirmations: DataFrame, held: DataFrame, contents: DataFrame) -> DataFrame:
+    """Confirmed dates (sha256, captured_at, confirmed_at) against those held: an older or equally old one changes
+    nothing (newer_locally where the dates differ); one for a content that is unknown awaits it."""
+    ours = held.select("sha256", F.col("captured_at").alias("our_date"), F.col("confirmed_at").alias("our_time"))
+    joined = confirmations.join(ours, "sha256", "left").join(contents.select("sha256", F.lit(True).alias("known")).distinct(), "sha256", "left")
+    older = F.col("our_time") >= F.col("confirmed_at")
+    action = (
+        F.when(older & (F.col("our_date") != F.col("captured_at")), "newer_locally").when(older, "unchanged")
+        .when(F.col("our_time").isNull() & F.col("known").isNull(), "awaiting_content").otherwise("applied")
+    )
+    return joined.select("sha256", action.alias("action"))
+
+
+def restore_settings(settings: DataFrame, current: DataFrame) -> DataFrame:
+    """Settings (key, value) that aren't as they are here are applied."""
+    joined = settings.join(current.select("key", F.col("value").alias("ours")), "key", "left")
+    return joined.select("key", F.when(F.col("ours").eqNullSafe(F.col("value")), "unchanged").otherwise("applied").alias("action"))
+
+
 def would_lose(on_drive: DataFrame, document: DataFrame) -> DataFrame:
     """Sections in which a drive holds keys that the new document lacks. Both have section and key."""
     return on_drive.select("section", "key").distinct().exceptAll(document.select("section", "key").distinct()).groupBy("section").agg(F.count("*").alias("keys"))

@@ -8,9 +8,13 @@ threshold, ties to the earliest. Null digests never match.
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumibase.functions import origin
 from lumibase.functions.measures import hamming
 
 
@@ -32,24 +36,50 @@ def exact_matches(rows: DataFrame) -> DataFrame:
     return joined.select(*(F.col(c) for c in rows.columns), F.when(again, "exact").alias("kind"), F.when(again, F.col("f.seq")).alias("match_seq"), F.when(again, F.col("f.path")).alias("match_path"))
 
 
-def bands(signature: Column, threshold: int) -> Column:
-    """threshold + 1 bands of 64 bits: two signatures within the threshold agree on one at least."""
-    if not 0 <= threshold <= 15:
-        raise ValueError("thresholds from 0 to 15 have bands that tell signatures apart")
-    count = threshold + 1
+def pieces(threshold: int, agree: int) -> tuple[list[tuple[int, int]], list[tuple[int, ...]]]:
+    """The 64 bits in ``threshold + agree`` pieces (first bit, end), and all choices of ``agree`` of them: two signatures
+    within the threshold differ in at most so many pieces, and so are equal on one choice at least."""
+    if not 0 <= threshold <= 8:
+        raise ValueError("thresholds from 0 to 8 have pieces that tell signatures apart")
+    count = threshold + agree
     edges = [64 * k // count for k in range(count + 1)]
-    parts = [F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(signature, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("value")) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))] if count > 1 else [F.struct(F.lit(0).alias("band"), signature.alias("value"))]
-    return F.array(*parts)
+    return list(zip(edges, edges[1:], strict=False)), list(combinations(range(count), agree))
+
+
+def cheapest_agree(threshold: int, signatures: int) -> int:
+    """How many pieces have to agree so that keys and compared pairs are fewest for so many signatures. More of them
+    make more keys, each of more bits."""
+    cost = lambda agree: comb(threshold + agree, agree) * (1 + signatures / 2.0 ** (64 * agree / (threshold + agree)))
+    return min(range(1, 7), key=cost)
+
+
+def bands(signature: Column, threshold: int, agree: int = 1) -> Column:
+    """The keys (band, value) of a signature: each choice of pieces with their bits."""
+    spans, choices = pieces(threshold, agree)
+
+    def value(choice: tuple[int, ...]) -> Column:
+        bits = F.lit(0).cast("long")
+        for a, b in (spans[n] for n in choice):
+            own = F.shiftrightunsigned(signature, a)
+            bits = F.shiftleft(bits, b - a).bitwiseOR(own if b - a == 64 else own.bitwiseAND(F.lit((1 << (b - a)) - 1)))
+        return bits
 
+    return F.array(*(F.struct(F.lit(k).alias("band"), value(choice).alias("value")) for k, choice in enumerate(choices)))
 
-def signature_links(signatures: DataFrame, threshold: int) -> DataFrame:
+
+def signature_links(signatures: DataFrame, threshold: int, agree: int | None = None) -> DataFrame:
     """Pairs (a, b, distance) of different signatures within the threshold. Each signature occurs once in the input;
-    a pair comes from the first band on which it agrees."""
-    banded = signatures.select(F.col("perceptual").alias("sig"), F.explode(bands(F.col("perceptual"), threshold)).alias("p")).select("sig", "p.band", "p.value")
+    a pair comes from the first choice of pieces on which it agrees. How many pieces make a key follows from the number
+    of signatures, so that keys stay selective as the table grows."""
+    agree = agree or cheapest_agree(threshold, signatures.count())
+    banded = signatures.select(F.col("perceptual").alias("sig"), F.explode(bands(F.col("perceptual"), threshold, agree)).alias("p")).select("sig", "p.band", "p.value")
     a, b = banded.alias("a"), banded.alias("b")
     pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.value") == F.col("b.value"))).where((F.col("a.sig") != F.col("b.sig")) & (hamming(F.col("a.sig"), F.col("b.sig")) <= threshold))
-    own, other = bands(F.col("a.sig"), threshold), bands(F.col("b.sig"), threshold)
-    agreed = F.array_position(F.zip_with(own, other, lambda x, y: x == y), F.lit(True)) - 1
+    spans, choices = pieces(threshold, agree)
+    differ = F.col("a.sig").bitwiseXOR(F.col("b.sig"))
+    mask = lambda choice: sum(((1 << (b - a)) - 1) << a for a, b in (spans[n] for n in choice))
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    agreed = F.array_position(F.transform(F.array(*(F.lit(signed(mask(c))) for c in choices)), lambda m: differ.bitwiseAND(m) == 0), F.lit(True)) - 1
     first = pairs.where(agreed == F.col("a.band"))
     return first.select(F.col("a.sig").alias("a"), F.col("b.sig").alias("b"), hamming(F.col("a.sig"), F.col("b.sig")).alias("distance"))
 
@@ -100,17 +130,27 @@ def resolve(catalog: DataFrame, batch: DataFrame, threshold: int = 5, *, percept
     return found.where("part = 1").select("path", "sha256", kind.alias("kind"), F.coalesce("match_path", "near_path").alias("match_path"), part.alias("match_origin"), F.when(kind == "near", F.col("distance")).alias("distance"))
 
 
-def forecast(batch: DataFrame, slow: Column) -> DataFrame:
-    """Files and bytes that collide by size, and the share of formats that are slow to compare."""
-    sizes = batch.groupBy("size").agg(F.count("*").alias("n"), F.count_if(slow).alias("slow"))
-    shared = F.col("n") > 1
+# Formats whose look is slow to compute, and the share of images from which on that is worth saying.
+SLOW_FORMATS = ("heic", "heif", "hif")
+SLOW_SHARE = 0.25
+
+
+def forecast(batch: DataFrame, name: Column) -> DataFrame:
+    """What finding exact duplicates has to read (files that share a size, their bytes and the share of all bytes),
+    and how many of the images are slow to compare."""
+    image = F.coalesce(origin.media_kind(name) == "image", F.lit(False))
+    slow = image & origin.extension(name).isin(*SLOW_FORMATS)
+    sizes = batch.groupBy("size").agg(F.count("*").alias("n"), F.count_if(image).alias("images"), F.count_if(slow).alias("slow"))
+    shared = (F.col("n") > 1) & F.col("size").isNotNull()
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
     totals = sizes.agg(
-        F.sum("n").alias("files"),
-        F.coalesce(F.sum(F.when(shared, F.col("n"))), F.lit(0)).alias("colliding_files"),
-        F.coalesce(F.sum(F.when(shared, F.col("n") * F.col("size"))), F.lit(0)).alias("colliding_bytes"),
-        F.round(F.sum("slow") / F.sum("n"), 6).alias("slow_share"),
-    )
-    return totals.withColumn("slow_look", F.col("slow_share") >= 0.25)
+        total("n").alias("files"), total(F.col("n") * F.col("size")).alias("bytes"),
+        total(F.when(shared, F.col("n"))).alias("colliding_files"), total(F.when(shared, F.col("n") * F.col("size"))).alias("colliding_bytes"),
+        total("images").alias("images"), total("slow").alias("slow_images"),
+    )
+    part = lambda a, b: F.when(F.col(b) > 0, F.round(F.col(a) / F.col(b), 6)).otherwise(0.0)
+    shares = totals.withColumns({"share": part("colliding_bytes", "bytes"), "slow_share": part("slow_images", "images")})
+    return shares.withColumn("slow_look", F.col("slow_share") >= SLOW_SHARE)
 
 
 def duplicate_bytes(resolved: DataFrame) -> DataFrame:
@@ -151,7 +191,7 @@ def uncompared_photos(rows: DataFrame, kind: Column, sample: int = 20) -> DataFr
 
 
 def write_candidates(resolved: DataFrame, limit: int, *, skip_undated: bool = False) -> DataFrame:
-    """What a run would write: files, bytes, and those over the target's limit for a file."""
+    """What a run would write: files, bytes, and those over the target's limit for a file."""
     goes = F.col("kind") != "exact"
     if skip_undated:
         goes = goes & F.col("captured_at").isNotNull()
@@ -163,3 +203,8 @@ def folder_groups(listing: DataFrame, folder: Column, first: int = 20) -> DataFr
     groups = listing.groupBy(folder.alias("folder")).agg(F.count("*").alias("files"))
     total = groups.agg(F.count("*").alias("folders")).withColumn("k", F.lit(0))
     return groups.orderBy(F.desc("files"), "folder").limit(first).withColumn("k", F.lit(0)).join(total, "k").drop("k")
+
+
+def preflight(need: DataFrame, free_bytes: int | None) -> DataFrame:
+    """Whether what A30 would write fits; room that could not be measured counts as enough."""
+    return need.withColumn("fits", (F.lit(True) if free_bytes is None else F.col("bytes") <= free_bytes) & (F.col("oversized") == 0))

@@ -6,8 +6,9 @@ Items have library, key, sha256, captured_at and, if known, lat and lon. Ties in
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -27,25 +28,69 @@ class Clustering:
     jump_km: float = 50.0
 
 
+def numbered(rows: DataFrame, keys: list[str], bucket: Column, order: list[Column | str], out: str = "n") -> DataFrame:
+    """Adds row_number() by keys in an order that begins with the bucket. Rows are numbered within a key's bucket, and
+    what the key's earlier buckets hold is added, so a key that very many rows have is not one task."""
+    placed = rows.withColumn("_bucket", bucket)
+    counts = placed.groupBy(*keys, "_bucket").agg(F.count("*").alias("_rows"))
+    before = F.coalesce(F.sum("_rows").over(W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(*(F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)), F.col("_bucket").alias("_b"), before.alias("_before"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{n}")) for n, k in enumerate(keys)] + [F.col("_bucket").eqNullSafe(F.col("_b"))]
+    own = placed.withColumn("_own", F.row_number().over(W.partitionBy(*keys, "_bucket").orderBy(*order)))
+    return own.join(offsets, reduce(Column.__and__, same)).withColumn(out, F.col("_own") + F.col("_before")).select(*rows.columns, out)
+
+
+def _tail(array: Column, n: int) -> Column:
+    return F.reverse(F.slice(F.reverse(array), 1, n))
+
+
+def _log_gaps(times: Column) -> Column:
+    """The logarithms of the gaps between neighbouring times."""
+    return F.zip_with(F.slice(times, F.lit(1), F.greatest(F.size(times) - 1, F.lit(0))), F.slice(times, 2, 1 << 20), lambda a, b: F.log1p(F.greatest(b - a, F.lit(0.0))))
+
+
 def segments(items: DataFrame, by: Clustering = Clustering()) -> DataFrame:
     """W1, first half: adds segment, the number of the stretch between boundaries, per library.
 
     A gap is a boundary if it is over the longest allowed, or at least the shortest and far above the median of its
-    neighbours (log scale, itself left out), or if the place jumps."""
-    order = W.partitionBy("library").orderBy("captured_at", "sha256")
-    seconds = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6
-    gaps = items.withColumns({"gap": seconds(F.lead("captured_at").over(order)) - seconds(F.col("captured_at")), "next_lat": F.lead("lat").over(order), "next_lon": F.lead("lon").over(order)})
+    neighbours (log scale, itself left out), or if the place jumps.
+
+    A library is taken day by day. A day's rows need no more of the others than the times of the nearest rows on both
+    sides and how many boundaries lie before; both come from a table with one row for each day of a library, so a
+    library of any size is as many tasks as it has days. Undated items are a day of their own."""
+    w = by.window
+    key = ["library", "_day"]
+    day = W.partitionBy(*key).orderBy("captured_at", "sha256")
+    days = W.partitionBy("library").orderBy("_day")
+    rows = items.withColumns({"_day": F.to_date("captured_at"), "_t": F.unix_micros(F.col("captured_at").cast("timestamp")) / 1e6})
+    back = W.partitionBy(*key).orderBy(F.desc("captured_at"), F.desc("sha256"))
+    ends = rows.withColumns({"_n": F.row_number().over(day), "_m": F.row_number().over(back)}).where((F.col("_n") <= w + 1) | (F.col("_m") <= w + 1))
+    listed = lambda n: F.transform(F.array_sort(F.collect_list(F.when(F.col(n) <= w + 1, F.struct(n, "_t")))), lambda x: x["_t"])
+    table = ends.groupBy(*key).agg(listed("_n").alias("head"), F.reverse(listed("_m")).alias("tail"), F.min(F.when(F.col("_n") == 1, F.struct("lat", "lon"))).alias("place"))
+    before = _tail(F.flatten(F.collect_list("tail").over(days.rowsBetween(-w - 1, -1))), w + 1)
+    after = F.slice(F.flatten(F.collect_list("head").over(days.rowsBetween(1, w + 1))), 1, w + 1)
+    halo = table.withColumns({"before": before, "after": after, "next_place": F.lead("place").over(days)})
+    last = F.when((F.size("after") > 0) & (F.size("after") <= w), F.array(F.lit(0.0))).otherwise(F.array().cast("array<double>"))
+    halo = halo.select(
+        F.col("library").alias("_l"), F.col("_day").alias("_d"), F.get("after", F.lit(0)).alias("_next_t"), "next_place",
+        _tail(_log_gaps(F.concat("before", F.slice("head", 1, 1))), w).alias("_before"), F.slice(F.concat(_log_gaps(F.col("after")), last), 1, w).alias("_after"),
+    )
+    joined = rows.join(halo, F.col("library").eqNullSafe(F.col("_l")) & F.col("_day").eqNullSafe(F.col("_d")))
+    gaps = joined.withColumns({"gap": F.coalesce(F.lead("_t").over(day), "_next_t") - F.col("_t"), "_place": F.coalesce(F.lead(F.struct("lat", "lon")).over(day), "next_place")})
     gaps = gaps.withColumn("log_gap", F.log1p(F.greatest(F.col("gap"), F.lit(0.0))))
-    around = F.concat(F.collect_list("log_gap").over(order.rowsBetween(-by.window, -1)), F.collect_list("log_gap").over(order.rowsBetween(1, by.window)))
-    gaps = gaps.withColumn("around", F.array_sort(around))
+    gaps = gaps.withColumns({"_p": F.collect_list("log_gap").over(day.rowsBetween(-w, -1)), "_q": F.collect_list("log_gap").over(day.rowsBetween(1, w))})
+    missing = lambda near: F.greatest(F.lit(w) - F.size(near), F.lit(0))
+    gaps = gaps.withColumn("around", F.array_sort(F.concat(_tail(F.col("_before"), missing("_p")), "_p", "_q", F.slice("_after", F.lit(1), missing("_q")))))
     n = F.size("around")
     middle = (F.get("around", F.floor((n - 1) / 2).cast("int")) + F.get("around", F.floor(n / 2).cast("int"))) / 2
     unusual = (F.col("gap") >= by.least_gap_s) & (n > 0) & (F.col("log_gap") - middle > by.sensitivity)
-    jump = haversine_km(F.col("lat"), F.col("lon"), F.col("next_lat"), F.col("next_lon")) > by.jump_km
-    ends = F.coalesce((F.col("gap") > by.most_gap_s) | unusual, F.lit(False)) | F.coalesce(jump, F.lit(False))
-    cut = gaps.withColumn("ends", ends.cast("int"))
-    segment = F.coalesce(F.sum("ends").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return cut.withColumn("segment", segment).select(*items.columns, "segment")
+    jump = haversine_km(F.col("lat"), F.col("lon"), F.col("_place.lat"), F.col("_place.lon")) > by.jump_km
+    cut = gaps.withColumn("_ends", (F.coalesce((F.col("gap") > by.most_gap_s) | unusual, F.lit(False)) | F.coalesce(jump, F.lit(False))).cast("int"))
+    sums = cut.groupBy(*key).agg(F.sum("_ends").alias("_sum"))
+    sums = sums.select(F.col("library").alias("_sl"), F.col("_day").alias("_sd"), F.coalesce(F.sum("_sum").over(days.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
+    segment = F.coalesce(F.sum("_ends").over(day.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + F.col("_offset")
+    placed = cut.join(sums, F.col("library").eqNullSafe(F.col("_sl")) & F.col("_day").eqNullSafe(F.col("_sd")))
+    return placed.withColumn("segment", segment).select(*items.columns, "segment")
 
 
 def cluster_events(items: DataFrame, by: Clustering = Clustering()) -> DataFrame:
@@ -108,13 +153,25 @@ def named_overlay(events: DataFrame, names: DataFrame, skipped: DataFrame) -> Da
     return events.join(skipped.select("signature"), "signature", "left_anti").join(names.select("signature", "name"), "signature", "left")
 
 
-def review_cards(trips: DataFrame, events: DataFrame) -> DataFrame:
-    """A card for each proposed trip, and for each event whose first day no trip claims; largest first."""
+def named_trips(trips: DataFrame, claimed: DataFrame) -> DataFrame:
+    """Each trip with the name of the trip that holds the first of its days that any holds (claimed: library, day,
+    name)."""
+    held = trips.select("library", "start_date", F.explode(F.map_keys("days")).alias("day")).join(claimed, ["library", "day"])
+    return trips.join(held.groupBy("library", "start_date").agg(F.min_by("name", "day").alias("name")), ["library", "start_date"], "left")
+
+
+def review_cards(trips: DataFrame, events: DataFrame, items: DataFrame) -> DataFrame:
+    """A card for each proposed trip, and for each event whose first day no trip claims; largest first. ``files`` is
+    what the card holds, ``day_total`` all files of its first day, ``name`` what it is named already (J15)."""
     proposed = trips.where("outcome = 'proposed'")
     claimed = proposed.select("library", F.explode(F.map_keys("days")).alias("day")).distinct()
     free = events.withColumn("day", F.to_date("start")).join(claimed, ["library", "day"], "left_anti")
-    cards = proposed.select("library", F.lit("trip").alias("kind"), F.col("start_date").alias("first_day"), F.col("end_date").alias("last_day"), "files")
-    return cards.unionByName(free.select("library", F.lit("event").alias("kind"), F.col("day").alias("first_day"), F.to_date("end").alias("last_day"), "files"))
+    none = F.lit(None).cast("string")
+    name = lambda df: (F.col("name") if "name" in df.columns else none).alias("name")
+    cards = proposed.select("library", F.lit("trip").alias("kind"), F.col("start_date").alias("first_day"), F.col("end_date").alias("last_day"), "files", none.alias("signature"), name(trips))
+    cards = cards.unionByName(free.select("library", F.lit("event").alias("kind"), F.col("day").alias("first_day"), F.to_date("end").alias("last_day"), "files", "signature", name(events)))
+    totals = items.groupBy("library", F.to_date("captured_at").alias("first_day")).agg(F.count("*").alias("day_total"))
+    return cards.join(totals, ["library", "first_day"], "left").orderBy(F.desc("files"), "library", "first_day", "signature")
 
 
 def merge_cards(cards: DataFrame, day_counts: DataFrame, most_days: int = 30) -> DataFrame:
@@ -142,10 +199,20 @@ def commit_trips(decisions: DataFrame, claims: DataFrame) -> DataFrame:
     return judged.select("decision", "days", action.alias("action"), F.when(action == "refresh", F.col("one")).alias("trip_id"))
 
 
+def commit_events(decisions: DataFrame, events: DataFrame, skips: DataFrame) -> DataFrame:
+    """Decisions (signature, name) on events (signature, name) and skips (signature): a known event keeps its name
+    whatever was decided; else a name makes one; without one the cluster is skipped, once."""
+    held = events.select("signature", F.col("name").alias("held"))
+    judged = decisions.join(held, "signature", "left").join(skips.select("signature", F.lit(True).alias("skipped")).distinct(), "signature", "left")
+    given = F.nullif(F.trim("name"), F.lit(""))
+    action = F.when(F.col("held").isNotNull(), "link").when(given.isNotNull(), "create").when(F.col("skipped"), "nothing").otherwise("skip")
+    return judged.select("signature", action.alias("action"), F.coalesce("held", given).alias("name"))
+
+
 def disambiguate_folders(events: DataFrame) -> DataFrame:
     """Events that render to one folder (whatever its case) get `` (2)``, `` (3)`` behind it, by start and key."""
-    n = F.row_number().over(W.partitionBy(F.lower("folder")).orderBy("start", "key"))
-    return events.withColumn("n", n).withColumn("folder", F.when(F.col("n") > 1, F.concat("folder", F.lit(" ("), F.col("n").cast("string"), F.lit(")"))).otherwise(F.col("folder"))).drop("n")
+    rows = numbered(events.withColumn("_folder", F.lower("folder")), ["_folder"], F.to_date("start"), ["start", "key"], "n")
+    return rows.withColumn("folder", F.when(F.col("n") > 1, F.concat("folder", F.lit(" ("), F.col("n").cast("string"), F.lit(")"))).otherwise(F.col("folder"))).drop("n", "_folder")
 
 
 def folder_suggestions(members: DataFrame, roots: DataFrame | None = None, *, levels: int = 3, majority: float = 0.7) -> DataFrame:
@@ -167,8 +234,8 @@ def suggestion_roots(members: DataFrame, *, share: float = 0.8, least_cards: int
     """Folder names that most cards carry, and which so name none of them."""
     folders = F.transform(paths.ancestors(F.col("path")), lambda p: F.element_at(F.split(p, "/"), -1))
     names = members.select("cluster", F.explode(folders).alias("raw")).select("cluster", paths.tidy_folder(F.col("raw")).alias("name")).distinct()
-    total = members.select("cluster").distinct().agg(F.count("*").alias("cards")).withColumn("k", F.lit(0))
-    counted = names.groupBy("name").agg(F.count("*").alias("n")).withColumn("k", F.lit(0)).join(total, "k")
+    cards = members.select("cluster").distinct().agg(F.count("*").alias("cards"))
+    counted = names.groupBy("name").agg(F.count("*").alias("n")).join(F.broadcast(cards), F.lit(True))  # one row
     return counted.where((F.col("cards") >= least_cards) & (F.col("n") >= share * F.col("cards"))).select("name", "n")
 
 

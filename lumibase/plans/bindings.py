@@ -39,8 +39,11 @@ FROM {{orders}}""",
   max(CASE WHEN l_returnflag = 'A' THEN l_shipdate END) AS date_baked_at
 FROM {lineitem} GROUP BY l_orderkey, l_suppkey""",
     "drives": "SELECT CAST(s_suppkey AS STRING) AS uuid, s_name AS label FROM {supplier}",
-    "items": """SELECT user_id AS library, event_id AS key, lpad(CAST(event_id AS STRING), 12, '0') AS sha256, ts AS captured_at, event_type AS category,
-  CAST(NULL AS DOUBLE) AS lat, CAST(NULL AS DOUBLE) AS lon, CASE WHEN event_id % 5 = 0 THEN event_id END AS event_id
+    "items": """SELECT user_id AS library, event_id AS key, lpad(CAST(event_id AS STRING), 12, '0') AS sha256,
+  ts - INTERVAL '1' DAY * (day(ts) - (day(ts) - (day(ts) - 1) % 10 + (day(ts) - 1) % 3)) - INTERVAL '1' HOUR * (hour(ts) - 10) AS captured_at, event_type AS category,
+  CASE WHEN event_id % 6 > 0 THEN CAST(user_id * 7 % 120 - 60 + CASE WHEN user_id % 4 = 0 AND minute(ts) >= 30 THEN 1 ELSE 0 END AS DOUBLE) END AS lat,
+  CASE WHEN event_id % 6 > 0 THEN CAST(user_id * 11 % 300 - 150 AS DOUBLE) END AS lon, CASE WHEN event_id % 5 = 0 THEN event_id END AS event_id,
+  'Home Place/' || CASE WHEN event_id % 5 = 0 THEN 'DCIM' ELSE 'Trip' || CAST(user_id % 7 AS STRING) END || '/' || CAST(event_id AS STRING) || '.jpg' AS path
 FROM {events}""",
     "media": f"""SELECT o_orderkey AS id,
   CASE o_orderkey % 14 WHEN 0 THEN 'IMG-' || {_DAY} || '-WA0020.jpg' WHEN 1 THEN 'Screenshot_' || {_DAY} || '_001427.png' WHEN 2 THEN 'IMG_' || {_DAY} || '_120000.jpg'
@@ -58,10 +61,16 @@ FROM {events}""",
   CASE WHEN o_custkey % 2 = 0 THEN '+02:00' END AS zone,
   CASE WHEN o_orderstatus = 'F' THEN o_orderdate END AS taken_at
 FROM {{orders}}""",
-    "docs": """SELECT doc_id, '/' || source || '/' || lang || '/doc_' || CAST(doc_id AS STRING) || '.txt' AS path, md5(text) AS sha256,
-  n_chars AS size, n_chars % 997 AS perceptual, doc_id % 4 AS part FROM {documents}""",
+    "docs": """SELECT doc_id, path, sha256, size, b - b % 8 + size % 8 AS perceptual, part FROM (SELECT doc_id, '/' || source || '/' || lang || '/doc_' || CAST(doc_id AS STRING) || '.txt' AS path, md5(text) AS sha256,
+  n_chars AS size, <HEX60 CAST(n_chars - n_chars % 8 AS STRING)> AS b, doc_id % 4 AS part FROM {documents})""",
+    "shots": """SELECT id, path, size, sha256, b - b % 4 + id % 4 AS perceptual, part FROM (SELECT o_orderkey AS id, '/b/' || CAST(o_orderkey AS STRING) || '.jpg' AS path, CAST(floor(o_totalprice / 100) AS BIGINT) AS size,
+  CASE WHEN o_orderkey % 50 <> 7 THEN md5(CAST(o_orderkey - o_orderkey % 3 AS STRING)) END AS sha256, <HEX60 CAST(o_orderkey - o_orderkey % 8 AS STRING)> AS b, o_orderkey % 4 AS part FROM {orders})""",
 }
-_BASE = {"files": "orders", "copies": "lineitem", "drives": "supplier", "items": "events", "media": "orders", "docs": "documents"}
+_BASE = {"files": "orders", "copies": "lineitem", "drives": "supplier", "items": "events", "media": "orders", "docs": "documents", "shots": "orders"}
+
+
+#: 60 bits of a text's digest, which the two engines write differently.
+HEX60 = re.compile(r"<HEX60 (.*?)>")
 
 
 class Tables:
@@ -75,18 +84,22 @@ class Tables:
 
     def view(self, name: str) -> DataFrame:
         base = _BASE[name]
-        return self.spark.sql(VIEWS[name], **{base: self.raw(base)})
+        return self.spark.sql(HEX60.sub(r"CAST(conv(substr(md5(\1), 1, 15), 16, 10) AS BIGINT)", VIEWS[name]), **{base: self.raw(base)})
 
     files = cached_property(lambda self: self.view("files"))
     copies = cached_property(lambda self: self.view("copies"))
     drives = cached_property(lambda self: self.view("drives"))
     items = cached_property(lambda self: self.view("items"))
     docs = cached_property(lambda self: self.view("docs"))
+    shots = cached_property(lambda self: self.view("shots"))
 
     @cached_property
     def media(self) -> DataFrame:
         """With the metadata as a struct, tags."""
         rows = self.view("media")
+        cores = self.spark.sparkContext.defaultParallelism
+        if rows.rdd.getNumPartitions() < cores:  # a small file is one task, and dates are work for all cores
+            rows = rows.repartition(cores)
         none = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
         tags = F.struct(
             F.col("make").alias("Make"), F.col("model").alias("Model"), F.col("software").alias("Software"), F.col("samsung").alias("SamsungCaptureInfo"),
@@ -96,14 +109,15 @@ class Tables:
         return rows.withColumn("tags", tags)
 
 
-for _name in ("files", "copies", "drives", "items", "docs"):
+for _name in ("files", "copies", "drives", "items", "docs", "shots"):
     getattr(Tables, _name).__set_name__(Tables, _name)
 
 
 def with_views(sql: str) -> str:
     """DuckDB SQL with the views that it names in front."""
     used = [n for n in VIEWS if re.search(rf"\b{n}\b", sql)]
-    views = [f"{n} AS ({VIEWS[n].replace('{' + _BASE[n] + '}', _BASE[n])})" for n in used]
+    own = {n: HEX60.sub(r"CAST('0x' || substr(md5(\1), 1, 15) AS BIGINT)", VIEWS[n]) for n in used}
+    views = [f"{n} AS ({own[n].replace('{' + _BASE[n] + '}', _BASE[n])})" for n in used]
     body = sql.strip()
     if body.upper().startswith("WITH "):
         return "WITH " + ",\n".join([*views, body[5:]])

@@ -11,9 +11,9 @@ from lumibase.plans.registry import query
 NOW = "2005-01-01 00:00:00"
 SIDE = "category IN ('Screenshots', 'Saved')"
 
-query("a1_stats_summary", f"""WITH c AS (SELECT sha256, count(*) n, count(last_verified) v FROM copies GROUP BY 1), h AS (SELECT f.*, coalesce(n, 0) n, v FROM files f LEFT JOIN c USING (sha256))
+query("a1_stats_summary", """WITH c AS (SELECT sha256, count(*) n, count(last_verified) v FROM copies GROUP BY 1), h AS (SELECT f.*, coalesce(n, 0) n, v FROM files f LEFT JOIN c USING (sha256))
 SELECT count(*) AS files, coalesce(sum(size), 0)::BIGINT AS bytes, count(*) FILTER (n >= 2) AS on_two_drives, count(*) FILTER (n = 1) AS on_one_drive, count(*) FILTER (n = 0) AS on_no_drive,
- count(*) FILTER (n > 0 AND v = 0) AS never_verified, count(*) FILTER (captured_at IS NULL) AS undated, count(*) FILTER (category = 'Camera') AS timeline, count(*) FILTER ({SIDE}) AS side_bin,
+ count(*) FILTER (coalesce(v, 0) = 0) AS never_verified, count(*) FILTER (captured_at IS NULL) AS undated, count(*) FILTER (captured_at IS NOT NULL AND category = 'Camera') AS timeline, count(*) FILTER (captured_at IS NULL OR category <> 'Camera') AS side_bin,
  min(captured_at) AS earliest, max(captured_at) AS latest FROM h""")(lambda t: catalog.stats_summary(t.files, t.copies))
 
 query("a2_custody_floor", """WITH c AS (SELECT sha256, count(*) FILTER (missing_at IS NULL) n FROM copies GROUP BY 1), h AS (SELECT coalesce(n, 0) n FROM files LEFT JOIN c USING (sha256))
@@ -25,8 +25,8 @@ query("a3_list_drives", """WITH c AS (SELECT drive_uuid uuid, count(*) files, co
 SELECT uuid, label, coalesce(files, 0) AS files, coalesce(missing, 0) AS missing, coalesce(confirmed, 0) AS confirmed, coalesce(bytes, 0) AS bytes, last_missing, verified FROM drives LEFT JOIN c USING (uuid)""")(
     lambda t: catalog.list_drives(t.drives, t.copies))
 
-query("a4_drive_verified", """SELECT drive_uuid AS uuid, CASE WHEN count(*) = count(last_verified) THEN min(last_verified) END AS verified FROM copies WHERE sha256 LIKE '%7' GROUP BY 1""")(
-    lambda t: catalog.list_drives(t.drives, t.copies.where("sha256 LIKE '%7'")).where("files > 0").select("uuid", "verified"))
+query("a4_drive_verified", """SELECT drive_uuid AS uuid, CASE WHEN count(*) = count(last_verified) THEN min(last_verified) END AS verified FROM copies GROUP BY 1""")(
+    lambda t: catalog.list_drives(t.drives, t.copies).where("files > 0").select("uuid", "verified"))
 
 query("a5_content_totals", """WITH s AS (SELECT sha256 FROM copies WHERE missing_at IS NULL GROUP BY 1 HAVING count(*) = 1)
 SELECT count(*) AS files, sum(size)::BIGINT AS bytes, (SELECT count(*) FROM s) AS single_copies FROM files""")(lambda t: catalog.content_totals(t.files, t.copies))
@@ -43,19 +43,7 @@ query("a8_counts_by_format", """SELECT CASE ext WHEN 'jpg' THEN 'image' WHEN 'he
 query("a9_near_dup_flagged", "SELECT count(*) AS groups, coalesce(sum(n), 0)::BIGINT AS files FROM (SELECT count(*) n FROM files WHERE perceptual IS NOT NULL GROUP BY perceptual HAVING count(*) > 1)")(
     lambda t: catalog.near_dup_flagged(t.files))
 
-query("a18_custody_freshness", f"""WITH d AS (SELECT drive_uuid, count(*) n, CASE WHEN count(*) = count(last_verified) THEN min(last_verified) END v FROM copies WHERE sha256 LIKE '%77' GROUP BY 1),
-j AS (SELECT * FROM d JOIN drives ON uuid = drive_uuid)
-SELECT count(*) FILTER (v IS NULL) AS never_checked, coalesce(array_to_string(list_sort(list(label) FILTER (v IS NULL))[1:20], ';'), '') AS never_checked_names, min(v) AS oldest_check,
- greatest(0, floor((epoch(TIMESTAMP '{NOW}') - epoch(min(v))) / 86400))::BIGINT AS age_days,
- CASE WHEN greatest(0, floor((epoch(TIMESTAMP '{NOW}') - epoch(min(v))) / 86400)) >= 90 THEN 'stale' WHEN greatest(0, floor((epoch(TIMESTAMP '{NOW}') - epoch(min(v))) / 86400)) >= 30 THEN 'softening' ELSE 'fresh' END AS tier FROM j""")(
-    lambda t: catalog.custody_freshness(t.drives, t.copies.where("sha256 LIKE '%77'"), NOW).withColumn("never_checked_names", F.substring_index("never_checked_names", ";", 20)))
-
-# the same two over every copy; the SQL of the two above is theirs alone
-
-query("a4_drive_verified_all_copies", """SELECT drive_uuid AS uuid, CASE WHEN count(*) = count(last_verified) THEN min(last_verified) END AS verified FROM copies GROUP BY 1""")(
-    lambda t: catalog.list_drives(t.drives, t.copies).where("files > 0").select("uuid", "verified"))
-
-query("a18_custody_freshness_all_copies", f"""WITH d AS (SELECT drive_uuid, CASE WHEN count(*) = count(last_verified) THEN min(last_verified) END v FROM copies GROUP BY 1), j AS (SELECT label, v FROM d JOIN drives ON uuid = drive_uuid),
+query("a18_custody_freshness", f"""WITH d AS (SELECT drive_uuid, CASE WHEN count(*) = count(last_verified) THEN min(last_verified) END v FROM copies GROUP BY 1), j AS (SELECT label, v FROM d JOIN drives ON uuid = drive_uuid),
 a AS (SELECT count(*) FILTER (v IS NULL) AS never_checked, coalesce(string_agg(label, ';' ORDER BY label) FILTER (v IS NULL), '') AS never_checked_names, min(v) AS oldest_check, greatest(0, floor((epoch(TIMESTAMP '{NOW}') - epoch(min(v))) / 86400))::BIGINT AS days FROM j)
 SELECT never_checked, never_checked_names, oldest_check, days AS age_days, CASE WHEN days >= 90 THEN 'stale' WHEN days >= 30 THEN 'softening' ELSE 'fresh' END AS tier FROM a""")(
     lambda t: catalog.custody_freshness(t.drives, t.copies, NOW))
@@ -77,17 +65,19 @@ SELECT run_id, drive_uuid, intended, finished_at, coalesce(moves, 0) AS moves, l
 query("j6_copies_on_drive", "SELECT sha256, relative, captured_at, source_path FROM copies JOIN files USING (sha256) WHERE drive_uuid = '7' AND category = 'Camera' AND captured_at IS NOT NULL")(
     lambda t: catalog.copies_on_drive(t.files, t.copies, "7", "Camera"))
 
-CANDIDATES = "cand AS (SELECT c.sha256, relative, last_verified, source_path, f.size, n AS copies FROM copies c JOIN files f USING (sha256) JOIN (SELECT sha256, count(*) n FROM copies GROUP BY 1) USING (sha256) WHERE drive_uuid = '9')"
+CANDIDATES = "cand AS (SELECT c.sha256, relative, copy_sha256, last_verified, source_path, f.size, n AS copies FROM copies c JOIN files f USING (sha256) JOIN (SELECT sha256, count(*) n FROM copies GROUP BY 1) USING (sha256) WHERE drive_uuid = '9')"
 query("j7_reclaim_candidates", f"WITH {CANDIDATES} SELECT * FROM cand")(lambda t: catalog.reclaim_candidates(t.files, t.copies, "9"))
 
-query("j8_reclaim_plan", f"""WITH {CANDIDATES}, l AS (SELECT DISTINCT source_path FROM files WHERE size % 3 <> 0)
-SELECT CASE WHEN l.source_path IS NULL THEN 'missing_source' WHEN cand.source_path = '/src/' || relative THEN 'source_is_copy' WHEN last_verified IS NULL THEN 'unverified' WHEN copies < 3 THEN 'below_min_copies' ELSE 'candidate' END AS bucket,
- count(*) AS files, sum(size)::BIGINT AS bytes FROM cand LEFT JOIN l ON l.source_path = cand.source_path GROUP BY 1""")(
-    lambda t: catalog.reclaim_plan(catalog.reclaim_candidates(t.files, t.copies, "9"), t.files.where("size % 3 <> 0").select(F.col("source_path").alias("path")), "/src/", 3))
+query("j8_reclaim_plan", f"""WITH {CANDIDATES}, l AS (SELECT DISTINCT source_path FROM files WHERE size % 3 <> 0),
+o AS (SELECT relative, CASE WHEN size % 5 = 0 THEN 'other' ELSE sha256 END digest FROM copies WHERE drive_uuid = '9' AND size % 11 <> 0)
+SELECT CASE WHEN l.source_path IS NULL THEN 'missing_source' WHEN cand.source_path = '/src/' || relative THEN 'source_is_copy' WHEN copy_sha256 IS NULL OR digest IS NULL OR digest <> copy_sha256 THEN 'unverified' WHEN copies < 3 THEN 'below_min_copies' ELSE 'candidate' END AS bucket,
+ count(*) AS files, sum(size)::BIGINT AS bytes FROM cand LEFT JOIN l ON l.source_path = cand.source_path LEFT JOIN o USING (relative) GROUP BY 1""")(
+    lambda t: catalog.reclaim_plan(catalog.reclaim_candidates(t.files, t.copies, "9"), t.files.where("size % 3 <> 0").select(F.col("source_path").alias("path")),
+        t.copies.where("drive_uuid = '9' AND size % 11 <> 0").selectExpr("relative", "CASE WHEN size % 5 = 0 THEN 'other' ELSE sha256 END AS digest"), "/src/", 3))
 
 FOUND = "SELECT sha256, original_name, relative, label FROM copies JOIN files USING (sha256) JOIN drives ON uuid = drive_uuid WHERE original_name ILIKE '%_12%' OR relative ILIKE '%_12%' OR source_path ILIKE '%_12%'"
 query("j9_find_copies", FOUND)(lambda t: catalog.find_copies(t.files, t.copies, t.drives, "_12"))
-query("t3_find_copies_page", FOUND + " ORDER BY sha256, label, relative LIMIT 50 OFFSET 100")(lambda t: catalog.page(catalog.find_copies(t.files, t.copies, t.drives, "_12"), ["sha256", "label", "relative"], 2))
+query("t3_find_copies_page", f"WITH r AS ({FOUND}) SELECT *, (SELECT count(*) FROM r) AS total, CAST(ceil((SELECT count(*) FROM r) / 50) AS BIGINT) AS pages FROM r ORDER BY sha256, label, relative LIMIT 50 OFFSET 100")(lambda t: catalog.page(catalog.find_copies(t.files, t.copies, t.drives, "_12"), ["sha256", "label", "relative"], 2))
 
 query("j10_single_copy", """WITH o AS (SELECT sha256 FROM copies WHERE missing_at IS NULL GROUP BY 1 HAVING count(*) = 1)
 SELECT sha256, original_name, label, relative FROM copies SEMI JOIN o USING (sha256) JOIN files USING (sha256) JOIN drives ON uuid = drive_uuid WHERE missing_at IS NULL""")(lambda t: catalog.single_copy(t.files, t.copies, t.drives))
@@ -96,8 +86,9 @@ query("j11_zero_drive", "SELECT sha256, size, category FROM files ANTI JOIN copi
 
 CONFIRMED = "conf AS (SELECT sha256, captured_at + INTERVAL 1 DAY AS captured_at FROM files WHERE size % 13 = 0 AND captured_at IS NOT NULL)"
 confirmed = lambda t: t.files.where("size % 13 = 0 AND captured_at IS NOT NULL").select("sha256", F.expr("captured_at + INTERVAL 1 DAY").alias("captured_at"))
-query("j12_confirmations_to_bake", f"WITH {CONFIRMED} SELECT label, count(*) AS waiting FROM copies SEMI JOIN conf USING (sha256) JOIN drives ON uuid = drive_uuid WHERE date_baked_at IS NULL GROUP BY label")(
-    lambda t: catalog.confirmations_to_bake(confirmed(t), t.copies, t.drives))
+query("j12_confirmations_to_bake", f"WITH {CONFIRMED} SELECT conf.sha256, conf.captured_at, relative FROM conf JOIN copies USING (sha256) WHERE drive_uuid = '6' AND date_baked_at IS NULL")(lambda t: catalog.confirmations_to_bake(confirmed(t), t.copies, "6"))
+query("j12_drives_awaiting_bake", f"WITH {CONFIRMED} SELECT drive_uuid AS uuid, label, count(*) AS files FROM copies SEMI JOIN conf USING (sha256) JOIN drives ON uuid = drive_uuid WHERE date_baked_at IS NULL AND drive_uuid <> '6' GROUP BY 1, 2")(
+    lambda t: catalog.drives_awaiting_bake(confirmed(t), t.copies, t.drives, "6"))
 
 query("j13_missing_on_target", "SELECT DISTINCT sha256 FROM copies WHERE drive_uuid = '3' AND missing_at IS NULL AND sha256 NOT IN (SELECT sha256 FROM copies WHERE drive_uuid = '4' AND missing_at IS NULL)")(
     lambda t: catalog.missing_on_target(t.copies, "3", "4"))
@@ -109,12 +100,18 @@ query("u1_attachable_hashes", "SELECT sha256, sha256 AS digest FROM files UNION
 query("u2_placed", "SELECT sha256 FROM files INTERSECT SELECT sha256 FROM copies")(lambda t: catalog.placed(t.files, t.copies))
 query("u2_unplaced", "SELECT DISTINCT sha256 FROM files ANTI JOIN copies USING (sha256)")(lambda t: catalog.unplaced(t.files, t.copies))
 
-query("t1_largest_files", "SELECT sha256, source_path, size FROM files ORDER BY size DESC, source_path, sha256 LIMIT 20")(lambda t: catalog.largest_files(t.files).select("sha256", "source_path", "size"))
-query("t2_date_tier", "SELECT sha256, captured_at FROM files WHERE date_source IS NULL ORDER BY captured_at DESC NULLS LAST, sha256 LIMIT 50")(lambda t: catalog.date_tier(t.files, None).select("sha256", "captured_at"))
+query("t1_largest_files", "SELECT sha256, source_path, size, (SELECT count(*) FROM files WHERE size IS NOT NULL) AS total FROM files WHERE size IS NOT NULL ORDER BY size DESC, source_path, sha256 LIMIT 20")(lambda t: catalog.largest_files(t.files).select("sha256", "source_path", "size", "total"))
+query("t2_date_tier", "SELECT sha256, captured_at, (SELECT count(*) FROM files WHERE date_source IS NULL) AS total FROM files WHERE date_source IS NULL ORDER BY captured_at DESC NULLS LAST, sha256 LIMIT 50")(lambda t: catalog.date_tier(t.files, None).select("sha256", "captured_at", "total"))
+query("t2_undated_samples", "SELECT sha256, original_name, source_path, (SELECT count(*) FROM files WHERE captured_at IS NULL) AS total FROM files WHERE captured_at IS NULL ORDER BY original_name, sha256 LIMIT 12")(lambda t: catalog.undated_samples(t.files))
+query("t2_zero_drive_samples", "WITH z AS (SELECT * FROM files ANTI JOIN copies USING (sha256)) SELECT sha256, original_name, source_path, (SELECT count(*) FROM z) AS total FROM z ORDER BY original_name, sha256 LIMIT 12")(lambda t: catalog.zero_drive_samples(t.files, t.copies))
 query("t4_drives_holding", "SELECT label, count(*) AS files FROM copies JOIN drives ON uuid = drive_uuid WHERE missing_at IS NULL GROUP BY label ORDER BY 2 DESC, 1")(
     lambda t: catalog.present(t.copies).join(t.drives, F.col("uuid") == F.col("drive_uuid")).groupBy("label").agg(F.count("*").alias("files")).orderBy(F.desc("files"), "label"))
 
-query("s4_media_names", "SELECT DISTINCT original_name, size FROM files WHERE size IS NOT NULL AND category = 'Camera'")(lambda t: t.files.where("size IS NOT NULL AND category = 'Camera'").select("original_name", "size").distinct())
+query("s4_seed_rows", "SELECT source_path, sha256, perceptual FROM files")(lambda t: catalog.seed_rows(t.files))
+query("s4_known_sizes", "SELECT DISTINCT size FROM files WHERE size IS NOT NULL")(lambda t: catalog.known_sizes(t.files))
+query("s4_organized_files", "SELECT sha256, size FROM files SEMI JOIN copies USING (sha256)")(lambda t: catalog.organized_files(t.files, t.copies))
+query("s4_copy_names", "SELECT sha256, split_part(relative, '/', -1) AS name FROM copies WHERE drive_uuid = '6'")(lambda t: catalog.copy_names(t.copies, "6"))
+query("s4_media_names", "SELECT DISTINCT original_name, size FROM files WHERE size IS NOT NULL")(lambda t: t.files.where("size IS NOT NULL").select("original_name", "size").distinct())
 
 INCOMING = "inc AS (SELECT CAST(CAST(sha256 AS BIGINT) + 1 AS STRING) AS sha256, size + 1 AS size, captured_at, CASE WHEN size % 2 = 0 THEN 'Saved' END AS category FROM files WHERE size % 5 = 0)"
 
@@ -161,17 +158,23 @@ SELECT c.sha256, c.drive_uuid, CASE WHEN o.relative IS NULL THEN 'missing' WHEN
  FROM copies c LEFT JOIN o ON o.drive_uuid = c.drive_uuid AND o.relative = c.relative""")(
     lambda t: on_drives.verify_copies(t.copies, t.copies.where("size % 11 <> 0").selectExpr("drive_uuid", "relative", "CASE WHEN size % 5 = 0 THEN NULL WHEN size % 7 = 0 THEN 'other' ELSE sha256 END AS digest")))
 
-query("j16_rescan_reconcile", """WITH rec AS (SELECT relative AS path, sha256 FROM copies WHERE drive_uuid = '5'), disk AS (SELECT CASE WHEN CAST(sha256 AS BIGINT) % 3 = 0 THEN 'moved/' || sha256 ELSE path END AS path, sha256 FROM rec WHERE CAST(sha256 AS BIGINT) % 7 <> 0
- UNION ALL SELECT 'x/.tmp' || sha256, NULL FROM rec WHERE CAST(sha256 AS BIGINT) % 10 = 0)
-SELECT rec.path, rec.sha256, CASE WHEN d.path IS NOT NULL THEN 'placed' WHEN m.path IS NOT NULL THEN 'moved' ELSE 'unaccounted' END AS bucket, CASE WHEN d.path IS NULL THEN m.path END AS found
- FROM rec LEFT JOIN disk d ON d.path = rec.path LEFT JOIN (SELECT * FROM disk WHERE path LIKE 'moved/%') m ON m.sha256 = rec.sha256
-UNION ALL SELECT path, sha256, CASE WHEN path LIKE 'x/.%' THEN 'debris' ELSE 'stray' END, NULL FROM disk WHERE path NOT IN (SELECT path FROM rec)""")(lambda t: _rescan(t))
+RESCAN = """rec AS (SELECT relative AS path, sha256 FROM copies WHERE drive_uuid = '5'), disk AS (SELECT CASE WHEN CAST(sha256 AS BIGINT) % 3 = 0 THEN 'moved/' || sha256 ELSE path END AS path, sha256 FROM rec WHERE CAST(sha256 AS BIGINT) % 7 <> 0
+ UNION ALL SELECT 'extra/' || sha256, sha256 FROM rec WHERE CAST(sha256 AS BIGINT) % 13 = 0 UNION ALL SELECT 'x/.tmp' || sha256, NULL FROM rec WHERE CAST(sha256 AS BIGINT) % 10 = 0),
+gone AS (SELECT * FROM rec WHERE path NOT IN (SELECT path FROM disk)), fd AS (SELECT sha256, string_agg(path, ';' ORDER BY path) found FROM disk WHERE sha256 IS NOT NULL GROUP BY 1),
+b AS (SELECT path, sha256, 'placed' AS bucket, NULL AS found FROM rec WHERE path IN (SELECT path FROM disk) UNION ALL SELECT gone.path, gone.sha256, CASE WHEN found IS NULL THEN 'unaccounted' ELSE 'moved' END, found FROM gone LEFT JOIN fd USING (sha256)
+ UNION ALL SELECT path, sha256, CASE WHEN sha256 IN (SELECT sha256 FROM gone) THEN 'claimed' WHEN sha256 IS NOT NULL THEN 'stray' ELSE 'debris' END, NULL FROM disk WHERE path NOT IN (SELECT path FROM rec))"""
+query("j16_rescan_reconcile", f"WITH {RESCAN} SELECT * FROM b")(lambda t: _rescan(t))
+query("j16_rescan_report", f"""WITH {RESCAN}, r AS (SELECT count(*) FILTER (bucket = 'placed') AS placed, count(*) FILTER (bucket = 'moved') AS moved, count(*) FILTER (bucket = 'unaccounted') AS unaccounted, count(*) FILTER (bucket = 'claimed') AS claimed,
+ count(*) FILTER (bucket = 'stray') AS stray, count(*) FILTER (bucket = 'debris') AS debris, count(*) FILTER (bucket = 'unidentified') AS unidentified, (SELECT count(*) FROM rec WHERE CAST(sha256 AS BIGINT) % 1000 = 1) AS unreadable FROM b)
+SELECT *, unreadable = 0 AS complete, unreadable = 0 AND moved + stray + unaccounted = 0 AS reconciled FROM r""")(
+    lambda t: on_drives.rescan_report(_rescan(t), t.copies.where("drive_uuid = '5' AND CAST(sha256 AS BIGINT) % 1000 = 1")))
 
 
 def _rescan(t):
     rec = t.copies.where("drive_uuid = '5'").select(F.col("relative").alias("path"), "sha256")
     n = F.col("sha256").cast("bigint")
     disk = rec.where(n % 7 != 0).select(F.when(n % 3 == 0, F.concat(F.lit("moved/"), "sha256")).otherwise(F.col("path")).alias("path"), "sha256")
+    disk = disk.union(rec.where(n % 13 == 0).select(F.concat(F.lit("extra/"), "sha256"), "sha256"))
     junk = rec.where(n % 10 == 0).select(F.concat(F.lit("x/.tmp"), "sha256").alias("path"))
     return on_drives.rescan_reconcile(rec, disk.select("path").union(junk), disk)
 
@@ -262,4 +265,12 @@ g AS (SELECT format, stem, count(*) parts, list(DISTINCT n) ns, min(n) a, max(n)
 SELECT format, stem, parts, array_to_string(list_filter(range(a, b + 1), lambda x: NOT list_contains(ns, x)), ',') AS missing FROM g""")(
     lambda t: on_drives.archive_set_gaps(t.raw("supplier").selectExpr("'/d/takeout-' || CAST(s_nationkey AS STRING) || '-' || lpad(CAST(s_suppkey % 50 AS STRING), 3, '0') || CASE WHEN s_suppkey % 2 = 0 THEN '.zip' ELSE '.tgz' END AS path")))
 
-query("w15_free_relative", None)(lambda t: on_drives.free_relative(t.files.selectExpr("sha256 AS key", "CAST(size % 500 AS STRING) || '.jpg' AS path"), t.files.where("size % 7 = 0").selectExpr("CAST(size % 500 AS STRING) || '.jpg' AS path")))
+WANTED = "SELECT sha256 AS key, CASE WHEN size % 5 = 0 THEN CAST(size % 400 AS STRING) || '_' || CAST(size % 3 AS STRING) || '.jpg' ELSE CAST(size % 400 AS STRING) || '.jpg' END AS path FROM {files}"
+TAKEN = "SELECT DISTINCT CASE WHEN size % 2 = 0 THEN CAST(size % 400 AS STRING) || '.jpg' ELSE CAST(size % 400 AS STRING) || '_' || CAST(size % 6 AS STRING) || '.jpg' END AS path FROM {files} WHERE size % 7 = 0"
+query("w15_free_relative", f"""WITH w AS ({WANTED.format(files='files')}), tk AS ({TAKEN.format(files='files')}),
+r AS (SELECT w.*, row_number() OVER (PARTITION BY w.path ORDER BY key) - 1 + CASE WHEN tk.path IS NULL THEN 0 ELSE 1 END r FROM w LEFT JOIN tk USING (path)),
+u AS (SELECT path, replace(path, '.jpg', '') stem FROM (SELECT path FROM w UNION SELECT path FROM tk)),
+n AS (SELECT DISTINCT path, r FROM r WHERE r > 0), f AS (SELECT path, k, row_number() OVER (PARTITION BY path ORDER BY k) r FROM (SELECT x.path, unnest(range(1, x.most + (SELECT count(*) FROM u WHERE starts_with(u.stem, replace(x.path, '.jpg', '') || '_')) + 1)) k FROM (SELECT path, max(r) most FROM n GROUP BY 1) x)
+ WHERE replace(path, '.jpg', '') || '_' || CAST(k AS VARCHAR) NOT IN (SELECT stem FROM u))
+SELECT r.key, r.path, CASE WHEN r.r = 0 THEN r.path ELSE replace(r.path, '.jpg', '') || '_' || CAST(f.k AS VARCHAR) || '.jpg' END AS free FROM r LEFT JOIN f ON f.path = r.path AND f.r = r.r""")(
+    lambda t: on_drives.free_relative(t.spark.sql(WANTED, files=t.files), t.spark.sql(TAKEN, files=t.files)))

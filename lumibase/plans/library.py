@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -52,6 +54,10 @@ query("c18_junk_folders", "SELECT p_partkey, p_partkey % 6 NOT IN (4, 5) AS junk
     lambda t: t.raw("part").selectExpr("p_partkey", "CASE p_partkey % 6 WHEN 0 THEN 'DCIM' WHEN 1 THEN '100APPLE' WHEN 2 THEN '2015-07-29' WHEN 3 THEN 'Testing new' WHEN 4 THEN 'Goa Trip' ELSE 'Test Match' END AS f").select("p_partkey", origin.is_junk_folder(F.col("f")).alias("junk")))
 query("c19_oversized", "SELECT sha256, size > 300000 AS oversized FROM files")(lambda t: t.files.select("sha256", origin.is_oversized(F.col("size"), 300000).alias("oversized")))
 
+SHOTS = """rs AS (SELECT *, part > 0 b, CASE WHEN sha256 IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY sha256 ORDER BY part > 0, path) END n FROM shots),
+us AS (SELECT path, b, perceptual FROM rs WHERE n = 1), cs AS (SELECT DISTINCT x.path FROM us x JOIN us y ON (y.b, y.path) < (x.b, x.path) AND bit_count(xor(x.perceptual, y.perceptual)) <= 5 WHERE x.b),
+ks AS (SELECT rs.*, CASE WHEN sha256 IS NULL THEN 'unreadable' WHEN n > 1 THEN 'exact' WHEN cs.path IS NOT NULL THEN 'near' ELSE 'unique' END bucket FROM rs LEFT JOIN cs USING (path) WHERE rs.b)"""
+
 FILENAME_DATE = f"""CASE id % 14 WHEN 6 THEN NULL WHEN 7 THEN NULL WHEN 9 THEN NULL WHEN 12 THEN NULL WHEN 13 THEN NULL WHEN 8 THEN CASE WHEN year(od) >= 2000 AND NOT (month(od) = 1 AND day(od) % 10 >= 1 AND day(od) < 30) THEN date_trunc('day', od)::TIMESTAMP END ELSE date_trunc('day', od)::TIMESTAMP END"""
 DATED = f"d AS (SELECT media.*, o_orderdate od FROM media JOIN orders ON o_orderkey = id)"
 query("f3_f4_date_from_filename", f"WITH {DATED} SELECT id, {FILENAME_DATE} AS value FROM d")(lambda t: t.media.select("id", dates.date_from_filename(F.col("name")).alias("value")))
@@ -70,7 +76,8 @@ z AS (SELECT *, CASE WHEN val IS NOT NULL THEN CASE WHEN tg = 'CreateDate' AND (
 query("f10_f11_resolve_capture", f"""WITH {DATED}, {EMBED}, {RESOLVED} SELECT id, src AS source, CASE src WHEN 'inferred_local' THEN val + INTERVAL 2 HOUR WHEN 'exif' THEN val WHEN 'takeout' THEN taken_at WHEN 'filename' THEN fd END AS value,
  CASE src WHEN 'inferred_local' THEN CASE WHEN zone IS NOT NULL THEN 'CreateDate|TimeZone|+02:00' ELSE 'CreateDate|filename:VID_|+02:00' END WHEN 'exif' THEN CASE WHEN tg = 'CreateDate' AND id % 14 IN (5, 13) THEN 'CreateDate|not_proven_utc' ELSE tg END END AS tag FROM z""")(
     lambda t: dates.with_capture_datetime(t.media, _now(), taken="taken_at", out="r").select("id", "r.source", "r.value", "r.tag"))
-query("f7_f8_date_quality", f"""WITH {DATED}, {EMBED}, {RESOLVED} SELECT src AS source, count(*) AS files, count(*) FILTER (src IN ('exif', 'takeout', 'inferred_local') AND CASE src WHEN 'exif' THEN val WHEN 'takeout' THEN taken_at END IN (TIMESTAMP '2000-01-01', TIMESTAMP '1999-12-31', TIMESTAMP '1980-01-01')) AS suspect FROM z GROUP BY 1""")(
+query("f7_f8_date_quality", f"""WITH {DATED}, {EMBED}, {RESOLVED} SELECT count(*) AS files, count(*) FILTER (src = 'rejected_sentinel') AS sentinel_rejected, count(*) FILTER (src = 'rejected_future') AS future_rejected,
+ count(*) FILTER (src IN ('exif', 'takeout', 'inferred_local') AND CASE src WHEN 'exif' THEN val WHEN 'takeout' THEN taken_at END IN (TIMESTAMP '2000-01-01', TIMESTAMP '1999-12-31', TIMESTAMP '1980-01-01')) AS suspect FROM z""")(
     lambda t: pipelines.date_quality(dates.with_capture_datetime(t.media, _now(), taken="taken_at", out="r")))
 query("f12_parse_duration", "SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN l_linenumber * 3600 + 158.0 WHEN 1 THEN 65.5 WHEN 2 THEN l_quantity END AS seconds FROM lineitem")(
     lambda t: t.raw("lineitem").selectExpr("l_orderkey", "l_linenumber", "CASE l_linenumber % 4 WHEN 0 THEN CAST(l_linenumber AS STRING) || ':02:38' WHEN 1 THEN '1:05.5' WHEN 2 THEN CAST(l_quantity AS STRING) || ' s' ELSE 'x' END AS d").select("l_orderkey", "l_linenumber", dates.parse_duration(F.col("d")).alias("seconds")))
@@ -83,22 +90,21 @@ query("f16_dated_filename", """SELECT sha256, CASE WHEN captured_at IS NULL OR c
 query("f17_slugify", r"SELECT p_partkey, trim(substr(trim(regexp_replace(lower(trim(p_name || '! & Co')), '[^a-z0-9]+', '-', 'g'), '-'), 1, 48), '-') AS slug FROM part")(lambda t: t.raw("part").select("p_partkey", paths.slugify(F.concat("p_name", F.lit("! & Co"))).alias("slug")))
 query("f18_event_folder", r"SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y%m%d') || '_goa' ELSE strftime(o_orderdate, '%Y-%m-%d') || ' - Trip_ ' || CAST(o_custkey AS STRING) END AS folder FROM orders")(
     lambda t: t.raw("orders").select("o_orderkey", paths.event_folder(F.col("o_orderdate"), F.lit("goa"), F.when(F.col("o_orderkey") % 3 == 0, "///").otherwise(F.concat(F.lit("Trip: "), F.col("o_custkey").cast("string"), F.lit(". "))), composed=True).alias("folder")))
-query("f19_sanitize_value", r"""SELECT doc_id, rtrim(trim(regexp_replace(substr(split_part(text, ' ', 1), 1, 40), '[<>:"/\\|?*\x00-\x1f]', '_', 'g')), ' .') AS value FROM documents""")(
-    lambda t: t.raw("documents").select("doc_id", paths.sanitize_value(F.substring(F.split("text", " ")[0], 1, 40)).alias("value")))
-# whole texts; DuckDB has no cut to bytes, so it is tested by brute force
-query("f19_sanitize_whole_value")(lambda t: t.raw("documents").select("doc_id", paths.sanitize_value(F.col("text")).alias("value")))
+query("f19_sanitize_value", r"""WITH c AS (SELECT doc_id, nfc_normalize(rtrim(trim(regexp_replace(text, '[<>:"/\\|?*\x00-\x1f]', '_', 'g')), ' .')) v FROM documents)
+SELECT doc_id, rtrim(trim(substr(v, 1, list_max(list_filter(range(0, 256), lambda n: strlen(substr(v, 1, n)) <= 255)))), ' .') AS value FROM c""")(
+    lambda t: t.raw("documents").select("doc_id", paths.sanitize_value(F.col("text")).alias("value")))
 FOLDER = "CASE WHEN captured_at IS NULL THEN 'Undated' ELSE strftime(captured_at, '%Y/%Y-%m/%Y-%m - Everyday') END"
 query("f20_render_path", f"SELECT sha256, {FOLDER} AS folder FROM files")(lambda t: t.files.select("sha256", paths.render_path(paths.EVERYDAY_TEMPLATE, F.col("captured_at"), F.col("category"), composed=True).alias("folder")))
 query("f21_f22_placement", f"""SELECT sha256, CASE WHEN category <> 'Camera' THEN 'side_bin' WHEN size % 5 = 0 THEN 'trip_day' WHEN event_id IS NOT NULL THEN 'event_day' WHEN size % 3 = 0 THEN 'day_bucket' ELSE 'everyday' END AS placement,
- CASE WHEN category <> 'Camera' THEN category || '/' || CASE WHEN captured_at IS NULL THEN 'Undated' ELSE strftime(captured_at, '%Y/%Y-%m') END WHEN size % 5 = 0 THEN CASE WHEN captured_at IS NULL THEN 'Undated/T' ELSE strftime(captured_at, '%Y') || '/T/' || strftime(captured_at, '%Y-%m-%d') END
- WHEN event_id IS NOT NULL THEN CASE WHEN captured_at IS NULL THEN 'Undated/E' ELSE strftime(captured_at, '%Y') || '/E' END WHEN size % 3 = 0 THEN CASE WHEN captured_at IS NULL THEN 'Undated' ELSE strftime(captured_at, '%Y/%Y-%m/%Y-%m-%d - Everyday') END ELSE {FOLDER} END AS folder FROM files""")(lambda t: _placed(t))
+ CASE WHEN category <> 'Camera' THEN category || '/' || CASE WHEN captured_at IS NULL THEN 'Undated' ELSE strftime(captured_at, '%Y/%Y-%m') END WHEN size % 5 = 0 THEN CASE WHEN captured_at IS NULL THEN 'Undated/T' ELSE strftime(captured_at, '%Y/%Y-%m') || '/T/' || strftime(captured_at, '%Y-%m-%d') END
+ WHEN event_id IS NOT NULL THEN CASE WHEN captured_at IS NULL THEN 'Undated/E' ELSE strftime(captured_at, '%Y/%Y-%m') || '/E' END WHEN size % 3 = 0 THEN CASE WHEN captured_at IS NULL THEN 'Undated' ELSE strftime(captured_at, '%Y/%Y-%m/%Y-%m-%d - Everyday') END ELSE {FOLDER} END AS folder FROM files""")(lambda t: _placed(t))
 
 
 def _placed(t):
     rule = F.when(F.col("category") == "Camera", "device").otherwise("fallback")
     event, trip = F.when(F.col("event_id").isNotNull(), "E"), F.when(F.col("size") % 5 == 0, "T")
     place = paths.classify_placement(rule, trip, event, F.col("size") % 3 == 0)
-    return t.files.select("sha256", place.alias("placement"), paths.PRESETS["everyday"].folder(place, F.col("captured_at"), F.col("category"), event, trip, composed=True).alias("folder"))
+    return t.files.select("sha256", place.alias("placement"), paths.DEFAULT_PRESET.folder(place, F.col("captured_at"), F.col("category"), event, trip, composed=True).alias("folder"))
 
 
 query("f23_axis_changed", "SELECT sha256, CASE WHEN size % 3 = 0 THEN true WHEN size % 3 = 1 THEN false END AS axis FROM files")(
@@ -111,8 +117,13 @@ query("f26_tidy", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Marys Weddi
     lambda t: t.raw("part").selectExpr("p_partkey", "CASE p_partkey % 4 WHEN 0 THEN \"(Mary's_Wedding)\" WHEN 1 THEN '2015-07-29 Goa Trip 14' WHEN 2 THEN 'Goa (2015)' ELSE 'Beach~~day!' END AS n").select("p_partkey", paths.strip_year(paths.tidy_folder(F.col("n")), F.lit(2015)).alias("name")))
 query("f27_upright_size", "SELECT id, CASE WHEN id % 9 BETWEEN 5 AND 8 OR id % 5 IN (1, 3) THEN height ELSE width END AS w, CASE WHEN id % 9 BETWEEN 5 AND 8 OR id % 5 IN (1, 3) THEN width ELSE height END AS h FROM media")(
     lambda t: t.media.select("id", measures.upright_size(F.col("width"), F.col("height"), F.col("id") % 9, F.col("id") % 5).alias("s")).select("id", F.col("s.width").alias("w"), F.col("s.height").alias("h")))
-query("f28_explain_source", "SELECT date_source, count(*) AS files, CASE date_source WHEN 'exif' THEN 'Embedded in the file' WHEN 'takeout' THEN 'Export sidecar' WHEN 'filename' THEN 'File name' WHEN 'inferred_local' THEN 'Shifted to local time' ELSE 'Not recorded' END AS label FROM files GROUP BY 1")(
-    lambda t: t.files.groupBy("date_source").agg(F.count("*").alias("files")).withColumn("label", dates.explain_source(F.col("date_source"))["label"]))
+query("f28_explain_source", """SELECT date_source, date_tag, count(*) AS files, CASE date_source WHEN 'exif' THEN 'Embedded in the file' WHEN 'takeout' THEN 'Export sidecar' WHEN 'filename' THEN 'File name' WHEN 'inferred_local' THEN 'Shifted to local time' ELSE 'Not recorded' END AS label,
+ date_source IS NULL OR date_source = 'filename' AS review, CASE WHEN date_tag IS NULL THEN NULL WHEN date_source = 'inferred_local' THEN 'CreateDate, moved +02:00 by TimeZone' ELSE 'from ' || date_tag END AS evidence FROM files GROUP BY 1, 2""")(
+    lambda t: t.files.groupBy("date_source", "date_tag").agg(F.count("*").alias("files")).withColumn("x", dates.explain_source(F.col("date_source"))).select("date_source", "date_tag", "files", "x.label", "x.review", dates.explain_evidence(F.col("date_source"), F.col("date_tag")).alias("evidence")))
+query("c17_review_predicates", f"WITH {SHOTS} SELECT path, bucket <> 'exact' AS should_upload, bucket IN ('unique', 'unreadable') AS is_unique FROM ks WHERE sha256 IS NOT NULL")(
+    lambda t: duplicates.resolve(t.shots.where("part = 0"), t.shots.where("part > 0")).where("sha256 IS NOT NULL").select("path", origin.should_upload(F.col("kind")).alias("should_upload"), origin.is_unique(F.col("kind")).alias("is_unique")))
+query("f15_local_naive", "SELECT id, taken_at + INTERVAL 1 MINUTE * (CASE WHEN id % 3 = 0 THEN 0 ELSE (id % 27 - 13) * 30 END) AS local FROM media WHERE taken_at IS NOT NULL")(
+    lambda t: t.media.where("taken_at IS NOT NULL").select("id", dates.local_naive(F.col("taken_at"), F.when(F.col("id") % 3 > 0, (F.col("id") % 27 - 13) * 30)).alias("local")))
 query("f31_geo_point", "SELECT id, CASE WHEN id % 3 > 0 AND id % 4 > 0 THEN (id % 3) * 1.0 END AS lat FROM media")(
     lambda t: t.media.selectExpr("id", "CASE WHEN id % 3 > 0 THEN CAST(id % 3 AS STRING) ELSE 'x' END AS a", "CASE WHEN id % 4 > 0 THEN '0.0' END AS b").select("id", measures.geo_point(F.col("a"), F.col("b"))["lat"].alias("lat")))
 query("f33_content_hash", "SELECT doc_id, sha256(text) AS sha256 FROM documents")(lambda t: t.raw("documents").select("doc_id", measures.content_hash(F.col("text")).alias("sha256")))
@@ -154,30 +165,45 @@ SELECT path, CASE WHEN n > 1 THEN 'exact' ELSE 'unique' END AS kind, CASE WHEN n
     lambda t: duplicates.resolve(t.docs.where("part = 0"), t.docs.where("part > 0"), perceptual=False).select("path", "kind", "match_path", "match_origin"))
 query("k1_resolve", """WITH r AS (SELECT *, part > 0 b, row_number() OVER (PARTITION BY sha256 ORDER BY part > 0, path) n, first_value(path) OVER (PARTITION BY sha256 ORDER BY part > 0, path) p FROM docs),
 u AS (SELECT path, b, perceptual FROM r WHERE n = 1),
-c AS (SELECT x.path, min((bit_count(xor(x.perceptual, y.perceptual)), y.b, y.path)) m FROM u x JOIN u y ON (y.b, y.path) < (x.b, x.path) AND bit_count(xor(x.perceptual, y.perceptual)) <= 1 WHERE x.b GROUP BY 1)
+c AS (SELECT x.path, min((bit_count(xor(x.perceptual, y.perceptual)), y.b, y.path)) m FROM u x JOIN u y ON (y.b, y.path) < (x.b, x.path) AND bit_count(xor(x.perceptual, y.perceptual)) <= 5 WHERE x.b GROUP BY 1)
 SELECT r.path, CASE WHEN n > 1 THEN 'exact' WHEN m IS NOT NULL THEN 'near' ELSE 'unique' END AS kind, CASE WHEN n > 1 THEN p ELSE m[3] END AS match_path, CASE WHEN n = 1 THEN m[1]::INT END AS distance FROM r LEFT JOIN c USING (path) WHERE r.b""".replace("m[3]", "struct_extract(m, 3)").replace("m[1]", "struct_extract(m, 1)"))(
-    lambda t: duplicates.resolve(t.docs.where("part = 0"), t.docs.where("part > 0"), 1).select("path", "kind", "match_path", "distance"))
-query("f34_j3_embedding_links", "WITH s AS (SELECT DISTINCT " + EMB_SIG.replace("{v}", "embedding") + " AS sig FROM embeddings) SELECT a.sig::BIGINT AS a, b.sig::BIGINT AS b, bit_count(xor(a.sig::BIGINT, b.sig::BIGINT))::INT AS distance FROM s a JOIN s b ON a.sig <> b.sig AND bit_count(xor(a.sig::BIGINT, b.sig::BIGINT)) <= 14")(
-    lambda t: duplicates.signature_links(t.raw("embeddings").select(measures.signature64(F.col("embedding")).alias("perceptual")).distinct(), 14))
-query("a11_forecast", """WITH s AS (SELECT size, count(*) n, count(*) FILTER (path LIKE '%/de/%') sl FROM docs GROUP BY 1)
-SELECT sum(n)::BIGINT AS files, coalesce(sum(n) FILTER (n > 1), 0)::BIGINT AS colliding_files, coalesce(sum(n * size) FILTER (n > 1), 0)::BIGINT AS colliding_bytes, round(sum(sl) / sum(n), 6) AS slow_share, round(sum(sl) / sum(n), 6) >= 0.25 AS slow_look FROM s""")(
-    lambda t: duplicates.forecast(t.docs, F.col("path").contains("/de/")))
+    lambda t: duplicates.resolve(t.docs.where("part = 0"), t.docs.where("part > 0")).select("path", "kind", "match_path", "distance"))
+# the embeddings' signatures, and copies of each with one and with two bits flipped
+SIGNATURES = f"WITH e AS (SELECT vec_id AS n, ({EMB_SIG.replace('{v}', 'embedding')})::BIGINT AS sig FROM embeddings), s AS (SELECT sig FROM e UNION SELECT xor(sig, 1::BIGINT << (n % 50)::INT) FROM e UNION SELECT xor(xor(sig, 1::BIGINT << (n % 40)::INT), 1::BIGINT << (n % 40 + 11)::INT) FROM e)"
+query("f34_j3_embedding_links", SIGNATURES + " SELECT a.sig AS a, b.sig AS b, bit_count(xor(a.sig, b.sig))::INT AS distance FROM s a JOIN s b ON a.sig <> b.sig AND bit_count(xor(a.sig, b.sig)) <= 5")(lambda t: duplicates.signature_links(_signatures(t), 5))
+
+
+def _signatures(t):
+    own = t.raw("embeddings").select(F.col("vec_id").alias("n"), measures.signature64(F.col("embedding")).alias("perceptual"))
+    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), at.cast("int"))
+    flip = lambda *bits: own.select(reduce(lambda x, b: x.bitwiseXOR(bit(b)), bits, F.col("perceptual")).alias("perceptual"))
+    n = F.col("n")
+    return own.select("perceptual").union(flip(n % 50)).union(flip(n % 40, n % 40 + 11)).distinct()
+
+
+query("a11_forecast", """WITH s AS (SELECT size, count(*) n, count(*) FILTER (lower(split_part(original_name, '.', -1)) IN ('jpg', 'heic', 'png')) im, count(*) FILTER (lower(split_part(original_name, '.', -1)) = 'heic') sl FROM files GROUP BY 1),
+a AS (SELECT sum(n)::BIGINT AS files, sum(n * size)::BIGINT AS bytes, coalesce(sum(n) FILTER (n > 1), 0)::BIGINT AS colliding_files, coalesce(sum(n * size) FILTER (n > 1), 0)::BIGINT AS colliding_bytes, sum(im)::BIGINT AS images, sum(sl)::BIGINT AS slow_images FROM s)
+SELECT *, round(colliding_bytes / bytes, 6) AS share, round(slow_images / images, 6) AS slow_share, round(slow_images / images, 6) >= 0.25 AS slow_look FROM a""")(lambda t: duplicates.forecast(t.files, F.col("original_name")))
 
 
 def _resolved(t):
-    found = duplicates.resolve(t.docs.where("part = 0"), t.docs.where("part > 0"), 1)
+    found = duplicates.resolve(t.docs.where("part = 0"), t.docs.where("part > 0"))
     return found.join(t.docs.select("path", "size", F.element_at(F.split("path", "/"), 3).alias("category"), F.expr("CASE WHEN size % 4 = 0 THEN NULL ELSE DATE'2020-01-01' END").alias("captured_at")), "path")
 
 
 KIND = """r AS (SELECT *, part > 0 b, row_number() OVER (PARTITION BY sha256 ORDER BY part > 0, path) n, first_value(part > 0) OVER (PARTITION BY sha256 ORDER BY part > 0, path) fb FROM docs), u AS (SELECT path, b, perceptual FROM r WHERE n = 1),
-c AS (SELECT DISTINCT x.path FROM u x JOIN u y ON (y.b, y.path) < (x.b, x.path) AND bit_count(xor(x.perceptual, y.perceptual)) <= 1 WHERE x.b),
+c AS (SELECT DISTINCT x.path FROM u x JOIN u y ON (y.b, y.path) < (x.b, x.path) AND bit_count(xor(x.perceptual, y.perceptual)) <= 5 WHERE x.b),
 k AS (SELECT r.*, split_part(r.path, '/', 3) category, CASE WHEN n > 1 THEN 'exact' WHEN c.path IS NOT NULL THEN 'near' ELSE 'unique' END kind FROM r LEFT JOIN c USING (path) WHERE r.b)"""
 query("a12_duplicate_bytes", f"WITH {KIND} SELECT count(*) FILTER (kind = 'exact') AS exact_files, coalesce(sum(size) FILTER (kind = 'exact'), 0)::BIGINT AS reclaimable_bytes, count(*) FILTER (kind = 'near') AS near_files, coalesce(sum(size) FILTER (kind = 'near'), 0)::BIGINT AS near_bytes FROM k")(
     lambda t: duplicates.duplicate_bytes(_resolved(t)))
 query("a13_report_buckets", f"WITH {KIND} SELECT kind AS bucket, count(*) AS files, count(*) FILTER (kind <> 'exact' AND size % 4 <> 0) AS will_organize FROM k GROUP BY 1")(lambda t: duplicates.report_buckets(_resolved(t), skip_undated=True))
 query("a15_split_by_origin", f"WITH {KIND} SELECT CASE WHEN fb THEN 'batch' ELSE 'catalog' END AS origin, count(*) AS files FROM k WHERE kind = 'exact' GROUP BY 1")(lambda t: duplicates.split_by_origin(_resolved(t)))
 query("a29_planned_actions", f"WITH {KIND} SELECT CASE WHEN kind = 'exact' THEN 'duplicate' WHEN size % 4 = 0 THEN 'skipped_undated' ELSE 'planned' END AS action, category, count(*) AS files FROM k GROUP BY 1, 2")(lambda t: duplicates.planned_actions(_resolved(t), skip_undated=True))
-query("k4_organize_preview", f"""WITH {KIND} SELECT category, kind, count(*) AS files, sum(size)::BIGINT AS bytes, count(*) FILTER (size % 4 = 0) AS undated FROM k GROUP BY 1, 2""")(lambda t: pipelines.organize_preview(_resolved(t)))
+def _preview(t):
+    batch = t.media.select("id", "name", "tags", "taken_at").join(t.shots.where("part > 0").drop("part"), "id")
+    return pipelines.preview(t.shots.where("part = 0"), batch, _now(), taken="taken_at", skip_undated=True)
+
+
 query("j4_scope_to_destination", """WITH r AS (SELECT path, sha256, part > 0 b, row_number() OVER (PARTITION BY sha256 ORDER BY part > 0, path) n, first_value(path) OVER (PARTITION BY sha256 ORDER BY part > 0, path) p, first_value(part > 0) OVER (PARTITION BY sha256 ORDER BY part > 0, path) fb FROM docs),
 h AS (SELECT DISTINCT sha256, 'd/' || sha256 held FROM docs WHERE part = 0 AND size % 2 = 0)
 SELECT path, CASE WHEN n > 1 AND (fb OR held IS NOT NULL) THEN 'exact' WHEN n = 1 THEN 'unique' END AS kind, CASE WHEN n > 1 THEN CASE WHEN fb THEN p ELSE held END END AS match_path FROM r LEFT JOIN h USING (sha256) WHERE b""")(
@@ -185,19 +211,46 @@ SELECT path, CASE WHEN n > 1 AND (fb OR held IS NOT NULL) THEN 'exact' WHEN n =
 
 # timeline
 
-SEGMENTS = """g AS (SELECT *, epoch(lead(captured_at) OVER w) - epoch(captured_at) gap FROM items WINDOW w AS (PARTITION BY library ORDER BY captured_at, sha256)),
-l AS (SELECT *, ln(1 + greatest(gap, 0)) lg FROM g), md AS (SELECT *, median(lg) OVER (PARTITION BY library ORDER BY captured_at, sha256 ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING EXCLUDE CURRENT ROW) m FROM l),
-e AS (SELECT *, CASE WHEN gap > 172800 OR (gap >= 3600 AND m IS NOT NULL AND lg - m > 4.0) THEN 1 ELSE 0 END ends FROM md),
+SEGMENTS = """g AS (SELECT *, epoch(lead(captured_at) OVER w) - epoch(captured_at) gap, lead(lat) OVER w nlat, lead(lon) OVER w nlon FROM items WINDOW w AS (PARTITION BY library ORDER BY captured_at, sha256)),
+l AS (SELECT *, ln(1 + greatest(gap, 0)) lg, 2 * 6371.0088 * asin(sqrt(pow(sin((radians(nlat) - radians(lat)) / 2), 2) + cos(radians(lat)) * cos(radians(nlat)) * pow(sin((radians(nlon) - radians(lon)) / 2), 2))) km FROM g),
+md AS (SELECT *, median(lg) OVER (PARTITION BY library ORDER BY captured_at, sha256 ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING EXCLUDE CURRENT ROW) m FROM l),
+e AS (SELECT *, CASE WHEN gap > 172800 OR (gap >= 3600 AND m IS NOT NULL AND lg - m > 4.0) OR coalesce(km > 50, false) THEN 1 ELSE 0 END ends FROM md),
 s AS (SELECT *, coalesce(sum(ends) OVER (PARTITION BY library ORDER BY captured_at, sha256 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT segment FROM e),
-ev AS (SELECT library, segment, count(*) files, min(captured_at) AS "start", max(captured_at) AS "end", sha256(array_to_string(list_sort(list(sha256)), chr(10))) signature FROM s GROUP BY 1, 2 HAVING count(*) >= 8)"""
-query("w1_cluster_events", f'WITH {SEGMENTS} SELECT library, segment, files, "start", "end", signature FROM ev')(lambda t: timeline.cluster_events(t.items).select("library", "segment", "files", "start", "end", "signature"))
+ev AS (SELECT library, segment, count(*) files, min(captured_at) AS "start", max(captured_at) AS "end", round(avg(lat), 6) lat, round(avg(lon), 6) lon, sha256(array_to_string(list_sort(list(sha256)), chr(10))) signature FROM s GROUP BY 1, 2 HAVING count(*) >= 8)"""
+query("w1_cluster_events", f'WITH {SEGMENTS} SELECT library, segment, files, "start", "end", lat, lon, signature FROM ev')(
+    lambda t: timeline.cluster_events(t.items).select("library", "segment", "files", "start", "end", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "signature"))
 TRIPS = """ad AS (SELECT DISTINCT library, CAST("start" AS DATE) AS day FROM ev), dc AS (SELECT library, CAST(captured_at AS DATE) AS day, count(*) n FROM items GROUP BY 1, 2), dd AS (SELECT * FROM ad JOIN dc USING (library, day)),
 nn AS (SELECT *, CASE WHEN lag(day) OVER w IS NULL OR day - lag(day) OVER w - 1 > 1 OR year(day) <> year(lag(day) OVER w) THEN 1 ELSE 0 END nw FROM dd WINDOW w AS (PARTITION BY library ORDER BY day)),
 rr AS (SELECT *, sum(nw) OVER (PARTITION BY library ORDER BY day) run FROM nn),
 tr AS (SELECT library, min(day) start_date, max(day) end_date, count(*) active_days, sum(n)::BIGINT files, CASE WHEN max(day) - min(day) + 1 > 30 THEN 'declined_span' ELSE 'proposed' END outcome FROM rr GROUP BY library, run HAVING count(*) >= 2)"""
 query("w2_detect_trips", f"WITH {SEGMENTS}, {TRIPS} SELECT * FROM tr")(lambda t: timeline.detect_trips(t.items, timeline.cluster_events(t.items)).drop("days"))
-query("w7_review_cards", f"""WITH {SEGMENTS}, {TRIPS}, cl AS (SELECT DISTINCT tr.library, rr.day FROM tr JOIN rr ON rr.library = tr.library AND rr.day BETWEEN start_date AND end_date WHERE outcome = 'proposed')
-SELECT library, 'trip' AS kind, start_date AS first_day, end_date AS last_day, files FROM tr WHERE outcome = 'proposed' UNION ALL SELECT ev.library, 'event', CAST("start" AS DATE), CAST("end" AS DATE), files FROM ev ANTI JOIN cl ON cl.library = ev.library AND cl.day = CAST(ev."start" AS DATE)""")(lambda t: pipelines.trip_review(t.items))
+CARDS = """cl AS (SELECT DISTINCT tr.library, rr.day FROM tr JOIN rr ON rr.library = tr.library AND rr.day BETWEEN start_date AND end_date WHERE outcome = 'proposed'), tot AS (SELECT library, CAST(captured_at AS DATE) AS first_day, count(*) AS day_total FROM items GROUP BY 1, 2),
+ca AS (SELECT library, 'trip' AS kind, start_date AS first_day, end_date AS last_day, files, NULL AS signature FROM tr WHERE outcome = 'proposed' UNION ALL SELECT ev.library, 'event', CAST("start" AS DATE), CAST("end" AS DATE), files, signature FROM ev {skip} ANTI JOIN cl ON cl.library = ev.library AND cl.day = CAST(ev."start" AS DATE))"""
+query("w7_review_cards", f"""WITH {SEGMENTS}, {TRIPS}, {CARDS.replace("{skip}", "")} SELECT ca.*, day_total FROM ca JOIN tot USING (library, first_day)""")(lambda t: _cards(t).drop("name"))
+
+
+def _cards(t):
+    events = timeline.cluster_events(t.items)
+    return timeline.review_cards(timeline.detect_trips(t.items, events), events, t.items)
+
+
+NAMED = """nm AS (SELECT signature, 'Event ' || CAST(library AS STRING) AS event_name FROM ev WHERE segment % 2 = 0), sk AS (SELECT signature FROM ev WHERE segment % 5 = 4),
+cd AS (SELECT DISTINCT library, CAST(captured_at AS DATE) AS day, 'T' || CAST(library AS STRING) || '-' || CAST(day(captured_at) AS STRING) AS name FROM items WHERE library % 3 = 0 AND day(captured_at) % 2 = 0)"""
+query("k7_trip_review", f"""WITH {SEGMENTS}, {TRIPS}, {NAMED}, {CARDS.replace("{skip}", "ANTI JOIN sk USING (signature)")},
+tn AS (SELECT tr.library, start_date AS first_day, arg_min(cd.name, cd.day) AS trip_name FROM tr JOIN rr ON rr.library = tr.library AND rr.day BETWEEN start_date AND end_date JOIN cd ON cd.library = tr.library AND cd.day = rr.day GROUP BY 1, 2),
+mb AS (SELECT ca.library, ca.kind, ca.first_day, ca.signature, count(*) n, count(*) FILTER (i.key % 5 <> 0) t FROM ca JOIN items i ON i.library = ca.library AND CAST(i.captured_at AS DATE) BETWEEN ca.first_day AND ca.last_day GROUP BY ALL)
+SELECT ca.library, ca.kind, ca.first_day, ca.last_day, ca.files, day_total, coalesce(event_name, trip_name) AS name, CASE WHEN t >= 0.7 * n THEN 'Trip' || CAST(ca.library % 7 AS STRING) END AS suggestion
+ FROM ca JOIN tot USING (library, first_day) LEFT JOIN nm USING (signature) LEFT JOIN tn ON tn.library = ca.library AND tn.first_day = ca.first_day AND ca.kind = 'trip'
+ JOIN mb ON mb.library = ca.library AND mb.kind = ca.kind AND mb.first_day = ca.first_day AND mb.signature IS NOT DISTINCT FROM ca.signature""")(lambda t: _review(t))
+
+
+def _review(t):
+    events = timeline.cluster_events(t.items).persist()  # names and skips are made from the events themselves
+    names = events.where("segment % 2 = 0").select("signature", F.concat(F.lit("Event "), F.col("library").cast("string")).alias("name"))
+    claimed = t.items.where("library % 3 = 0 AND day(captured_at) % 2 = 0").select("library", F.to_date("captured_at").alias("day"), F.expr("'T' || CAST(library AS STRING) || '-' || CAST(day(captured_at) AS STRING)").alias("name")).distinct()
+    return pipelines.trip_review(t.items, events, names, events.where("segment % 5 = 4"), claimed)
+
+
 query("a17_heavy_days", "SELECT CAST(captured_at AS DATE) AS day, count(*) AS files FROM items WHERE event_id IS NULL GROUP BY 1 HAVING count(*) > 40")(lambda t: timeline.heavy_days(timeline.capture_day_counts(t.items)))
 query("j14_unevented", "SELECT sha256, captured_at FROM files WHERE category = 'Camera' AND captured_at IS NOT NULL AND event_id IS NULL AND CAST(captured_at AS DATE) NOT IN (SELECT CAST(captured_at AS DATE) FROM files WHERE size % 97 = 0 AND captured_at IS NOT NULL)")(
     lambda t: timeline.unevented(t.files, t.files.where("size % 97 = 0 AND captured_at IS NOT NULL").select(F.to_date("captured_at").alias("day"))).select("sha256", "captured_at"))
@@ -212,17 +265,17 @@ def _overlay(t):
 
 query("w3_disambiguate_folders", """SELECT key, CASE WHEN n > 1 THEN folder || ' (' || CAST(n AS STRING) || ')' ELSE folder END AS folder FROM (SELECT event_id AS key, CASE WHEN event_id % 2 = 0 THEN event_type ELSE upper(event_type) END AS folder, row_number() OVER (PARTITION BY lower(event_type) ORDER BY ts, event_id) n FROM events)""")(
     lambda t: timeline.disambiguate_folders(t.raw("events").selectExpr("event_id AS key", "ts AS start", "CASE WHEN event_id % 2 = 0 THEN event_type ELSE upper(event_type) END AS folder")).select("key", "folder"))
-query("w8_merge_cards", """WITH m AS (SELECT user_id AS library, user_id % 3 AS merge, min(CAST(ts AS DATE)) AS first_day, max(CAST(ts AS DATE)) AS last_day FROM events WHERE user_id < 30 AND day(ts) <= 10 + user_id GROUP BY 1, 2), c AS (SELECT user_id AS library, CAST(ts AS DATE) AS day, count(*) n FROM events GROUP BY 1, 2)
-SELECT m.library, merge, first_day, last_day, sum(n)::BIGINT AS files, CASE WHEN last_day - first_day + 1 > 20 THEN 'over_span' END AS error FROM m JOIN c ON c.library = m.library AND day BETWEEN first_day AND last_day GROUP BY ALL""")(
-    lambda t: timeline.merge_cards(t.raw("events").where("user_id < 30 AND day(ts) <= 10 + user_id").selectExpr("user_id AS library", "user_id % 3 AS merge", "CAST(ts AS DATE) AS first_day", "CAST(ts AS DATE) AS last_day").groupBy("library", "merge").agg(F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day")), t.raw("events").groupBy(F.col("user_id").alias("library"), F.to_date("ts").alias("day")).agg(F.count("*").alias("n")), 20))
-# all users: cards of one event type each, merged over stretches of 8 to 27 days
-query("w8_merge_cards_all_users", """WITH e AS (SELECT user_id AS library, CAST(ts AS DATE) AS day, CAST(floor((CAST(ts AS DATE) - DATE '2024-01-01') / (8 + user_id % 20)) AS BIGINT) AS merge, event_type FROM events),
+query("w8_merge_cards", """WITH e AS (SELECT user_id AS library, CAST(ts AS DATE) AS day, CAST(floor((CAST(ts AS DATE) - DATE '2024-01-01') / (8 + user_id % 20)) AS BIGINT) AS merge, event_type FROM events),
 k AS (SELECT library, merge, event_type, min(day) AS a, max(day) AS b FROM e GROUP BY ALL), c AS (SELECT library, day, count(*) n FROM e GROUP BY ALL), d AS (SELECT DISTINCT k.library, merge, day, n FROM k JOIN c ON c.library = k.library AND day BETWEEN a AND b),
 s AS (SELECT library, merge, min(a) AS first_day, max(b) AS last_day FROM k GROUP BY ALL)
 SELECT library, merge, first_day, last_day, sum(n)::BIGINT AS files, CASE WHEN year(first_day) <> year(last_day) THEN 'crosses_year' WHEN last_day - first_day + 1 > 20 THEN 'over_span' END AS error FROM s JOIN d USING (library, merge) GROUP BY ALL""")(
     lambda t: timeline.merge_cards(
         t.raw("events").selectExpr("user_id AS library", "CAST(floor(datediff(ts, DATE '2024-01-01') / (8 + user_id % 20)) AS BIGINT) AS merge", "event_type", "CAST(ts AS DATE) AS day").groupBy("library", "merge", "event_type").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day")),
         t.raw("events").groupBy(F.col("user_id").alias("library"), F.to_date("ts").alias("day")).agg(F.count("*").alias("n")), 20))
+query("w9_commit_events", """SELECT o_orderkey AS signature, CASE WHEN o_orderkey % 5 = 0 THEN 'link' WHEN o_orderkey % 3 > 0 THEN 'create' WHEN o_orderkey % 2 = 0 THEN 'nothing' ELSE 'skip' END AS action,
+ CASE WHEN o_orderkey % 5 = 0 THEN 'held' WHEN o_orderkey % 3 > 0 THEN 'Name ' || CAST(o_custkey AS STRING) END AS name FROM orders""")(
+    lambda t: timeline.commit_events(t.raw("orders").selectExpr("o_orderkey AS signature", "CASE WHEN o_orderkey % 3 > 0 THEN ' Name ' || CAST(o_custkey AS STRING) ELSE ' ' END AS name"),
+        t.raw("orders").where("o_orderkey % 5 = 0").selectExpr("o_orderkey AS signature", "'held' AS name"), t.raw("orders").where("o_orderkey % 2 = 0").selectExpr("o_orderkey AS signature")))
 query("w8_split_card", "SELECT user_id AS library, CASE WHEN CAST(ts AS DATE) < DATE '2024-01-15' THEN 'first' ELSE 'second' END AS side, min(CAST(ts AS DATE)) AS first_day, max(CAST(ts AS DATE)) AS last_day, count(*) AS files FROM events GROUP BY 1, 2")(
     lambda t: timeline.split_card(t.raw("events").groupBy(F.col("user_id").alias("library"), F.to_date("ts").alias("day")).agg(F.count("*").alias("n")), "2024-01-15"))
 query("w9_commit_trips", """WITH d AS (SELECT o_custkey AS decision, CAST(o_orderdate AS DATE) AS day FROM orders), c AS (SELECT CAST(o_orderdate AS DATE) AS day, min(o_custkey % 5) AS trip_id FROM orders WHERE o_orderkey % 7 = 0 GROUP BY 1),
@@ -256,16 +309,13 @@ def _migration(t):
 query("j5_w10_plan_migration", """WITH td AS (SELECT DISTINCT CAST(captured_at AS DATE) AS day FROM files WHERE size % 89 = 0 AND captured_at IS NOT NULL), hd AS (SELECT DISTINCT CAST(captured_at AS DATE) AS day FROM files WHERE size % 83 = 0),
 r AS (SELECT c.sha256, relative, f.*, c_name FROM copies c JOIN files f ON f.sha256 = c.sha256 LEFT JOIN customer ON c_custkey = event_id WHERE drive_uuid = '6'),
 p AS (SELECT r.sha256, relative, CASE WHEN category <> 'Camera' THEN category || '/' || CASE WHEN captured_at IS NULL THEN 'Undated' ELSE strftime(captured_at, '%Y/%Y-%m') END
- WHEN td.day IS NOT NULL THEN strftime(captured_at, '%Y') || '/1999-01-02 - Goa/' || strftime(captured_at, '%Y-%m-%d')
- WHEN c_name IS NOT NULL THEN CASE WHEN captured_at IS NULL THEN 'Undated' ELSE strftime(captured_at, '%Y') END || '/2001-02-03 - ' || c_name
+ WHEN td.day IS NOT NULL THEN strftime(captured_at, '%Y/%Y-%m') || '/1999-01-02 - Goa/' || strftime(captured_at, '%Y-%m-%d')
+ WHEN c_name IS NOT NULL THEN CASE WHEN captured_at IS NULL THEN 'Undated' ELSE strftime(captured_at, '%Y/%Y-%m') END || '/2001-02-03 - ' || c_name
  WHEN hd.day IS NOT NULL THEN strftime(captured_at, '%Y/%Y-%m/%Y-%m-%d - Everyday') WHEN captured_at IS NULL THEN 'Undated' ELSE strftime(captured_at, '%Y/%Y-%m/%Y-%m - Everyday') END || '/' || original_name AS "new"
  FROM r LEFT JOIN td ON td.day = CAST(captured_at AS DATE) LEFT JOIN hd ON hd.day = CAST(captured_at AS DATE))
 SELECT sha256, relative, "new", relative = "new" AS unchanged, count(*) OVER (PARTITION BY lower("new")) > 1 AS collides, length("new") > 200 AS long FROM p""")(lambda t: _migration(t).drop("axis"))
-query("j26_rederive", "SELECT sha256, category, 'Saved' AS label, 'fallback' AS rule FROM files WHERE category NOT IN ('Screenshots', 'Saved')")(
-    lambda t: on_drives.rederive(t.files, t.media.limit(0).select(F.col("id").cast("string").alias("sha256"), "tags")))
-# the same with all tags; the SQL of the one above states a table without any
 FILES_AS_MEDIA = "FROM (SELECT media.* REPLACE (original_name AS name), sha256, category FROM files JOIN media ON sha256 = CAST(id AS STRING) WHERE category NOT IN ('Screenshots', 'Saved'))"
-query("j26_rederive_with_tags", f"WITH {RULES.replace('FROM media', FILES_AS_MEDIA)} SELECT sha256, category, label, rule FROM c")(
+query("j26_rederive", f"WITH {RULES.replace('FROM media', FILES_AS_MEDIA)} SELECT sha256, category, label, rule FROM c")(
     lambda t: on_drives.rederive(t.files, t.media.select(F.col("id").cast("string").alias("sha256"), "tags")))
 
 # decisions: the events of four drives
@@ -305,19 +355,44 @@ def _keys(t, part):
     return t.raw("events").where(F.col("event_id") % 2 == part).select(F.col("event_type").alias("section"), F.col("user_id").alias("key"))
 
 
-query("k6_library_stats", """WITH c AS (SELECT sha256, count(*) n FROM copies GROUP BY 1) SELECT category, year(captured_at) AS year, count(*) AS files, sum(size)::BIGINT AS bytes, sum(coalesce(n, 0))::BIGINT AS copies, count(*) FILTER (n IS NULL) AS on_no_drive FROM files LEFT JOIN c USING (sha256) GROUP BY 1, 2""")(
-    lambda t: pipelines.library_stats(t.files, t.copies))
-query("a28_library_status", """SELECT (SELECT count(*) FROM files) AS files, (SELECT sum(size) FROM files)::BIGINT AS bytes, (SELECT count(*) FROM (SELECT sha256 FROM copies WHERE missing_at IS NULL GROUP BY 1 HAVING count(*) = 1)) AS single_copies, (SELECT count(DISTINCT drive_uuid) FROM copies) AS places""")(
-    lambda t: pipelines.library_status(t.files, t.copies))
-query("k3_analyze", """WITH s AS (SELECT size, count(*) n FROM docs GROUP BY 1), e AS (SELECT sha256, count(*) n FROM docs GROUP BY 1) SELECT (SELECT sum(n) FROM s)::BIGINT AS files, (SELECT coalesce(sum(n), 0) FROM s WHERE n > 1)::BIGINT AS colliding_files, (SELECT sum(n - 1) FROM e)::BIGINT AS exact_files""")(
-    lambda t: pipelines.analyze(t.docs))
+query("k6_library_stats", """WITH c AS (SELECT sha256, count(*) n, count(last_verified) v FROM copies GROUP BY 1), h AS (SELECT f.*, coalesce(n, 0) n, coalesce(v, 0) v FROM files f LEFT JOIN c USING (sha256)),
+a AS (SELECT count(*) AS files, sum(size)::BIGINT AS bytes, count(*) FILTER (n >= 2) AS on_two_drives, count(*) FILTER (n = 1) AS on_one_drive, count(*) FILTER (n = 0) AS on_no_drive, count(*) FILTER (v = 0) AS never_verified, count(*) FILTER (captured_at IS NULL) AS undated,
+ count(*) FILTER (captured_at IS NOT NULL AND category = 'Camera') AS timeline, count(*) FILTER (captured_at IS NULL OR category <> 'Camera') AS side_bin FROM h)
+SELECT 'total' AS section, key, value FROM (UNPIVOT a ON COLUMNS(*) INTO NAME key VALUE value)
+UNION ALL SELECT 'drive', label, count(c.sha256) FROM drives LEFT JOIN copies c ON uuid = drive_uuid GROUP BY uuid, label UNION ALL SELECT 'year', CAST(year(captured_at) AS STRING), count(*) FROM files WHERE captured_at IS NOT NULL GROUP BY 2
+UNION ALL SELECT 'format', lower(split_part(original_name, '.', -1)), count(*) FROM files GROUP BY 2 UNION ALL SELECT 'dates', date_source, count(*) FROM files GROUP BY 2
+UNION ALL SELECT 'look_alike', NULL, coalesce(sum(n), 0)::BIGINT FROM (SELECT count(*) n FROM files WHERE perceptual IS NOT NULL GROUP BY perceptual HAVING count(*) > 1) UNION ALL SELECT 'on_no_drive', NULL, on_no_drive FROM a""")(lambda t: pipelines.library_stats(t.files, t.copies, t.drives))
+CHECKED = "2005-01-01 00:00:00"
+query("a28_library_status", f"""WITH x AS (SELECT lower(split_part(original_name, '.', -1)) ext, size FROM files), k AS (SELECT count(*) AS files, sum(size)::BIGINT AS bytes, count(*) FILTER (ext IN ('jpg', 'heic', 'png')) AS photos, count(*) FILTER (ext = 'mp4') AS videos, count(*) FILTER (ext = 'opus') AS audio FROM x),
+p AS (SELECT count(DISTINCT drive_uuid) AS places FROM copies), o AS (SELECT count(*) AS single_copies FROM (SELECT sha256 FROM copies WHERE missing_at IS NULL GROUP BY 1 HAVING count(*) = 1)),
+c AS (SELECT sha256, count(*) FILTER (missing_at IS NULL) n FROM copies GROUP BY 1), h AS (SELECT coalesce(n, 0) n FROM files LEFT JOIN c USING (sha256)),
+f AS (SELECT count(*) FILTER (n = 0) AS no_copy, count(*) FILTER (n = 1) AS one_copy, min(n)::BIGINT AS floor, count(*) FILTER (n > 0) AS held, (min(n) FILTER (n > 0))::BIGINT AS held_floor, count(*) FILTER (n = (SELECT min(n) FROM h WHERE n > 0)) AS at_held_floor FROM h),
+d AS (SELECT label, CASE WHEN count(*) = count(last_verified) THEN min(last_verified) END v FROM copies JOIN drives ON uuid = drive_uuid GROUP BY uuid, label),
+g AS (SELECT count(*) FILTER (v IS NULL) AS never_checked, coalesce(string_agg(label, ';' ORDER BY label) FILTER (v IS NULL), '') AS never_checked_names, min(v) AS oldest_check, greatest(0, floor((epoch(TIMESTAMP '{CHECKED}') - epoch(min(v))) / 86400))::BIGINT AS age_days FROM d)
+SELECT *, CASE WHEN age_days >= 90 THEN 'stale' WHEN age_days >= 30 THEN 'softening' ELSE 'fresh' END AS tier FROM k, p, o, f, g""")(lambda t: pipelines.library_status(t.files, t.copies, t.drives, CHECKED))
+query("k3_analyze", f"""WITH {DATED}, {EMBED}, {RESOLVED}, w AS (SELECT z.id, z.name, src, CASE src WHEN 'inferred_local' THEN val + INTERVAL 2 HOUR WHEN 'exif' THEN val WHEN 'takeout' THEN z.taken_at WHEN 'filename' THEN fd END cap FROM z),
+y2 AS (SELECT w.*, shots.size, shots.sha256, regexp_extract(lower(w.name), '[.]([^.]*)$', 1) ext FROM w JOIN shots USING (id)), sz AS (SELECT size, count(*) n FROM y2 GROUP BY 1)
+SELECT count(*) AS files, sum(size)::BIGINT AS bytes, (SELECT coalesce(sum(n), 0) FROM sz WHERE n > 1)::BIGINT AS colliding_files, (SELECT coalesce(sum(n * size), 0) FROM sz WHERE n > 1)::BIGINT AS colliding_bytes,
+ count(*) FILTER (ext IN ('jpg', 'png', 'heic', 'webp')) AS images, count(*) FILTER (ext = 'heic') AS slow_images, round((SELECT coalesce(sum(n * size), 0) FROM sz WHERE n > 1) / sum(size), 6)::DOUBLE AS share, round(count(*) FILTER (ext = 'heic') / count(*) FILTER (ext IN ('jpg', 'png', 'heic', 'webp')), 6) AS slow_share,
+ round(count(*) FILTER (ext = 'heic') / count(*) FILTER (ext IN ('jpg', 'png', 'heic', 'webp')), 6) >= 0.25 AS slow_look, count(*) FILTER (ext IN ('jpg', 'png', 'heic', 'webp')) AS photos, count(*) FILTER (ext IN ('mp4', 'mov')) AS videos, 0::BIGINT AS audio, count(*) FILTER (cap IS NULL) AS undated, min(cap) AS earliest, max(cap) AS latest,
+ count(*) FILTER (src = 'rejected_sentinel') AS sentinel_rejected, count(*) FILTER (src = 'rejected_future') AS future_rejected, count(*) FILTER (src IN ('exif', 'takeout', 'inferred_local') AND cap IN (TIMESTAMP '2000-01-01', TIMESTAMP '1999-12-31', TIMESTAMP '1980-01-01')) AS suspect,
+ (SELECT sum(n - 1) FROM (SELECT count(*) n FROM y2 WHERE sha256 IS NOT NULL GROUP BY sha256))::BIGINT AS exact_files FROM y2""")(
+    lambda t: pipelines.analyze(t.media.select("id", "name", "tags", "taken_at").join(t.shots.select("id", "size", "sha256"), "id"), _now(), taken="taken_at"))
 
 # pipelines of the above
 
 query("k2_plan", f"""WITH {RULES}, {DATED}, {EMBED}, {RESOLVED}, w AS (SELECT z.id, src, CASE src WHEN 'inferred_local' THEN val + INTERVAL 2 HOUR WHEN 'exif' THEN val WHEN 'takeout' THEN z.taken_at WHEN 'filename' THEN fd END cap FROM z)
 SELECT c.id, label, cap AS captured_at, src AS source, CASE WHEN rule NOT IN ('device', 'camera_filename') THEN label || '/' || CASE WHEN cap IS NULL THEN 'Undated' ELSE strftime(cap, '%Y/%Y-%m') END WHEN cap IS NULL THEN 'Undated' ELSE strftime(cap, '%Y/%Y-%m/%Y-%m - Everyday') END AS folder,
- confidence = 'low' OR src IN ('none', 'rejected_sentinel', 'rejected_future', 'rejected_early') AS needs_review FROM c JOIN w USING (id)""")(
+ src NOT IN ('exif', 'takeout', 'inferred_local', 'none', 'rejected_sentinel', 'rejected_future', 'rejected_early') AS needs_review FROM c JOIN w USING (id)""")(
     lambda t: pipelines.plan(t.media, _now(), taken="taken_at").select("id", "label", "captured_at", "source", "folder", "needs_review"))
+query("k4_organize_preview", f"""WITH {RULES}, {DATED}, {EMBED}, {RESOLVED}, {SHOTS}, w AS (SELECT z.id, src, CASE src WHEN 'inferred_local' THEN val + INTERVAL 2 HOUR WHEN 'exif' THEN val WHEN 'takeout' THEN z.taken_at WHEN 'filename' THEN fd END cap FROM z),
+p AS (SELECT ks.*, c.label, c.name, src, cap, CASE WHEN regexp_matches(lower(c.name), '[.](jpg|png|heic|webp)$') THEN 'photo' WHEN regexp_matches(lower(c.name), '[.](mp4|mov)$') THEN 'video' END kind, bucket IN ('unique', 'near') goes FROM ks JOIN c USING (id) JOIN w USING (id)),
+lb AS (SELECT label, count(*) n FROM p WHERE goes GROUP BY 1)
+SELECT count(*) AS files, count(*) FILTER (kind = 'photo') AS photos, count(*) FILTER (kind = 'video') AS videos, 0::BIGINT AS audio, count(*) FILTER (bucket = 'unique') AS new_unique, count(*) FILTER (bucket = 'near') AS near_dup, count(*) FILTER (bucket = 'exact') AS exact_dup, count(*) FILTER (bucket = 'unreadable') AS unreadable,
+ count(*) FILTER (goes AND cap IS NULL) AS undated, count(*) FILTER (goes AND cap IS NOT NULL) AS will_organize, coalesce(sum(size) FILTER (bucket = 'exact'), 0)::BIGINT AS reclaimable_bytes, coalesce(sum(size) FILTER (bucket = 'near'), 0)::BIGINT AS near_bytes, coalesce(sum(size) FILTER (goes), 0)::BIGINT AS need_bytes,
+ count(*) FILTER (goes AND src = 'rejected_sentinel') AS sentinel_rejected, count(*) FILTER (goes AND src = 'rejected_future') AS future_rejected,
+ count(*) FILTER (goes AND src IN ('exif', 'takeout', 'inferred_local') AND cap IN (TIMESTAMP '2000-01-01', TIMESTAMP '1999-12-31', TIMESTAMP '1980-01-01')) AS suspect_default, count(*) FILTER (goes AND src = 'inferred_local') AS shifted, count(*) FILTER (goes AND src = 'filename') AS needs_review,
+ min(cap) FILTER (goes) AS earliest, max(cap) FILTER (goes) AS latest, (SELECT string_agg(label || ':' || CAST(n AS STRING), ';' ORDER BY n DESC, label) FROM lb) AS folders FROM p""")(lambda t: _preview(t))
 query("a14_inferred_shifts", f"WITH {DATED}, {EMBED}, {RESOLVED} SELECT id, CASE WHEN zone IS NOT NULL THEN 'TimeZone' ELSE 'filename:VID_' END AS evidence, 120 AS minutes FROM z WHERE src = 'inferred_local'")(
     lambda t: pipelines.inferred_local_shifts(dates.with_capture_datetime(t.media, _now(), taken="taken_at", out="r").select("id", "r.source", "r.tag")))
 query("a23_uncompared_photos", "WITH u AS (SELECT source_path AS path FROM files WHERE lower(split_part(original_name, '.', -1)) IN ('jpg', 'heic', 'png') AND size % 3 > 0 AND perceptual IS NULL) SELECT path, (SELECT count(*) FROM u) AS total FROM u ORDER BY path LIMIT 20")(
@@ -339,23 +414,48 @@ query("s15_record_trips", f"WITH {TRIP_DAYS}, a AS (SELECT * FROM old UNION ALL
     lambda t: timeline.record_trips(_trip_days(t, "event_id % 3 = 0 AND day(ts) < 20"), _trip_days(t, "true"))[1])
 query("s15_record_events", "SELECT event_id AS signature, CASE WHEN event_id % 4 = 0 THEN 'new' ELSE event_type END AS name FROM events WHERE event_id % 2 = 0 OR event_id % 4 = 0")(
     lambda t: timeline.record_events(t.raw("events").where("event_id % 2 = 0").selectExpr("event_id AS signature", "event_type AS name"), t.raw("events").where("event_id % 4 = 0").selectExpr("event_id AS signature", "'new' AS name")))
-query("k5_ingest_preview", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY sha256 ORDER BY part > 0, path) n FROM docs) SELECT CASE WHEN doc_id % 3 = 0 THEN 'takeout' ELSE 'exif' END AS date_source, count(*) FILTER (n = 1) AS kept, count(*) FILTER (n > 1) AS collapsed,
- coalesce(sum(size) FILTER (n > 1), 0)::BIGINT AS freed, count(*) FILTER (doc_id % 5 = 0) AS missing_sidecars FROM r WHERE part > 0 GROUP BY 1""")(lambda t: _ingest(t))
+INGEST = """m AS (SELECT shots.*, media.name, CAST(id % 40 AS STRING) folder, taken_at FROM media JOIN shots USING (id)), j AS (SELECT DISTINCT folder, name, max(taken_at) taken FROM m WHERE part > 0 AND length(name) % 5 > 0 GROUP BY 1, 2)"""
+query("k5_ingest_preview", f"""WITH {DATED}, {EMBED}, {INGEST}, y3 AS (SELECT x.* REPLACE (j.taken AS taken_at), m.folder, m.size, m.path, m.part, m.sha256, j.name AS sidecar FROM x JOIN m USING (id) LEFT JOIN j ON j.folder = m.folder AND j.name = m.name WHERE m.part > 0), {RESOLVED.replace('FROM x', 'FROM y3')},
+n AS (SELECT path, CASE WHEN sha256 IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY sha256 ORDER BY part > 0, path) END n FROM shots)
+SELECT src AS date_source, count(*) FILTER (n = 1) AS kept, count(*) FILTER (n > 1) AS collapsed, coalesce(sum(size) FILTER (n > 1), 0)::BIGINT AS freed, count(*) FILTER (sidecar IS NULL) AS missing_sidecars FROM z JOIN n USING (path) GROUP BY 1""")(lambda t: _ingest(t))
 
 
 def _ingest(t):
-    rows = t.docs.withColumns({"folder": paths.parent(F.col("path")), "name": paths.basename(F.col("path")), "date_source": F.when(F.col("doc_id") % 3 == 0, "takeout").otherwise("exif")})
-    batch = rows.where("part > 0")
-    jsons = batch.where("doc_id % 5 > 0").select("folder", F.concat("name", F.lit(".supplemental-meta.json")).alias("name"))
-    return pipelines.ingest_preview(t.docs.where("part = 0"), batch, batch.select("folder", "name"), jsons)
+    batch = t.media.select("id", "name", "tags", "taken_at").join(t.shots.where("part > 0"), "id").withColumn("folder", (F.col("id") % 40).cast("string"))
+    jsons = batch.where("char_length(name) % 5 > 0").groupBy("folder", "name").agg(F.max("taken_at").alias("taken_at")).withColumn("name", F.concat("name", F.lit(".json")))
+    return pipelines.ingest_preview(t.shots.where("part = 0"), batch.drop("taken_at"), jsons, _now())
 
 
-query("k9_reconcile_decisions", f"""WITH {SECTION}, r AS ({LATEST}), m AS (SELECT * FROM r WHERE n = 1) SELECT CASE WHEN key LIKE '1%' THEN 'awaiting_content' WHEN len(key) % 2 = 0 AND CAST(value AS BIGINT) % 3 = 0 THEN 'unchanged' WHEN len(key) % 2 = 0 AND written < TIMESTAMP '2024-01-29' THEN 'newer_locally' ELSE 'applied' END AS action,
- count(*) AS decisions FROM m GROUP BY 1""")(lambda t: _reconcile(t))
+query("k9_reconcile_decisions", f"""WITH {SECTION}, r AS ({LATEST}), m AS (SELECT * FROM r WHERE n = 1), cf AS (SELECT key AS sha256, arg_max(written, event_id) cap, max(event_id) tm FROM sec WHERE written IS NOT NULL GROUP BY key),
+a AS (SELECT 'events' AS section, CASE WHEN key LIKE '1%' THEN 'unmatched' WHEN len(key) % 2 = 0 THEN 'unchanged' ELSE 'applied' END AS action FROM m
+ UNION ALL SELECT 'date_confirmations', CASE WHEN len(sha256) % 2 = 0 THEN CASE WHEN tm % 3 = 0 THEN 'newer_locally' ELSE 'unchanged' END WHEN sha256 LIKE '1%' THEN 'awaiting_content' ELSE 'applied' END FROM cf
+ UNION ALL SELECT 'settings', CASE WHEN len(key) % 3 = 0 THEN 'unchanged' ELSE 'applied' END FROM m)
+SELECT section, action, count(*) AS decisions FROM a GROUP BY 1, 2""")(lambda t: _reconcile(t))
 
 
 def _reconcile(t):
     section = _section(t).where("written IS NOT NULL")
     merged = decisions.merge_section(section)
-    current = merged.where("char_length(key) % 2 = 0").selectExpr("key", "CASE WHEN CAST(value AS BIGINT) % 3 = 0 THEN value ELSE 'old' END AS value", "timestamp_ntz'2024-01-29 00:00:00' AS updated")
-    return pipelines.reconcile_decisions(section, current, merged.where("key NOT LIKE '1%'"))
+    names = merged.where("key NOT LIKE '1%'").select(F.col("key").alias("signature"), F.when(F.char_length("key") % 2 == 0, F.col("value")).otherwise("old").alias("name"))
+    confirmations = section.selectExpr("drive_uuid", "written", "key AS sha256", "written AS captured_at", "event_id AS confirmed_at")
+    newest = decisions.merge_confirmations(confirmations)
+    held = newest.where("char_length(sha256) % 2 = 0").selectExpr("sha256", "CASE WHEN confirmed_at % 3 = 0 THEN captured_at + INTERVAL '1' DAY ELSE captured_at END AS captured_at", "confirmed_at + 1 AS confirmed_at")
+    settings = merged.where("char_length(key) % 3 = 0").select("key", "value")
+    return pipelines.reconcile_decisions(section, section, confirmations, names, settings, held, newest.where("sha256 NOT LIKE '1%'"))
+
+
+query("j28_restore_trips", """WITH d AS (SELECT o_custkey AS trip, 'T' || CAST(o_custkey AS STRING) AS name, CASE WHEN o_custkey % 7 > 0 THEN CAST(o_orderdate AS DATE) END AS day FROM orders GROUP BY ALL), k AS (SELECT CAST(o_orderdate AS DATE) AS day, 'T' || CAST(min(o_custkey) AS STRING) AS name FROM orders WHERE o_orderkey % 6 = 0 GROUP BY 1),
+g AS (SELECT trip, d.name, count(d.day) n, count(k.name) h, count(*) FILTER (k.name = d.name) o FROM d LEFT JOIN k ON k.day = d.day GROUP BY 1, 2) SELECT trip, name, CASE WHEN n = 0 THEN 'dayless' WHEN o = n THEN 'unchanged' WHEN h > 0 THEN 'conflicting' ELSE 'applied' END AS action FROM g""")(lambda t: decisions.restore_trips(
+    t.raw("orders").selectExpr("o_custkey AS trip", "'T' || CAST(o_custkey AS STRING) AS name", "CASE WHEN o_custkey % 7 > 0 THEN CAST(o_orderdate AS DATE) END AS day").distinct(),
+    t.raw("orders").where("o_orderkey % 6 = 0").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.concat(F.lit("T"), F.min("o_custkey").cast("string")).alias("name"))))
+query("c19_preflight", f"WITH {KIND} SELECT count(*) AS files, sum(size)::BIGINT AS bytes, count(*) FILTER (size > 30000) AS oversized, sum(size) <= 2000000 AND count(*) FILTER (size > 30000) = 0 AS fits FROM k WHERE kind <> 'exact'")(
+    lambda t: duplicates.preflight(duplicates.write_candidates(_resolved(t), 30000), 2_000_000))
+query("s7_decision_documents", f"WITH {SECTION} SELECT drive_uuid, max(written) AS written, count(*) AS decisions FROM sec WHERE event_type <> 'error' OR user_id % 2 = 1 GROUP BY 1".replace("FROM sec WHERE event_type", "FROM (SELECT sec.*, events.event_type, events.user_id FROM sec JOIN events USING (event_id)) WHERE event_type"))(lambda t: _documents(t))
+
+
+def _documents(t):
+    from lumibase.sources import decision_documents
+
+    rows = _section(t).join(t.raw("events").select("event_id", "event_type", "user_id"), "event_id")
+    rows = rows.select("drive_uuid", "written", F.when(F.col("event_type") == "error", "settings").otherwise("events").alias("section"), F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("path_hint."), "key")).otherwise(F.col("key")).alias("key"), "value")
+    return decision_documents(rows).select("drive_uuid", "written", F.size("sections").cast("long").alias("decisions"))

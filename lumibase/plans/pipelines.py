@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,40 +12,102 @@ from lumibase.operators import catalog, decisions, duplicates, sidecars, timelin
 
 
 def date_quality(resolved: DataFrame) -> DataFrame:
-    """Files per date source, and those at a reset clock's default. ``r`` is what ``with_capture_datetime`` gives."""
-    return resolved.groupBy("r.source").agg(F.count("*").alias("files"), F.count_if(dates.is_suspect_default(F.col("r.value"), F.col("r.source"))).alias("suspect"))
-
-
-def organize_preview(resolved: DataFrame) -> DataFrame:
-    """Per label and kind the files, bytes and undated ones of a batch that is resolved against the catalog."""
-    return resolved.groupBy("category", "kind").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"), F.count_if(F.col("captured_at").isNull()).alias("undated"))
-
-
-def trip_review(items: DataFrame) -> DataFrame:
-    """K7: the cards to review: trips, and events outside of them."""
-    events = timeline.cluster_events(items)
-    return timeline.review_cards(timeline.detect_trips(items, events), events)
-
-
-def library_stats(files: DataFrame, copies: DataFrame) -> DataFrame:
-    """K6: per label and year the files, bytes and copies."""
-    held = files.join(catalog.copy_counts(copies).select("sha256", "n_copies"), "sha256", "left")
-    return held.groupBy("category", F.year("captured_at").cast("long").alias("year")).agg(
-        F.count("*").alias("files"), F.sum("size").alias("bytes"), F.sum(F.coalesce("n_copies", F.lit(0))).alias("copies"), F.count_if(F.col("n_copies").isNull()).alias("on_no_drive")
-    )
-
-
-def library_status(files: DataFrame, copies: DataFrame) -> DataFrame:
-    """One row: files, bytes, single copies and places."""
-    places = copies.select("drive_uuid").distinct().agg(F.count("*").alias("places")).withColumn("k", F.lit(0))
-    return catalog.content_totals(files, copies).withColumn("k", F.lit(0)).join(places, "k").drop("k")
+    """One row: files whose only date was a sentinel or in the future, and those at a reset clock's default. ``r``
+    is what ``with_capture_datetime`` gives."""
+    source = F.col("r.source")
+    return resolved.agg(
+        F.count("*").alias("files"), F.count_if(source == "rejected_sentinel").alias("sentinel_rejected"), F.count_if(source == "rejected_future").alias("future_rejected"),
+        F.count_if(dates.is_suspect_default(F.col("r.value"), source)).alias("suspect"),
+    )
 
 
-def analyze(batch: DataFrame) -> DataFrame:
-    """K3: files, those that collide by size, and exact duplicates; looks are not compared."""
-    sizes = duplicates.forecast(batch, F.lit(False)).select("files", "colliding_files", F.lit(0).alias("k"))
-    exact = batch.groupBy("sha256").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") - 1).alias("exact_files")).withColumn("k", F.lit(0))
-    return sizes.join(exact, "k").drop("k")
+def _kinds(name: Column) -> list[Column]:
+    kind = origin.media_kind(name)
+    return [F.count_if(kind == k).alias(n) for k, n in (("image", "photos"), ("video", "videos"), ("audio", "audio"))]
+
+
+def organize_preview(planned: DataFrame, resolved: DataFrame, *, skip_undated: bool = False) -> DataFrame:
+    """One row of all that a preview reports. ``planned`` is K2 with path and size, ``resolved`` is K1."""
+    rows = planned.join(resolved.select("path", "sha256", "kind"), "path")
+    bucket = F.when(F.col("sha256").isNull(), "unreadable").otherwise(F.col("kind"))
+    rows = rows.withColumn("bucket", bucket)
+    goes = F.col("bucket").isin("unique", "near")
+    dated = F.col("captured_at").isNotNull()
+    is_ = lambda name: F.col("bucket") == name
+    total = lambda when: F.coalesce(F.sum(F.when(when, F.col("size"))), F.lit(0))
+    summary = rows.agg(
+        F.count("*").alias("files"), *_kinds(F.col("name")),
+        F.count_if(is_("unique")).alias("new_unique"), F.count_if(is_("near")).alias("near_dup"), F.count_if(is_("exact")).alias("exact_dup"), F.count_if(is_("unreadable")).alias("unreadable"),
+        F.count_if(goes & ~dated).alias("undated"), F.count_if(goes & (dated if skip_undated else F.lit(True))).alias("will_organize"),
+        total(is_("exact")).alias("reclaimable_bytes"), total(is_("near")).alias("near_bytes"), total(goes).alias("need_bytes"),
+        F.count_if(goes & (F.col("source") == "rejected_sentinel")).alias("sentinel_rejected"), F.count_if(goes & (F.col("source") == "rejected_future")).alias("future_rejected"),
+        F.count_if(goes & dates.is_suspect_default(F.col("captured_at"), F.col("source"))).alias("suspect_default"), F.count_if(goes & (F.col("source") == "inferred_local")).alias("shifted"),
+        F.count_if(goes & F.col("needs_review")).alias("needs_review"), F.min(F.when(goes, F.col("captured_at"))).alias("earliest"), F.max(F.when(goes, F.col("captured_at"))).alias("latest"),
+    )
+    # labels come from a few rules and applications, so the tally is short
+    labels = rows.where(goes).groupBy("label").agg(F.count("*").alias("n"))
+    tally = labels.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "label"))), lambda x: F.concat(x["label"], F.lit(":"), (-x["n"]).cast("string"))), ";").alias("folders"))
+    return summary.join(F.broadcast(tally), F.lit(True))  # one row each
+
+
+def preview(catalog_rows: DataFrame, batch: DataFrame, now: Column, *, taken: str | None = None, threshold: int = 5, skip_undated: bool = False) -> DataFrame:
+    """K4: a batch (id, path, name, tags, size, sha256, perceptual) planned, resolved against the catalog and summed up."""
+    planned = plan(batch, now, taken=taken).join(batch.select("id", "path", "name", "size"), "id")
+    return organize_preview(planned, duplicates.resolve(catalog_rows, batch, threshold), skip_undated=skip_undated)
+
+
+def trip_review(items: DataFrame, events: DataFrame, names: DataFrame, skipped: DataFrame, claimed: DataFrame) -> DataFrame:
+    """K7: the cards to review, largest first, with the name that an event or trip has already, and the folder name that
+    its members suggest. Items have path besides; events are W1 (several steps read them, so the caller may persist
+    them); names (signature, name), skipped (signature), claimed (library, day, name)."""
+    trips = timeline.named_trips(timeline.detect_trips(items, events), claimed)
+    card = F.concat_ws("/", F.col("library").cast("string"), "kind", F.col("first_day").cast("string"), F.coalesce("signature", F.lit("")))
+    cards = timeline.review_cards(trips, timeline.named_overlay(events, names, skipped), items).withColumn("cluster", card)
+    spans = cards.select("library", "cluster", F.explode(F.sequence("first_day", "last_day")).alias("day"))
+    days = items.select("library", F.to_date("captured_at").alias("day"), "path", F.year("captured_at").alias("year"))
+    members = days.join(spans, ["library", "day"]).select("cluster", "path", "year")
+    hints = timeline.folder_suggestions(members, timeline.suggestion_roots(members))
+    columns = ("library", "kind", "first_day", "last_day", "files", "day_total", "name", "suggestion")
+    return cards.join(hints, "cluster", "left").select(*columns).orderBy(F.desc("files"), "library", "first_day")
+
+
+def library_stats(files: DataFrame, copies: DataFrame, drives: DataFrame) -> DataFrame:
+    """K6: the stats view as rows (section, key, value): totals (A1), drives (A3), years (A7), formats (A8), dates (A6),
+    look-alikes (A9) and the samples' totals (T2)."""
+    none = F.lit(None).cast("string")
+    row = lambda section, key, value: (F.lit(section).alias("section"), key.cast("string").alias("key"), value.cast("long").alias("value"))
+    totals = catalog.stats_summary(files, copies)
+    counts = [c for c in totals.columns if c not in ("earliest", "latest")]
+    span = totals.select(F.explode(F.array(*(F.struct(F.lit(c).alias("key"), F.col(c).cast("long").alias("value")) for c in counts))).alias("x")).select(*row("total", F.col("x.key"), F.col("x.value")))
+    parts = [
+        span,
+        catalog.list_drives(drives, copies).select(*row("drive", F.col("label"), F.col("files"))),
+        catalog.by_year(files).where("year IS NOT NULL").select(*row("year", F.col("year"), F.col("files"))),
+        catalog.counts_by_format(files).groupBy("extension").agg(F.sum("files").alias("files")).select(*row("format", F.col("extension"), F.col("files"))),
+        catalog.date_provenance(files).select(*row("dates", F.col("date_source"), F.col("files"))),
+        catalog.near_dup_flagged(files).select(*row("look_alike", none, F.col("files"))),
+        catalog.zero_drive(files, copies).agg(F.count("*").alias("n")).select(*row("on_no_drive", none, F.col("n"))),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def library_status(files: DataFrame, copies: DataFrame, drives: DataFrame, now: str) -> DataFrame:
+    """One row: files and bytes by kind, places with copies, custody (A2, A5) and how fresh its checks are."""
+    kinds = files.agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), *_kinds(F.col("original_name")))
+    places = catalog.list_drives(drives, copies).where("files > 0").agg(F.count("*").alias("places"))
+    single = catalog.content_totals(files, copies).select("single_copies")
+    parts = [kinds, places, single, catalog.custody_floor(files, copies), catalog.custody_freshness(drives, copies, now)]
+    return reduce(lambda a, b: a.join(F.broadcast(b), F.lit(True)), parts)  # one row each
+
+
+def analyze(batch: DataFrame, now: Column, *, taken: str | None = None) -> DataFrame:
+    """K3: one row on a batch (name, tags, size, sha256): census, what duplicates cost to find, dates and exact
+    duplicates; looks are not compared."""
+    dated = dates.with_capture_datetime(batch, now, taken=taken, out="r")
+    census = dated.agg(*_kinds(F.col("name")), F.count_if(F.col("r.value").isNull()).alias("undated"), F.min("r.value").alias("earliest"), F.max("r.value").alias("latest"))
+    quality = date_quality(dated).drop("files")
+    exact = batch.where("sha256 IS NOT NULL").groupBy("sha256").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("exact_files"))
+    return reduce(lambda a, b: a.join(F.broadcast(b), F.lit(True)), [duplicates.forecast(batch, F.col("name")), census, quality, exact])  # one row each
 
 
 def plan(media: DataFrame, now: Column, *, taken: str | None = None, heavy: Column | None = None) -> DataFrame:
@@ -53,11 +117,11 @@ def plan(media: DataFrame, now: Column, *, taken: str | None = None, heavy: Colu
     place = paths.classify_placement(F.col("_m.rule"), F.lit(None), F.lit(None), F.lit(False) if heavy is None else heavy)
     nothing = F.lit(None).cast("string")
     dated = dated.withColumns({"_place": place, "_label": paths.sanitize_value(F.col("_m.label"))})  # sanitized once, for all layouts
-    folder = paths.PRESETS["everyday"].folder(F.col("_place"), at, F.col("_label"), nothing, nothing, composed=True)
+    folder = paths.DEFAULT_PRESET.folder(F.col("_place"), at, F.col("_label"), nothing, nothing, composed=True)
     time_known = F.col("_r.source") != "filename"
     return dated.select(
         "id", F.col("_m.label").alias("label"), at.alias("captured_at"), F.col("_r.source").alias("source"), F.col("_r.tag").alias("tag"),
-        paths.dated_filename(F.col("name"), at, time_known).alias("new_name"), folder.alias("folder"), origin.needs_review(F.col("_m.confidence"), F.col("_r.source")).alias("needs_review"),
+        paths.dated_filename(F.col("name"), at, time_known).alias("new_name"), folder.alias("folder"), origin.needs_review(F.col("_r.source")).alias("needs_review"),
     )
 
 
@@ -68,16 +132,22 @@ def inferred_local_shifts(planned: DataFrame) -> DataFrame:
     return planned.select("id", F.explode(shift).alias("p")).select("id", "p.evidence", "p.minutes")
 
 
-def ingest_preview(catalog_rows: DataFrame, batch: DataFrame, media: DataFrame, sidecar_files: DataFrame) -> DataFrame:
-    """K5: a batch (path, folder, name, sha256, perceptual, size, date_source) matched to its sidecars, resolved against
-    the catalog, and reported per source of the date."""
-    matched = sidecars.match_sidecars(media, sidecar_files).withColumnRenamed("media", "name")
+def ingest_preview(catalog_rows: DataFrame, batch: DataFrame, sidecar_files: DataFrame, now: Column) -> DataFrame:
+    """K5: a batch (id, path, folder, name, tags, size, sha256, perceptual) matched to its sidecars (folder, name,
+    taken_at), planned and resolved as K4 does, and reported per source of the date."""
+    matched = sidecars.match_sidecars(batch.select("folder", "name"), sidecar_files.select("folder", "name")).withColumnRenamed("media", "name").distinct()
+    told = sidecar_files.select("folder", F.col("name").alias("sidecar"), F.col("taken_at").alias("_taken"))
+    rows = batch.join(matched, ["folder", "name"], "left").join(told, ["folder", "sidecar"], "left")
+    planned = plan(rows, now, taken="_taken").select("id", F.col("source").alias("date_source"))
     resolved = duplicates.resolve(catalog_rows, batch, perceptual=False).select("path", "kind")
-    return sidecars.ingest_report(batch.join(resolved, "path").join(matched, ["folder", "name"], "left"))
+    return sidecars.ingest_report(rows.select("id", "path", "size", "sidecar").join(planned, "id").join(resolved, "path"))
 
 
-def reconcile_decisions(section: DataFrame, current: DataFrame, known: DataFrame) -> DataFrame:
-    """K9: the drives' documents merged, and what each decision would do to the catalog."""
-    newest = section.groupBy("key").agg(F.max("written").alias("written"))
-    merged = decisions.merge_section(section).select("key", "value").join(newest, "key")
-    return decisions.restore_apply(merged, current, known).groupBy("action").agg(F.count("*").alias("decisions"))
+def reconcile_decisions(section: DataFrame, settings: DataFrame, confirmations: DataFrame, catalog_events: DataFrame, current_settings: DataFrame, held: DataFrame, contents: DataFrame) -> DataFrame:
+    """K9: the drives' documents merged (W4 events, W5 confirmations, W6 settings), and what each decision would do to
+    the catalog (J28), counted by section and action."""
+    events = decisions.restore_events(decisions.merge_section(section).select(F.col("key").alias("signature"), F.col("value").alias("name")), catalog_events)
+    dated = decisions.restore_confirmations(decisions.merge_confirmations(confirmations), held, contents)
+    set_ = decisions.restore_settings(decisions.merge_settings(settings).select("key", "value"), current_settings)
+    parts = [df.select(F.lit(name).alias("section"), "action") for name, df in (("events", events), ("date_confirmations", dated), ("settings", set_))]
+    return reduce(DataFrame.unionByName, parts).groupBy("section", "action").agg(F.count("*").alias("decisions"))

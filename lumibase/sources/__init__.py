@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumibase.functions.dates import DATE_TAGS
+from lumibase.operators.decisions import is_machine_local
 
 METADATA_SCHEMA = "path string, tags struct<" + ", ".join(
     f"{t}: string" for t in ("Make", "Model", "LensModel", "Software", "SamsungCaptureInfo", *DATE_TAGS, "GPSDateStamp", "GPSTimeStamp", "TimeZone", "Duration", "MIMEType")
@@ -35,18 +36,17 @@ def _listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["path", "length", "mtime", "kind"])
 
 
-def read_listing(spark: SparkSession, roots: list[str], most_levels: int = 64) -> DataFrame:
+def read_listing(spark: SparkSession, roots: list[str]) -> DataFrame:
     """One row per entry below the roots (path, length, mtime, kind); hidden folders are named, and not entered.
-    Folders are listed by executors, one level at a time; they must see the roots."""
+    Folders are listed by executors, one level at a time until a level has none; executors must see the roots."""
     level = spark.createDataFrame([(r,) for r in roots], "path string")
     found = None
-    for _ in range(most_levels):
-        below = level.repartition("path").mapInPandas(_listed, "path string, length bigint, mtime timestamp_ntz, kind string").cache()
+    while True:
+        below = level.repartition("path").mapInPandas(_listed, "path string, length bigint, mtime timestamp_ntz, kind string").persist()
         found = below if found is None else found.unionByName(below)
         level = below.where("kind = 'dir'").select("path")
         if level.isEmpty():
-            break
-    return found
+            return found
 
 
 def read_metadata(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
@@ -76,10 +76,16 @@ def read_decisions(spark: SparkSession, path: str) -> DataFrame:
     return docs.select("drive_uuid", "written", F.inline("sections"))
 
 
+def decision_documents(rows: DataFrame) -> DataFrame:
+    """One document per drive, without the settings that belong to one machine. A document is what one drive's owner
+    has decided by hand, and so small; its rows are gathered on one worker."""
+    kept = rows.where(~((F.col("section") == "settings") & is_machine_local(F.col("key"))))
+    return kept.groupBy("drive_uuid").agg(F.max("written").alias("written"), F.collect_list(F.struct("section", "key", "value")).alias("sections"))
+
+
 def write_decisions(rows: DataFrame, path: str) -> None:
-    """One document per drive, each in a file of its own."""
-    docs = rows.groupBy("drive_uuid").agg(F.max("written").alias("written"), F.collect_list(F.struct("section", "key", "value")).alias("sections"))
-    docs.withColumn("drive", F.col("drive_uuid")).write.mode("overwrite").partitionBy("drive").json(path)
+    """Each drive's document in a file of its own."""
+    decision_documents(rows).withColumn("drive", F.col("drive_uuid")).write.mode("overwrite").partitionBy("drive").json(path)
 
 
 def write_run_record(outcomes: DataFrame, path: str) -> None:

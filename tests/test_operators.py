@@ -49,7 +49,7 @@ def test_resolve_equals_the_loop(spark, threshold):
 
 def test_bands_refuse_large_thresholds():
     with pytest.raises(ValueError):
-        duplicates.bands(None, 16)
+        duplicates.pieces(9, 1)
 
 
 def items(spark, times, library=1):
@@ -64,7 +64,7 @@ def test_bursts_and_trips(spark):
     assert sorted(r.files for r in events.collect()) == [12, 31, 45, 60]
     trip = timeline.detect_trips(rows, events).collect()
     assert [(str(t.start_date), str(t.end_date), t.files, t.outcome) for t in trip] == [("2014-08-14", "2014-08-17", 148, "proposed")]
-    assert [r.kind for r in timeline.review_cards(timeline.detect_trips(rows, events), events).collect()] == ["trip"]
+    assert [r.kind for r in timeline.review_cards(timeline.detect_trips(rows, events), events, rows).collect()] == ["trip"]
 
 
 def test_year_splits_a_run(spark):
@@ -103,7 +103,7 @@ def test_custody_freshness_names_every_drive(spark):
 
 
 def test_rederive_query_reads_tags(spark):
-    rows = library_queries()["j26_rederive_with_tags"](spark, "/root/testdata/sf0.001")
+    rows = library_queries()["j26_rederive"](spark, "/root/testdata/sf0.001")
     assert {"device", "software", "screenshot_metadata", "fallback"} <= {r.rule for r in rows.select("rule").distinct().collect()}
     assert rows.count() == library_queries()["j26_rederive"](spark, "/root/testdata/sf0.001").count()
 
@@ -118,13 +118,13 @@ def test_sanitize_whole_values_by_brute_force(spark):
     for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
         clean = tail(re.sub(r'[<>:"/\\|?*\x00-\x1f]', "_", r.text))
         want[r.doc_id] = tail(unicodedata.normalize("NFC", clean).encode()[:255].decode(errors="ignore"))
-    found = {r.doc_id: r.value for r in library_queries()["f19_sanitize_whole_value"](spark, sf).collect()}
+    found = {r.doc_id: r.value for r in library_queries()["f19_sanitize_value"](spark, sf).collect()}
     assert found == want and max(len(v.encode()) for v in found.values()) == 255
 
 
 def test_merged_cards_of_all_users(spark):
     sf = "/root/testdata/sf0.001"
-    cards = library_queries()["w8_merge_cards_all_users"](spark, sf)
+    cards = library_queries()["w8_merge_cards"](spark, sf)
     users = spark.read.parquet(f"{sf}/events.parquet").select("user_id").distinct().count()
     assert cards.select("library").distinct().count() == users
     assert {r.error for r in cards.select("error").distinct().collect()} == {None, "over_span"}
@@ -134,3 +134,152 @@ def library_queries():
     from lumibase.plans import library, registry  # noqa: F401
 
     return registry.QUERIES
+
+
+def test_free_relative_takes_the_least_free_number(spark):
+    def free(wanted, taken):
+        w = spark.createDataFrame(list(enumerate(wanted)), "key int, path string")
+        found = copies.free_relative(w, spark.createDataFrame([(p,) for p in taken], "path string")).collect()
+        assert sorted((r.key, r.path) for r in found) == list(enumerate(wanted))
+        return [r.free for r in sorted(found)]
+
+    assert free(["a.jpg"], ["a.jpg", "a_1.jpg"]) == ["a_2.jpg"]
+    assert free(["a.jpg"], ["a.jpg", "a_1.jpg", "a__1.jpg", "a___1_1.jpg"]) == ["a_2.jpg"]
+    assert free(["a.jpg", "a.jpg", "a.jpg"], ["a_1.jpg", "a_3.jpg"]) == ["a.jpg", "a_2.jpg", "a_4.jpg"]
+    assert free(["x/b", "x/b", "y/b", "x/b.c/d", "x/b.c/d"], ["y/b"]) == ["x/b", "x/b_1", "y/b_1", "x/b.c/d", "x/b.c/d_1"]
+    assert free(["a.jpg", "a.jpg", "a_1.jpg", "a_1.jpg"], []) == ["a.jpg", "a_2.jpg", "a_1.jpg", "a_1_1.jpg"]
+    assert free([".hid", ".hid"], []) == [".hid", ".hid_1"] and free([], ["a"]) == []
+
+
+def test_free_relative_equals_the_loop(spark):
+    """Against the one-by-one search, where no path that is asked for is a number of another."""
+    rng = random.Random(7)
+    wanted = [f"{rng.choice('ab')}/{rng.choice('cd')}{rng.choice(['.jpg', '', '.x.png'])}" for _ in range(150)]
+    taken = {f"{rng.choice('ab')}/{rng.choice('cd')}{rng.choice(['', '_1', '_2', '_5', '_07', '_30'])}{rng.choice(['.jpg', '', '.x.png'])}" for _ in range(25)}
+    have, want = set(taken), []
+    for path in wanted:
+        folder, name = path.rsplit("/", 1)
+        stem, dot, suffix = name.rpartition(".")
+        stem, suffix = (stem, dot + suffix) if dot else (name, "")
+        free, n = path, 0
+        while free in have:
+            n += 1
+            free = f"{folder}/{stem}_{n}{suffix}"
+        have.add(free)
+        want.append(free)
+    found = copies.free_relative(spark.createDataFrame(list(enumerate(wanted)), "key int, path string"), spark.createDataFrame([(p,) for p in taken], "path string"))
+    assert [r.free for r in sorted(found.collect())] == want
+
+
+def test_totals_of_undated_and_uncopied_files(spark):
+    files = spark.createDataFrame([("a", 1, "Camera", datetime(2020, 1, 1)), ("b", 2, "Camera", None), ("c", 3, "Adobe", datetime(2021, 1, 1))], "sha256 string, size bigint, category string, captured_at timestamp_ntz")
+    held = spark.createDataFrame([("a", "d", None, datetime(2022, 1, 1)), ("c", "d", None, None)], "sha256 string, drive_uuid string, missing_at timestamp_ntz, last_verified timestamp_ntz")
+    r = catalog.stats_summary(files, held).first()
+    assert (r.timeline, r.side_bin, r.undated, r.never_verified, r.on_no_drive) == (1, 2, 1, 2, 1)
+
+
+def test_reclaim_asks_what_the_copy_hashes_to_now(spark):
+    rows = [("a", "a.jpg", "da", "/s/a"), ("b", "b.jpg", None, "/s/b"), ("c", "c.jpg", "dc", "/s/c"), ("d", "d.jpg", "dd", "/s/d"), ("e", "e.jpg", "de", "/s/e")]
+    candidates = spark.createDataFrame([(*r, 9, datetime(2020, 1, 1), 1 if r[0] == "e" else 2) for r in rows], "sha256 string, relative string, copy_sha256 string, source_path string, size bigint, last_verified timestamp_ntz, copies bigint")
+    listing = spark.createDataFrame([(f"/s/{c}",) for c in "abcde"], "path string")
+    observed = spark.createDataFrame([("a.jpg", "da"), ("b.jpg", "db"), ("c.jpg", "other"), ("e.jpg", "de")], "relative string, digest string")
+    found = {r.bucket: r.files for r in catalog.reclaim_plan(candidates, listing, observed, "/drive/", 2).collect()}
+    assert found == {"candidate": 1, "unverified": 3, "below_min_copies": 1}
+
+
+def test_confirmations_tie_to_the_newest_document_then_the_smaller_drive(spark):
+    from lumibase.operators import decisions
+
+    day = datetime(2020, 1, 1)
+    rows = [("2", day, "a", "x", 5), ("1", day, "a", "y", 5), ("3", None, "a", "z", 5), ("9", day, "b", "old", 1), ("1", None, "b", "new", 2)]
+    df = spark.createDataFrame(rows, "drive_uuid string, written timestamp_ntz, sha256 string, captured_at string, confirmed_at int")
+    assert {r.sha256: r.captured_at for r in decisions.merge_confirmations(df).collect()} == {"a": "y", "b": "new"}
+    settings = spark.createDataFrame([("1", day, "path_hint.a", "v"), ("1", day, "decisions.b", "v"), ("1", day, "catalog.c", "v"), ("1", day, "window.d", "v")], "drive_uuid string, written timestamp_ntz, key string, value string")
+    assert [r.key for r in decisions.merge_settings(settings).collect()] == ["window.d"]
+
+
+def test_presets(spark):
+    from lumibase.functions import paths
+
+    row = spark.range(1).select(F.lit(datetime(2020, 3, 4)).cast("timestamp_ntz").alias("at"), F.lit("x").alias("c"))
+    folder = lambda preset, kind: row.select(paths.PRESETS[preset].folder(F.lit(kind), F.col("at"), F.col("c"), F.lit("E"), F.lit("T"), composed=True)).first()[0]
+    assert folder("year-month-event", "everyday") == "2020/2020-03/2020-03 - Everyday" and folder("year-month-event", "event_day") == "2020/2020-03/E"
+    assert folder("year-event", "everyday") == "2020/2020-03" and folder("year-event", "event_day") == "2020/E" and folder("year-event", "trip_day") == "2020/T/2020-03-04"
+    assert folder("year-month-day", "everyday") == "2020/2020-03/2020-03-04" and folder("year-month-day", "side_bin") == "x/2020/2020-03"
+    with pytest.raises(ValueError):
+        paths.Scheme(event="{category}/{yyyy}")
+
+
+def plain_segments(times, places, by=timeline.Clustering()):
+    """W1 as a loop over one library's rows in order."""
+    import math
+    import statistics
+
+    gaps = [(b - a).total_seconds() for a, b in zip(times, times[1:])]
+    logs = [math.log1p(max(g, 0)) for g in gaps] + [0.0]
+    out, segment = [], 0
+    for n in range(len(times)):
+        out.append(segment)
+        if n == len(times) - 1:
+            break
+        around = logs[max(0, n - 10) : n] + logs[n + 1 : n + 11]
+        far = False
+        if places[n] and places[n + 1]:
+            (a, c), (b, d) = places[n], places[n + 1]
+            a, b, c, d = map(math.radians, (a, b, c, d))
+            far = 2 * 6371.0088 * math.asin(math.sqrt(math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin((d - c) / 2) ** 2)) > by.jump_km
+        if gaps[n] > by.most_gap_s or (gaps[n] >= by.least_gap_s and around and logs[n] - statistics.median(around) > by.sensitivity) or far:
+            segment += 1
+    return out
+
+
+def test_segments_over_days_equal_the_loop(spark):
+    """Rows of a library over many days, most with few rows, so that neighbours lie several days away."""
+    rng = random.Random(3)
+    rows = []
+    for library in range(6):
+        at = datetime(2020, 1, 1)
+        for n in range(160):
+            at += timedelta(seconds=rng.choice([5, 60, 600, 4000, 30_000, 90_000, 400_000]) * rng.random())
+            place = rng.choice([None, (10.0, 10.0), (10.0, 10.1), (12.0, 10.0)])
+            rows.append((library, f"{library}-{n:04}", at, *(place or (None, None)), None))
+    df = spark.createDataFrame(rows, "library int, sha256 string, captured_at timestamp_ntz, lat double, lon double, event_id int").repartition(5)
+    got = {r.sha256: r.segment for r in timeline.segments(df).collect()}
+    for library in range(6):
+        own = [r for r in rows if r[0] == library]
+        assert [got[r[1]] for r in own] == plain_segments([r[2] for r in own], [r[3:5] if r[3] is not None else None for r in own])
+
+
+def test_numbered_equals_row_number(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice([None, "a", "b"]), datetime(2020, 1, rng.randint(1, 9), rng.randint(0, 23)), n) for n in range(200)]
+    df = spark.createDataFrame(rows, "k string, at timestamp_ntz, id int")
+    got = {r.id: r.n for r in timeline.numbered(df, ["k"], F.to_date("at"), ["at", "id"]).collect()}
+    for k in (None, "a", "b"):
+        own = sorted((r for r in rows if r[0] == k), key=lambda r: (r[1], r[2]))
+        assert [got[r[2]] for r in own] == list(range(1, len(own) + 1))
+
+
+@pytest.mark.parametrize("agree", [1, 2, 3, 4])
+def test_links_by_any_number_of_pieces_equal_brute_force(spark, agree):
+    rng = random.Random(agree)
+    sigs = {0, -1}
+    for _ in range(20):
+        s = rng.getrandbits(64)
+        for _ in range(6):
+            sigs.add(s - (1 << 64) if s >> 63 else s)
+            for bit in rng.sample(range(64), rng.randint(1, 4)):
+                s ^= 1 << bit
+    found = {(r.a, r.b): r.distance for r in duplicates.signature_links(spark.createDataFrame([(s,) for s in sigs], "perceptual bigint"), 5, agree).collect()}
+    near = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count()
+    assert found == {(a, b): near(a, b) for a in sigs for b in sigs if a != b and near(a, b) <= 5}
+    assert duplicates.cheapest_agree(5, 10**3) < duplicates.cheapest_agree(5, 10**9)
+
+
+def test_the_date_ladder_is_a_small_plan(spark):
+    from lumibase.plans.bindings import Tables
+    from lumibase.functions import dates
+
+    media = Tables(spark, "/root/testdata/sf0.001").media
+    found = dates.with_capture_datetime(media, F.lit("2024-06-01").cast("timestamp_ntz"), taken="taken_at", out="r").select("id", "r.source", "r.value", "r.tag")
+    assert len(found._jdf.queryExecution().executedPlan().toString()) < 40_000
