@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lumibase.functions import dates, measures, origin, paths
 from lumibase.operators import decisions, duplicates, sidecars, timeline
 from lumibase.operators import copies as on_drives
+from lumibase import streaming
 from lumibase.plans import pipelines
 from lumibase.plans.registry import query
 
@@ -459,3 +460,14 @@ def _documents(t):
     rows = _section(t).join(t.raw("events").select("event_id", "event_type", "user_id"), "event_id")
     rows = rows.select("drive_uuid", "written", F.when(F.col("event_type") == "error", "settings").otherwise("events").alias("section"), F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("path_hint."), "key")).otherwise(F.col("key")).alias("key"), "value")
     return decision_documents(rows).select("drive_uuid", "written", F.size("sections").cast("long").alias("decisions"))
+
+
+# the incremental operators on the given tables as one batch
+
+query("r1_ingest_rows", f"""WITH {RULES}, {DATED}, {EMBED}, y4 AS (SELECT * REPLACE (NULL::TIMESTAMP AS taken_at) FROM x), {RESOLVED.replace('FROM x', 'FROM y4')}
+SELECT md5(CAST(c.id AS STRING)) AS sha256, label, rule, src AS date_source, CASE src WHEN 'inferred_local' THEN val + INTERVAL 2 HOUR WHEN 'exif' THEN val WHEN 'filename' THEN fd END AS captured_at FROM c JOIN z USING (id) WHERE c.id % 3 > 0""")(
+    lambda t: streaming.ingest_rows(t.media.select(F.md5(F.col("id").cast("string")).alias("sha256"), "name", "tags"), t.media.where("id % 3 = 0").select(F.md5(F.col("id").cast("string")).alias("sha256")), _now()).select("sha256", "label", "rule", "date_source", "captured_at"))
+query("r3_session_events", """WITH g AS (SELECT library, captured_at, CASE WHEN captured_at - lag(captured_at) OVER w < INTERVAL 48 HOUR THEN 0 ELSE 1 END nw FROM items WINDOW w AS (PARTITION BY library ORDER BY captured_at)),
+s AS (SELECT *, sum(nw) OVER (PARTITION BY library ORDER BY captured_at) k FROM g) SELECT library, count(*) AS files, min(captured_at) AS "start", max(captured_at) AS "end" FROM s GROUP BY library, k HAVING count(*) >= 8""")(lambda t: streaming.session_events(t.items))
+query("r4_late_rows", "SELECT key, library FROM items JOIN (SELECT library, max(captured_at) - INTERVAL 10 DAY AS until FROM items GROUP BY 1) USING (library) WHERE captured_at <= until")(
+    lambda t: streaming.late_rows(t.items, t.items.groupBy("library").agg((F.max("captured_at") - F.expr("INTERVAL '10' DAY")).alias("until")))[1].select("key", "library"))

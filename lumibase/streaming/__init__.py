@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -98,24 +98,27 @@ def ingest_batch(catalog_path: str):
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch.dropDuplicates(["sha256"])
+        known = None
         try:
             known = spark.read.option("basePath", catalog_path).parquet(f"{catalog_path}/batch=*").where(F.col("batch") != batch_id)
-            rows = rows.join(known.select("sha256"), "sha256", "left_anti")
         except Exception as e:  # the first batch: no catalog yet
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
-        _with_evidence(rows).write.mode("overwrite").parquet(f"{catalog_path}/batch={batch_id}")
+        ingest_rows(batch, known, F.localtimestamp()).write.mode("overwrite").parquet(f"{catalog_path}/batch={batch_id}")
 
     return run
 
 
-def _with_evidence(rows: DataFrame) -> DataFrame:
-    """Adds label, rule, captured_at, date_source and date_tag, by name and tags."""
+def ingest_rows(batch: DataFrame, known: DataFrame | None, now: Column) -> DataFrame:
+    """R1 for one batch: the contents (sha256) that are not known, once each, with label, rule, captured_at, date_source
+    and date_tag by their name and tags."""
+    rows = batch.dropDuplicates(["sha256"])
+    if known is not None:
+        rows = rows.join(known.select("sha256"), "sha256", "left_anti")
     kinds = {"name": "string", "tags": METADATA_SCHEMA.removeprefix("path string, tags ")}
     missing = [c for c in kinds if c not in rows.columns]
     made = rows.withColumns({c: F.lit(None).cast(kinds[c]) for c in missing}) if missing else rows
     made = made.withColumn("_origin", origin.classify(F.col("name"), F.col("tags")))
-    made = dates.with_capture_datetime(made, F.localtimestamp(), out="_date")
+    made = dates.with_capture_datetime(made, now, out="_date")
     found = {"label": "_origin.label", "rule": "_origin.rule", "captured_at": "_date.value", "date_source": "_date.source", "date_tag": "_date.tag"}
     return made.withColumns({c: F.col(x) for c, x in found.items()}).drop("_origin", "_date", *missing)
