@@ -54,9 +54,11 @@ def _spans(key: np.ndarray, first: np.ndarray, count: np.ndarray) -> pa.RecordBa
 
 
 def _by_bucket(rows: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    if not len(rows):
+        return
     order = np.argsort(bucket, kind="stable")
     rows, bucket = rows[order], bucket[order]
-    edges = np.flatnonzero(suffixes.changes(bucket)) if len(rows) else []
+    edges = np.flatnonzero(suffixes.changes(bucket))
     for a, b in zip(edges, [*edges[1:], len(rows)], strict=True):
         yield int(bucket[a]), rows[a:b].tobytes()
 
