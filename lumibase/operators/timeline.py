@@ -63,8 +63,8 @@ def segments(items: DataFrame, by: Clustering = Clustering()) -> DataFrame:
     day = W.partitionBy(*key).orderBy("captured_at", "sha256")
     days = W.partitionBy("library").orderBy("_day")
     rows = items.withColumns({"_day": F.to_date("captured_at"), "_t": F.unix_micros(F.col("captured_at").cast("timestamp")) / 1e6})
-    back = W.partitionBy(*key).orderBy(F.desc("captured_at"), F.desc("sha256"))
-    ends = rows.withColumns({"_n": F.row_number().over(day), "_m": F.row_number().over(back)}).where((F.col("_n") <= w + 1) | (F.col("_m") <= w + 1))
+    place = F.row_number().over(day)
+    ends = rows.withColumns({"_n": place, "_m": F.count("*").over(W.partitionBy(*key)) - place + 1}).where((F.col("_n") <= w + 1) | (F.col("_m") <= w + 1))
     listed = lambda n: F.transform(F.array_sort(F.collect_list(F.when(F.col(n) <= w + 1, F.struct(n, "_t")))), lambda x: x["_t"])
     table = ends.groupBy(*key).agg(listed("_n").alias("head"), F.reverse(listed("_m")).alias("tail"), F.min(F.when(F.col("_n") == 1, F.struct("lat", "lon"))).alias("place"))
     before = _tail(F.flatten(F.collect_list("tail").over(days.rowsBetween(-w - 1, -1))), w + 1)

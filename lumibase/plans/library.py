@@ -231,7 +231,7 @@ query("w7_review_cards", f"""WITH {SEGMENTS}, {TRIPS}, {CARDS.replace("{skip}",
 
 
 def _cards(t):
-    events = timeline.cluster_events(t.items)
+    events = timeline.cluster_events(t.items).persist()  # trips, claims and cards are all made from the events
     return timeline.review_cards(timeline.detect_trips(t.items, events), events, t.items)
 
 
