@@ -45,6 +45,8 @@ SHINGLE, SEED, BITS = 4, 42, 64
 ROW_COST = 500
 #: How many links of a forest may hang below one fingerprint.
 FAN_OUT = 64
+#: Over so many tasks the rows of one fingerprint are dealt.
+SALTS = 8
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Row b has the bits of the byte b, lowest first.
@@ -278,7 +280,10 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     members = components(edges).select(F.col("u.fp").alias("fp"), F.col("v").alias("first"))
     of_print = classes.join(members, "fp", "left").withColumn("first", F.coalesce("first", node))
     of_print = of_print.select("fp", F.col("first.fp").alias("root"), F.col("first.least").alias("component_id"))
-    return prints.join(of_print, "fp").select(id_col, "row", "fp", "root", "component_id")
+    # a fingerprint that very many rows share is dealt over several tasks
+    salted = prints.withColumn("salt", F.pmod(F.xxhash64(id_col, "row"), F.lit(SALTS)))
+    every = of_print.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(every, ["fp", "salt"]).select(id_col, "row", "fp", "root", "component_id")
 
 
 def as_hex(fp: Column) -> Column:
