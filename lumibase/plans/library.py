@@ -49,10 +49,13 @@ query("c11_c12_routes", f"WITH {RULES} SELECT label, rule, count(*) AS files, la
     lambda t: _classified(t).groupBy("m.label", "m.rule").agg(F.count("*").alias("files")).select("label", "rule", "files", origin.is_side_bin(F.col("label")).alias("side_bin"), origin.is_timeline(F.col("rule")).alias("timeline")))
 query("c13_c14_scan_partition", r"""SELECT id, CASE id % 4 WHEN 0 THEN 'hidden' WHEN 1 THEN 'original_backup' WHEN 2 THEN 'media' ELSE CASE WHEN id % 3 = 0 THEN 'document' ELSE 'unrecognized' END END AS partition FROM media""")(
     lambda t: t.media.selectExpr("id", "CASE id % 4 WHEN 0 THEN '.' || name WHEN 1 THEN name || '_original' WHEN 2 THEN name ELSE CASE WHEN id % 3 = 0 THEN 'a.PDF' ELSE 'a.exe' END END AS name").select("id", origin.scan_partition(F.col("name")).alias("partition")))
-query("c15_year_folders", "SELECT DISTINCT source, lang, source LIKE 'src1%' AS year_folder FROM documents")(
-    lambda t: t.raw("documents").select("source", "lang").distinct().select("source", "lang", origin.is_year_folder(F.when(F.col("source").startswith("src1"), F.lit("Photos from 2014")).otherwise(F.concat(F.lit("Photos from "), "source"))).alias("year_folder")))
-query("c18_junk_folders", "SELECT p_partkey, p_partkey % 6 NOT IN (4, 5) AS junk FROM part")(
-    lambda t: t.raw("part").selectExpr("p_partkey", "CASE p_partkey % 6 WHEN 0 THEN 'DCIM' WHEN 1 THEN '100APPLE' WHEN 2 THEN '2015-07-29' WHEN 3 THEN 'Testing new' WHEN 4 THEN 'Goa Trip' ELSE 'Test Match' END AS f").select("p_partkey", origin.is_junk_folder(F.col("f")).alias("junk")))
+query("c15_year_folders", "SELECT o_orderkey, o_orderkey % 4 = 0 AS year_folder FROM orders")(
+    lambda t: t.raw("orders").selectExpr("o_orderkey", "CASE o_orderkey % 4 WHEN 0 THEN 'Photos from ' || CAST(year(o_orderdate) AS STRING) WHEN 1 THEN 'Photos from ' || CAST(month(o_orderdate) AS STRING) WHEN 2 THEN 'photos from ' || CAST(year(o_orderdate) AS STRING) ELSE 'Photos from ' || CAST(year(o_orderdate) AS STRING) || ' b' END AS f").select("o_orderkey", origin.is_year_folder(F.col("f")).alias("year_folder")))
+# one folder for each pattern, and at the end some that name something
+FOLDERS = ("DCIM", "100APPLE", "123_PANA", "New folder (2)", "2014", "2015-07-29", "20150729", "Day 3", "August 2015", "takeout-1", "Copy of trip", "untitled 4", "folder", "(12)", "WhatsApp Images", "IMG_0001", "Sent", "scratch-a", "test-run", "pytest-5", "deadbeefdeadbeef", " ",
+    "Goa Trip", "Test Match", "Summer 1999", "Wedding of Ann", "Daytona", "Augusta")
+query("c18_junk_folders", f"SELECT p_partkey, p_partkey % {len(FOLDERS)} < 22 AS junk FROM part")(
+    lambda t: t.raw("part").select("p_partkey", origin.is_junk_folder(F.get(F.array(*map(F.lit, FOLDERS)), (F.col("p_partkey") % len(FOLDERS)).cast("int"))).alias("junk")))
 query("c19_oversized", "SELECT sha256, size > 300000 AS oversized FROM files")(lambda t: t.files.select("sha256", origin.is_oversized(F.col("size"), 300000).alias("oversized")))
 
 SHOTS = """rs AS (SELECT *, part > 0 b, CASE WHEN sha256 IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY sha256 ORDER BY part > 0, path) END n FROM shots),
@@ -80,8 +83,8 @@ query("f10_f11_resolve_capture", f"""WITH {DATED}, {EMBED}, {RESOLVED} SELECT id
 query("f7_f8_date_quality", f"""WITH {DATED}, {EMBED}, {RESOLVED} SELECT count(*) AS files, count(*) FILTER (src = 'rejected_sentinel') AS sentinel_rejected, count(*) FILTER (src = 'rejected_future') AS future_rejected,
  count(*) FILTER (src IN ('exif', 'takeout', 'inferred_local') AND CASE src WHEN 'exif' THEN val WHEN 'takeout' THEN taken_at END IN (TIMESTAMP '2000-01-01', TIMESTAMP '1999-12-31', TIMESTAMP '1980-01-01')) AS suspect FROM z""")(
     lambda t: pipelines.date_quality(dates.with_capture_datetime(t.media, _now(), taken="taken_at", out="r")))
-query("f12_parse_duration", "SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN l_linenumber * 3600 + 158.0 WHEN 1 THEN 65.5 WHEN 2 THEN l_quantity END AS seconds FROM lineitem")(
-    lambda t: t.raw("lineitem").selectExpr("l_orderkey", "l_linenumber", "CASE l_linenumber % 4 WHEN 0 THEN CAST(l_linenumber AS STRING) || ':02:38' WHEN 1 THEN '1:05.5' WHEN 2 THEN CAST(l_quantity AS STRING) || ' s' ELSE 'x' END AS d").select("l_orderkey", "l_linenumber", dates.parse_duration(F.col("d")).alias("seconds")))
+query("f12_parse_duration", "SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN l_suppkey * 3600 + l_partkey % 60 * 60 + l_orderkey % 60 WHEN 1 THEN l_partkey % 60 * 60 + l_orderkey % 60 + 0.5 WHEN 2 THEN l_quantity END::DOUBLE AS seconds FROM lineitem")(
+    lambda t: t.raw("lineitem").selectExpr("l_orderkey", "l_linenumber", "CASE l_linenumber % 4 WHEN 0 THEN CAST(l_suppkey AS STRING) || ':' || lpad(CAST(l_partkey % 60 AS STRING), 2, '0') || ':' || lpad(CAST(l_orderkey % 60 AS STRING), 2, '0') WHEN 1 THEN CAST(l_partkey % 60 AS STRING) || ':' || lpad(CAST(l_orderkey % 60 AS STRING), 2, '0') || '.5' WHEN 2 THEN CAST(l_quantity AS STRING) || ' s' ELSE 'x' END AS d").select("l_orderkey", "l_linenumber", dates.parse_duration(F.col("d")).alias("seconds")))
 query("f13_device_clock", f"WITH {DATED} SELECT id, CASE id % 14 WHEN 2 THEN date_trunc('day', od) + INTERVAL 12 HOUR WHEN 5 THEN date_trunc('day', od) + INTERVAL '10:11:12' HOUR TO SECOND END AS local, CASE id % 14 WHEN 2 THEN 'filename:IMG_' WHEN 5 THEN 'filename:VID_' END AS evidence FROM d".replace("INTERVAL '10:11:12' HOUR TO SECOND", "INTERVAL 36672 SECOND"))(
     lambda t: t.media.select("id", dates.device_filename_local(F.col("name")).alias("d")).select("id", "d.local", "d.evidence"))
 query("f14_date_tags", "SELECT DISTINCT date_tag, split_part(date_tag, '|', 1) AS container, split_part(date_tag, '|', 2) AS evidence, 120 AS minutes, '+02:00' AS again FROM files WHERE date_tag LIKE '%|%'")(
@@ -125,8 +128,8 @@ query("c17_review_predicates", f"WITH {SHOTS} SELECT path, bucket <> 'exact' AS
     lambda t: duplicates.resolve(t.shots.where("part = 0"), t.shots.where("part > 0")).where("sha256 IS NOT NULL").select("path", origin.should_upload(F.col("kind")).alias("should_upload"), origin.is_unique(F.col("kind")).alias("is_unique")))
 query("f15_local_naive", "SELECT id, taken_at + INTERVAL 1 MINUTE * (CASE WHEN id % 3 = 0 THEN 0 ELSE (id % 27 - 13) * 30 END) AS local FROM media WHERE taken_at IS NOT NULL")(
     lambda t: t.media.where("taken_at IS NOT NULL").select("id", dates.local_naive(F.col("taken_at"), F.when(F.col("id") % 3 > 0, (F.col("id") % 27 - 13) * 30)).alias("local")))
-query("f31_geo_point", "SELECT id, CASE WHEN id % 3 > 0 AND id % 4 > 0 THEN (id % 3) * 1.0 END AS lat FROM media")(
-    lambda t: t.media.selectExpr("id", "CASE WHEN id % 3 > 0 THEN CAST(id % 3 AS STRING) ELSE 'x' END AS a", "CASE WHEN id % 4 > 0 THEN '0.0' END AS b").select("id", measures.geo_point(F.col("a"), F.col("b"))["lat"].alias("lat")))
+query("f31_geo_point", "SELECT id, CASE WHEN id % 3 > 0 AND id % 4 > 0 THEN (id % 181 - 90)::DOUBLE END AS lat, CASE WHEN id % 3 > 0 AND id % 4 > 0 THEN id % 360 - 179.5 END::DOUBLE AS lon FROM media")(
+    lambda t: t.media.selectExpr("id", "CASE WHEN id % 3 > 0 THEN CAST(id % 181 - 90 AS STRING) ELSE 'x' END AS a", "CASE WHEN id % 4 > 0 THEN CAST(id % 360 - 179.5 AS STRING) END AS b").select("id", measures.geo_point(F.col("a"), F.col("b")).alias("g")).select("id", "g.lat", "g.lon"))
 query("f33_content_hash", "SELECT doc_id, sha256(text) AS sha256 FROM documents")(lambda t: t.raw("documents").select("doc_id", measures.content_hash(F.col("text")).alias("sha256")))
 EMB_SIG = "list_sum(list_transform(range(1, 64), lambda i: CASE WHEN {v}[i] > 0 THEN (1::HUGEINT << (i - 1)) ELSE 0 END)) + CASE WHEN {v}[64] > 0 THEN -9223372036854775808::HUGEINT ELSE 0 END"
 query("f35_rebase", "SELECT sha256, CASE WHEN source_path LIKE '/src/4/%' THEN '/m/' || substr(source_path, 8) END AS new FROM files")(lambda t: t.files.select("sha256", paths.rebase(F.col("source_path"), "/src/4/", "/m").alias("new")))
@@ -346,14 +349,14 @@ def _restore(t):
     return decisions.restore_apply(merged, current, merged.where("key NOT LIKE '1%'"))
 
 
-LOSE = "SELECT event_type AS section, user_id AS key FROM events WHERE event_id % 2 = {0} GROUP BY 1, 2"
+LOSE = "SELECT event_type AS section, user_id * 100 + day(ts) AS key FROM events WHERE event_id % 2 = {0} GROUP BY 1, 2"
 query("j29_would_lose", f"SELECT section, count(*) AS keys FROM (({LOSE.format(0)}) EXCEPT ({LOSE.format(1)})) GROUP BY 1")(lambda t: decisions.would_lose(_keys(t, 0), _keys(t, 1)))
 query("j32_decision_notice", f"WITH a AS (SELECT section, count(*) n FROM (({LOSE.format(0)}) EXCEPT ({LOSE.format(1)})) GROUP BY 1), b AS (SELECT section, count(*) n FROM (({LOSE.format(1)}) EXCEPT ({LOSE.format(0)})) GROUP BY 1) SELECT coalesce(a.section, b.section) AS section, coalesce(a.n, 0) AS to_restore, coalesce(b.n, 0) AS stale FROM a FULL JOIN b ON a.section = b.section")(
     lambda t: decisions.decision_notice(_keys(t, 0), _keys(t, 1)))
 
 
 def _keys(t, part):
-    return t.raw("events").where(F.col("event_id") % 2 == part).select(F.col("event_type").alias("section"), F.col("user_id").alias("key"))
+    return t.raw("events").where(F.col("event_id") % 2 == part).select(F.col("event_type").alias("section"), F.expr("user_id * 100 + day(ts)").alias("key"))
 
 
 query("k6_library_stats", """WITH c AS (SELECT sha256, count(*) n, count(last_verified) v FROM copies GROUP BY 1), h AS (SELECT f.*, coalesce(n, 0) n, coalesce(v, 0) v FROM files f LEFT JOIN c USING (sha256)),

@@ -38,7 +38,8 @@ def _listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read_listing(spark: SparkSession, roots: list[str]) -> DataFrame:
     """One row per entry below the roots (path, length, mtime, kind); hidden folders are named, and not entered.
-    Folders are listed by executors, one level at a time until a level has none; executors must see the roots."""
+    Folders are listed by executors, one level at a time until a level has none; executors must see the roots. The levels stay
+    persisted, so that no folder is listed twice."""
     level = spark.createDataFrame([(r,) for r in roots], "path string")
     found = None
     while True:
