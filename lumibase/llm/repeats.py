@@ -45,7 +45,9 @@ OWN, CROWDED, SIGN = range(3)
 WINDOW = np.dtype([("content", "<u8"), ("anchor", "<u8"), ("key", "<i8"), ("first", "<u4")])
 SALTS = np.uint64(61)
 #: Bytes of runs in one suffix array, of texts for each bucket of packed runs, and of texts in a task that joins them.
-ARRAY_BYTES, BUCKET_BYTES, TASK_BYTES = 512 << 10, 16 << 20, 32 << 20
+ARRAY_BYTES, BUCKET_BYTES, TASK_BYTES = 512 << 10, 16 << 20, 64 << 20
+#: More tasks than so many cost the driver more than they save; they then hold more each, and spill.
+MOST_TASKS = 40_000
 SPAN_SCHEMA = "key bigint, first bigint, count bigint"
 
 
@@ -268,7 +270,7 @@ def remove_repeats(
     rows = df.select(text_or_empty(text_col).cast("binary").alias("raw"), *(F.col(c).alias(o) for c, o in zip((id_col, *carry), others, strict=True)))
     docs = _keyed(rows, others[0]).select("key", "raw", *others)
     size, parallel = rows.agg(F.sum(F.octet_length("raw"))).first()[0] or 0, int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets, tasks = max(2 * parallel, size // BUCKET_BYTES), size // TASK_BYTES
+    buckets, tasks = max(2 * parallel, size // BUCKET_BYTES), min(size // TASK_BYTES, MOST_TASKS)
 
     def deal(df: DataFrame, column) -> DataFrame:
         return df.repartition(tasks, column) if tasks > parallel else df.repartition(column)

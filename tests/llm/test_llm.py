@@ -333,6 +333,18 @@ def test_long_texts_are_cut_into_segments(spark, monkeypatch):
     assert count == sum(max(0, len(t) - 99) for t in texts)
 
 
+def test_repeats_over_many_tasks(spark, monkeypatch):
+    """As over a large corpus: more buckets and tasks than shuffle partitions."""
+    monkeypatch.setattr(repeats, "TASK_BYTES", 4000)
+    monkeypatch.setattr(repeats, "BUCKET_BYTES", 1000)
+    monkeypatch.setattr(repeats, "MOST_TASKS", 9)
+    rng = random.Random(12)
+    parts = ["".join(rng.choice("abcdefgh ") for _ in range(150)) for _ in range(12)]
+    rows = [(n, "".join(rng.choice(parts) for _ in range(rng.randint(0, 6)))) for n in range(120)]
+    found = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()
+    assert {r.doc_id: bytes(r.kept) for r in found} == plain_repeats(rows)
+
+
 def test_repeats_odd_rows(spark):
     rng = random.Random(8)
     base = "".join(rng.choice("abcdefgh ") for _ in range(250))
