@@ -52,7 +52,7 @@ def organize_preview(planned: DataFrame, resolved: DataFrame, *, skip_undated: b
 
 def preview(catalog_rows: DataFrame, batch: DataFrame, now: Column, *, taken: str | None = None, threshold: int = 5, skip_undated: bool = False) -> DataFrame:
     """K4: a batch (id, path, name, tags, size, sha256, perceptual) planned, resolved against the catalog and summed up."""
-    planned = plan(batch, now, taken=taken).join(batch.select("id", "path", "name", "size"), "id")
+    planned = plan(batch, now, taken=taken, keep=("path", "name", "size"))
     return organize_preview(planned, duplicates.resolve(catalog_rows, batch, threshold), skip_undated=skip_undated)
 
 
@@ -110,8 +110,8 @@ def analyze(batch: DataFrame, now: Column, *, taken: str | None = None) -> DataF
     return reduce(lambda a, b: a.join(F.broadcast(b), F.lit(True)), [duplicates.forecast(batch, F.col("name")), census, quality, exact])  # one row each
 
 
-def plan(media: DataFrame, now: Column, *, taken: str | None = None, heavy: Column | None = None) -> DataFrame:
-    """K2: per file its label, capture date and source, dated name and folder."""
+def plan(media: DataFrame, now: Column, *, taken: str | None = None, heavy: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """K2: per file its label, capture date and source, dated name and folder, and further columns to keep."""
     dated = dates.with_capture_datetime(media, now, taken=taken, out="_r").withColumn("_m", origin.classify(F.col("name"), F.col("tags")))
     at = F.col("_r.value")
     place = paths.classify_placement(F.col("_m.rule"), F.lit(None), F.lit(None), F.lit(False) if heavy is None else heavy)
@@ -120,7 +120,7 @@ def plan(media: DataFrame, now: Column, *, taken: str | None = None, heavy: Colu
     folder = paths.DEFAULT_PRESET.folder(F.col("_place"), at, F.col("_label"), nothing, nothing, composed=True)
     time_known = F.col("_r.source") != "filename"
     return dated.select(
-        "id", F.col("_m.label").alias("label"), at.alias("captured_at"), F.col("_r.source").alias("source"), F.col("_r.tag").alias("tag"),
+        "id", *keep, F.col("_m.label").alias("label"), at.alias("captured_at"), F.col("_r.source").alias("source"), F.col("_r.tag").alias("tag"),
         paths.dated_filename(F.col("name"), at, time_known).alias("new_name"), folder.alias("folder"), origin.needs_review(F.col("_r.source")).alias("needs_review"),
     )
 
@@ -138,9 +138,9 @@ def ingest_preview(catalog_rows: DataFrame, batch: DataFrame, sidecar_files: Dat
     matched = sidecars.match_sidecars(batch.select("folder", "name"), sidecar_files.select("folder", "name")).withColumnRenamed("media", "name").distinct()
     told = sidecar_files.select("folder", F.col("name").alias("sidecar"), F.col("taken_at").alias("_taken"))
     rows = batch.join(matched, ["folder", "name"], "left").join(told, ["folder", "sidecar"], "left")
-    planned = plan(rows, now, taken="_taken").select("id", F.col("source").alias("date_source"))
+    planned = plan(rows, now, taken="_taken", keep=("path", "size", "sidecar")).withColumnRenamed("source", "date_source")
     resolved = duplicates.resolve(catalog_rows, batch, perceptual=False).select("path", "kind")
-    return sidecars.ingest_report(rows.select("id", "path", "size", "sidecar").join(planned, "id").join(resolved, "path"))
+    return sidecars.ingest_report(planned.select("path", "size", "sidecar", "date_source").join(resolved, "path"))
 
 
 def reconcile_decisions(section: DataFrame, settings: DataFrame, confirmations: DataFrame, catalog_events: DataFrame, current_settings: DataFrame, held: DataFrame, contents: DataFrame) -> DataFrame:
