@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumibase.llm import bpe, imatch, media, packing, quality, repeats, simhash, toxicity, urlfilter, warc
+from lumibase.llm import bpe, conversations, imatch, media, packing, quality, repeats, simhash, toxicity, urlfilter, warc
 from lumibase.llm.shared import shared_path, table
 
 
@@ -138,8 +138,36 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def damaged_conversations(rows: DataFrame) -> DataFrame:
+    """The contract's damage, by ``crc32(conv_id:turn) % 20``: rows are dropped, emptied, left without sentence ends,
+    repeated, or given to the user."""
+    space = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(" "))
+    kind = F.pmod(F.crc32(F.concat_ws(":", space("conv_id"), space("turn")).cast("binary")), F.lit(20))
+    text = F.when(kind == 1, F.lit("")).when(kind == 2, F.translate(space("text"), ".!?", "")).otherwise(space("text"))
+    role = F.when(kind == 4, F.lit("user")).otherwise(space("role"))
+    made = rows.where(kind != 0).select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.sequence(F.lit(1), F.when(kind == 3, 2).otherwise(1))).alias("copy"))
+    return made.drop("copy")
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    damaged = damaged_conversations(rows)
+    found = conversations.repairs(damaged)
+    facts = conversations.audits(found).withColumnRenamed("conv_id", "c")
+    shas = conversations.digests(conversations.repaired_turns(damaged, found)).withColumnRenamed("conv_id", "d")
+    ids = rows.select("conv_id").distinct()
+    whole = ids.join(facts, F.col("conv_id").eqNullSafe(F.col("c")), "left").join(shas, F.col("conv_id").eqNullSafe(F.col("d")), "left")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return whole.select(
+        "conv_id",
+        *(F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in counts),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_bpe, op3_url_filter, op4_simhash, op5_toxicity, op6_packing, op7_suffix_array, op8_warc, op9_imatch, op10_media)}
+    return {f.__name__: f for f in (op1_quality, op2_bpe, op3_url_filter, op4_simhash, op5_toxicity, op6_packing, op7_suffix_array, op8_warc, op9_imatch, op10_media, op13_conversations)}
 
 
 def oracle_sql() -> dict[str, str]:
