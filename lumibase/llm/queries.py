@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumibase.llm import bpe, conversations, imatch, media, packing, quality, repeats, simhash, toxicity, urlfilter, warc
+from lumibase.llm import bpe, conversations, divergence, imatch, media, packing, quality, repeats, simhash, toxicity, urlfilter, warc
 from lumibase.llm.shared import shared_path, table
 
 
@@ -138,6 +138,35 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(table(spark, sf_dir, "documents"), least_docs=10, top=10)
+
+
+OP12_SQL = """
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+t AS (SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS total FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= 10),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY ALL),
+cells AS (SELECT g.lang, g.source, k.term, k.total, coalesce(c.n, 0) AS n FROM g JOIN kept k ON g.lang = k.lang
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+w AS (SELECT *, sum(n) OVER (PARTITION BY lang, source) AS own, sum(total) OVER (PARTITION BY lang, source) AS whole,
+  count(*) OVER (PARTITION BY lang, source) AS v FROM cells),
+p AS (SELECT lang, source, term, n, CAST(1 + 1000000000::HUGEINT * (n + 2) // (own + 2 * v) AS HUGEINT) AS p,
+  CAST(1 + 1000000000::HUGEINT * (total + 2) // (whole + 2 * v) AS HUGEINT) AS q FROM w),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)), 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY ALL),
+over AS (SELECT lang, source, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item)) AS rank FROM pairs
+  UNION ALL
+  SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item)) FROM over)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
 def damaged_conversations(rows: DataFrame) -> DataFrame:
     """The contract's damage, by ``crc32(conv_id:turn) % 20``: rows are dropped, emptied, left without sentence ends,
     repeated, or given to the user."""
@@ -167,8 +196,8 @@ def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_bpe, op3_url_filter, op4_simhash, op5_toxicity, op6_packing, op7_suffix_array, op8_warc, op9_imatch, op10_media, op13_conversations)}
+    return {f.__name__: f for f in (op1_quality, op2_bpe, op3_url_filter, op4_simhash, op5_toxicity, op6_packing, op7_suffix_array, op8_warc, op9_imatch, op10_media, op12_divergence, op13_conversations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": OP3_SQL, "op8_warc": OP8_SQL}
+    return {"op3_url_filter": OP3_SQL, "op8_warc": OP8_SQL, "op12_divergence": OP12_SQL}
