@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumibase.llm import bpe, conversations, divergence, imatch, media, packing, quality, repeats, simhash, toxicity, urlfilter, warc
+from lumibase.llm import bpe, conversations, divergence, imatch, media, packing, quality, repeats, secretscan, simhash, toxicity, urlfilter, warc
 from lumibase.llm.shared import shared_path, table
 
 
@@ -138,6 +138,18 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secretscan.scan(docs, secretscan.train(docs))
+    count = lambda n: F.size(F.filter("base", lambda s: s["kind"] == n)).cast("long")
+    return found.select(
+        "doc_id",
+        *(count(n).alias(f"n_{kind}") for n, kind in enumerate(secretscan.KINDS[:3])),
+        F.sha2(secretscan.as_text(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        secretscan.as_text(F.col("secrets")).alias("spans"),
+    )
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergences(table(spark, sf_dir, "documents"), least_docs=10, top=10)
 
@@ -196,7 +208,7 @@ def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_bpe, op3_url_filter, op4_simhash, op5_toxicity, op6_packing, op7_suffix_array, op8_warc, op9_imatch, op10_media, op12_divergence, op13_conversations)}
+    return {f.__name__: f for f in (op1_quality, op2_bpe, op3_url_filter, op4_simhash, op5_toxicity, op6_packing, op7_suffix_array, op8_warc, op9_imatch, op10_media, op11_secrets, op12_divergence, op13_conversations)}
 
 
 def oracle_sql() -> dict[str, str]:
