@@ -39,6 +39,8 @@ SUBSETS = (64, 2048)
 BITMAP_BITS, MOST_HELD, MOST_BLOCKS = 1 << 20, 1 << 18, 1 << 14
 #: Characters of a subset's number and of its hash in the fingerprint.
 NUMBER, DIGITS = 3, 5
+#: As a length, all that is left of a string.
+REST = (1 << 31) - 1
 
 
 def terms(text: Column) -> Column:
@@ -127,7 +129,7 @@ def _dealt(banded: Column, key: int) -> Column:
 
     def lines(pairs: Column) -> Column:
         again = lambda p, n: (n > 0) & (number(F.get(pairs, n - 1)) == number(p))
-        return F.transform(pairs, lambda p, n: F.when(again(p, n), F.concat(F.lit(" "), F.substring(p, NUMBER + 1, 1 << 20))).otherwise(F.concat(F.lit("\n"), p)))
+        return F.transform(pairs, lambda p, n: F.when(again(p, n), F.concat(F.lit(" "), F.substring(p, NUMBER + 1, REST))).otherwise(F.concat(F.lit("\n"), p)))
 
     # a lambda's variable binds the sorted array; as a column's expression it would be sorted again for each term
     joined = F.get(F.transform(F.array(made), lambda pairs: F.array_join(lines(pairs), "")), F.lit(0))
@@ -143,7 +145,7 @@ def with_fingerprint(df: DataFrame, text_col: str, out: str, band: DataFrame, mo
     made = with_banded(df, text_col, "_banded", band, most_held)
     made = made.withColumns({f"_dealt{k}": _dealt(F.col("_banded"), k) for k in range(len(SUBSETS))})
     lines = F.array_remove(F.concat(*(F.col(f"_dealt{k}") for k in range(len(SUBSETS)))), "")
-    digest = lambda line: F.lower(F.lpad(F.hex(F.xxhash64(F.substring(line, NUMBER + 1, 1 << 20))), 16, "0"))
+    digest = lambda line: F.lower(F.lpad(F.hex(F.xxhash64(F.substring(line, NUMBER + 1, REST))), 16, "0"))
     places = F.transform(lines, lambda line: F.concat(F.substring(line, 1, NUMBER), F.substring(digest(line), 1, DIGITS)))
     return made.withColumn(out, F.array_join(places, " ")).drop("_banded", *(f"_dealt{k}" for k in range(len(SUBSETS))))
 

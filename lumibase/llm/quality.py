@@ -7,7 +7,8 @@ them; what is left is compiled to one Spark column expression over the statistic
 Defined results: a null or empty text has statistics of zero and gets a score like any other text. Labels that are
 null, or whose document is missing, teach nothing; of several labels of a document the largest counts. Without
 labelled documents the score is 0.5 everywhere, with labels of one kind their value. Repeated rows get equal scores;
-null ids and all other columns are kept (a statistic's column is never among them). An empty table gives no rows.
+null ids and all other columns are kept, whatever their names (only one named like the score is replaced). An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lumibase.llm.shared import small_batches, text_or_empty
 
@@ -65,7 +67,7 @@ def with_statistics(df: DataFrame, text_col: str = "text", prefix: str = "_stat_
     small_batches(df.sparkSession)
     kept = [f for f in df.schema.fields if not f.name.startswith(prefix)]
     rows = df.select(*(F.col(f"`{f.name}`") for f in kept), text_or_empty(text_col).alias(f"{prefix}text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"`{prefix}{s}` double" for s in STATISTICS)])
+    schema = StructType([*kept, *(StructField(prefix + s, DoubleType()) for s in STATISTICS)])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,11 +78,14 @@ def with_statistics(df: DataFrame, text_col: str = "text", prefix: str = "_stat_
     return rows.mapInArrow(work, schema)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, *, id_col: str, modulus: int, held_out: int, most: int) -> DataFrame:
-    """The documents of at most ``most`` labels, the first by a hash of the id, without the held-out fold."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, *, id_col: str, text_col: str, modulus: int, held_out: int, most: int) -> DataFrame:
+    """_label and text of at most ``most`` documents, the first by a hash of the id, without the held-out fold. Of the
+    rows of one id the one with the least hash of its text stands for all."""
     own = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold(F.col(id_col), modulus) != held_out))
-    chosen = own.groupBy(id_col).agg(F.max(label_col).alias("_label")).orderBy(F.xxhash64(id_col), id_col).limit(most)
-    return docs.join(F.broadcast(chosen), id_col)  # at most `most` rows
+    chosen = own.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(most)
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), text_or_empty(f"`{text_col}`").alias("_text")).join(F.broadcast(chosen), "_id")  # at most `most` rows
+    one = rows.groupBy("_id", "_label").agg(F.min(F.struct(F.xxhash64("_text").alias("hash"), "_text")).alias("least"))
+    return one.select("_label", F.col("least._text").alias(text_col))
 
 
 def fold(id_: Column, modulus: int) -> Column:
@@ -191,10 +196,20 @@ def classify(
 ) -> DataFrame:
     """Adds the score: how likely the label is 1. The rules are learned from at most ``most_labelled`` documents, none
     of the held-out fold (``crc32(id) mod modulus = held_out``)."""
-    sample = labelled_sample(docs.select(id_col, text_col), labels, label_col, id_col=id_col, modulus=modulus, held_out=held_out, most=most_labelled)
-    rows = with_statistics(sample.select(F.col("_label").cast("double"), text_col)).drop(text_col).toArrow()
+    sample = labelled_sample(docs, labels, label_col, id_col=id_col, text_col=text_col, modulus=modulus, held_out=held_out, most=most_labelled)
+    rows = with_statistics(sample.withColumn("_label", F.col("_label").cast("double")), text_col).drop(text_col).toArrow()
     table = np.column_stack([c.to_numpy() for c in rows.columns]) if rows.num_rows else np.empty((0, 1 + len(STATISTICS)))
     table = table[np.lexsort(table.T)]  # the order of the rows must not matter
     rules, intercept = fit_rules(table[:, 1:], (table[:, 0] > 0).astype(float))
-    scored = with_statistics(docs)
-    return scored.withColumn(out, compiled(rules, intercept)).select(*(c for c in docs.columns if c != out), out)
+    scored = with_statistics(as_row(docs), f"row.`{text_col}`")
+    return scored.select(*row_columns(docs, out), compiled(rules, intercept).alias(out))
+
+
+def as_row(docs: DataFrame) -> DataFrame:
+    """All columns as one, ``row``, so that none of a caller's names meets ours."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
+def row_columns(docs: DataFrame, out: str) -> list[Column]:
+    """The caller's columns out of ``row`` but for the one named ``out``."""
+    return [F.col(f"row.`{c}`") for c in docs.columns if c != out]

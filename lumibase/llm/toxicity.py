@@ -21,8 +21,8 @@ a copied document teach nothing.
 
 Defined results: a null or empty text has no clause and the score of a text without matches. Labels that are null, or
 whose document is missing, teach nothing; without labelled toxic documents only the given threats match, and the
-score of a text without matches is 0.05. Repeated rows get equal scores; null ids and all other columns are kept. An
-empty table gives no rows.
+score of a text without matches is 0.05. Repeated rows get equal scores; null ids and all other columns are kept,
+whatever their names (only one named like the score is replaced). An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,8 +37,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lumibase.llm.quality import labelled_sample
+from lumibase.llm.quality import as_row, labelled_sample, row_columns
 from lumibase.llm.shared import materialize, small_batches, text_or_empty
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = CLASSES = range(6)
@@ -186,11 +187,12 @@ def features(scores: list[float], clauses: int) -> tuple[float, ...]:
     return first, second, float(np.log1p(sum(scores))), float(np.log1p(len(scores))), (len(scores) / max(1, clauses)) ** 0.5
 
 
-def learn_lexicon(sample: DataFrame, text_col: str, *, most: int = 2000, least_documents: int = 3, least_g: float = 18.0, sure_g: float = 50.0) -> tuple[dict[str, float], dict[str, float]]:
+def learn_lexicon(sample: DataFrame, text_col: str, *, least_documents: int = 3, least_g: float = 18.0, sure_g: float = 50.0) -> tuple[dict[str, float], dict[str, float]]:
     """Words and word beginnings of toxic documents, with log-odds as weights.
 
-    Of the ``most`` most significant (by the G statistic) those stay that are beyond doubt, or that remain significant
-    by the documents in which fewer than three reliable ones before them occur."""
+    From the most significant on (by the G statistic) those stay that are beyond doubt, or that remain significant by the
+    documents in which fewer than three reliable ones before them occur. What goes to the driver are significant words
+    of the bounded sample only."""
     # one row for each group of near copies: they share the least hash of their three-word shingles
     words = F.filter(F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}']+"), lambda w: w != "")
     rows = sample.select(F.col("_label").cast("int").alias("toxic"), words.alias("words"))
@@ -216,7 +218,7 @@ def learn_lexicon(sample: DataFrame, text_col: str, *, most: int = 2000, least_d
     kept = counts.where((a >= least_documents) & (weight > float(np.log(8)))).withColumns({"g": g, "weight": weight}).where(F.col("g") >= least_g)
     entries: tuple[dict[str, float], dict[str, float]] = {}, {}
     explained: Counter[int] = Counter()
-    for r in kept.orderBy(F.desc("g"), F.desc("stem"), "gram").limit(most).collect():
+    for r in kept.orderBy(F.desc("g"), F.desc("stem"), "gram").collect():
         new = sum(explained[document] < 3 for document in r.found)
         if r.g >= sure_g or r.g * new >= least_g * r.a:
             entries[r.stem][r.gram] = r.weight
@@ -246,10 +248,10 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> np.ndarray:
 
 def _with_features(df: DataFrame, text_col: str, words: dict[str, float], stems: dict[str, float]) -> DataFrame:
     small_batches(df.sparkSession)
-    kept = [f for f in df.schema.fields if not f.name.startswith("_clause_")]
+    kept = df.schema.fields
     rows = df.select(*(F.col(f"`{f.name}`") for f in kept), text_or_empty(text_col).alias("_clause_text"))
     names = [f"_clause_{f}" for f in FEATURES]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"{n} double" for n in names)])
+    schema = StructType([*kept, *(StructField(n, DoubleType()) for n in names)])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar(words, stems)
@@ -274,8 +276,7 @@ def classify(
 ) -> DataFrame:
     """Adds the score: how likely the label is 1. Lexicon and weights are learned from at most ``most_labelled``
     documents, none of the held-out fold (``crc32(id) mod modulus = held_out``)."""
-    own = docs.select(id_col, text_or_empty(text_col).alias(text_col))
-    sample = labelled_sample(own, labels, label_col, id_col=id_col, modulus=modulus, held_out=held_out, most=most_labelled).select("_label", text_col)
+    sample = labelled_sample(docs, labels, label_col, id_col=id_col, text_col=text_col, modulus=modulus, held_out=held_out, most=most_labelled)
     sample = materialize(sample, "labelled")
     words, stems = learn_lexicon(sample, text_col)
     if words or stems:
@@ -286,5 +287,5 @@ def classify(
     else:
         weights = np.array([-3.0, 1.0, 0.0, 1.0, 0.0, 0.0])
     total = F.lit(float(weights[0])) + sum(float(w) * F.col(f"_clause_{c}") for w, c in zip(weights[1:], FEATURES, strict=True))
-    scored = _with_features(docs, text_col, words, stems)
-    return scored.withColumn(out, 1 / (1 + F.exp(-total))).select(*(c for c in docs.columns if c != out), out)
+    scored = _with_features(as_row(docs), f"row.`{text_col}`", words, stems)
+    return scored.select(*row_columns(docs, out), (1 / (1 + F.exp(-total))).alias(out))

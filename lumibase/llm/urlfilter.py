@@ -1,7 +1,7 @@
 """URL filters: a blocked Bloom filter of the listed canonical URLs in front of an exact hash join.
 
 A rule is a host and a path prefix with a verdict; its canonical URL is ``host + path``. A url's candidates are all
-pairs of a suffix of its host (whole labels) and a prefix of its path whose length some rule of that list has. Each
+pairs of a suffix of its host (whole labels) and a prefix of its path as long as some rule's host (in labels) and path. Each
 candidate is hashed once: some bits of the hash name a block of the filter, others the bits within it. A block is one
 row with the set bits in eight 64-bit words, so the filter is a table and its probe an equi-join; only candidates
 with all bits set go on to the join with the rules themselves, which removes the false positives. The rule with the
@@ -73,10 +73,12 @@ def may_hold(words: Column, key: Column) -> Column:
     return F.forall(_bits_of(key), is_set)
 
 
-def _candidates(host: Column, path: Column, lengths: list[int]) -> Column:
-    """(host suffix, path prefix) of all suffixes and of the prefixes that are as long as some rule's path."""
+def _candidates(host: Column, path: Column, sizes: list[int], lengths: list[int]) -> Column:
+    """(host suffix, path prefix) of the suffixes with as many labels as some rule's host has, and of the prefixes that
+    are as long as some rule's path."""
     labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.slice(labels, n, F.size(labels)), "."))
+    own = F.filter(F.array(*(F.lit(n) for n in sizes)).cast("array<int>"), lambda n: n <= F.size(labels))
+    suffixes = F.transform(own, lambda n: F.array_join(F.slice(labels, F.size(labels) - n + 1, n), "."))
     fitting = F.filter(F.array(*(F.lit(n) for n in lengths)).cast("array<int>"), lambda n: n <= F.char_length(path))
     return F.flatten(F.transform(suffixes, lambda s: F.transform(fitting, lambda n: F.struct(s.alias("host"), F.substring(path, F.lit(1), n).alias("path")))))
 
@@ -89,7 +91,7 @@ def judge(pages: DataFrame, rules: DataFrame, *, url_col: str = "url", default:
     judged = pages.withColumns({"host": host, "path": path})
 
     listed = rules.select("host", "path", "verdict").distinct()
-    counted = listed.agg(F.count("*").alias("n"), F.max(F.expr("host IS NULL OR path IS NULL OR verdict IS NULL")).alias("bad"), F.array_sort(F.collect_set(F.char_length("path"))).alias("lengths")).first()
+    counted = listed.agg(F.count("*").alias("n"), F.max(F.expr("host IS NULL OR path IS NULL OR verdict IS NULL")).alias("bad"), F.array_sort(F.collect_set(F.char_length("path"))).alias("lengths"), F.array_sort(F.collect_set(F.size(F.split("host", r"\.")))).alias("sizes")).first()
     if counted.bad:
         raise ValueError("a rule without host, path or verdict")
     small = (lambda df: F.broadcast(df)) if counted.n <= broadcast_rows else (lambda df: df)
@@ -97,7 +99,7 @@ def judge(pages: DataFrame, rules: DataFrame, *, url_col: str = "url", default:
     key = _key(F.col("host"), F.col("path"))
     blocks = bloom_blocks(listed.select(key.alias("key")).distinct(), "key", counted.n)
     urls = judged.select("host", "path").distinct()
-    candidates = urls.select(F.col("host").alias("url_host"), F.col("path").alias("url_path"), F.explode(_candidates(F.col("host"), F.col("path"), counted.lengths)).alias("c")).select("url_host", "url_path", "c.host", "c.path")
+    candidates = urls.select(F.col("host").alias("url_host"), F.col("path").alias("url_path"), F.explode(_candidates(F.col("host"), F.col("path"), counted.sizes, counted.lengths)).alias("c")).select("url_host", "url_path", "c.host", "c.path")
     probed = candidates.withColumn("block", _block_of(key, _blocks(counted.n)))
     possible = probed.join(small(blocks), "block").where(may_hold(F.col("words"), key)).select("url_host", "url_path", "host", "path")
     hits = possible.join(small(listed), ["host", "path"])

@@ -550,6 +550,15 @@ def test_url_filter_edges(spark):
         urlfilter.judge(pages, spark.createDataFrame([("a", None, "block")], empty.schema))
 
 
+def test_url_filter_long_host(spark):
+    """Time and rows grow with the labels, not with their square."""
+    rules = spark.createDataFrame(list(Q.URL_RULES), "host string, path string, verdict string")
+    long = "a." * 100_000 + "net"
+    pages = spark.createDataFrame([(1, f"http://{long}/de/7"), (2, f"http://{'x' * 300_000}.com/en/"), (3, "http://a.example.net/" + "de/8" * 50_000)], "page_id bigint, url string")
+    rows = {r.page_id: (r.rule, r.verdict) for r in urlfilter.judge(pages, rules).collect()}
+    assert rows == {1: ("net/de/", "allow"), 2: ("com/en/", "block"), 3: ("example.net/de/8", "block")}
+
+
 def test_bloom_filter_passes_few_others(spark):
     keys = spark.range(2000).selectExpr("CAST(id AS STRING) AS key")
     blocks = urlfilter.bloom_blocks(keys, "key", 2000)
@@ -710,6 +719,25 @@ def test_classifiers_odd_rows(spark, classify):
     assert classify(none(spark), spark.createDataFrame([], schema)).count() == 0
 
 
+@pytest.mark.parametrize("classify", [quality.classify, toxicity.classify])
+def test_classifiers_keep_columns_of_any_name(spark, classify):
+    label = "quality" if classify is quality.classify else "toxic"
+    names = ["_stat_note", "_stat_upper", "_clause_note", "_clause_text", "row", "_label", "_text", "_id", "hash", "a b"]
+    df = docs(spark).limit(30).select("doc_id", "text", *(F.concat(F.lit(n), "doc_id").alias(n) for n in names))
+    labels = spark.createDataFrame([(n, n % 2) for n in range(200)], f"doc_id bigint, {label} int")
+    rows = classify(df, labels).collect()
+    assert len(rows) == 30 and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
+
+
+def test_labelled_sample_is_bounded_in_rows(spark):
+    """One labelled id that very many rows have is one row of the sample."""
+    df = spark.range(50_000).select((F.col("id") % 3 * 0 + 7).alias("doc_id"), F.col("id").cast("string").alias("text")).union(spark.range(20).selectExpr("id + 100", "'x'"))
+    labels = spark.createDataFrame([(7, 1), (7, 0), *((n, 0) for n in range(100, 120))], "doc_id bigint, quality int")
+    for most in (10, 1000):
+        rows = quality.labelled_sample(df, labels, "quality", id_col="doc_id", text_col="text", modulus=5, held_out=9, most=most).collect()
+        assert len(rows) == min(most, 21) and sum(r["_label"] for r in rows) <= 1
+
+
 def plain_clause(kinds, weights):
     """A clause's score, harm by harm, from the description of the five transducers."""
     t = toxicity
