@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumibase.functions import measures, origin
+from lumibase.functions import dates, measures, origin
 
 
 def present(copies: DataFrame) -> DataFrame:
@@ -86,13 +86,21 @@ def content_totals(files: DataFrame, copies: DataFrame) -> DataFrame:
     return totals.withColumn("k", F.lit(0)).join(single.withColumn("k", F.lit(0)), "k").drop("k")
 
 
-def date_provenance(files: DataFrame) -> DataFrame:
-    """Files per source with at most four evidences in order, and the share of files with any source."""
+def date_provenance(files: DataFrame, most_evidence: int = 4) -> DataFrame:
+    """A row for each date source with what it means (F28): label, detail, files, review, the first few different
+    sentences of evidence in order, whether it was recorded at all, its share of the recorded files, and the totals."""
     by_tag = files.groupBy("date_source", "date_tag").agg(F.count("*").alias("n"))
-    by_source = by_tag.groupBy("date_source").agg(F.sum("n").alias("files"), F.slice(F.array_sort(F.collect_set("date_tag")), 1, 4).alias("tags"))
-    total = F.sum(F.when(F.col("date_source").isNotNull(), F.col("files"))).over(W.partitionBy())  # a row for each source
-    share = F.when(F.col("date_source").isNotNull(), F.round(F.col("files") / total, 6))
-    return by_source.select("date_source", "files", F.array_join("tags", ";").alias("evidence"), share.alias("share"))
+    said = by_tag.withColumn("sentence", dates.explain_evidence(F.col("date_source"), F.col("date_tag")))
+    by_sentence = said.groupBy("date_source", "sentence").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(W.partitionBy("date_source").orderBy(F.col("sentence").asc_nulls_last()))
+    first = F.when(place <= most_evidence, F.col("sentence"))
+    by_source = by_sentence.withColumn("first", first).groupBy("date_source").agg(F.sum("n").alias("files"), F.nullif(F.array_join(F.array_sort(F.collect_list("first")), ", "), F.lit("")).alias("evidence"))
+    recorded = F.col("date_source").isNotNull()
+    over = W.partitionBy()  # a row for each source
+    total, known = F.sum("files").over(over), F.coalesce(F.sum(F.when(recorded, F.col("files"))).over(over), F.lit(0))
+    rows = by_source.withColumns({"x": dates.explain_source(F.col("date_source")), "total": total, "recorded": known})
+    share = F.when(recorded, F.round(F.col("files") / F.col("recorded"), 6))
+    return rows.select("date_source", "x.label", "x.detail", "files", "x.review", "evidence", (~recorded).alias("not_recorded"), share.alias("share"), "total", "recorded")
 
 
 def by_year(files: DataFrame) -> DataFrame:
@@ -303,30 +311,50 @@ def copy_names(copies: DataFrame, drive: str) -> DataFrame:
 # snapshot updates: each returns the table as it is afterwards
 
 
-def _coalesced(new: str, old: str, columns: list[str]) -> list[Column]:
-    return [F.coalesce(F.col(f"{new}.{c}"), F.col(f"{old}.{c}")).alias(c) for c in columns]
+def _last(incoming: DataFrame, keys: list[str], order: str | None) -> DataFrame:
+    """One row for each key: the last by a column, or else the greatest by all columns."""
+    row = F.struct(*incoming.columns)
+    one = F.max_by(row, F.struct(F.col(order), row)) if order else F.max(row)
+    return incoming.groupBy(*(F.col(k).alias(f"_key{n}") for n, k in enumerate(keys))).agg(one.alias("_row")).select("_row.*")
 
 
-def upsert_files(files: DataFrame, incoming: DataFrame, confirmations: DataFrame) -> DataFrame:
-    """Rows by sha256; a later value wins where it is known, and a person's confirmed date over all."""
-    merged = files.alias("o").join(incoming.alias("n"), F.col("o.sha256") == F.col("n.sha256"), "full_outer").select(*_coalesced("n", "o", files.columns))
-    confirmed = confirmations.select("sha256", F.col("captured_at").alias("_confirmed"))
+def upsert_files(files: DataFrame, incoming: DataFrame, confirmations: DataFrame, order: str | None = None) -> DataFrame:
+    """Rows by sha256. A new row replaces the old one in every column that it has, also by null: a date that is no
+    longer found takes its source and tag along. A person's confirmed date goes above all. Of several new rows of a
+    content the last by ``order`` counts."""
+    new = _last(incoming, ["sha256"], order)
+    taken = lambda c: F.when(F.col("n.sha256").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")) if c in incoming.columns else F.col(f"o.{c}")
+    merged = files.alias("o").join(new.alias("n"), F.col("o.sha256") == F.col("n.sha256"), "full_outer").select(*(taken(c).alias(c) for c in files.columns))
+    confirmed = confirmations.groupBy("sha256").agg(F.max("captured_at").alias("_confirmed"), F.lit(True).alias("_sure"))
     joined = merged.join(confirmed, "sha256", "left")
-    sure = F.col("_confirmed").isNotNull()
+    sure = F.col("_sure").isNotNull()
     return joined.withColumns({
-        "captured_at": F.coalesce("_confirmed", "captured_at"),
+        "captured_at": F.when(sure, F.col("_confirmed")).otherwise(F.col("captured_at")),
         "date_source": F.when(sure, "human_confirmed").otherwise(F.col("date_source")),
         "date_tag": F.when(~sure, F.col("date_tag")),
     }).select(*files.columns)
 
 
-def upsert_copies(copies: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Rows by content and drive; a copy that is written again is no longer missing."""
+#: What writing a copy records; its checks and bakes are others' to set.
+COPY_FACTS = ("relative", "copy_sha256", "size", "copied_at")
+
+
+def upsert_copies(copies: DataFrame, incoming: DataFrame, order: str | None = None) -> DataFrame:
+    """Rows by content and drive. A copy that is written again has the new place, size and digest, also where that
+    is null and the copy so unverifiable; it is no longer missing. When it was last verified and baked stays."""
+    new = _last(incoming.select(*(c for c in incoming.columns if c in ("sha256", "drive_uuid", *COPY_FACTS) or c == order)), ["sha256", "drive_uuid"], order)
     on = (F.col("o.sha256") == F.col("n.sha256")) & (F.col("o.drive_uuid") == F.col("n.drive_uuid"))
-    joined = copies.alias("o").join(incoming.alias("n"), on, "full_outer")
-    others = [c for c in copies.columns if c != "missing_at"]
-    gone = F.when(F.col("n.sha256").isNull(), F.col("o.missing_at")).alias("missing_at")
-    return joined.select(*_coalesced("n", "o", others), gone).select(*copies.columns)
+    joined = copies.alias("o").join(new.alias("n"), on, "full_outer")
+    again = F.col("n.sha256").isNotNull()
+
+    def after(c: str) -> Column:
+        if c in ("sha256", "drive_uuid"):
+            return F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}"))
+        if c == "missing_at":
+            return F.when(~again, F.col("o.missing_at"))
+        return F.when(again, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")) if c in COPY_FACTS and c in new.columns else F.col(f"o.{c}")
+
+    return joined.select(*(after(c).alias(c) for c in copies.columns))
 
 
 def apply_verification(copies: DataFrame, outcomes: DataFrame, now: str) -> DataFrame:

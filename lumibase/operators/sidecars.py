@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumibase.functions import paths
 
+# Fixed value: a supplemental sidecar's name, which exports cut off.
 SUPPLEMENTAL = r"(?i)^(.+?)\.supp[a-z-]*(\(\d+\))?\.json$"
 
 

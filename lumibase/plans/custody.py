@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumibase.functions import measures
+from lumibase.functions import dates, measures
 from lumibase.operators import catalog, copies as on_drives
 from lumibase.plans.registry import query
 
@@ -31,9 +31,15 @@ query("a4_drive_verified", """SELECT drive_uuid AS uuid, CASE WHEN count(*) = co
 query("a5_content_totals", """WITH s AS (SELECT sha256 FROM copies WHERE missing_at IS NULL GROUP BY 1 HAVING count(*) = 1)
 SELECT count(*) AS files, sum(size)::BIGINT AS bytes, (SELECT count(*) FROM s) AS single_copies FROM files""")(lambda t: catalog.content_totals(t.files, t.copies))
 
-query("a6_date_provenance", """WITH g AS (SELECT date_source, count(*) files, list_sort(list_distinct(list(date_tag) FILTER (date_tag IS NOT NULL)))[1:4] tags FROM files GROUP BY 1)
-SELECT date_source, files, coalesce(array_to_string(tags, ';'), '') AS evidence, CASE WHEN date_source IS NOT NULL THEN round(files / sum(files) FILTER (date_source IS NOT NULL) OVER (), 6) END AS share FROM g""")(
-    lambda t: catalog.date_provenance(t.files))
+#: F28 by its stated meanings: source, label, detail, review.
+MEANINGS = ", ".join("('" + "', '".join(x.replace("'", "''") for x in s[:3]) + f"', {s[3]})" for s in dates.SOURCES)
+SENTENCE = """CASE WHEN coalesce(date_tag, '') = '' THEN NULL WHEN date_source IS DISTINCT FROM 'inferred_local' THEN 'from ' || date_tag WHEN date_tag LIKE '%|not_proven_utc' THEN split_part(date_tag, '|', 1) || ', taken as local'
+ WHEN regexp_matches(date_tag, '^[^|]+[|][^|]+[|][+-][0-9]{2}:[0-5][0-9]$') THEN split_part(date_tag, '|', 1) || ', moved ' || split_part(date_tag, '|', 3) || ' by ' || split_part(date_tag, '|', 2) ELSE date_tag END"""
+query("a6_date_provenance", f"""WITH m(source, label, detail, review) AS (VALUES {MEANINGS}), e AS (SELECT date_source, {SENTENCE} AS said FROM files),
+g AS (SELECT date_source, count(*) AS files, list_sort(list_distinct(list(said) FILTER (said IS NOT NULL)))[1:4] AS says FROM e GROUP BY 1)
+SELECT date_source, coalesce(label, '{dates.UNRECORDED[0]}') AS label, coalesce(detail, '{dates.UNRECORDED[1]}') AS detail, files, coalesce(review, false) AS review, nullif(array_to_string(says, ', '), '') AS evidence, date_source IS NULL AS not_recorded,
+ CASE WHEN date_source IS NOT NULL THEN round(files / sum(files) FILTER (date_source IS NOT NULL) OVER (), 6) END AS share, (sum(files) OVER ())::BIGINT AS total, coalesce(sum(files) FILTER (date_source IS NOT NULL) OVER (), 0)::BIGINT AS recorded
+ FROM g LEFT JOIN m ON source = date_source""")(lambda t: catalog.date_provenance(t.files))
 
 query("a7_by_year", "SELECT year(captured_at) AS year, count(*) AS files, min(captured_at) AS first, max(captured_at) AS last FROM files GROUP BY 1")(lambda t: catalog.by_year(t.files))
 
@@ -113,22 +119,27 @@ query("s4_organized_files", "SELECT sha256, size FROM files SEMI JOIN copies USI
 query("s4_copy_names", "SELECT sha256, split_part(relative, '/', -1) AS name FROM copies WHERE drive_uuid = '6'")(lambda t: catalog.copy_names(t.copies, "6"))
 query("s4_media_names", "SELECT DISTINCT original_name, size FROM files WHERE size IS NOT NULL")(lambda t: t.files.where("size IS NOT NULL").select("original_name", "size").distinct())
 
-INCOMING = "inc AS (SELECT CAST(CAST(sha256 AS BIGINT) + 1 AS STRING) AS sha256, size + 1 AS size, captured_at, CASE WHEN size % 2 = 0 THEN 'Saved' END AS category FROM files WHERE size % 5 = 0)"
+RERUN = """SELECT CAST(CAST(sha256 AS BIGINT) + 1 AS STRING) AS sha256, size + 1 AS size, CASE WHEN size % 3 > 0 THEN captured_at END AS captured_at, CASE WHEN size % 2 = 0 THEN 'Saved' END AS category,
+ CASE WHEN size % 3 > 0 THEN 'exif' ELSE 'none' END AS date_source, CASE WHEN size % 3 > 0 THEN 'DateTimeOriginal' END AS date_tag FROM files WHERE size % 5 = 0"""
+INCOMING = f"inc AS ({RERUN})"
 
 
 def _incoming(t):
-    new = t.files.where("size % 5 = 0").selectExpr("CAST(CAST(sha256 AS BIGINT) + 1 AS STRING) AS sha256", "size + 1 AS size", "captured_at", "CASE WHEN size % 2 = 0 THEN 'Saved' END AS category")
+    new = t.spark.sql(RERUN.replace("FROM files", "FROM {files}"), files=t.files)
     return new.select("*", *(F.lit(None).cast(t.files.schema[c].dataType).alias(c) for c in t.files.columns if c not in new.columns))
 
 
-query("s5_upsert_files", f"""WITH {INCOMING}, {CONFIRMED}, m AS (SELECT coalesce(n.sha256, o.sha256) sha256, coalesce(n.size, o.size) size, coalesce(n.captured_at, o.captured_at) captured_at, coalesce(n.category, o.category) category, o.date_source, o.date_tag
- FROM files o FULL JOIN inc n ON o.sha256 = n.sha256)
-SELECT m.sha256, m.size, m.category, coalesce(c.captured_at, m.captured_at) AS captured_at, CASE WHEN c.captured_at IS NOT NULL THEN 'human_confirmed' ELSE date_source END AS date_source, CASE WHEN c.captured_at IS NULL THEN date_tag END AS date_tag
+# a third of the new rows have no date any more, and so no source and tag
+query("s5_upsert_files", f"""WITH {INCOMING}, {CONFIRMED}, m AS (SELECT n.* FROM inc n UNION ALL SELECT sha256, size, captured_at, category, date_source, date_tag FROM files WHERE sha256 NOT IN (SELECT sha256 FROM inc))
+SELECT m.sha256, m.size, m.category, CASE WHEN c.sha256 IS NOT NULL THEN c.captured_at ELSE m.captured_at END AS captured_at, CASE WHEN c.sha256 IS NOT NULL THEN 'human_confirmed' ELSE date_source END AS date_source, CASE WHEN c.sha256 IS NULL THEN date_tag END AS date_tag
  FROM m LEFT JOIN conf c ON c.sha256 = m.sha256""")(lambda t: catalog.upsert_files(t.files, _incoming(t), confirmed(t)).select("sha256", "size", "category", "captured_at", "date_source", "date_tag"))
 
-query("s6_upsert_copies", """WITH n AS (SELECT sha256, drive_uuid, 'again/' || relative AS relative, last_verified FROM copies WHERE size % 3 = 0)
-SELECT c.sha256, c.drive_uuid, coalesce(n.relative, c.relative) AS relative, CASE WHEN n.sha256 IS NULL THEN c.missing_at END AS missing_at FROM copies c LEFT JOIN n ON n.sha256 = c.sha256 AND n.drive_uuid = c.drive_uuid""")(
-    lambda t: catalog.upsert_copies(t.copies, t.copies.where("size % 3 = 0").withColumn("relative", F.concat(F.lit("again/"), "relative"))).select("sha256", "drive_uuid", "relative", "missing_at"))
+# re-copies without a digest among them, and copies that are new to the drive
+RECOPIED = "SELECT sha256, CASE WHEN size % 5 = 0 THEN 'new' || drive_uuid ELSE drive_uuid END AS drive_uuid, 'again/' || relative AS relative, CASE WHEN size % 2 = 0 THEN 'new-' || sha256 END AS copy_sha256, size + 1 AS size FROM copies WHERE size % 3 = 0"
+query("s6_upsert_copies", f"""WITH n AS ({RECOPIED})
+SELECT c.sha256, c.drive_uuid, relative, copy_sha256, size, missing_at, last_verified, date_baked_at FROM copies c ANTI JOIN n USING (sha256, drive_uuid)
+UNION ALL SELECT n.sha256, n.drive_uuid, n.relative, n.copy_sha256, n.size, NULL, last_verified, date_baked_at FROM n LEFT JOIN copies c USING (sha256, drive_uuid)""")(
+    lambda t: catalog.upsert_copies(t.copies, t.spark.sql(RECOPIED.replace("FROM copies", "FROM {copies}"), copies=t.copies)).select("sha256", "drive_uuid", "relative", "copy_sha256", "size", "missing_at", "last_verified", "date_baked_at"))
 
 OUTCOMES = "SELECT sha256, drive_uuid, CASE size % 3 WHEN 0 THEN 'verified' WHEN 1 THEN 'missing' ELSE 'mismatch' END AS outcome FROM copies WHERE size % 2 = 0"
 query("s10_apply_verification", f"""WITH x AS ({OUTCOMES}) SELECT c.sha256, c.drive_uuid, CASE outcome WHEN 'verified' THEN TIMESTAMP '{NOW}' WHEN 'missing' THEN NULL ELSE last_verified END AS last_verified,

@@ -122,7 +122,7 @@ query("f26_tidy", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Marys Weddi
 query("f27_upright_size", "SELECT id, CASE WHEN id % 9 BETWEEN 5 AND 8 OR id % 5 IN (1, 3) THEN height ELSE width END AS w, CASE WHEN id % 9 BETWEEN 5 AND 8 OR id % 5 IN (1, 3) THEN width ELSE height END AS h FROM media")(
     lambda t: t.media.select("id", measures.upright_size(F.col("width"), F.col("height"), F.col("id") % 9, F.col("id") % 5).alias("s")).select("id", F.col("s.width").alias("w"), F.col("s.height").alias("h")))
 query("f28_explain_source", """SELECT date_source, date_tag, count(*) AS files, CASE date_source WHEN 'exif' THEN 'Embedded in the file' WHEN 'takeout' THEN 'Export sidecar' WHEN 'filename' THEN 'File name' WHEN 'inferred_local' THEN 'Shifted to local time' ELSE 'Not recorded' END AS label,
- date_source IS NULL OR date_source = 'filename' AS review, CASE WHEN date_tag IS NULL THEN NULL WHEN date_source = 'inferred_local' THEN 'CreateDate, moved +02:00 by TimeZone' ELSE 'from ' || date_tag END AS evidence FROM files GROUP BY 1, 2""")(
+ coalesce(date_source = 'filename', false) AS review, CASE WHEN date_tag IS NULL THEN NULL WHEN date_source = 'inferred_local' THEN 'CreateDate, moved +02:00 by TimeZone' ELSE 'from ' || date_tag END AS evidence FROM files GROUP BY 1, 2""")(
     lambda t: t.files.groupBy("date_source", "date_tag").agg(F.count("*").alias("files")).withColumn("x", dates.explain_source(F.col("date_source"))).select("date_source", "date_tag", "files", "x.label", "x.review", dates.explain_evidence(F.col("date_source"), F.col("date_tag")).alias("evidence")))
 query("c17_review_predicates", f"WITH {SHOTS} SELECT path, bucket <> 'exact' AS should_upload, bucket IN ('unique', 'unreadable') AS is_unique FROM ks WHERE sha256 IS NOT NULL")(
     lambda t: duplicates.resolve(t.shots.where("part = 0"), t.shots.where("part > 0")).where("sha256 IS NOT NULL").select("path", origin.should_upload(F.col("kind")).alias("should_upload"), origin.is_unique(F.col("kind")).alias("is_unique")))

@@ -283,3 +283,18 @@ def test_the_date_ladder_is_a_small_plan(spark):
     media = Tables(spark, "/root/testdata/sf0.001").media
     found = dates.with_capture_datetime(media, F.lit("2024-06-01").cast("timestamp_ntz"), taken="taken_at", out="r").select("id", "r.source", "r.value", "r.tag")
     assert len(found._jdf.queryExecution().executedPlan().toString()) < 40_000
+
+
+def test_upserts_take_the_new_row(spark):
+    schema = "sha256 string, captured_at timestamp_ntz, date_source string, date_tag string, size bigint"
+    day = datetime(2014, 8, 17)
+    files = spark.createDataFrame([("a", day, "exif", "DateTimeOriginal", 5), ("b", day, "exif", "CreateDate", 6), ("c", day, "exif", None, 7)], schema)
+    incoming = spark.createDataFrame([("a", None, "none", None, None), ("c", None, "none", None, 8), ("d", day, "filename", None, 9), ("d", day, "filename", None, 10)], schema)
+    sure = spark.createDataFrame([("c", datetime(2011, 1, 1))], "sha256 string, captured_at timestamp_ntz")
+    rows = {r.sha256: tuple(r)[1:] for r in catalog.upsert_files(files, incoming, sure, order="size").collect()}
+    assert rows == {"a": (None, "none", None, None), "b": (day, "exif", "CreateDate", 6), "c": (datetime(2011, 1, 1), "human_confirmed", None, 8), "d": (day, "filename", None, 10)}
+    schema = "sha256 string, drive_uuid string, relative string, copy_sha256 string, size bigint, last_verified timestamp_ntz, missing_at timestamp_ntz, date_baked_at timestamp_ntz"
+    copies_ = spark.createDataFrame([("a", "1", "x", "old", 5, day, day, day), ("a", "2", "y", "old", 5, day, day, day)], schema)
+    again = spark.createDataFrame([("a", "1", "z", None, 6, None, day, None), ("b", "1", "w", "new", 1, day, day, day)], schema)
+    rows = {(r.sha256, r.drive_uuid): tuple(r)[2:] for r in catalog.upsert_copies(copies_, again).collect()}
+    assert rows == {("a", "1"): ("z", None, 6, day, None, day), ("a", "2"): ("y", "old", 5, day, day, day), ("b", "1"): ("w", "new", 1, None, None, None)}
