@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lumibase.functions import origin, paths
 from lumibase.functions.measures import haversine_km
+from lumibase.operators.stages import written
 
 
 @dataclass(frozen=True)
@@ -49,48 +50,71 @@ def _log_gaps(times: Column) -> Column:
     return F.zip_with(F.slice(times, F.lit(1), F.greatest(F.size(times) - 1, F.lit(0))), F.slice(times, 2, 1 << 20), lambda a, b: F.log1p(F.greatest(b - a, F.lit(0.0))))
 
 
-def segments(items: DataFrame, by: Clustering = Clustering()) -> DataFrame:
-    """W1, first half: adds segment, the number of the stretch between boundaries, per library.
+ORDER = ("library", "captured_at", "sha256")
+
+
+def in_blocks(items: DataFrame, blocks: int | None = None) -> DataFrame:
+    """Dated items in the order of library, time and digest, cut into blocks by a range shuffle, with _block and _row (a
+    number that rises by one within a block). Blocks have about equally many rows, also if all rows are of one library,
+    day or moment; the number is Spark's for a shuffle if it isn't given. The table is written, so that the numbers
+    stay what they are."""
+    order = [F.col(ORDER[0]).asc_nulls_first(), *ORDER[1:]]
+    dated = items.where("captured_at IS NOT NULL").withColumn("_t", F.unix_micros(F.col("captured_at").cast("timestamp")) / 1e6)
+    dealt = dated.repartitionByRange(blocks, *order) if blocks else dated.repartitionByRange(*order)
+    return written(dealt.sortWithinPartitions(*order).withColumns({"_block": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}), "timeline")
+
+
+def boundaries(rows: DataFrame, by: Clustering = Clustering()) -> DataFrame:
+    """Adds _ends to rows in blocks: 1 where an event ends behind the row, else 0.
 
     A gap is a boundary if it is over the longest allowed, or at least the shortest and far above the median of its
     neighbours (log scale, itself left out), or if the place jumps.
 
-    A library is taken day by day. A day's rows need no more of the others than the times of the nearest rows on both
-    sides and how many boundaries lie before; both come from a table with one row for each day of a library, so a
-    library of any size is as many tasks as it has days. Undated items are a day of their own."""
+    A block's rows need no more of the library's others than the times of the nearest rows on both sides; these come from
+    a table with one row for each block of a library."""
     w = by.window
-    key = ["library", "_day"]
-    day = W.partitionBy(*key).orderBy("captured_at", "sha256")
-    days = W.partitionBy("library").orderBy("_day")
-    rows = items.withColumns({"_day": F.to_date("captured_at"), "_t": F.unix_micros(F.col("captured_at").cast("timestamp")) / 1e6})
-    place = F.row_number().over(day)
-    ends = rows.withColumns({"_n": place, "_m": F.count("*").over(W.partitionBy(*key)) - place + 1}).where((F.col("_n") <= w + 1) | (F.col("_m") <= w + 1))
+    key = ["library", "_block"]
+    own = W.partitionBy(*key)
+    block = own.orderBy("_row")
+    blocks = W.partitionBy("library").orderBy("_block")
+    ends = rows.select(*key, "_row", "_t", "lat", "lon").withColumns({"_n": F.col("_row") - F.min("_row").over(own) + 1, "_m": F.max("_row").over(own) - F.col("_row") + 1}).where((F.col("_n") <= w + 1) | (F.col("_m") <= w + 1))
     listed = lambda n: F.transform(F.array_sort(F.collect_list(F.when(F.col(n) <= w + 1, F.struct(n, "_t")))), lambda x: x["_t"])
     table = ends.groupBy(*key).agg(listed("_n").alias("head"), F.reverse(listed("_m")).alias("tail"), F.min(F.when(F.col("_n") == 1, F.struct("lat", "lon"))).alias("place"))
-    before = _tail(F.flatten(F.collect_list("tail").over(days.rowsBetween(-w - 1, -1))), w + 1)
-    after = F.slice(F.flatten(F.collect_list("head").over(days.rowsBetween(1, w + 1))), 1, w + 1)
-    halo = table.withColumns({"before": before, "after": after, "next_place": F.lead("place").over(days)})
-    last = F.when((F.size("after") > 0) & (F.size("after") <= w), F.array(F.lit(0.0))).otherwise(F.array().cast("array<double>"))
+    before = _tail(F.flatten(F.collect_list("tail").over(blocks.rowsBetween(-w - 1, -1))), w + 1)
+    after = F.slice(F.flatten(F.collect_list("head").over(blocks.rowsBetween(1, w + 1))), 1, w + 1)
+    halo = table.withColumns({"before": before, "after": after, "next_place": F.lead("place").over(blocks)})
     halo = halo.select(
-        F.col("library").alias("_l"), F.col("_day").alias("_d"), F.get("after", F.lit(0)).alias("_next_t"), "next_place",
-        _tail(_log_gaps(F.concat("before", F.slice("head", 1, 1))), w).alias("_before"), F.slice(F.concat(_log_gaps(F.col("after")), last), 1, w).alias("_after"),
+        F.col("library").alias("_l"), F.col("_block").alias("_b"), F.get("after", F.lit(0)).alias("_next_t"), "next_place",
+        _tail(_log_gaps(F.concat("before", F.slice("head", 1, 1))), w).alias("_before"), F.slice(_log_gaps(F.col("after")), 1, w).alias("_after"),
     )
-    joined = rows.join(halo, F.col("library").eqNullSafe(F.col("_l")) & F.col("_day").eqNullSafe(F.col("_d")))
-    gaps = joined.withColumns({"gap": F.coalesce(F.lead("_t").over(day), "_next_t") - F.col("_t"), "_place": F.coalesce(F.lead(F.struct("lat", "lon")).over(day), "next_place")})
-    gaps = gaps.withColumn("log_gap", F.log1p(F.greatest(F.col("gap"), F.lit(0.0))))
-    gaps = gaps.withColumns({"_p": F.collect_list("log_gap").over(day.rowsBetween(-w, -1)), "_q": F.collect_list("log_gap").over(day.rowsBetween(1, w))})
+    joined = rows.join(halo, F.col("library").eqNullSafe(F.col("_l")) & F.col("_block").eqNullSafe(F.col("_b")))
+    gaps = joined.withColumns({"gap": F.coalesce(F.lead("_t").over(block), "_next_t") - F.col("_t"), "_place": F.coalesce(F.lead(F.struct("lat", "lon")).over(block), "next_place")})
+    gaps = gaps.withColumn("log_gap", F.when(F.col("gap").isNotNull(), F.log1p(F.greatest(F.col("gap"), F.lit(0.0)))))  # none behind a library's last row
+    gaps = gaps.withColumns({"_p": F.collect_list("log_gap").over(block.rowsBetween(-w, -1)), "_q": F.collect_list("log_gap").over(block.rowsBetween(1, w))})
     missing = lambda near: F.greatest(F.lit(w) - F.size(near), F.lit(0))
     gaps = gaps.withColumn("around", F.array_sort(F.concat(_tail(F.col("_before"), missing("_p")), "_p", "_q", F.slice("_after", F.lit(1), missing("_q")))))
     n = F.size("around")
     middle = (F.get("around", F.floor((n - 1) / 2).cast("int")) + F.get("around", F.floor(n / 2).cast("int"))) / 2
     unusual = (F.col("gap") >= by.least_gap_s) & (n > 0) & (F.col("log_gap") - middle > by.sensitivity)
     jump = haversine_km(F.col("lat"), F.col("lon"), F.col("_place.lat"), F.col("_place.lon")) > by.jump_km
-    cut = gaps.withColumn("_ends", (F.coalesce((F.col("gap") > by.most_gap_s) | unusual, F.lit(False)) | F.coalesce(jump, F.lit(False))).cast("int"))
+    return gaps.select(*rows.columns, (F.coalesce((F.col("gap") > by.most_gap_s) | unusual, F.lit(False)) | F.coalesce(jump, F.lit(False))).cast("int").alias("_ends"))
+
+
+def counted_segments(cut: DataFrame) -> DataFrame:
+    """Adds segment to rows with _ends: how many boundaries of the library lie before the row."""
+    key = ["library", "_block"]
+    blocks = W.partitionBy("library").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     sums = cut.groupBy(*key).agg(F.sum("_ends").alias("_sum"))
-    sums = sums.select(F.col("library").alias("_sl"), F.col("_day").alias("_sd"), F.coalesce(F.sum("_sum").over(days.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
-    segment = F.coalesce(F.sum("_ends").over(day.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + F.col("_offset")
-    placed = cut.join(sums, F.col("library").eqNullSafe(F.col("_sl")) & F.col("_day").eqNullSafe(F.col("_sd")))
-    return placed.withColumn("segment", segment).select(*items.columns, "segment")
+    sums = sums.select(F.col("library").alias("_sl"), F.col("_block").alias("_sb"), F.coalesce(F.sum("_sum").over(blocks), F.lit(0)).alias("_offset"))
+    block = W.partitionBy(*key).orderBy("_row").rowsBetween(W.unboundedPreceding, -1)
+    placed = cut.join(sums, F.col("library").eqNullSafe(F.col("_sl")) & F.col("_block").eqNullSafe(F.col("_sb")))
+    return placed.withColumn("segment", F.coalesce(F.sum("_ends").over(block), F.lit(0)) + F.col("_offset")).select(*cut.columns, "segment")
+
+
+def segments(items: DataFrame, by: Clustering = Clustering(), blocks: int | None = None) -> DataFrame:
+    """W1, first half: adds segment, the number of the stretch between boundaries, per library. Undated items are left
+    out."""
+    return counted_segments(boundaries(in_blocks(items, blocks), by)).select(*items.columns, "segment")
 
 
 def cluster_events(items: DataFrame, by: Clustering = Clustering()) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from lumibase.functions import dates, measures
 from lumibase.operators import catalog, copies as on_drives
+from lumibase.operators.recorded import Catalog
+from lumibase.operators.stages import fresh_path
 from lumibase.plans.registry import query
 
 NOW = "2005-01-01 00:00:00"
@@ -130,20 +132,23 @@ def _incoming(t):
 
 
 # a third of the new rows have no date any more, and so no source and tag
-query("s5_upsert_files", f"""WITH {INCOMING}, {CONFIRMED}, m AS (SELECT n.* FROM inc n UNION ALL SELECT sha256, size, captured_at, category, date_source, date_tag FROM files WHERE sha256 NOT IN (SELECT sha256 FROM inc))
+S5_SQL = f"""WITH {INCOMING}, {CONFIRMED}, m AS (SELECT n.* FROM inc n UNION ALL SELECT sha256, size, captured_at, category, date_source, date_tag FROM files WHERE sha256 NOT IN (SELECT sha256 FROM inc))
 SELECT m.sha256, m.size, m.category, CASE WHEN c.sha256 IS NOT NULL THEN c.captured_at ELSE m.captured_at END AS captured_at, CASE WHEN c.sha256 IS NOT NULL THEN 'human_confirmed' ELSE date_source END AS date_source, CASE WHEN c.sha256 IS NULL THEN date_tag END AS date_tag
- FROM m LEFT JOIN conf c ON c.sha256 = m.sha256""")(lambda t: catalog.upsert_files(t.files, _incoming(t), confirmed(t)).select("sha256", "size", "category", "captured_at", "date_source", "date_tag"))
+ FROM m LEFT JOIN conf c ON c.sha256 = m.sha256"""
+query("s5_upsert_files", S5_SQL)(lambda t: catalog.upsert_files(t.files, _incoming(t), confirmed(t)).select("sha256", "size", "category", "captured_at", "date_source", "date_tag"))
 
 # re-copies without a digest among them, and copies that are new to the drive
 RECOPIED = "SELECT sha256, CASE WHEN size % 5 = 0 THEN 'new' || drive_uuid ELSE drive_uuid END AS drive_uuid, 'again/' || relative AS relative, CASE WHEN size % 2 = 0 THEN 'new-' || sha256 END AS copy_sha256, size + 1 AS size FROM copies WHERE size % 3 = 0"
-query("s6_upsert_copies", f"""WITH n AS ({RECOPIED})
+S6_SQL = f"""WITH n AS ({RECOPIED})
 SELECT c.sha256, c.drive_uuid, relative, copy_sha256, size, missing_at, last_verified, date_baked_at FROM copies c ANTI JOIN n USING (sha256, drive_uuid)
-UNION ALL SELECT n.sha256, n.drive_uuid, n.relative, n.copy_sha256, n.size, NULL, last_verified, date_baked_at FROM n LEFT JOIN copies c USING (sha256, drive_uuid)""")(
+UNION ALL SELECT n.sha256, n.drive_uuid, n.relative, n.copy_sha256, n.size, NULL, last_verified, date_baked_at FROM n LEFT JOIN copies c USING (sha256, drive_uuid)"""
+query("s6_upsert_copies", S6_SQL)(
     lambda t: catalog.upsert_copies(t.copies, t.spark.sql(RECOPIED.replace("FROM copies", "FROM {copies}"), copies=t.copies)).select("sha256", "drive_uuid", "relative", "copy_sha256", "size", "missing_at", "last_verified", "date_baked_at"))
 
 OUTCOMES = "SELECT sha256, drive_uuid, CASE size % 3 WHEN 0 THEN 'verified' WHEN 1 THEN 'missing' ELSE 'mismatch' END AS outcome FROM copies WHERE size % 2 = 0"
-query("s10_apply_verification", f"""WITH x AS ({OUTCOMES}) SELECT c.sha256, c.drive_uuid, CASE outcome WHEN 'verified' THEN TIMESTAMP '{NOW}' WHEN 'missing' THEN NULL ELSE last_verified END AS last_verified,
- CASE outcome WHEN 'verified' THEN NULL WHEN 'missing' THEN TIMESTAMP '{NOW}' ELSE missing_at END AS missing_at FROM copies c LEFT JOIN x ON x.sha256 = c.sha256 AND x.drive_uuid = c.drive_uuid""")(
+S10_SQL = f"""WITH x AS ({OUTCOMES}) SELECT c.sha256, c.drive_uuid, CASE outcome WHEN 'verified' THEN TIMESTAMP '{NOW}' WHEN 'missing' THEN NULL ELSE last_verified END AS last_verified,
+ CASE outcome WHEN 'verified' THEN NULL WHEN 'missing' THEN TIMESTAMP '{NOW}' ELSE missing_at END AS missing_at FROM copies c LEFT JOIN x ON x.sha256 = c.sha256 AND x.drive_uuid = c.drive_uuid"""
+query("s10_apply_verification", S10_SQL)(
     lambda t: catalog.apply_verification(t.copies, t.copies.where("size % 2 = 0").selectExpr("sha256", "drive_uuid", "CASE size % 3 WHEN 0 THEN 'verified' WHEN 1 THEN 'missing' ELSE 'mismatch' END AS outcome"), NOW).select("sha256", "drive_uuid", "last_verified", "missing_at"))
 
 query("s11_confirm_dates", f"WITH {CONFIRMED} SELECT sha256, drive_uuid, CASE WHEN sha256 NOT IN (SELECT sha256 FROM conf) THEN date_baked_at END AS date_baked_at FROM copies")(
@@ -152,13 +157,57 @@ query("s11_confirm_dates", f"WITH {CONFIRMED} SELECT sha256, drive_uuid, CASE WH
 query("s12_record_bakes", f"""SELECT sha256, drive_uuid, CASE WHEN size % 4 = 0 THEN 'baked-' || sha256 ELSE copy_sha256 END AS copy_sha256, CASE WHEN size % 4 = 0 THEN TIMESTAMP '{NOW}' ELSE date_baked_at END AS date_baked_at FROM copies""")(
     lambda t: catalog.record_bakes(t.copies, t.copies.where("size % 4 = 0").select("sha256", "drive_uuid", F.concat(F.lit("baked-"), "sha256").alias("copy_sha256"), F.lit(NOW).cast("timestamp_ntz").alias("date_baked_at"))).select("sha256", "drive_uuid", "copy_sha256", "date_baked_at"))
 
-query("s13_forget_content", """WITH g AS (SELECT sha256, drive_uuid FROM copies WHERE size % 2 = 1), l AS (SELECT * FROM copies ANTI JOIN g USING (sha256, drive_uuid))
-SELECT sha256, size FROM files WHERE sha256 NOT IN (SELECT sha256 FROM g) OR sha256 IN (SELECT sha256 FROM l)""")(
+S13_SQL = """WITH g AS (SELECT sha256, drive_uuid FROM copies WHERE size % 2 = 1), l AS (SELECT * FROM copies ANTI JOIN g USING (sha256, drive_uuid))
+SELECT sha256, size FROM files WHERE sha256 NOT IN (SELECT sha256 FROM g) OR sha256 IN (SELECT sha256 FROM l)"""
+query("s13_forget_content", S13_SQL)(
     lambda t: catalog.forget_content(t.files, t.copies, t.copies.where("size % 2 = 1").select("sha256", "drive_uuid"))[0].select("sha256", "size"))
 
 query("s14_relocate", "SELECT sha256, CASE WHEN size % 9 = 0 THEN '/new/' || sha256 ELSE source_path END AS source_path FROM files")(
     lambda t: catalog.relocate(t.files, t.files.where("size % 9 = 0").select("sha256", F.concat(F.lit("/new/"), "sha256").alias("new")), "source_path").select("sha256", "source_path"))
 
+
+# the same updates on tables of buckets: what an update leaves of a table that it has not touched is not written again
+
+
+def _kept(t, **rows):
+    own = Catalog(t.spark, fresh_path(t.spark, "catalog"), 16)
+    own.create(**rows)
+    return own
+
+
+def _after(own, table, update):
+    """The table after an update that is tried twice."""
+    if not update() or update():
+        raise AssertionError("the first time does all, the second time nothing")
+    return own.read(table)
+
+
+@query("s5_recorded_files", S5_SQL)
+def _recorded_files(t):
+    own = _kept(t, files=catalog.upsert_files(t.files, t.files.limit(0), confirmed(t)))
+    return _after(own, "files", lambda: own.upsert_files(_incoming(t), confirmed(t), "b1")).select("sha256", "size", "category", "captured_at", "date_source", "date_tag")
+
+
+@query("s6_recorded_copies", S6_SQL)
+def _recorded_copies(t):
+    own = _kept(t, copies=t.copies)
+    new = t.spark.sql(RECOPIED.replace("FROM copies", "FROM {copies}"), copies=t.copies)
+    return _after(own, "copies", lambda: own.upsert_copies(new, "b1")).select("sha256", "drive_uuid", "relative", "copy_sha256", "size", "missing_at", "last_verified", "date_baked_at")
+
+
+@query("s10_recorded_verification", S10_SQL)
+def _recorded_verification(t):
+    own = _kept(t, copies=t.copies)
+    outcomes = t.spark.sql(OUTCOMES.replace("FROM copies", "FROM {copies}"), copies=t.copies)
+    return _after(own, "copies", lambda: own.apply_verification(outcomes, NOW, "b1")).select("sha256", "drive_uuid", "last_verified", "missing_at")
+
+
+@query("s13_recorded_forget", S13_SQL)
+def _recorded_forget(t):
+    own = _kept(t, files=t.files, copies=t.copies)
+    return _after(own, "files", lambda: own.forget_content(t.copies.where("size % 2 = 1").select("sha256", "drive_uuid"), "b1")).select("sha256", "size")
+
+
 query("f30_custody_age", f"SELECT sha256, drive_uuid, greatest(0, floor((epoch(TIMESTAMP '{NOW}') - epoch(last_verified)) / 86400))::BIGINT AS days FROM copies WHERE last_verified IS NOT NULL")(
     lambda t: t.copies.where("last_verified IS NOT NULL").select("sha256", "drive_uuid", measures.age_days(F.col("last_verified"), F.lit(NOW).cast("timestamp_ntz")).cast("long").alias("days")))
 

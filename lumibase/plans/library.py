@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lumibase.functions import dates, measures, origin, paths
 from lumibase.operators import decisions, duplicates, sidecars, timeline
 from lumibase.operators import copies as on_drives
+from lumibase.operators.stages import written
 from lumibase import streaming
 from lumibase.plans import pipelines
 from lumibase.plans.registry import query
@@ -216,7 +217,7 @@ SELECT path, CASE WHEN n > 1 AND (fb OR held IS NOT NULL) THEN 'exact' WHEN n =
 # timeline
 
 SEGMENTS = """g AS (SELECT *, epoch(lead(captured_at) OVER w) - epoch(captured_at) gap, lead(lat) OVER w nlat, lead(lon) OVER w nlon FROM items WINDOW w AS (PARTITION BY library ORDER BY captured_at, sha256)),
-l AS (SELECT *, ln(1 + greatest(gap, 0)) lg, 2 * 6371.0088 * asin(sqrt(pow(sin((radians(nlat) - radians(lat)) / 2), 2) + cos(radians(lat)) * cos(radians(nlat)) * pow(sin((radians(nlon) - radians(lon)) / 2), 2))) km FROM g),
+l AS (SELECT *, CASE WHEN gap IS NOT NULL THEN ln(1 + greatest(gap, 0)) END lg, 2 * 6371.0088 * asin(sqrt(pow(sin((radians(nlat) - radians(lat)) / 2), 2) + cos(radians(lat)) * cos(radians(nlat)) * pow(sin((radians(nlon) - radians(lon)) / 2), 2))) km FROM g),
 md AS (SELECT *, median(lg) OVER (PARTITION BY library ORDER BY captured_at, sha256 ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING EXCLUDE CURRENT ROW) m FROM l),
 e AS (SELECT *, CASE WHEN gap > 172800 OR (gap >= 3600 AND m IS NOT NULL AND lg - m > 4.0) OR coalesce(km > 50, false) THEN 1 ELSE 0 END ends FROM md),
 s AS (SELECT *, coalesce(sum(ends) OVER (PARTITION BY library ORDER BY captured_at, sha256 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT segment FROM e),
@@ -234,7 +235,7 @@ query("w7_review_cards", f"""WITH {SEGMENTS}, {TRIPS}, {CARDS.replace("{skip}",
 
 
 def _cards(t):
-    events = timeline.cluster_events(t.items).persist()  # trips, claims and cards are all made from the events
+    events = written(timeline.cluster_events(t.items), "events")  # trips, claims and cards are all made from the events
     return timeline.review_cards(timeline.detect_trips(t.items, events), events, t.items)
 
 
@@ -249,7 +250,7 @@ SELECT ca.library, ca.kind, ca.first_day, ca.last_day, ca.files, day_total, coal
 
 
 def _review(t):
-    events = timeline.cluster_events(t.items).persist()  # names and skips are made from the events themselves
+    events = written(timeline.cluster_events(t.items), "events")  # names and skips are made from the events themselves
     names = events.where("segment % 2 = 0").select("signature", F.concat(F.lit("Event "), F.col("library").cast("string")).alias("name"))
     claimed = t.items.where("library % 3 = 0 AND day(captured_at) % 2 = 0").select("library", F.to_date("captured_at").alias("day"), F.expr("'T' || CAST(library AS STRING) || '-' || CAST(day(captured_at) AS STRING)").alias("name")).distinct()
     return pipelines.trip_review(t.items, events, names, events.where("segment % 5 = 4"), claimed)
@@ -262,7 +263,7 @@ query("j15_named_overlay", f"WITH {SEGMENTS} SELECT library, signature, CASE WHE
 
 
 def _overlay(t):
-    events = timeline.cluster_events(t.items)
+    events = written(timeline.cluster_events(t.items), "events")
     names = events.where("segment % 2 = 0").select("signature", F.concat(F.lit("Event "), F.col("library").cast("string")).alias("name"))
     return timeline.named_overlay(events, names, events.where("segment % 5 = 4")).select("library", "signature", "name")
 

@@ -58,8 +58,8 @@ def preview(catalog_rows: DataFrame, batch: DataFrame, now: Column, *, taken: st
 
 def trip_review(items: DataFrame, events: DataFrame, names: DataFrame, skipped: DataFrame, claimed: DataFrame) -> DataFrame:
     """K7: the cards to review, largest first, with the name that an event or trip has already, and the folder name that
-    its members suggest. Items have path besides; events are W1 (several steps read them, so the caller may persist
-    them); names (signature, name), skipped (signature), claimed (library, day, name)."""
+    its members suggest. Items have path besides; events are W1 (several steps read them, so they
+    should be a written table); names (signature, name), skipped (signature), claimed (library, day, name)."""
     trips = timeline.named_trips(timeline.detect_trips(items, events), claimed)
     card = F.concat_ws("/", F.col("library").cast("string"), "kind", F.col("first_day").cast("string"), F.coalesce("signature", F.lit("")))
     cards = timeline.review_cards(trips, timeline.named_overlay(events, names, skipped), items).withColumn("cluster", card)

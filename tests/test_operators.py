@@ -216,7 +216,7 @@ def plain_segments(times, places, by=timeline.Clustering()):
     import statistics
 
     gaps = [(b - a).total_seconds() for a, b in zip(times, times[1:])]
-    logs = [math.log1p(max(g, 0)) for g in gaps] + [0.0]
+    logs = [math.log1p(max(g, 0)) for g in gaps]
     out, segment = [], 0
     for n in range(len(times)):
         out.append(segment)
@@ -233,8 +233,9 @@ def plain_segments(times, places, by=timeline.Clustering()):
     return out
 
 
-def test_segments_over_days_equal_the_loop(spark):
-    """Rows of a library over many days, most with few rows, so that neighbours lie several days away."""
+@pytest.mark.parametrize("blocks", [None, 7, 150])
+def test_segments_over_blocks_equal_the_loop(spark, blocks):
+    """Also over so many blocks that a row's neighbours lie several blocks away; undated rows are left out."""
     rng = random.Random(3)
     rows = []
     for library in range(6):
@@ -243,13 +244,27 @@ def test_segments_over_days_equal_the_loop(spark):
             at += timedelta(seconds=rng.choice([5, 60, 600, 4000, 30_000, 90_000, 400_000]) * rng.random())
             place = rng.choice([None, (10.0, 10.0), (10.0, 10.1), (12.0, 10.0)])
             rows.append((library, f"{library}-{n:04}", at, *(place or (None, None)), None))
-    df = spark.createDataFrame(rows, "library int, sha256 string, captured_at timestamp_ntz, lat double, lon double, event_id int").repartition(5)
-    got = {r.sha256: r.segment for r in timeline.segments(df).collect()}
+    undated = [(0, "undated", None, None, None, None)] * 3
+    df = spark.createDataFrame(rows + undated, "library int, sha256 string, captured_at timestamp_ntz, lat double, lon double, event_id int").repartition(5)
+    found = timeline.segments(df, blocks=blocks).collect()
+    got = {r.sha256: r.segment for r in found}
+    assert len(found) == len(rows)
     for library in range(6):
         own = [r for r in rows if r[0] == library]
         assert [got[r[1]] for r in own] == plain_segments([r[2] for r in own], [r[3:5] if r[3] is not None else None for r in own])
 
 
+def test_one_moment_is_many_blocks(spark):
+    """All rows of a library at one reset clock, and a few before and behind: as many tasks as blocks, one event."""
+    reset = datetime(1999, 12, 31)
+    rows = [(1, f"{n:05}", reset, None, None) for n in range(3000)] + [(1, f"x{n}", reset + timedelta(days=300, seconds=n), None, None) for n in range(20)]
+    df = spark.createDataFrame(rows, "library int, sha256 string, captured_at timestamp_ntz, lat double, lon double")
+    placed = timeline.in_blocks(df, 8)
+    sizes = [r["count"] for r in placed.groupBy("_block").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 1000
+    assert sorted(r.files for r in timeline.cluster_events(df).collect()) == [20, 3000]
+
+
 def test_numbered_equals_row_number(spark):
     rng = random.Random(4)
     rows = [(rng.choice([None, "a", "b"]), datetime(2020, 1, rng.randint(1, 9), rng.randint(0, 23)), n) for n in range(200)]
