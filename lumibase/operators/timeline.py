@@ -138,8 +138,13 @@ def signature():
 def detect_trips(items: DataFrame, events: DataFrame, *, most_days: int = 30, most_dead_days: int = 1) -> DataFrame:
     """Runs of days on which an event starts, bridging single quiet days, split at the year, of two days at least.
     A run over the span is declined. ``days`` counts all files of each active day."""
-    active = events.select("library", F.to_date("start").alias("day")).distinct()
     counts = items.groupBy("library", F.to_date("captured_at").alias("day")).agg(F.count("*").alias("n"))
+    return trips_of_days(counts, events, most_days=most_days, most_dead_days=most_dead_days)
+
+
+def trips_of_days(counts: DataFrame, events: DataFrame, *, most_days: int = 30, most_dead_days: int = 1) -> DataFrame:
+    """W2 by the number of files of each day (library, day, n)."""
+    active = events.select("library", F.to_date("start").alias("day")).distinct()
     days = active.join(counts, ["library", "day"])
     order = W.partitionBy("library").orderBy("day")
     before = F.lag("day").over(order)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from lumibase.operators import decisions, duplicates, sidecars, timeline
 from lumibase.operators import copies as on_drives
 from lumibase.operators.stages import written
 from lumibase import streaming
+from lumibase.streaming import corrections
 from lumibase.plans import pipelines
 from lumibase.plans.registry import query
 
@@ -252,8 +255,11 @@ SELECT ca.library, ca.kind, ca.first_day, ca.last_day, ca.files, day_total, coal
 def _review(t):
     events = written(timeline.cluster_events(t.items), "events")  # names and skips are made from the events themselves
     names = events.where("segment % 2 = 0").select("signature", F.concat(F.lit("Event "), F.col("library").cast("string")).alias("name"))
-    claimed = t.items.where("library % 3 = 0 AND day(captured_at) % 2 = 0").select("library", F.to_date("captured_at").alias("day"), F.expr("'T' || CAST(library AS STRING) || '-' || CAST(day(captured_at) AS STRING)").alias("name")).distinct()
-    return pipelines.trip_review(t.items, events, names, events.where("segment % 5 = 4"), claimed)
+    return pipelines.trip_review(t.items, events, names, events.where("segment % 5 = 4"), _claimed(t))
+
+
+def _claimed(t):
+    return t.items.where("library % 3 = 0 AND day(captured_at) % 2 = 0").select("library", F.to_date("captured_at").alias("day"), F.expr("'T' || CAST(library AS STRING) || '-' || CAST(day(captured_at) AS STRING)").alias("name")).distinct()
 
 
 query("a17_heavy_days", "SELECT CAST(captured_at AS DATE) AS day, count(*) AS files FROM items WHERE event_id IS NULL GROUP BY 1 HAVING count(*) > 40")(lambda t: timeline.heavy_days(timeline.capture_day_counts(t.items)))
@@ -473,5 +479,27 @@ SELECT md5(CAST(c.id AS STRING)) AS sha256, label, rule, src AS date_source, CAS
     lambda t: streaming.ingest_rows(t.media.select(F.md5(F.col("id").cast("string")).alias("sha256"), "name", "tags"), t.media.where("id % 3 = 0").select(F.md5(F.col("id").cast("string")).alias("sha256")), _now()).select("sha256", "label", "rule", "date_source", "captured_at"))
 query("r3_session_events", """WITH g AS (SELECT library, captured_at, CASE WHEN captured_at - lag(captured_at) OVER w < INTERVAL 48 HOUR THEN 0 ELSE 1 END nw FROM items WINDOW w AS (PARTITION BY library ORDER BY captured_at)),
 s AS (SELECT *, sum(nw) OVER (PARTITION BY library ORDER BY captured_at) k FROM g) SELECT library, count(*) AS files, min(captured_at) AS "start", max(captured_at) AS "end" FROM s GROUP BY library, k HAVING count(*) >= 8""")(lambda t: streaming.session_events(t.items))
+LATE = "key % 41 = 3"
+BEFORE = ", ".join(x.strip() for x in [re.sub(r"\b(g|l|md|e|s|ev)\b(?= AS \(|$)", r"\1_b", SEGMENTS)])
+BEFORE = re.sub(r"FROM (items|g|l|md|e|s)\b", lambda m: f"FROM {m.group(1)}_b", BEFORE)
+BEFORE = f"items_b AS (SELECT * FROM items WHERE NOT ({LATE})), {BEFORE}"
+
+
+def _corrected(t):
+    """A timeline without some rows of all libraries and days, to which these then come late, in two batches of which the
+    first comes twice."""
+    state = corrections.cluster(t.items.where(f"NOT ({LATE})"))
+    early = t.items.where(f"{LATE} AND library % 2 = 0")
+    once = corrections.correct(state, early)
+    again = corrections.correct(once.timeline, early.unionByName(t.items.where(f"{LATE} AND library % 2 = 1")))
+    return once, again
+
+
+query("r4_corrected_events", f'WITH {SEGMENTS} SELECT library, files, "start", "end", lat, lon, signature FROM ev')(
+    lambda t: _corrected(t)[1].timeline.events().withColumns({"lat": F.round("lat", 6), "lon": F.round("lon", 6)}))
+query("r4_changed_events", f"""WITH {SEGMENTS}, {BEFORE} SELECT library, signature, 'gone' AS change FROM ev_b WHERE signature NOT IN (SELECT signature FROM ev)
+ UNION ALL SELECT library, signature, 'new' FROM ev WHERE signature NOT IN (SELECT signature FROM ev_b)""")(lambda t: reduce(DataFrame.unionByName, (c.changes for c in _corrected(t))))
+query("r4_named_trips", f"""WITH {SEGMENTS}, {TRIPS}, {NAMED} SELECT tr.library, start_date, end_date, tr.files, arg_min(cd.name, cd.day) AS name FROM tr LEFT JOIN rr ON rr.library = tr.library AND rr.day BETWEEN start_date AND end_date
+ LEFT JOIN cd ON cd.library = tr.library AND cd.day = rr.day GROUP BY ALL""")(lambda t: _corrected(t)[1].timeline.trips(_claimed(t)).select("library", "start_date", "end_date", "files", "name"))
 query("r4_late_rows", "SELECT key, library FROM items JOIN (SELECT library, max(captured_at) - INTERVAL 10 DAY AS until FROM items GROUP BY 1) USING (library) WHERE captured_at <= until")(
     lambda t: streaming.late_rows(t.items, t.items.groupBy("library").agg((F.max("captured_at") - F.expr("INTERVAL '10' DAY")).alias("until")))[1].select("key", "library"))

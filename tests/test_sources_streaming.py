@@ -117,3 +117,37 @@ def test_ingest_stream_labels_and_dates(spark, tmp_path):
         "c": ("Saved", "fallback", None, "none", 1),
         "d": ("Camera", "camera_filename", "2024-01-02", "filename", 1),
     }
+
+
+def test_corrections_equal_the_batch(spark):
+    """Late rows in several batches, some of which merge and split events, give the timeline of all rows at once, and
+    few rows are read again."""
+    import random
+
+    from lumibase.streaming import corrections
+
+    rng, rows = random.Random(5), []
+    for library in range(3):
+        at = datetime(2020, 1, 1)
+        for n in range(700):
+            at += timedelta(seconds=rng.choice([5, 60, 600, 4000, 30_000, 90_000]) * rng.random())
+            place = rng.choice([None, (10.0, 10.0), (10.0, 10.1)]) if n % 90 else (12.0, 10.0)
+            rows.append((library, library * 10_000 + n, f"{library}-{n:04}", at, *(place or (None, None))))
+    schema = "library bigint, key bigint, sha256 string, captured_at timestamp_ntz, lat double, lon double"
+    late = [r for n, r in enumerate(rows) if n % 650 in (3, 4, 300)]
+    df = lambda part: spark.createDataFrame(part, schema)
+    state = corrections.cluster(df([r for r in rows if r not in late]))
+    before = state.events()
+    names = {r.signature for r in before.collect()}
+    for part in (late[:3], late[:5], [(9, 1, "new library", datetime(2021, 1, 1), None, None), (0, 2, "undated", None, None, None)], late[5:]):
+        found = corrections.correct(state, df(part))
+        assert found.reread.count() < 600
+        state = found.timeline
+        for r in found.changes.collect():
+            (names.add if r.change == "new" else names.remove)(r.signature)
+    want = timeline.cluster_events(df(rows))
+    key = lambda r: (r.library, r.files, r.start, r.end, r.signature)
+    assert sorted(map(key, state.events().collect())) == sorted(map(key, want.collect()))
+    assert names == {r.signature for r in want.collect()} and state.rows.count() == len(rows) + 1
+    assert sorted(map(tuple, state.days.collect())) == sorted(map(tuple, df([*rows, (9, 1, "", datetime(2021, 1, 1), None, None)]).groupBy("library", F.to_date("captured_at")).count().collect()))
+    assert corrections.correct(state, df([])).changes.count() == 0
