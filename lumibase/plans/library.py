@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from lumibase.functions import dates, measures, origin, paths
 from lumibase.operators import decisions, duplicates, sidecars, timeline
 from lumibase.operators import copies as on_drives
-from lumibase.operators.stages import written
+from lumibase.operators.stages import fresh_path, written
 from lumibase import streaming
 from lumibase.streaming import corrections
+from lumibase.streaming.runs import arrived, files, rocks_store, run, to_files
 from lumibase.plans import pipelines
 from lumibase.plans.registry import query
 
@@ -503,3 +504,61 @@ query("r4_named_trips", f"""WITH {SEGMENTS}, {TRIPS}, {NAMED} SELECT tr.library,
  LEFT JOIN cd ON cd.library = tr.library AND cd.day = rr.day GROUP BY ALL""")(lambda t: _corrected(t)[1].timeline.trips(_claimed(t)).select("library", "start_date", "end_date", "files", "name"))
 query("r4_late_rows", "SELECT key, library FROM items JOIN (SELECT library, max(captured_at) - INTERVAL 10 DAY AS until FROM items GROUP BY 1) USING (library) WHERE captured_at <= until")(
     lambda t: streaming.late_rows(t.items, t.items.groupBy("library").agg((F.max("captured_at") - F.expr("INTERVAL '10' DAY")).alias("until")))[1].select("key", "library"))
+
+
+# the incremental operators as streams over files that come one after the other, stopped halfway and started again
+
+
+def _streamed(t, rows, parts, build, name):
+    """What a stream gives of a table's parts: it is stopped after the first batch or so, goes on from its checkpoint,
+    gets the last part, and goes on again."""
+    path = fresh_path(t.spark, name)
+    arrived(parts[:-1], f"{path}/in")
+    writer = build(files(t.spark, rows.schema, f"{path}/in"), f"{path}/out", f"{path}/checkpoint")
+    with rocks_store(t.spark):
+        run(writer, batches=1)
+        run(writer)
+        parts[-1].coalesce(1).write.parquet(f"{path}/in/last")
+        run(writer)
+    return f"{path}/out"
+
+
+def _by_time(rows, at, edges):
+    """A table in parts by time."""
+    edges = [None, *(F.lit(e).cast("timestamp") for e in edges), None]
+    within = lambda a, b: (F.lit(True) if a is None else F.col(at) >= a) & (F.lit(True) if b is None else F.col(at) < b)
+    return [rows.where(within(a, b)) for a, b in zip(edges, edges[1:])]
+
+
+EDGES = ("2024-01-08", "2024-01-15", "2024-01-20")
+ISLANDS = re.sub(r"PARTITION BY library\b", "PARTITION BY library, island", SEGMENTS).replace("FROM items", "FROM items_i").replace("SELECT library, segment, count", "SELECT library, island, segment, count").replace("GROUP BY 1, 2 HAVING", "GROUP BY 1, 2, 3 HAVING")
+
+
+@query("r3_event_stream", f"""WITH k AS (SELECT *, CASE WHEN captured_at - lag(captured_at) OVER w <= INTERVAL 48 HOUR THEN 0 ELSE 1 END nw FROM items WINDOW w AS (PARTITION BY library ORDER BY captured_at, sha256)),
+ki AS (SELECT *, sum(nw) OVER (PARTITION BY library ORDER BY captured_at, sha256) island FROM k), kc AS (SELECT library, island FROM ki GROUP BY 1, 2 HAVING max(captured_at) + INTERVAL 49 HOUR < (SELECT max(captured_at) FROM items)),
+items_i AS (SELECT ki.* FROM ki SEMI JOIN kc USING (library, island)), {ISLANDS}
+SELECT library, files, "start", "end", lat, lon, signature FROM ev""")
+def _event_stream(t):
+    rows = t.items.select("library", "sha256", F.col("captured_at").cast("timestamp").alias("captured_at"), "lat", "lon")
+    out = _streamed(t, rows, _by_time(rows, "captured_at", EDGES), lambda s, path, cp: to_files(streaming.event_stream(s), path, cp), "events")
+    made = t.spark.read.schema("library bigint, files bigint, start timestamp, end timestamp, lat double, lon double, signature string").parquet(out)
+    return made.select("library", "files", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")), *(F.round(c, 6).alias(c) for c in ("lat", "lon")), "signature")
+
+
+@query("r2_dedup_stream", "SELECT DISTINCT md5(CAST(library AS STRING) || '/' || strftime(captured_at, '%Y-%m-%d')) AS sha256 FROM items")
+def _dedup_stream(t):
+    content = F.md5(F.concat_ws("/", F.col("library").cast("string"), F.date_format("captured_at", "yyyy-MM-dd")))
+    rows = t.items.select(content.alias("sha256"), F.col("captured_at").cast("timestamp").alias("captured_at"))
+    out = _streamed(t, rows, _by_time(rows, "captured_at", EDGES), lambda s, path, cp: to_files(streaming.dedup_stream(s), path, cp), "firsts")
+    return t.spark.read.schema(rows.schema).parquet(out).select("sha256")
+
+
+@query("r1_ingest_stream", f"""WITH {RULES}, {DATED}, {EMBED}, y4 AS (SELECT * REPLACE (NULL::TIMESTAMP AS taken_at) FROM x), {RESOLVED.replace('FROM x', 'FROM y4')}
+SELECT md5(CAST(c.id AS STRING)) AS sha256, label, rule, src AS date_source, CASE src WHEN 'inferred_local' THEN val + INTERVAL 2 HOUR WHEN 'exif' THEN val WHEN 'filename' THEN fd END AS captured_at FROM c JOIN z USING (id)""")
+def _ingest_stream(t):
+    rows = t.media.select(F.md5(F.col("id").cast("string")).alias("sha256"), "name", "tags", "id")
+    # the last part brings all of the first one again
+    parts = [rows.where("id % 3 = 0"), rows.where("id % 3 = 1"), rows.where("id % 3 <> 1")]
+    each = lambda s, path, cp: lambda: s.writeStream.foreachBatch(streaming.ingest_batch(path)).option("checkpointLocation", cp)
+    out = _streamed(t, rows, parts, each, "ingested")
+    return t.spark.read.parquet(out).select("sha256", "label", "rule", "date_source", "captured_at")

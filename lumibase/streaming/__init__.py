@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lumibase.functions import dates, origin
+from lumibase.functions.measures import EARTH_KM
 from lumibase.operators.timeline import Clustering
 from lumibase.sources import METADATA_SCHEMA
 
@@ -26,61 +30,118 @@ def session_events(items: DataFrame, gap: str = "48 hours", late: str = "1 hour"
 
 
 class EventIslands(StatefulProcessor):
-    """Keeps a library's items until it has been silent for the longest allowed gap, then gives out the island's
-    events. The sharper boundaries of the batch operator are found within the closed island."""
+    """Keeps a library's rows until an island of them has been silent for the longest allowed gap, then gives out the
+    island's events and drops its days. The sharper boundaries of the batch operator are found within the island.
+
+    Rows lie in the state by day, and the first and last time of each day apart from them. A batch reads and writes only
+    the days that it has rows of; which days make up an island follows from the days' times, as a gap of two days never
+    lies within one. Each island that is open has a timer, so an island closes though its library goes on."""
 
     def __init__(self, by: Clustering = Clustering()):
         self.by = by
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.items = handle.getListState("items", "captured_at timestamp, sha256 string")
+        self.rows = handle.getMapState("rows", "day int", "packed binary")
+        self.spans = handle.getMapState("spans", "day int", "first bigint, last bigint")
+
+    def islands(self) -> list[tuple[int, list[int]]]:
+        """The last time and the days of each island, in order."""
+        found: list[tuple[int, list[int]]] = []
+        for day, first, last in sorted((k[0], v[0], v[1]) for k, v in self.spans.iterator()):
+            if found and first - found[-1][0] <= self.by.most_gap_s * 1_000_000:
+                found[-1] = (last, [*found[-1][1], day])
+            else:
+                found.append((last, [day]))
+        return found
+
+    def closing(self, last: int) -> int:
+        """When an island that ends at this time is closed, in milliseconds."""
+        return last // 1000 + self.by.most_gap_s * 1000 + 1
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = None
         for batch in rows:
-            for r in batch.itertuples():
-                self.items.appendValue((r.captured_at.to_pydatetime(), r.sha256))
-                last = r.captured_at if last is None else max(last, r.captured_at)
-        for t in self.handle.listTimers():
+            for day, own in batch.groupby(batch["at"] // DAY):
+                held = own[list(PACKED)]
+                place = (int(day),)
+                if self.rows.containsKey(place):
+                    held = pd.concat([unpacked(self.rows.getValue(place)[0]), held], ignore_index=True)
+                self.rows.updateValue(place, (packed(held),))
+                self.spans.updateValue(place, (int(held["at"].min()), int(held["at"].max())))
+        wanted = {self.closing(last) for last, _ in self.islands()}
+        there = set(self.handle.listTimers())
+        for t in there - wanted:
             self.handle.deleteTimer(t)
-        if last is not None:
-            latest = max(i[0] for i in self.items.get())
-            self.handle.registerTimer(int(pd.Timestamp(latest).timestamp() * 1000) + self.by.most_gap_s * 1000)
+        for t in wanted - there:
+            self.handle.registerTimer(t)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        items = pd.DataFrame([(pd.Timestamp(t), s) for t, s in self.items.get()], columns=["captured_at", "sha256"])
-        self.items.clear()
-        out = closed_events(items, self.by)
-        out.insert(0, "library", key[0])
-        yield out
+        until = expiredTimerInfo.getExpiryTimeInMs()
+        for last, days in self.islands():
+            if self.closing(last) > until:
+                break
+            island = pd.concat([unpacked(self.rows.getValue((d,))[0]) for d in days], ignore_index=True)
+            for d in days:
+                self.rows.removeKey((d,))
+                self.spans.removeKey((d,))
+            out = closed_events(island, self.by)
+            out.insert(0, "library", key[0])
+            yield out
 
     def close(self) -> None:
         pass
 
 
-def closed_events(items: pd.DataFrame, by: Clustering) -> pd.DataFrame:
-    """Events of one island's items: the boundaries of ``operators.timeline.segments`` without places."""
-    import numpy as np
+DAY = 86_400_000_000
+#: What is kept of a row, and the types of the frames that hold it.
+PACKED = {"at": "int64", "sha256": "object", "lat": "float64", "lon": "float64"}
+
+
+def packed(rows: pd.DataFrame) -> bytes:
+    batch = pa.RecordBatch.from_arrays([pa.array(rows["at"], pa.int64()), pa.array(rows["sha256"], pa.string()), *(pa.array(rows[c], pa.float64(), from_pandas=True) for c in ("lat", "lon"))], names=list(PACKED))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
-    items = items.sort_values(["captured_at", "sha256"], ignore_index=True)
-    gaps = items["captured_at"].diff().shift(-1).dt.total_seconds().to_numpy()[:-1]
+
+def unpacked(blob: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(bytes(blob)).read_all().to_pandas().astype(PACKED)
+
+
+def closed_events(items: pd.DataFrame, by: Clustering) -> pd.DataFrame:
+    """Events of one island's rows (at in microseconds, sha256, lat, lon): files, start, end, lat, lon and signature, by the
+    boundaries of ``operators.timeline.boundaries``."""
+    items = items.sort_values(["at", "sha256"], ignore_index=True)
+    gaps = np.diff(items["at"].to_numpy()) / 1e6
     logs = np.log1p(np.maximum(gaps, 0))
-    ends = np.zeros(len(items), bool)
-    for n, gap in enumerate(gaps):
+    a, b = (np.radians(items[c].to_numpy("float64")) for c in ("lat", "lon"))
+    half = np.sin((a[1:] - a[:-1]) / 2) ** 2 + np.cos(a[:-1]) * np.cos(a[1:]) * np.sin((b[1:] - b[:-1]) / 2) ** 2
+    far = 2 * EARTH_KM * np.arcsin(np.sqrt(np.minimum(half, 1))) > by.jump_km  # false where a place is unknown
+    ends = np.append((gaps > by.most_gap_s) | far, False)
+    for n in np.flatnonzero((gaps >= by.least_gap_s) & ~ends[:-1]):  # the median is needed of long gaps only
         around = np.concatenate((logs[max(0, n - by.window) : n], logs[n + 1 : n + 1 + by.window]))
-        ends[n] = gap > by.most_gap_s or (gap >= by.least_gap_s and len(around) > 0 and logs[n] - np.median(around) > by.sensitivity)
-    segment = np.concatenate(([0], np.cumsum(ends)[:-1]))
-    grouped = items.groupby(segment)["captured_at"].agg(files="count", start="min", end="max")
-    return grouped[grouped["files"] >= by.least_files].reset_index(drop=True)
+        ends[n] = len(around) > 0 and logs[n] - np.median(around) > by.sensitivity
+    items["segment"] = np.concatenate(([0], np.cumsum(ends)[:-1]))
+    known = items["lat"].notna() & items["lon"].notna()
+    items.loc[~known, ["lat", "lon"]] = np.nan
+    made = items.groupby("segment").agg(files=("at", "size"), start=("at", "min"), end=("at", "max"), lat=("lat", "mean"), lon=("lon", "mean"), shas=("sha256", list))
+    made = made[made["files"] >= by.least_files].reset_index(drop=True)
+    signed = [hashlib.sha256("\n".join(sorted(s, key=str.encode)).encode()).hexdigest() for s in made.pop("shas")]
+    made["signature"] = pd.Series(signed, made.index, object)
+    return made
 
 
 def event_stream(items: DataFrame, by: Clustering = Clustering(), late: str = "1 hour") -> DataFrame:
-    """Events of closed islands, per library."""
-    return items.withWatermark("captured_at", late).groupBy("library").transformWithStateInPandas(
-        EventIslands(by), "library bigint, files bigint, start timestamp, end timestamp", "append", "eventTime"
+    """Events of closed islands, per library. Needs a state store that holds more than memory does (RocksDB)."""
+    place = lambda c: (F.col(c) if c in items.columns else F.lit(None)).cast("double").alias(c)
+    marked = items.withWatermark("captured_at", late)
+    rows = marked.select(F.col("library").cast("bigint").alias("library"), "captured_at", F.unix_micros("captured_at").alias("at"), "sha256", place("lat"), place("lon"))
+    found = rows.groupBy("library").transformWithStateInPandas(
+        EventIslands(by), "library bigint, files bigint, start bigint, end bigint, lat double, lon double, signature string", "append", "eventTime"
     )
+    return found.withColumns({"start": F.timestamp_micros("start"), "end": F.timestamp_micros("end")})
 
 
 def late_rows(batch: DataFrame, closed_until: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -57,17 +57,53 @@ def test_dedup_stream(spark, tmp_path):
     assert sorted(r.sha256 for r in out) == ["a", "b"]
 
 
-def test_closed_events_are_the_batch_operators(spark):
-    import pandas as pd
-
-    rows = spark.read.parquet("/root/testdata/sf0.01/events.parquet").where("user_id < 12").selectExpr("user_id AS library", "lpad(CAST(event_id AS STRING), 12, '0') AS sha256", "ts AS captured_at", "CAST(NULL AS DOUBLE) AS lat", "CAST(NULL AS DOUBLE) AS lon")
-    want = sorted((r.library, r.files, r.start) for r in timeline.cluster_events(rows).collect())
-    frame = rows.toPandas()
-    got = []
-    for library, part in frame.groupby("library"):
-        for r in streaming.closed_events(part[["captured_at", "sha256"]], timeline.Clustering()).itertuples():
-            got.append((library, r.files, r.start.to_pydatetime()))
-    assert sorted(got) == want and isinstance(frame, pd.DataFrame)
+def plain_islands(rows):
+    """Rows with the number of their island: a gap of over two days ends one."""
+    out, last = [], {}
+    for r in sorted(rows, key=lambda r: (r[0], r[2])):
+        number, at = last.get(r[0], (0, r[2]))
+        last[r[0]] = (number + (r[2] - at > timedelta(hours=48)), r[2])
+        out.append((r, last[r[0]][0]))
+    return out
+
+
+def test_closed_events_are_the_batch_operators(spark, tmp_path):
+    """Events of closed islands by the stream, with places and rows out of order within the delay, equal those of the
+    batch operator on each island; what is open stays, and no more."""
+    import random
+
+    from lumibase.streaming import runs
+
+    rng, rows = random.Random(8), []
+    for library in range(4):
+        at = datetime(2024, 1, 1)
+        for n in range(220):
+            at += timedelta(seconds=rng.choice([5, 60, 600, 4000, 30_000, 200_000]) * rng.random())
+            rows.append((library, f"{library}-{n}", at, *(rng.choice([(None, None), (10.0, 10.0), (12.0, 10.0)]) if n > 100 else (10.0, None))))
+    rows.sort(key=lambda r: r[2])
+    for n in range(0, len(rows) - 2, 7):  # a neighbour's place within the hour
+        if rows[n + 1][2] - rows[n][2] < timedelta(minutes=50):
+            rows[n], rows[n + 1] = rows[n + 1], rows[n]
+    schema = "library bigint, sha256 string, captured_at timestamp, lat double, lon double"
+    step = -(-len(rows) // 5)
+    runs.arrived([spark.createDataFrame(rows[n : n + step], schema) for n in range(0, len(rows), step)], str(tmp_path / "in"))
+    stream = runs.files(spark, spark.createDataFrame([], schema).schema, str(tmp_path / "in"))
+    writer = runs.to_files(streaming.event_stream(stream), str(tmp_path / "out"), str(tmp_path / "cp"))
+    with runs.rocks_store(spark):
+        runs.run(writer, batches=2)
+        assert runs.run(writer) < 5
+    got = sorted((r.library, r.files, r.start, r.end, r.lat and round(r.lat, 6), r.signature) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    final = max(r[2] for r in rows) - timedelta(hours=1)
+    islands = plain_islands(rows)
+    ends = {}
+    for r, island in islands:
+        ends[r[0], island] = max(r[2], ends.get((r[0], island), r[2]))
+    closed = [(r[0] * 1000 + island, r[1], r[2], *r[3:]) for r, island in islands if ends[r[0], island] + timedelta(hours=48) < final]
+    want = timeline.cluster_events(spark.createDataFrame(closed, schema))
+    assert got == sorted((r.library // 1000, r.files, r.start, r.end, r.lat and round(r.lat, 6), r.signature) for r in want.collect()) and len(got) > 5
+    held = spark.read.format("statestore").option("path", str(tmp_path / "cp")).option("stateVarName", "spans").load()
+    open_days = {(r[0], r[2].date()) for r, island in islands if ends[r[0], island] + timedelta(hours=48) >= final}
+    assert held.count() == len(open_days)
 
 
 def test_session_events(spark, tmp_path):
