@@ -9,13 +9,14 @@ threshold, ties to the earliest. Null digests never match.
 from __future__ import annotations
 
 from itertools import combinations
-from math import comb
+from math import comb, inf
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumibase.functions import origin
 from lumibase.functions.measures import hamming
+from lumibase.operators.stages import written
 
 
 def size_prefilter(batch: DataFrame, known_sizes: DataFrame) -> DataFrame:
@@ -67,10 +68,17 @@ def bands(signature: Column, threshold: int, agree: int = 1) -> Column:
     return F.array(*(F.struct(F.lit(k).alias("band"), value(choice).alias("value")) for k, choice in enumerate(choices)))
 
 
+#: Up to this radius pieces are chosen that agree as a whole; beyond it, up to the most, pieces may differ a little.
+MOST_AGREEING, MOST_RADIUS = 8, 15
+
+
 def signature_links(signatures: DataFrame, threshold: int, agree: int | None = None) -> DataFrame:
-    """Pairs (a, b, distance) of different signatures within the threshold. Each signature occurs once in the input;
-    a pair comes from the first choice of pieces on which it agrees. How many pieces make a key follows from the number
-    of signatures, so that keys stay selective as the table grows."""
+    """Pairs (a, b, distance) of different signatures within the threshold, in both orders. Each signature occurs once
+    in the input, which is read several times, so it should be a written table. Keys are chosen by the number of
+    signatures, so that they stay selective as the table grows; which they are changes no pair."""
+    if threshold > MOST_AGREEING:
+        pairs = flipped_pairs(signatures, threshold)
+        return pairs.where(hamming(F.col("a"), F.col("b")) <= threshold).select("a", "b", hamming(F.col("a"), F.col("b")).alias("distance"))
     agree = agree or cheapest_agree(threshold, signatures.count())
     banded = signatures.select(F.col("perceptual").alias("sig"), F.explode(bands(F.col("perceptual"), threshold, agree)).alias("p")).select("sig", "p.band", "p.value")
     a, b = banded.alias("a"), banded.alias("b")
@@ -84,17 +92,68 @@ def signature_links(signatures: DataFrame, threshold: int, agree: int | None = N
     return first.select(F.col("a.sig").alias("a"), F.col("b.sig").alias("b"), hamming(F.col("a.sig"), F.col("b.sig")).alias("distance"))
 
 
+def radii(threshold: int, count: int) -> list[int]:
+    """How far each of so many pieces may differ: two signatures within the threshold are within one piece's radius at
+    least, for else the pieces' distances would add up to more. With T = count * r + a, the first a + 1 pieces have the
+    radius r and the others r - 1."""
+    r, a = divmod(threshold, count)
+    return [r] * (a + 1) + [r - 1] * (count - a - 1)
+
+
+def flips(bits: int, radius: int) -> list[int]:
+    """All numbers of so many bits of which at most ``radius`` are set."""
+    return [sum(1 << n for n in chosen) for k in range(radius + 1) for chosen in combinations(range(bits), k)]
+
+
+def cheapest_pieces(threshold: int, signatures: int, most_flips: int = 2000) -> int:
+    """In how many pieces to cut, so that probes and compared pairs are fewest for so many signatures."""
+
+    def cost(count: int) -> float:
+        sizes = [64 * (k + 1) // count - 64 * k // count for k in range(count)]
+        probes = [sum(comb(size, n) for n in range(radius + 1)) for size, radius in zip(sizes, radii(threshold, count), strict=True)]
+        return inf if max(probes) > most_flips else sum(p * (1 + signatures / 2.0**size) for p, size in zip(probes, sizes, strict=True))
+
+    return min(range(2, 9), key=cost)
+
+
+def flipped_pairs(signatures: DataFrame, threshold: int, count: int | None = None) -> DataFrame:
+    """Candidate pairs (a, b) of different signatures that are within a piece's radius: b lies in the index under each of
+    its pieces, and a looks up all flips of each of its own. A pair comes from the first such piece alone."""
+    if not 0 <= threshold <= MOST_RADIUS:
+        raise ValueError(f"radii from 0 to {MOST_RADIUS} can be searched")
+    count = count or cheapest_pieces(threshold, signatures.count())
+    edges = [64 * k // count for k in range(count + 1)]
+    near = radii(threshold, count)
+
+    def piece(signature: Column, k: int) -> Column:
+        return F.shiftrightunsigned(signature, edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1))
+
+    own = F.col("perceptual")
+    index = signatures.select(own.alias("b"), F.explode(F.array(*(F.struct(F.lit(k).alias("piece"), piece(own, k).alias("value")) for k in range(count)))).alias("p")).select("b", "p.piece", "p.value")
+
+    def looked_up(k: int) -> Column:
+        masks = F.array(*(F.lit(m).cast("long") for m in flips(edges[k + 1] - edges[k], near[k])))
+        return F.transform(masks, lambda m: F.struct(F.lit(k).alias("piece"), piece(own, k).bitwiseXOR(m).alias("value")))
+
+    probes = signatures.select(own.alias("a"), F.explode(F.concat(*map(looked_up, range(count)))).alias("p")).select("a", "p.piece", "p.value")
+    found = probes.join(index, ["piece", "value"]).where("a <> b")
+    differ = F.col("a").bitwiseXOR(F.col("b"))
+    fits = F.array(*(F.bit_count(piece(differ, k)) <= near[k] for k in range(count)))
+    return found.where(F.array_position(fits, F.lit(True)) - 1 == F.col("piece")).select("a", "b")
+
+
 def near_matches(rows: DataFrame, threshold: int = 5) -> DataFrame:
     """For rows that are no exact duplicates (kind null), the nearest earlier row of these: near_seq, near_path and
     distance. Signatures are compared once each, however many rows have them; of the rows with a signature the first
-    one is the earliest for all."""
+    one is the earliest for all. The different signatures are written, as their search reads them several times."""
     own = rows.where("kind IS NULL AND perceptual IS NOT NULL").select("seq", "path", "perceptual")
-    first = own.groupBy("perceptual").agg(F.min(F.struct("seq", "path")).alias("first"))
-    same = own.join(first, "perceptual").where(F.col("first.seq") < F.col("seq")).select("seq", F.struct(F.lit(0).alias("distance"), F.col("first.seq").alias("near_seq"), F.col("first.path").alias("near_path")).alias("m"))
+    first = written(own.groupBy("perceptual").agg(F.min(F.struct("seq", "path")).alias("first")), "signatures")
     links = signature_links(first, threshold).join(first.select(F.col("perceptual").alias("b"), "first"), "b")
-    other = own.join(links, F.col("perceptual") == F.col("a")).where(F.col("first.seq") < F.col("seq"))
+    # a signature's own first row is a link of distance 0
+    near = links.select("a", "distance", "first").unionByName(first.select(F.col("perceptual").alias("a"), F.lit(0).alias("distance"), "first"))
+    other = own.join(near, F.col("perceptual") == F.col("a")).where(F.col("first.seq") < F.col("seq"))
     other = other.select("seq", F.struct(F.col("distance"), F.col("first.seq").alias("near_seq"), F.col("first.path").alias("near_path")).alias("m"))
-    best = same.union(other).groupBy("seq").agg(F.min("m").alias("m")).select("seq", "m.*")
+    best = other.groupBy("seq").agg(F.min("m").alias("m")).select("seq", "m.*")
     return rows.join(best, "seq", "left")
 
 

@@ -179,6 +179,7 @@ SELECT r.path, CASE WHEN n > 1 THEN 'exact' WHEN m IS NOT NULL THEN 'near' ELSE
     lambda t: duplicates.resolve(t.docs.where("part = 0"), t.docs.where("part > 0")).select("path", "kind", "match_path", "distance"))
 # the embeddings' signatures, and copies of each with one and with two bits flipped
 SIGNATURES = f"WITH e AS (SELECT vec_id AS n, ({EMB_SIG.replace('{v}', 'embedding')})::BIGINT AS sig FROM embeddings), s AS (SELECT sig FROM e UNION SELECT xor(sig, 1::BIGINT << (n % 50)::INT) FROM e UNION SELECT xor(xor(sig, 1::BIGINT << (n % 40)::INT), 1::BIGINT << (n % 40 + 11)::INT) FROM e)"
+query("j3_wide_links", SIGNATURES + " SELECT a.sig AS a, b.sig AS b, bit_count(xor(a.sig, b.sig))::INT AS distance FROM s a JOIN s b ON a.sig <> b.sig AND bit_count(xor(a.sig, b.sig)) <= 12")(lambda t: duplicates.signature_links(written(_signatures(t), "signatures"), 12))
 query("f34_j3_embedding_links", SIGNATURES + " SELECT a.sig AS a, b.sig AS b, bit_count(xor(a.sig, b.sig))::INT AS distance FROM s a JOIN s b ON a.sig <> b.sig AND bit_count(xor(a.sig, b.sig)) <= 5")(lambda t: duplicates.signature_links(_signatures(t), 5))
 
 
@@ -210,7 +211,12 @@ query("a15_split_by_origin", f"WITH {KIND} SELECT CASE WHEN fb THEN 'batch' ELSE
 query("a29_planned_actions", f"WITH {KIND} SELECT CASE WHEN kind = 'exact' THEN 'duplicate' WHEN size % 4 = 0 THEN 'skipped_undated' ELSE 'planned' END AS action, category, count(*) AS files FROM k GROUP BY 1, 2")(lambda t: duplicates.planned_actions(_resolved(t), skip_undated=True))
 def _preview(t):
     batch = t.media.select("id", "name", "tags", "taken_at").join(t.shots.where("part > 0").drop("part"), "id")
-    return pipelines.preview(t.shots.where("part = 0"), batch, _now(), taken="taken_at", skip_undated=True)
+    held = timeline.unevented(t.files, t.raw("events").where("user_id % 5 = 0").select(F.to_date("ts").alias("day")))
+    return pipelines.preview(t.shots.where("part = 0"), batch, _now(), taken="taken_at", skip_undated=True, unevented=held, day_threshold=HEAVY)
+
+
+#: Files of a day above which it is heavy, for tables whose days have few.
+HEAVY = 3
 
 
 query("j4_scope_to_destination", """WITH r AS (SELECT path, sha256, part > 0 b, row_number() OVER (PARTITION BY sha256 ORDER BY part > 0, path) n, first_value(path) OVER (PARTITION BY sha256 ORDER BY part > 0, path) p, first_value(part > 0) OVER (PARTITION BY sha256 ORDER BY part > 0, path) fb FROM docs),
@@ -398,12 +404,13 @@ SELECT c.id, label, cap AS captured_at, src AS source, CASE WHEN rule NOT IN ('d
  src NOT IN ('exif', 'takeout', 'inferred_local', 'none', 'rejected_sentinel', 'rejected_future', 'rejected_early') AS needs_review FROM c JOIN w USING (id)""")(
     lambda t: pipelines.plan(t.media, _now(), taken="taken_at").select("id", "label", "captured_at", "source", "folder", "needs_review"))
 query("k4_organize_preview", f"""WITH {RULES}, {DATED}, {EMBED}, {RESOLVED}, {SHOTS}, w AS (SELECT z.id, src, CASE src WHEN 'inferred_local' THEN val + INTERVAL 2 HOUR WHEN 'exif' THEN val WHEN 'takeout' THEN z.taken_at WHEN 'filename' THEN fd END cap FROM z),
-p AS (SELECT ks.*, c.label, c.name, src, cap, CASE WHEN regexp_matches(lower(c.name), '[.](jpg|png|heic|webp)$') THEN 'photo' WHEN regexp_matches(lower(c.name), '[.](mp4|mov)$') THEN 'video' END kind, bucket IN ('unique', 'near') goes FROM ks JOIN c USING (id) JOIN w USING (id)),
-lb AS (SELECT label, count(*) n FROM p WHERE goes GROUP BY 1)
+p AS (SELECT ks.*, c.label, c.name, c.rule, src, cap, CASE WHEN regexp_matches(lower(c.name), '[.](jpg|png|heic|webp)$') THEN 'photo' WHEN regexp_matches(lower(c.name), '[.](mp4|mov)$') THEN 'video' END kind, bucket IN ('unique', 'near') goes FROM ks JOIN c USING (id) JOIN w USING (id)),
+lb AS (SELECT label, count(*) n FROM p WHERE goes GROUP BY 1), dy AS (SELECT CAST(cap AS DATE) d FROM p WHERE rule IN ('device', 'camera_filename') UNION ALL SELECT CAST(captured_at AS DATE) FROM files WHERE category = 'Camera' AND event_id IS NULL AND CAST(captured_at AS DATE) NOT IN (SELECT CAST(ts AS DATE) FROM events WHERE user_id % 5 = 0)),
+hv AS (SELECT d FROM dy WHERE d IS NOT NULL GROUP BY d HAVING count(*) > {HEAVY})
 SELECT count(*) AS files, count(*) FILTER (kind = 'photo') AS photos, count(*) FILTER (kind = 'video') AS videos, 0::BIGINT AS audio, count(*) FILTER (bucket = 'unique') AS new_unique, count(*) FILTER (bucket = 'near') AS near_dup, count(*) FILTER (bucket = 'exact') AS exact_dup, count(*) FILTER (bucket = 'unreadable') AS unreadable,
  count(*) FILTER (goes AND cap IS NULL) AS undated, count(*) FILTER (goes AND cap IS NOT NULL) AS will_organize, coalesce(sum(size) FILTER (bucket = 'exact'), 0)::BIGINT AS reclaimable_bytes, coalesce(sum(size) FILTER (bucket = 'near'), 0)::BIGINT AS near_bytes, coalesce(sum(size) FILTER (goes), 0)::BIGINT AS need_bytes,
  count(*) FILTER (goes AND src = 'rejected_sentinel') AS sentinel_rejected, count(*) FILTER (goes AND src = 'rejected_future') AS future_rejected,
- count(*) FILTER (goes AND src IN ('exif', 'takeout', 'inferred_local') AND cap IN (TIMESTAMP '2000-01-01', TIMESTAMP '1999-12-31', TIMESTAMP '1980-01-01')) AS suspect_default, count(*) FILTER (goes AND src = 'inferred_local') AS shifted, count(*) FILTER (goes AND src = 'filename') AS needs_review,
+ count(*) FILTER (goes AND src IN ('exif', 'takeout', 'inferred_local') AND cap IN (TIMESTAMP '2000-01-01', TIMESTAMP '1999-12-31', TIMESTAMP '1980-01-01')) AS suspect_default, count(*) FILTER (goes AND src = 'inferred_local') AS shifted, count(*) FILTER (goes AND src = 'filename') AS needs_review, count(*) FILTER (goes AND rule IN ('device', 'camera_filename') AND CAST(cap AS DATE) IN (SELECT d FROM hv)) AS on_heavy_days,
  min(cap) FILTER (goes) AS earliest, max(cap) FILTER (goes) AS latest, (SELECT string_agg(label || ':' || CAST(n AS STRING), ';' ORDER BY n DESC, label) FROM lb) AS folders FROM p""")(lambda t: _preview(t))
 query("a14_inferred_shifts", f"WITH {DATED}, {EMBED}, {RESOLVED} SELECT id, CASE WHEN zone IS NOT NULL THEN 'TimeZone' ELSE 'filename:VID_' END AS evidence, 120 AS minutes FROM z WHERE src = 'inferred_local'")(
     lambda t: pipelines.inferred_local_shifts(dates.with_capture_datetime(t.media, _now(), taken="taken_at", out="r").select("id", "r.source", "r.tag")))

@@ -9,16 +9,20 @@ from pyspark.sql import functions as F
 
 from lumibase.functions import dates, origin, paths
 from lumibase.operators import catalog, decisions, duplicates, sidecars, timeline
+from lumibase.operators.stages import written
+
+
+def _quality(value: Column, source: Column) -> list[Column]:
+    return [
+        F.count_if(source == "rejected_sentinel").alias("sentinel_rejected"), F.count_if(source == "rejected_future").alias("future_rejected"),
+        F.count_if(dates.is_suspect_default(value, source)).alias("suspect"),
+    ]
 
 
 def date_quality(resolved: DataFrame) -> DataFrame:
     """One row: files whose only date was a sentinel or in the future, and those at a reset clock's default. ``r``
     is what ``with_capture_datetime`` gives."""
-    source = F.col("r.source")
-    return resolved.agg(
-        F.count("*").alias("files"), F.count_if(source == "rejected_sentinel").alias("sentinel_rejected"), F.count_if(source == "rejected_future").alias("future_rejected"),
-        F.count_if(dates.is_suspect_default(F.col("r.value"), source)).alias("suspect"),
-    )
+    return resolved.agg(F.count("*").alias("files"), *_quality(F.col("r.value"), F.col("r.source")))
 
 
 def _kinds(name: Column) -> list[Column]:
@@ -27,7 +31,8 @@ def _kinds(name: Column) -> list[Column]:
 
 
 def organize_preview(planned: DataFrame, resolved: DataFrame, *, skip_undated: bool = False) -> DataFrame:
-    """One row of all that a preview reports. ``planned`` is K2 with path and size, ``resolved`` is K1."""
+    """One row of all that a preview reports. ``planned`` is K2 with path, size and placement, ``resolved`` is
+    K1. The rows are summed up by label, and the labels' few rows give the totals and the tally."""
     rows = planned.join(resolved.select("path", "sha256", "kind"), "path")
     bucket = F.when(F.col("sha256").isNull(), "unreadable").otherwise(F.col("kind"))
     rows = rows.withColumn("bucket", bucket)
@@ -35,24 +40,38 @@ def organize_preview(planned: DataFrame, resolved: DataFrame, *, skip_undated: b
     dated = F.col("captured_at").isNotNull()
     is_ = lambda name: F.col("bucket") == name
     total = lambda when: F.coalesce(F.sum(F.when(when, F.col("size"))), F.lit(0))
-    summary = rows.agg(
+    counted = [
         F.count("*").alias("files"), *_kinds(F.col("name")),
         F.count_if(is_("unique")).alias("new_unique"), F.count_if(is_("near")).alias("near_dup"), F.count_if(is_("exact")).alias("exact_dup"), F.count_if(is_("unreadable")).alias("unreadable"),
         F.count_if(goes & ~dated).alias("undated"), F.count_if(goes & (dated if skip_undated else F.lit(True))).alias("will_organize"),
         total(is_("exact")).alias("reclaimable_bytes"), total(is_("near")).alias("near_bytes"), total(goes).alias("need_bytes"),
         F.count_if(goes & (F.col("source") == "rejected_sentinel")).alias("sentinel_rejected"), F.count_if(goes & (F.col("source") == "rejected_future")).alias("future_rejected"),
         F.count_if(goes & dates.is_suspect_default(F.col("captured_at"), F.col("source"))).alias("suspect_default"), F.count_if(goes & (F.col("source") == "inferred_local")).alias("shifted"),
-        F.count_if(goes & F.col("needs_review")).alias("needs_review"), F.min(F.when(goes, F.col("captured_at"))).alias("earliest"), F.max(F.when(goes, F.col("captured_at"))).alias("latest"),
-    )
+        F.count_if(goes & F.col("needs_review")).alias("needs_review"), F.count_if(goes & (F.col("placement") == "day_bucket")).alias("on_heavy_days"),
+    ]
+    names = ["files", "photos", "videos", "audio", "new_unique", "near_dup", "exact_dup", "unreadable", "undated", "will_organize", "reclaimable_bytes", "near_bytes", "need_bytes", "sentinel_rejected", "future_rejected", "suspect_default", "shifted", "needs_review", "on_heavy_days"]
+    when = F.when(goes, F.col("captured_at"))
+    labels = rows.groupBy("label").agg(*counted, F.count_if(goes).alias("n"), F.min(when).alias("earliest"), F.max(when).alias("latest"))
     # labels come from a few rules and applications, so the tally is short
-    labels = rows.where(goes).groupBy("label").agg(F.count("*").alias("n"))
-    tally = labels.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "label"))), lambda x: F.concat(x["label"], F.lit(":"), (-x["n"]).cast("string"))), ";").alias("folders"))
-    return summary.join(F.broadcast(tally), F.lit(True))  # one row each
-
-
-def preview(catalog_rows: DataFrame, batch: DataFrame, now: Column, *, taken: str | None = None, threshold: int = 5, skip_undated: bool = False) -> DataFrame:
-    """K4: a batch (id, path, name, tags, size, sha256, perceptual) planned, resolved against the catalog and summed up."""
-    planned = plan(batch, now, taken=taken, keep=("path", "name", "size"))
+    tally = F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.struct((-F.col("n")).alias("n"), "label"))))
+    folders = F.array_join(F.transform(tally, lambda x: F.concat(x["label"], F.lit(":"), (-x["n"]).cast("string"))), ";").alias("folders")
+    return labels.agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names), F.min("earliest").alias("earliest"), F.max("latest").alias("latest"), folders)
+
+
+def preview(
+    catalog_rows: DataFrame, batch: DataFrame, now: Column, *, taken: str | None = None, threshold: int = 5, skip_undated: bool = False, unevented: DataFrame | None = None, day_threshold: int = 40
+) -> DataFrame:
+    """K4: a batch (id, path, name, tags, size, sha256, perceptual) planned, resolved against the catalog and summed up.
+
+    Timeline files of days that hold more than so many get a folder for the day (A17); ``unevented`` are the times
+    (captured_at) of the catalog's files that count besides the batch's own. Dates and labels are found once, and the
+    days counted from what is written of them."""
+    dated = written(dated_rows(batch, now, taken=taken, keep=("path", "size")), "dated")
+    own = dated.where(origin.is_timeline(F.col("rule"))).select("captured_at")
+    times = own if unevented is None else own.unionByName(unevented.select("captured_at"))
+    counts = times.where("captured_at IS NOT NULL").groupBy(F.to_date("captured_at").alias("heavy_day")).agg(F.count("*").alias("files"))
+    heavy = timeline.heavy_days(counts, day_threshold).select("heavy_day")
+    planned = placed(dated.join(heavy, F.to_date("captured_at") == F.col("heavy_day"), "left"), F.col("heavy_day").isNotNull())
     return organize_preview(planned, duplicates.resolve(catalog_rows, batch, threshold), skip_undated=skip_undated)
 
 
@@ -104,25 +123,32 @@ def analyze(batch: DataFrame, now: Column, *, taken: str | None = None) -> DataF
     """K3: one row on a batch (name, tags, size, sha256): census, what duplicates cost to find, dates and exact
     duplicates; looks are not compared."""
     dated = dates.with_capture_datetime(batch, now, taken=taken, out="r")
-    census = dated.agg(*_kinds(F.col("name")), F.count_if(F.col("r.value").isNull()).alias("undated"), F.min("r.value").alias("earliest"), F.max("r.value").alias("latest"))
-    quality = date_quality(dated).drop("files")
+    value, source = F.col("r.value"), F.col("r.source")
+    facts = dated.agg(*_kinds(F.col("name")), F.count_if(value.isNull()).alias("undated"), F.min(value).alias("earliest"), F.max(value).alias("latest"), *_quality(value, source))
     exact = batch.where("sha256 IS NOT NULL").groupBy("sha256").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("exact_files"))
-    return reduce(lambda a, b: a.join(F.broadcast(b), F.lit(True)), [duplicates.forecast(batch, F.col("name")), census, quality, exact])  # one row each
+    return reduce(lambda a, b: a.join(F.broadcast(b), F.lit(True)), [duplicates.forecast(batch, F.col("name")), facts, exact])  # one row each
 
 
-def plan(media: DataFrame, now: Column, *, taken: str | None = None, heavy: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """K2: per file its label, capture date and source, dated name and folder, and further columns to keep."""
+def dated_rows(media: DataFrame, now: Column, *, taken: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """K2, first half: per file its label, rule, capture date, source and tag, and further columns to keep."""
     dated = dates.with_capture_datetime(media, now, taken=taken, out="_r").withColumn("_m", origin.classify(F.col("name"), F.col("tags")))
-    at = F.col("_r.value")
-    place = paths.classify_placement(F.col("_m.rule"), F.lit(None), F.lit(None), F.lit(False) if heavy is None else heavy)
-    nothing = F.lit(None).cast("string")
-    dated = dated.withColumns({"_place": place, "_label": paths.sanitize_value(F.col("_m.label"))})  # sanitized once, for all layouts
-    folder = paths.DEFAULT_PRESET.folder(F.col("_place"), at, F.col("_label"), nothing, nothing, composed=True)
-    time_known = F.col("_r.source") != "filename"
-    return dated.select(
-        "id", *keep, F.col("_m.label").alias("label"), at.alias("captured_at"), F.col("_r.source").alias("source"), F.col("_r.tag").alias("tag"),
-        paths.dated_filename(F.col("name"), at, time_known).alias("new_name"), folder.alias("folder"), origin.needs_review(F.col("_r.source")).alias("needs_review"),
-    )
+    kept = [c for c in keep if c not in ("id", "name")]
+    return dated.select("id", "name", *kept, F.col("_m.label").alias("label"), F.col("_m.rule").alias("rule"), F.col("_r.value").alias("captured_at"), F.col("_r.source").alias("source"), F.col("_r.tag").alias("tag"))
+
+
+def placed(dated: DataFrame, heavy: Column | None = None) -> DataFrame:
+    """K2, second half: adds placement, new_name, folder and needs_review."""
+    at, nothing = F.col("captured_at"), F.lit(None).cast("string")
+    place = paths.classify_placement(F.col("rule"), nothing, nothing, F.lit(False) if heavy is None else heavy)
+    rows = dated.withColumns({"placement": place, "_label": paths.sanitize_value(F.col("label"))})  # sanitized once, for all layouts
+    folder = paths.DEFAULT_PRESET.folder(F.col("placement"), at, F.col("_label"), nothing, nothing, composed=True)
+    made = {"new_name": paths.dated_filename(F.col("name"), at, F.col("source") != "filename"), "folder": folder, "needs_review": origin.needs_review(F.col("source"))}
+    return rows.withColumns(made).drop("_label", "rule")
+
+
+def plan(media: DataFrame, now: Column, *, taken: str | None = None, heavy: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """K2: per file its label, capture date and source, placement, dated name and folder, and further columns to keep."""
+    return placed(dated_rows(media, now, taken=taken, keep=keep), heavy)
 
 
 def inferred_local_shifts(planned: DataFrame) -> DataFrame:

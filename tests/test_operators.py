@@ -30,7 +30,7 @@ def brute(rows, threshold):
     return out
 
 
-@pytest.mark.parametrize("threshold", [0, 1, 5, 8])
+@pytest.mark.parametrize("threshold", [0, 1, 5, 8, 9, 12, 15])
 def test_resolve_equals_the_loop(spark, threshold):
     rng = random.Random(threshold)
     base = [rng.getrandbits(64) for _ in range(12)]
@@ -291,6 +291,30 @@ def test_links_by_any_number_of_pieces_equal_brute_force(spark, agree):
     assert duplicates.cheapest_agree(5, 10**3) < duplicates.cheapest_agree(5, 10**9)
 
 
+@pytest.mark.parametrize("threshold", [9, 12, 15])
+def test_wide_links_equal_brute_force(spark, threshold):
+    """Signatures at all distances around the radius; all ways to cut give the same pairs, none of them twice."""
+    rng = random.Random(threshold)
+    sigs = {0, -1}
+    for _ in range(12):
+        s = rng.getrandbits(64)
+        for _ in range(14):
+            t = s
+            for bit in rng.sample(range(64), rng.randint(0, threshold + 2)):
+                t ^= 1 << bit
+            sigs.add(t - (1 << 64) if t >> 63 else t)
+    df = spark.createDataFrame([(s,) for s in sigs], "perceptual bigint")
+    near = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count()
+    want = {(a, b): near(a, b) for a in sigs for b in sigs if a != b and near(a, b) <= threshold}
+    rows = duplicates.signature_links(df, threshold).collect()
+    assert {(r.a, r.b): r.distance for r in rows} == want and len(rows) == len(want)
+    for count in (4, 5, 6):
+        pairs = [(r.a, r.b) for r in duplicates.flipped_pairs(df, threshold, count).collect()]
+        assert len(pairs) == len(set(pairs)) and set(want) <= set(pairs) and len(pairs) < len(sigs) ** 2 / 2
+    with pytest.raises(ValueError):
+        duplicates.signature_links(df, 16)
+
+
 def test_the_date_ladder_is_a_small_plan(spark):
     from lumibase.plans.bindings import Tables
     from lumibase.functions import dates
