@@ -145,7 +145,8 @@ def flipped_pairs(signatures: DataFrame, threshold: int, count: int | None = Non
 def near_matches(rows: DataFrame, threshold: int = 5) -> DataFrame:
     """For rows that are no exact duplicates (kind null), the nearest earlier row of these: near_seq, near_path and
     distance. Signatures are compared once each, however many rows have them; of the rows with a signature the first
-    one is the earliest for all. The different signatures are written, as their search reads them several times."""
+    one is the earliest for all. The rows are read several times, so they should be a written table, and so are the
+    different signatures."""
     own = rows.where("kind IS NULL AND perceptual IS NOT NULL").select("seq", "path", "perceptual")
     first = written(own.groupBy("perceptual").agg(F.min(F.struct("seq", "path")).alias("first")), "signatures")
     links = signature_links(first, threshold).join(first.select(F.col("perceptual").alias("b"), "first"), "b")
@@ -180,7 +181,7 @@ def resolve(catalog: DataFrame, batch: DataFrame, threshold: int = 5, *, percept
     rows = order(catalog, 0).union(order(batch, 1)).withColumn("seq", F.struct("part", "path"))
     found = exact_matches(rows)
     if perceptual:
-        found = near_matches(found, threshold)
+        found = near_matches(written(found, "exact"), threshold)
     else:
         found = found.withColumns({"near_seq": F.lit(None).cast(found.schema["seq"].dataType), "near_path": F.lit(None).cast("string"), "distance": F.lit(None).cast("int")})
     matched = F.coalesce("match_seq", "near_seq")

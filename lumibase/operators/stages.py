@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,3 +35,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ordered_blocks(df: DataFrame, order: list[Column | str], label: str, blocks: int | None = None) -> DataFrame:
+    """The table in an order, cut into blocks of about equally many rows by a range shuffle, with _block and _row (a number
+    that rises by one within a block and further from block to block). A key that very many rows have lies in many
+    blocks, as long as the order goes on below it. Without a number of blocks Spark's for a shuffle is taken."""
+    dealt = df.repartitionByRange(blocks, *order) if blocks else df.repartitionByRange(*order)
+    return written(dealt.sortWithinPartitions(*order).withColumns({"_block": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}), label)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lumibase.functions import origin, paths
 from lumibase.functions.measures import haversine_km
-from lumibase.operators.stages import written
+from lumibase.operators.stages import ordered_blocks
 
 
 @dataclass(frozen=True)
@@ -58,10 +58,8 @@ def in_blocks(items: DataFrame, blocks: int | None = None) -> DataFrame:
     number that rises by one within a block). Blocks have about equally many rows, also if all rows are of one library,
     day or moment; the number is Spark's for a shuffle if it isn't given. The table is written, so that the numbers
     stay what they are."""
-    order = [F.col(ORDER[0]).asc_nulls_first(), *ORDER[1:]]
     dated = items.where("captured_at IS NOT NULL").withColumn("_t", F.unix_micros(F.col("captured_at").cast("timestamp")) / 1e6)
-    dealt = dated.repartitionByRange(blocks, *order) if blocks else dated.repartitionByRange(*order)
-    return written(dealt.sortWithinPartitions(*order).withColumns({"_block": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}), "timeline")
+    return ordered_blocks(dated, [F.col(ORDER[0]).asc_nulls_first(), *ORDER[1:]], "timeline", blocks)
 
 
 def boundaries(rows: DataFrame, by: Clustering = Clustering()) -> DataFrame:
@@ -282,17 +280,41 @@ def stills_corroborate(videos: DataFrame, stills: DataFrame, minutes: int = 2) -
     return joined.select(*videos.columns, F.when(F.col("some"), F.coalesce("near", F.lit(False))).alias("corroborated"))
 
 
-def stride_sample(rows: DataFrame, group: str, order: str, n: int) -> DataFrame:
-    """N evenly spaced rows of each group (all of a smaller one)."""
-    numbered = rows.withColumns({"i": F.row_number().over(W.partitionBy(group).orderBy(order)) - 1, "total": F.count("*").over(W.partitionBy(group))})
-    step = lambda i: F.floor(i * n / F.col("total"))
-    first_of_step = (F.col("i") == 0) | (step(F.col("i")) != step(F.col("i") - 1))
-    return numbered.where((F.col("total") <= n) | first_of_step).drop("i", "total")
-
-
-def suffix_max(rows: DataFrame, group: str, order: str, size: str) -> DataFrame:
-    """The largest size at or after each position."""
-    return rows.withColumn("largest_left", F.max(size).over(W.partitionBy(group).orderBy(order).rowsBetween(0, W.unboundedFollowing)))
+def _scanned(rows: DataFrame, group: str, order: str, label: str, blocks: int | None) -> DataFrame:
+    """Rows in blocks by group and order; null groups are one group. Ties are in the order of the whole row."""
+    ties = [F.hash(*rows.columns)]
+    return ordered_blocks(rows, [F.col(group).asc_nulls_first(), F.col(order).asc_nulls_first(), *ties], label, blocks)
+
+
+def _joined_blocks(placed: DataFrame, table: DataFrame, group: str) -> DataFrame:
+    """Rows with the columns of a table that has one row for each block of a group."""
+    own = table.withColumnRenamed(group, "_g").withColumnRenamed("_block", "_b")
+    return placed.join(own, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_block") == F.col("_b"))).drop("_g", "_b")
+
+
+def stride_sample(rows: DataFrame, group: str, order: str, n: int, blocks: int | None = None) -> DataFrame:
+    """N evenly spaced rows of each group (all of a smaller one). Rows are numbered within blocks of a group, and a
+    table with one row for each of these gives the rest, so a group of any size is many tasks."""
+    placed = _scanned(rows, group, order, "stride", blocks)
+    counts = placed.groupBy(group, "_block").agg(F.count("*").alias("_rows"), F.min("_row").alias("_least"))
+    own = W.partitionBy(group)
+    before = F.coalesce(F.sum("_rows").over(own.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    table = counts.select(group, "_block", "_least", before.alias("_before"), F.sum("_rows").over(own).alias("_total"))
+    numbered = _joined_blocks(placed, table, group).withColumn("_i", F.col("_before") + F.col("_row") - F.col("_least"))
+    step = lambda i: F.floor(i * n / F.col("_total"))
+    first_of_step = (F.col("_i") == 0) | (step(F.col("_i")) != step(F.col("_i") - 1))
+    return numbered.where((F.col("_total") <= n) | first_of_step).select(*rows.columns)
+
+
+def suffix_max(rows: DataFrame, group: str, order: str, size: str, blocks: int | None = None) -> DataFrame:
+    """The largest size at or after each position: the largest of the later blocks of a group comes from a table with
+    one row for each block, and that of the block's later rows from a scan of the block."""
+    placed = _scanned(rows, group, order, "suffix", blocks)
+    largest = placed.groupBy(group, "_block").agg(F.max(size).alias("_max"))
+    later = F.max("_max").over(W.partitionBy(group).orderBy("_block").rowsBetween(1, W.unboundedFollowing))
+    both = _joined_blocks(placed, largest.select(group, "_block", later.alias("_later")), group)
+    own = F.max(size).over(W.partitionBy(group, "_block").orderBy(F.desc("_row")).rowsBetween(W.unboundedPreceding, 0))
+    return both.select(*rows.columns, F.greatest(own, "_later").alias("largest_left"))
 
 
 def record_trips(days: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:

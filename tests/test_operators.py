@@ -265,6 +265,29 @@ def test_one_moment_is_many_blocks(spark):
     assert sorted(r.files for r in timeline.cluster_events(df).collect()) == [20, 3000]
 
 
+@pytest.mark.parametrize("blocks", [None, 9])
+def test_scans_of_one_group_are_many_blocks(spark, blocks):
+    """A group of most rows, small groups, a null group and null sizes, against one window for a group."""
+    rng = random.Random(6)
+    rows = [(rng.choice(["big"] * 8 + ["b", "c", None]), n, rng.choice([None, *range(50)])) for n in range(1500)] + [("one", 0, None), ("two", 1, 4), ("two", 2, None)]
+    df = spark.createDataFrame(rows, "g string, at int, size int").repartition(4)
+    groups = {g: sorted(r for r in rows if r[0] == g) for g in {r[0] for r in rows}}
+    want = []
+    for own in groups.values():
+        for n, r in enumerate(own):
+            left = [x[2] for x in own[n:] if x[2] is not None]
+            want.append((*r, max(left, default=None)))
+    got = timeline.suffix_max(df, "g", "at", "size", blocks)
+    key = lambda r: (str(r[0]), r[1])
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
+    sample = [tuple(r) for r in timeline.stride_sample(df, "g", "at", 40, blocks).collect()]
+    wanted = [r for own in groups.values() for n, r in enumerate(own) if len(own) <= 40 or n == 0 or n * 40 // len(own) != (n - 1) * 40 // len(own)]
+    assert sorted(sample, key=key) == sorted(wanted, key=key) and sum(r[0] == "big" for r in sample) == 40
+    if blocks:
+        placed = timeline._scanned(df.where("g = 'big'"), "g", "at", "x", blocks)
+        assert placed.select("_block").distinct().count() == blocks
+
+
 def test_numbered_equals_row_number(spark):
     rng = random.Random(4)
     rows = [(rng.choice([None, "a", "b"]), datetime(2020, 1, rng.randint(1, 9), rng.randint(0, 23)), n) for n in range(200)]
