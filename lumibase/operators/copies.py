@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,11 +14,11 @@ from lumibase.functions import origin, paths
 
 def rescan_reconcile(recorded: DataFrame, on_disk: DataFrame, identified: DataFrame) -> DataFrame:
     """Recorded (path, sha256), on_disk (path), identified (path, sha256 of files looked into). Disjoint buckets:
-    of the records placed, moved (with the places found) and unaccounted; of the other files claimed (where a moved
+    of the records placed, moved (a row for each place found) and unaccounted; of the other files claimed (where a moved
     record's content is), stray (any other that was looked into), debris (hidden) and unidentified."""
     disk = on_disk.select("path").distinct().withColumn("there", F.lit(True))
     both = recorded.join(disk, "path", "full_outer").join(identified.select("path", F.col("sha256").alias("seen")), "path", "left")
-    where = identified.groupBy("sha256").agg(F.array_join(F.array_sort(F.collect_set("path")), ";").alias("found"))
+    where = identified.where("sha256 IS NOT NULL").select("sha256", F.col("path").alias("found")).distinct()
     gone = both.where("sha256 IS NOT NULL AND there IS NULL").select("path", "sha256").join(where, "sha256", "left")
     lost = gone.select("path", "sha256", F.when(F.col("found").isNotNull(), "moved").otherwise("unaccounted").alias("bucket"), "found")
     placed = both.where("sha256 IS NOT NULL AND there").select("path", "sha256", F.lit("placed").alias("bucket"), F.lit(None).cast("string").alias("found"))
@@ -27,10 +30,11 @@ def rescan_reconcile(recorded: DataFrame, on_disk: DataFrame, identified: DataFr
 
 
 def rescan_report(buckets: DataFrame, unreadable: DataFrame) -> DataFrame:
-    """How many rows each bucket has; complete if nothing was unreadable, and reconciled if besides nothing has
-    moved, strayed or gone."""
+    """How many files each bucket has, a moved record once; complete if nothing was unreadable, and reconciled if
+    besides nothing has moved, strayed or gone."""
     names = ("placed", "moved", "unaccounted", "claimed", "stray", "debris", "unidentified")
-    counts = buckets.agg(*(F.count_if(F.col("bucket") == n).alias(n) for n in names))
+    once = buckets.groupBy("path", "bucket").agg(F.lit(1).alias("one"))
+    counts = once.agg(*(F.count_if(F.col("bucket") == n).alias(n) for n in names))
     judged = counts.join(F.broadcast(unreadable.agg(F.count("*").alias("unreadable"))), F.lit(True))
     complete = F.col("unreadable") == 0
     return judged.withColumns({"complete": complete, "reconciled": complete & (F.col("moved") + F.col("stray") + F.col("unaccounted") == 0)})
@@ -138,21 +142,44 @@ def repoint_plan(recorded: DataFrame, listing: DataFrame, old_root: str, new_roo
     return planned.join(listing.select(F.col("path").alias("new"), F.lit(True).alias("there")).distinct(), "new", "left").withColumn("there", F.coalesce("there", F.lit(False)))
 
 
-def adoption_verdict(copies: DataFrame, listing: DataFrame, digests: DataFrame, *, sample: int = 40, least_share: float = 0.5) -> DataFrame:
-    """Which recorded drive an unlabelled tree is. Of an even sample of each drive's copies, the share that the
-    listing has, and whether the digests of three of them agree (digests: path, digest)."""
-    from lumibase.operators.timeline import stride_sample
+def multiset_digest(path: Column, digest: Column) -> Column:
+    """An aggregate that is equal for equal multisets of (path, digest) in whatever order: how many there are, and the sums
+    of two independent hashes of each."""
+    hashed = lambda seed: F.sum(F.xxhash64(F.lit(seed), path, digest).cast("decimal(38,0)"))
+    return F.struct(F.count("*").alias("n"), hashed(1).alias("a"), hashed(2).alias("b"))
+
+
+def adoption_verdict(copies: DataFrame, listing: DataFrame, digests: DataFrame, *, sample: int = 40, least_share: float = 0.5, probes: int = 3) -> DataFrame:
+    """Which recorded drive an unlabelled tree is. Of an even sample of each drive's copies, how many the listing
+    (path, and refused if it couldn't be described) has; of an even few of these whether the digests (path, digest) are the
+    recorded ones, which of a baked copy is its own. All must agree. ``exact`` says whether all of the tree's digests are
+    the drive's, no more and no less: one aggregate of each side, whatever their order."""
+    from lumibase.operators.timeline import in_stride, stride_sample
 
-    own = stride_sample(copies.where("copy_sha256 IS NOT NULL").select("drive_uuid", "relative", "copy_sha256"), "drive_uuid", "relative", sample)
-    there = listing.select(F.col("path").alias("relative"), F.lit(True).alias("there")).distinct()
+    recorded = copies.select("drive_uuid", "relative", F.coalesce("copy_sha256", "sha256").alias("recorded"))
+    own = stride_sample(recorded, "drive_uuid", "relative", sample)
+    no = F.col("refused") if "refused" in listing.columns else F.lit(False)
+    there = listing.groupBy(F.col("path").alias("relative")).agg(F.min(F.coalesce(no, F.lit(False))).alias("no"))
     seen = own.join(there, "relative", "left").join(digests.select(F.col("path").alias("relative"), "digest"), "relative", "left")
-    n = F.row_number().over(W.partitionBy("drive_uuid").orderBy(F.col("there").desc_nulls_last(), "relative"))
-    probe = (F.col("n") <= 3) & F.col("there")
-    judged = seen.withColumn("n", n).groupBy("drive_uuid").agg(
-        F.count("*").alias("sampled"), F.count("there").alias("present"), F.count_if(probe).alias("probed"), F.count_if(probe & (F.col("digest") == F.col("copy_sha256"))).alias("agreed")
-    )
-    ok = (F.col("present") >= least_share * F.col("sampled")) & (F.col("probed") > 0) & (F.col("agreed") == F.col("probed"))
-    return judged.withColumn("adopt", ok)
+    here = F.coalesce(~F.col("no"), F.lit(False))
+    drive = W.partitionBy("drive_uuid")  # at most the sample's rows
+    placed = seen.withColumn("here", here).withColumns({"_present": F.count_if("here").over(drive), "_i": F.row_number().over(drive.orderBy(F.desc("here"), "relative")) - 1})
+    probe = F.col("here") & F.coalesce(in_stride("_i", "_present", probes), F.lit(False))
+    judged = placed.withColumn("probe", probe).groupBy("drive_uuid").agg(
+        F.count("*").alias("sampled"), F.count_if("here").alias("present"), F.count_if("no").alias("refused"),
+        F.count_if("probe").alias("probed"), F.count_if(F.col("probe") & (F.col("digest") == F.col("recorded"))).alias("agreed"),
+    )
+    needed = least_share * F.col("sampled")
+    few = F.col("present") < needed
+    verdict = (
+        F.when(few & (F.col("present") + F.col("refused") >= needed), "unreadable").when(few, "no_match")
+        .when((F.col("agreed") > 0) & (F.col("agreed") == F.col("probed")), "proven").otherwise("content_differs")
+    )
+    judged = judged.withColumns({"verdict": verdict, "probed": F.when(few, F.lit(0)).otherwise(F.col("probed")), "agreed": F.when(few, F.lit(0)).otherwise(F.col("agreed"))})
+    drives = recorded.groupBy("drive_uuid").agg(multiset_digest(F.col("relative"), F.col("recorded")).alias("all"))
+    tree = digests.agg(multiset_digest(F.col("path"), F.col("digest")).alias("tree"))  # one row
+    exact = drives.join(F.broadcast(tree), F.lit(True)).select("drive_uuid", F.col("all").eqNullSafe(F.col("tree")).alias("exact"))
+    return judged.join(exact, "drive_uuid")
 
 
 def attach_copies(on_drive: DataFrame, copies: DataFrame, hashes: DataFrame, drive: str) -> DataFrame:
@@ -192,12 +219,27 @@ def rederive(files: DataFrame, metadata: DataFrame) -> DataFrame:
     return found.select("sha256", "category", F.col("m.label").alias("label"), F.col("m.rule").alias("rule"))
 
 
-def cache_reuse(listing: DataFrame, cache: DataFrame, *, want_perceptual: bool = False) -> DataFrame:
-    """Whether a cached digest still holds: path, size and time are the same and it has what is asked."""
-    known = cache.select("path", "size", "mtime", F.col("sha256").alias("cached"), "perceptual_computed")
+def tag_fingerprint(tags: Iterable[str]) -> str:
+    """One name for a set of requested tags, whatever their order."""
+    return hashlib.sha256("\n".join(sorted(set(tags))).encode()).hexdigest()
+
+
+def cache_reuse(listing: DataFrame, cache: DataFrame, *, want_sha: bool = True, want_perceptual: bool = False, tags: Iterable[str] | None = None) -> DataFrame:
+    """Whether what was kept of a file still answers: path, size and time are the same, and it has what is asked: the
+    digest, a look that was computed, the tags (tags_fp is the fingerprint of those that were read, and a wider or other
+    set has to be read again). What isn't reused is to be read."""
+    asked = F.lit(True)
+    if want_sha:
+        asked = asked & F.col("cached").isNotNull()
+    if want_perceptual:
+        asked = asked & F.col("perceptual_computed")
+    if tags is not None:
+        asked = asked & (F.col("tags_fp") == tag_fingerprint(tags)) & F.col("tags").isNotNull()
+    columns = ["perceptual_computed", "tags_fp", "tags"]
+    known = cache.select("path", "size", "mtime", F.col("sha256").alias("cached"), *(c for c in columns if c in cache.columns), F.lit(True).alias("known"))
     joined = listing.join(known, ["path", "size", "mtime"], "left")
-    fits = F.col("cached").isNotNull() & (F.col("perceptual_computed") if want_perceptual else F.lit(True))
-    return joined.select(*listing.columns, F.coalesce(fits, F.lit(False)).alias("reused"), F.when(fits, F.col("cached")).alias("sha256"))
+    fits = F.coalesce(F.col("known") & asked, F.lit(False))
+    return joined.select(*listing.columns, fits.alias("reused"), F.when(fits, F.col("cached")).alias("sha256"))
 
 
 def left_behind(listing: DataFrame, placed: DataFrame, top: int = 5) -> DataFrame:

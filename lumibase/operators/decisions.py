@@ -8,30 +8,65 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 # Setting prefixes that belong to one machine and aren't written to a document.
 MACHINE_LOCAL = ("path_hint.", "decisions.", "catalog.")
 
 
+def _ranked(keys: str) -> WindowSpec:
+    """Newest document first, those without a time last, ties to the smaller drive; within a document by value."""
+    return W.partitionBy(keys).orderBy(F.col("written").desc_nulls_last(), "drive_uuid", "value")
+
+
 def merge_section(rows: DataFrame) -> DataFrame:
-    """The newest document wins each key (ties to the smaller drive); how many others said something different."""
-    rank = F.row_number().over(W.partitionBy("key").orderBy(F.col("written").desc_nulls_last(), "drive_uuid"))
-    ranked = rows.withColumn("rank", rank).withColumn("won", F.first("value").over(W.partitionBy("key").orderBy("rank").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    """The newest document wins each key (ties to the smaller drive, documents without a time last); how many others
+    said something different."""
+    ranked = _with_winner(rows)
     return ranked.groupBy("key").agg(
         F.max_by("value", -F.col("rank")).alias("value"),
         F.min_by("drive_uuid", "rank").alias("drive_uuid"),
-        F.count_if(~F.col("value").eqNullSafe(F.col("won"))).alias("overruled"),
+        F.count_if("lost").alias("overruled"),
     )
 
 
+def _with_winner(rows: DataFrame) -> DataFrame:
+    order = _ranked("key")
+    won = F.first("value").over(order.rowsBetween(W.unboundedPreceding, 0))
+    return rows.withColumns({"rank": F.row_number().over(order), "lost": ~F.col("value").eqNullSafe(won)})
+
+
+def superseded(rows: DataFrame) -> DataFrame:
+    """How many decisions of each document another document overrules with something different."""
+    return _with_winner(rows).where("lost").groupBy("drive_uuid").agg(F.count("*").alias("overruled"))
+
+
 def merge_confirmations(rows: DataFrame) -> DataFrame:
     """Confirmations (drive_uuid, written, sha256, captured_at, confirmed_at): the newest row wins, ties by document
     as in W4: the newest, then that of the smaller drive."""
-    order = W.partitionBy("sha256").orderBy(F.col("confirmed_at").desc_nulls_last(), F.col("written").desc_nulls_last(), "drive_uuid")
+    order = W.partitionBy("sha256").orderBy(F.col("confirmed_at").desc_nulls_last(), F.col("written").desc_nulls_last(), "drive_uuid", "captured_at")
     return rows.withColumn("rank", F.row_number().over(order)).where("rank = 1").select("sha256", "captured_at", "confirmed_at")
 
 
+def superseded_confirmations(rows: DataFrame) -> DataFrame:
+    """How many confirmed dates of each document are overruled. Documents are read from the newest on; a row that is
+    later confirmed than the best so far takes its place, and the other one of the two is overruled if they differ."""
+    order = W.partitionBy("sha256").orderBy(F.col("written").desc_nulls_last(), "drive_uuid", "captured_at", "confirmed_at")
+    ranked = rows.withColumn("rank", F.row_number().over(order))
+    row = F.struct(F.col("confirmed_at"), (-F.col("rank")).alias("rank"), "captured_at", "drive_uuid")
+    best = ranked.withColumn("best", F.max(row).over(order.rowsBetween(W.unboundedPreceding, -1))).where("best IS NOT NULL")
+    later = F.coalesce(F.col("confirmed_at") > F.col("best.confirmed_at"), F.col("confirmed_at").isNotNull())
+    differs = ~(F.col("confirmed_at").eqNullSafe(F.col("best.confirmed_at")) & F.col("captured_at").eqNullSafe(F.col("best.captured_at")))
+    loser = F.when(later, F.col("best.drive_uuid")).otherwise(F.col("drive_uuid"))
+    return best.where(differs).groupBy(loser.alias("drive_uuid")).agg(F.count("*").alias("overruled"))
+
+
+def undated_documents(rows: DataFrame) -> DataFrame:
+    """Documents without a time: they supply what no other says, and never overrule."""
+    return rows.groupBy("drive_uuid").agg(F.count("written").alias("n")).where("n = 0").select("drive_uuid")
+
+
 def is_machine_local(key):
     """Whether a setting belongs to one machine."""
     return F.coalesce(key.rlike("^(" + "|".join(p.replace(".", r"\.") for p in MACHINE_LOCAL) + ")"), F.lit(False))
@@ -40,7 +75,7 @@ def is_machine_local(key):
 def merge_settings(rows: DataFrame) -> DataFrame:
     """The last writer of each setting that isn't of one machine; whether its document has a time."""
     shared = rows.where(~is_machine_local(F.col("key")))
-    rank = F.row_number().over(W.partitionBy("key").orderBy(F.col("written").desc_nulls_last(), "drive_uuid"))
+    rank = F.row_number().over(_ranked("key"))
     return shared.withColumn("rank", rank).where("rank = 1").select("key", "value", F.col("written").isNull().alias("undated"))
 
 

@@ -293,17 +293,22 @@ def _joined_blocks(placed: DataFrame, table: DataFrame, group: str) -> DataFrame
 
 
 def stride_sample(rows: DataFrame, group: str, order: str, n: int, blocks: int | None = None) -> DataFrame:
-    """N evenly spaced rows of each group (all of a smaller one). Rows are numbered within blocks of a group, and a
-    table with one row for each of these gives the rest, so a group of any size is many tasks."""
+    """N evenly spaced rows of each group (all of a smaller one): the rows floor(j * size / n) for j from 0 to n - 1.
+    Rows are numbered within blocks of a group, and a table with one row for each of these gives the rest, so a group of
+    any size is many tasks."""
     placed = _scanned(rows, group, order, "stride", blocks)
     counts = placed.groupBy(group, "_block").agg(F.count("*").alias("_rows"), F.min("_row").alias("_least"))
     own = W.partitionBy(group)
     before = F.coalesce(F.sum("_rows").over(own.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     table = counts.select(group, "_block", "_least", before.alias("_before"), F.sum("_rows").over(own).alias("_total"))
     numbered = _joined_blocks(placed, table, group).withColumn("_i", F.col("_before") + F.col("_row") - F.col("_least"))
-    step = lambda i: F.floor(i * n / F.col("_total"))
-    first_of_step = (F.col("_i") == 0) | (step(F.col("_i")) != step(F.col("_i") - 1))
-    return numbered.where((F.col("_total") <= n) | first_of_step).select(*rows.columns)
+    return numbered.where(in_stride("_i", "_total", n)).select(*rows.columns)
+
+
+def in_stride(i: str, total: str, n: int) -> Column:
+    """Whether a place (from 0) is among n evenly spaced ones of so many, in whole numbers."""
+    step = F.expr(f"({i} * {n} + {total} - 1) div greatest({total}, 1)")  # the first j with j * total / n >= i
+    return (F.col(total) <= n) | (F.call_function("div", step * F.col(total), F.lit(n)) == F.col(i))
 
 
 def suffix_max(rows: DataFrame, group: str, order: str, size: str, blocks: int | None = None) -> DataFrame:

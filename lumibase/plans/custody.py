@@ -220,11 +220,11 @@ SELECT c.sha256, c.drive_uuid, CASE WHEN o.relative IS NULL THEN 'missing' WHEN
 
 RESCAN = """rec AS (SELECT relative AS path, sha256 FROM copies WHERE drive_uuid = '5'), disk AS (SELECT CASE WHEN CAST(sha256 AS BIGINT) % 3 = 0 THEN 'moved/' || sha256 ELSE path END AS path, sha256 FROM rec WHERE CAST(sha256 AS BIGINT) % 7 <> 0
  UNION ALL SELECT 'extra/' || sha256, sha256 FROM rec WHERE CAST(sha256 AS BIGINT) % 13 = 0 UNION ALL SELECT 'x/.tmp' || sha256, NULL FROM rec WHERE CAST(sha256 AS BIGINT) % 10 = 0),
-gone AS (SELECT * FROM rec WHERE path NOT IN (SELECT path FROM disk)), fd AS (SELECT sha256, string_agg(path, ';' ORDER BY path) found FROM disk WHERE sha256 IS NOT NULL GROUP BY 1),
+gone AS (SELECT * FROM rec WHERE path NOT IN (SELECT path FROM disk)), fd AS (SELECT DISTINCT sha256, path AS found FROM disk WHERE sha256 IS NOT NULL),
 b AS (SELECT path, sha256, 'placed' AS bucket, NULL AS found FROM rec WHERE path IN (SELECT path FROM disk) UNION ALL SELECT gone.path, gone.sha256, CASE WHEN found IS NULL THEN 'unaccounted' ELSE 'moved' END, found FROM gone LEFT JOIN fd USING (sha256)
  UNION ALL SELECT path, sha256, CASE WHEN sha256 IN (SELECT sha256 FROM gone) THEN 'claimed' WHEN sha256 IS NOT NULL THEN 'stray' ELSE 'debris' END, NULL FROM disk WHERE path NOT IN (SELECT path FROM rec))"""
 query("j16_rescan_reconcile", f"WITH {RESCAN} SELECT * FROM b")(lambda t: _rescan(t))
-query("j16_rescan_report", f"""WITH {RESCAN}, r AS (SELECT count(*) FILTER (bucket = 'placed') AS placed, count(*) FILTER (bucket = 'moved') AS moved, count(*) FILTER (bucket = 'unaccounted') AS unaccounted, count(*) FILTER (bucket = 'claimed') AS claimed,
+query("j16_rescan_report", f"""WITH {RESCAN}, r AS (SELECT count(*) FILTER (bucket = 'placed') AS placed, count(DISTINCT path) FILTER (bucket = 'moved') AS moved, count(*) FILTER (bucket = 'unaccounted') AS unaccounted, count(*) FILTER (bucket = 'claimed') AS claimed,
  count(*) FILTER (bucket = 'stray') AS stray, count(*) FILTER (bucket = 'debris') AS debris, count(*) FILTER (bucket = 'unidentified') AS unidentified, (SELECT count(*) FROM rec WHERE CAST(sha256 AS BIGINT) % 1000 = 1) AS unreadable FROM b)
 SELECT *, unreadable = 0 AS complete, unreadable = 0 AND moved + stray + unaccounted = 0 AS reconciled FROM r""")(
     lambda t: on_drives.rescan_report(_rescan(t), t.copies.where("drive_uuid = '5' AND CAST(sha256 AS BIGINT) % 1000 = 1")))
@@ -269,21 +269,25 @@ def _undo(t):
     return on_drives.undo_plan(m.drop("size"), listing)
 
 
-query("j21_adoption_verdict", """WITH s AS (SELECT drive_uuid, relative, copy_sha256, row_number() OVER (PARTITION BY drive_uuid ORDER BY relative) - 1 i, count(*) OVER (PARTITION BY drive_uuid) n FROM copies WHERE copy_sha256 IS NOT NULL),
-k AS (SELECT * FROM s WHERE n <= 40 OR i = 0 OR floor(i * 40 / n) <> floor((i - 1) * 40 / n)),
-p AS (SELECT *, CASE WHEN CAST(copy_sha256 AS BIGINT) % 3 > 0 OR CAST(drive_uuid AS BIGINT) % 2 = 0 THEN true END there FROM k),
-r AS (SELECT *, row_number() OVER (PARTITION BY drive_uuid ORDER BY there DESC NULLS LAST, relative) q FROM p)
-SELECT drive_uuid, count(*) AS sampled, count(there) AS present, count(*) FILTER (q <= 3 AND there) AS probed, count(*) FILTER (q <= 3 AND there AND CAST(copy_sha256 AS BIGINT) % 10 > 0) AS agreed,
- count(there) >= 0.5 * count(*) AND count(*) FILTER (q <= 3 AND there) > 0 AND count(*) FILTER (q <= 3 AND there AND CAST(copy_sha256 AS BIGINT) % 10 > 0) = count(*) FILTER (q <= 3 AND there) AS adopt FROM r GROUP BY 1""")(lambda t: _adoption(t))
+query("j21_adoption_verdict", """WITH a AS (SELECT drive_uuid, drive_uuid || ':' || relative AS relative, coalesce(copy_sha256, sha256) AS recorded, CAST(sha256 AS BIGINT) AS x, CAST(drive_uuid AS BIGINT) AS d FROM copies),
+s AS (SELECT *, row_number() OVER (PARTITION BY drive_uuid ORDER BY relative) - 1 i, count(*) OVER (PARTITION BY drive_uuid) n FROM a),
+k AS (SELECT *, (x % 3 > 0 OR d % 4 = 0) AND x % 7 > 0 AS here, x % 7 = 0 AND d % 5 < 3 AS no FROM s WHERE n <= 40 OR (i * 40 + n - 1) // n * n // 40 = i),
+r AS (SELECT *, row_number() OVER (PARTITION BY drive_uuid ORDER BY here DESC, relative) - 1 q, count(*) FILTER (here) OVER (PARTITION BY drive_uuid) m FROM k),
+j AS (SELECT drive_uuid, count(*) AS sampled, count(*) FILTER (here) AS present, count(*) FILTER (no) AS refused, count(*) FILTER (here AND (m <= 3 OR (q * 3 + m - 1) // m * m // 3 = q)) AS probed, count(*) FILTER (here AND (m <= 3 OR (q * 3 + m - 1) // m * m // 3 = q) AND (d % 8 = 0 OR x % 9 > 0)) AS agreed FROM r GROUP BY 1)
+SELECT drive_uuid, sampled, present, refused, CASE WHEN present < 0.5 * sampled THEN 0 ELSE probed END AS probed, CASE WHEN present < 0.5 * sampled THEN 0 ELSE agreed END AS agreed,
+ CASE WHEN present < 0.5 * sampled AND present + refused >= 0.5 * sampled THEN 'unreadable' WHEN present < 0.5 * sampled THEN 'no_match' WHEN agreed > 0 AND agreed = probed THEN 'proven' ELSE 'content_differs' END AS verdict, false AS exact FROM j""")(lambda t: _adoption(t))
+# the tree of one drive: of all drives it is this one and no other
+query("j21_exact_verdict", "SELECT drive_uuid, drive_uuid = '8' AS exact FROM copies GROUP BY 1")(
+    lambda t: on_drives.adoption_verdict(t.copies, t.copies.where("drive_uuid = '8'").select(F.col("relative").alias("path")), t.copies.where("drive_uuid = '8'").select(F.col("relative").alias("path"), F.coalesce("copy_sha256", "sha256").alias("digest"))).select("drive_uuid", "exact"))
 
 
 def _adoption(t):
-    own = t.copies.where("copy_sha256 IS NOT NULL")
     # the tree is judged drive by drive; paths carry the drive so that drives don't answer for each other
-    own = own.withColumn("relative", F.concat("drive_uuid", F.lit(":"), "relative"))
-    n = F.col("copy_sha256").cast("bigint")
-    listing = own.where((n % 3 > 0) | (F.col("drive_uuid").cast("bigint") % 2 == 0)).select(F.col("relative").alias("path"))
-    digests = own.select(F.col("relative").alias("path"), F.when(n % 10 > 0, F.col("copy_sha256")).otherwise("other").alias("digest"))
+    own = t.copies.withColumn("relative", F.concat("drive_uuid", F.lit(":"), "relative"))
+    n, d = F.col("sha256").cast("bigint"), F.col("drive_uuid").cast("bigint")
+    refused = n % 7 == 0
+    listing = own.where((refused & (d % 5 < 3)) | (~refused & ((n % 3 > 0) | (d % 4 == 0)))).select(F.col("relative").alias("path"), refused.alias("refused"))
+    digests = own.select(F.col("relative").alias("path"), F.when((d % 8 == 0) | (n % 9 > 0), F.coalesce("copy_sha256", "sha256")).otherwise("other").alias("digest"))
     return on_drives.adoption_verdict(own, listing, digests)
 
 
@@ -314,8 +318,12 @@ def _originals(t):
     return found.join(rows.select("path", "source_path"), "path").select(F.col("source_path").alias("path"), "outcome", "offered")
 
 
-query("j27_cache_reuse", "SELECT doc_id, doc_id % 3 > 0 AND size % 2 = 0 AS reused, CASE WHEN doc_id % 3 > 0 AND size % 2 = 0 THEN sha256 END AS sha256 FROM docs")(
-    lambda t: on_drives.cache_reuse(t.docs.select("doc_id", "path", "size", F.lit(1).alias("mtime")), t.docs.where("doc_id % 3 > 0").select("path", "size", F.lit(1).alias("mtime"), "sha256", (F.col("size") % 2 == 0).alias("perceptual_computed")), want_perceptual=True).select("doc_id", "reused", "sha256"))
+TAGS = ("Make", "Model", "DateTimeOriginal", "CreateDate")
+# files that have changed since, rows without a digest, looks that nobody computed, and tags of a narrower request
+KEPT = f"""SELECT path, size, size * 1000 + doc_id % 5 AS mtime, CASE WHEN doc_id % 7 > 0 THEN sha256 END AS sha256, size % 3 > 0 AS perceptual_computed,
+ CASE WHEN doc_id % 4 > 0 THEN '{on_drives.tag_fingerprint(TAGS)}' ELSE '{on_drives.tag_fingerprint(TAGS[:2])}' END AS tags_fp, CASE WHEN size % 5 > 0 THEN 'kept' END AS tags FROM docs WHERE doc_id % 3 > 0"""
+query("j27_cache_reuse", "SELECT doc_id, x AS reused, CASE WHEN x THEN sha256 END AS sha256 FROM (SELECT doc_id, sha256, doc_id % 3 > 0 AND doc_id % 5 = size % 5 AND doc_id % 7 > 0 AND size % 3 > 0 AND doc_id % 4 > 0 AND size % 5 > 0 AS x FROM docs)")(
+    lambda t: on_drives.cache_reuse(t.docs.selectExpr("doc_id", "path", "size", "size * 1000 + size % 5 AS mtime"), t.spark.sql(KEPT.replace("FROM docs", "FROM {docs}"), docs=t.docs), want_perceptual=True, tags=TAGS).select("doc_id", "reused", "sha256"))
 
 query("a15_left_behind", """WITH g AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) folder, count(*) files FROM docs WHERE part > 0 GROUP BY 1) SELECT folder, files, (SELECT sum(files) FROM g)::BIGINT AS total, (SELECT count(*) FROM g) AS folders FROM g ORDER BY files DESC, folder LIMIT 5""")(
     lambda t: on_drives.left_behind(t.docs, t.docs.where("part = 0")))

@@ -129,8 +129,8 @@ query("f27_upright_size", "SELECT id, CASE WHEN id % 9 BETWEEN 5 AND 8 OR id % 5
 query("f28_explain_source", """SELECT date_source, date_tag, count(*) AS files, CASE date_source WHEN 'exif' THEN 'Embedded in the file' WHEN 'takeout' THEN 'Export sidecar' WHEN 'filename' THEN 'File name' WHEN 'inferred_local' THEN 'Shifted to local time' ELSE 'Not recorded' END AS label,
  coalesce(date_source = 'filename', false) AS review, CASE WHEN date_tag IS NULL THEN NULL WHEN date_source = 'inferred_local' THEN 'CreateDate, moved +02:00 by TimeZone' ELSE 'from ' || date_tag END AS evidence FROM files GROUP BY 1, 2""")(
     lambda t: t.files.groupBy("date_source", "date_tag").agg(F.count("*").alias("files")).withColumn("x", dates.explain_source(F.col("date_source"))).select("date_source", "date_tag", "files", "x.label", "x.review", dates.explain_evidence(F.col("date_source"), F.col("date_tag")).alias("evidence")))
-query("c17_review_predicates", f"WITH {SHOTS} SELECT path, bucket <> 'exact' AS should_upload, bucket IN ('unique', 'unreadable') AS is_unique FROM ks WHERE sha256 IS NOT NULL")(
-    lambda t: duplicates.resolve(t.shots.where("part = 0"), t.shots.where("part > 0")).where("sha256 IS NOT NULL").select("path", origin.should_upload(F.col("kind")).alias("should_upload"), origin.is_unique(F.col("kind")).alias("is_unique")))
+query("c17_review_predicates", f"WITH {SHOTS} SELECT path, bucket <> 'exact' AS should_upload, bucket = 'unique' OR bucket = 'unreadable' AND cs.path IS NULL AS is_unique FROM ks LEFT JOIN cs USING (path)")(
+    lambda t: duplicates.resolve(t.shots.where("part = 0"), t.shots.where("part > 0")).select("path", origin.should_upload(F.col("kind")).alias("should_upload"), origin.is_unique(F.col("kind")).alias("is_unique")))
 query("f15_local_naive", "SELECT id, taken_at + INTERVAL 1 MINUTE * (CASE WHEN id % 3 = 0 THEN 0 ELSE (id % 27 - 13) * 30 END) AS local FROM media WHERE taken_at IS NOT NULL")(
     lambda t: t.media.where("taken_at IS NOT NULL").select("id", dates.local_naive(F.col("taken_at"), F.when(F.col("id") % 3 > 0, (F.col("id") % 27 - 13) * 30)).alias("local")))
 query("f31_geo_point", "SELECT id, CASE WHEN id % 3 > 0 AND id % 4 > 0 THEN (id % 181 - 90)::DOUBLE END AS lat, CASE WHEN id % 3 > 0 AND id % 4 > 0 THEN id % 360 - 179.5 END::DOUBLE AS lon FROM media")(
@@ -304,7 +304,7 @@ query("w11_preview_warnings", "SELECT path, count(*) OVER (PARTITION BY lower(pa
     lambda t: on_drives.preview_warnings(t.files.selectExpr("CASE WHEN size % 2 = 0 THEN 'A' ELSE 'a' END || CAST(size % 9000 AS STRING) AS path")))
 query("w12_suffix_max", "SELECT l_orderkey, l_linenumber, max(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS largest_left FROM (SELECT l_orderkey, l_linenumber, max(l_quantity) l_quantity FROM lineitem GROUP BY 1, 2)")(
     lambda t: timeline.suffix_max(t.raw("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q")), "l_orderkey", "l_linenumber", "q").select("l_orderkey", "l_linenumber", "largest_left"))
-query("w14_stride_sample", "WITH s AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 i, count(*) OVER (PARTITION BY user_id) n FROM events) SELECT user_id, event_id FROM s WHERE n <= 5 OR i = 0 OR floor(i * 5 / n) <> floor((i - 1) * 5 / n)")(
+query("w14_stride_sample", "WITH s AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 i, count(*) OVER (PARTITION BY user_id) n FROM events) SELECT user_id, event_id FROM s WHERE n <= 5 OR (i * 5 + n - 1) // n * n // 5 = i")(
     lambda t: timeline.stride_sample(t.raw("events").select("user_id", "event_id"), "user_id", "event_id", 5))
 query("j22_stills_corroborate", """WITH v AS (SELECT user_id AS library, event_id AS key, ts AS local FROM events WHERE event_type = 'error'), s AS (SELECT user_id AS library, ts FROM events WHERE event_type = 'view' AND user_id % 4 > 0)
 SELECT v.library, v.key, v.local, CASE WHEN EXISTS (SELECT 1 FROM s WHERE s.library = v.library) THEN EXISTS (SELECT 1 FROM s WHERE s.library = v.library AND abs(floor(epoch(s.ts)) - floor(epoch(v.local))) <= 7200) END AS corroborated FROM v""")(
@@ -345,11 +345,23 @@ def _section(t):
     return t.raw("events").selectExpr("CAST(event_id % 4 AS STRING) AS drive_uuid", "CASE WHEN event_id % 9 = 0 THEN NULL ELSE ts END AS written", "CAST(user_id AS STRING) || '-' || event_type AS key", "CAST(event_id AS STRING) AS value", "event_id")
 
 
-LATEST = "SELECT drive_uuid, key, CAST(event_id AS STRING) AS value, written, row_number() OVER (PARTITION BY key ORDER BY written DESC NULLS LAST, drive_uuid) n FROM sec WHERE written IS NOT NULL"
-query("w4_merge_section", f"WITH {SECTION}, r AS ({LATEST}) SELECT key, max(value) FILTER (n = 1) AS value, max(drive_uuid) FILTER (n = 1) AS drive_uuid, count(*) - 1 AS overruled FROM r GROUP BY key")(lambda t: decisions.merge_section(_section(t).where("written IS NOT NULL")))
-query("w5_merge_confirmations", f"WITH {SECTION} SELECT key AS sha256, arg_max(written, event_id) AS captured_at, max(event_id) AS confirmed_at FROM sec WHERE written IS NOT NULL GROUP BY key")(
-    lambda t: decisions.merge_confirmations(_section(t).where("written IS NOT NULL").selectExpr("drive_uuid", "written", "key AS sha256", "written AS captured_at", "event_id AS confirmed_at")))
-query("w6_merge_settings", f"WITH {SECTION}, r AS ({LATEST}) SELECT key, value, written IS NULL AS undated FROM r WHERE n = 1")(lambda t: decisions.merge_settings(_section(t).where("written IS NOT NULL")))
+LATEST = "SELECT drive_uuid, key, CAST(event_id AS STRING) AS value, written, row_number() OVER (PARTITION BY key ORDER BY written DESC NULLS LAST, drive_uuid, CAST(event_id AS STRING)) n FROM sec"
+query("w4_merge_section", f"WITH {SECTION}, r AS ({LATEST}) SELECT key, max(value) FILTER (n = 1) AS value, max(drive_uuid) FILTER (n = 1) AS drive_uuid, count(*) - 1 AS overruled FROM r GROUP BY key")(lambda t: decisions.merge_section(_section(t)))
+query("w4_superseded", f"WITH {SECTION}, r AS ({LATEST}) SELECT r.drive_uuid, count(*) AS overruled FROM r JOIN r w ON w.key = r.key AND w.n = 1 WHERE r.value <> w.value GROUP BY 1")(lambda t: decisions.superseded(_section(t)))
+#: Confirmations with ties in time; those of undated documents confirm that there is no date.
+CONFIRMS = "cs AS (SELECT drive_uuid, written, key AS sha256, written AS captured_at, event_id // 16 AS confirmed_at, row_number() OVER (PARTITION BY key ORDER BY written DESC NULLS LAST, drive_uuid, written NULLS FIRST, event_id // 16) AS k FROM sec)"
+query("w5_merge_confirmations", f"WITH {SECTION}, {CONFIRMS}, r AS (SELECT *, row_number() OVER (PARTITION BY sha256 ORDER BY confirmed_at DESC, written DESC NULLS LAST, drive_uuid, captured_at NULLS FIRST) n FROM cs) SELECT sha256, captured_at, confirmed_at FROM r WHERE n = 1")(lambda t: decisions.merge_confirmations(_confirms(t)))
+query("w5_superseded", f"""WITH {SECTION}, {CONFIRMS}, p AS (SELECT b.*, a.drive_uuid AS d2, a.confirmed_at AS c2, a.captured_at AS t2, row_number() OVER (PARTITION BY b.sha256, b.k ORDER BY a.confirmed_at DESC, a.k) AS n FROM cs b JOIN cs a ON a.sha256 = b.sha256 AND a.k < b.k)
+SELECT CASE WHEN confirmed_at > c2 THEN d2 ELSE drive_uuid END AS drive_uuid, count(*) AS overruled FROM p WHERE n = 1 AND (confirmed_at <> c2 OR captured_at IS DISTINCT FROM t2) GROUP BY 1""")(lambda t: decisions.superseded_confirmations(_confirms(t)))
+query("w6_undated_documents", f"WITH {SECTION}, u AS (SELECT CASE WHEN event_id % 9 = 0 THEN 'u' || drive_uuid ELSE drive_uuid END AS drive_uuid, written FROM sec) SELECT drive_uuid FROM u GROUP BY 1 HAVING count(written) = 0")(
+    lambda t: decisions.undated_documents(_section(t).withColumn("drive_uuid", F.when(F.col("event_id") % 9 == 0, F.concat(F.lit("u"), "drive_uuid")).otherwise(F.col("drive_uuid")))))
+
+
+def _confirms(t):
+    return _section(t).selectExpr("drive_uuid", "written", "key AS sha256", "written AS captured_at", "event_id div 16 AS confirmed_at")
+
+
+query("w6_merge_settings", f"WITH {SECTION}, r AS ({LATEST}) SELECT key, value, written IS NULL AS undated FROM r WHERE n = 1")(lambda t: decisions.merge_settings(_section(t)))
 query("w6_merge_skips", f"WITH {SECTION} SELECT DISTINCT key AS signature FROM sec")(lambda t: decisions.merge_skips(_section(t)))
 query("j28_restore_apply", f"""WITH {SECTION}, r AS ({LATEST}), m AS (SELECT * FROM r WHERE n = 1)
 SELECT key, value AS theirs, CASE WHEN len(key) % 2 = 0 THEN CASE WHEN CAST(value AS BIGINT) % 3 = 0 THEN value ELSE 'old' END END AS ours,
@@ -357,8 +369,8 @@ SELECT key, value AS theirs, CASE WHEN len(key) % 2 = 0 THEN CASE WHEN CAST(valu
 
 
 def _restore(t):
-    rank = F.row_number().over(W.partitionBy("key").orderBy(F.col("written").desc(), "drive_uuid"))
-    merged = _section(t).where("written IS NOT NULL").withColumn("n", rank).where("n = 1").select("key", "value", "written")
+    rank = F.row_number().over(W.partitionBy("key").orderBy(F.col("written").desc_nulls_last(), "drive_uuid", "value"))
+    merged = _section(t).withColumn("n", rank).where("n = 1").select("key", "value", "written")
     current = merged.where("char_length(key) % 2 = 0").selectExpr("key", "CASE WHEN CAST(value AS BIGINT) % 3 = 0 THEN value ELSE 'old' END AS value", "timestamp_ntz'2024-01-29 00:00:00' AS updated")
     return decisions.restore_apply(merged, current, merged.where("key NOT LIKE '1%'"))
 
@@ -445,15 +457,15 @@ def _ingest(t):
     return pipelines.ingest_preview(t.shots.where("part = 0"), batch.drop("taken_at"), jsons, _now())
 
 
-query("k9_reconcile_decisions", f"""WITH {SECTION}, r AS ({LATEST}), m AS (SELECT * FROM r WHERE n = 1), cf AS (SELECT key AS sha256, arg_max(written, event_id) cap, max(event_id) tm FROM sec WHERE written IS NOT NULL GROUP BY key),
+query("k9_reconcile_decisions", f"""WITH {SECTION}, r AS ({LATEST}), m AS (SELECT * FROM r WHERE n = 1), cf AS (SELECT key AS sha256, (list(written ORDER BY event_id DESC))[1] cap, max(event_id) tm FROM sec GROUP BY key),
 a AS (SELECT 'events' AS section, CASE WHEN key LIKE '1%' THEN 'unmatched' WHEN len(key) % 2 = 0 THEN 'unchanged' ELSE 'applied' END AS action FROM m
- UNION ALL SELECT 'date_confirmations', CASE WHEN len(sha256) % 2 = 0 THEN CASE WHEN tm % 3 = 0 THEN 'newer_locally' ELSE 'unchanged' END WHEN sha256 LIKE '1%' THEN 'awaiting_content' ELSE 'applied' END FROM cf
+ UNION ALL SELECT 'date_confirmations', CASE WHEN len(sha256) % 2 = 0 THEN CASE WHEN tm % 3 = 0 AND cap IS NOT NULL THEN 'newer_locally' ELSE 'unchanged' END WHEN sha256 LIKE '1%' THEN 'awaiting_content' ELSE 'applied' END FROM cf
  UNION ALL SELECT 'settings', CASE WHEN len(key) % 3 = 0 THEN 'unchanged' ELSE 'applied' END FROM m)
 SELECT section, action, count(*) AS decisions FROM a GROUP BY 1, 2""")(lambda t: _reconcile(t))
 
 
 def _reconcile(t):
-    section = _section(t).where("written IS NOT NULL")
+    section = _section(t)
     merged = decisions.merge_section(section)
     names = merged.where("key NOT LIKE '1%'").select(F.col("key").alias("signature"), F.when(F.char_length("key") % 2 == 0, F.col("value")).otherwise("old").alias("name"))
     confirmations = section.selectExpr("drive_uuid", "written", "key AS sha256", "written AS captured_at", "event_id AS confirmed_at")

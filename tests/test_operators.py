@@ -281,7 +281,7 @@ def test_scans_of_one_group_are_many_blocks(spark, blocks):
     key = lambda r: (str(r[0]), r[1])
     assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
     sample = [tuple(r) for r in timeline.stride_sample(df, "g", "at", 40, blocks).collect()]
-    wanted = [r for own in groups.values() for n, r in enumerate(own) if len(own) <= 40 or n == 0 or n * 40 // len(own) != (n - 1) * 40 // len(own)]
+    wanted = [r for own in groups.values() for r in (own if len(own) <= 40 else [own[j * len(own) // 40] for j in range(40)])]
     assert sorted(sample, key=key) == sorted(wanted, key=key) and sum(r[0] == "big" for r in sample) == 40
     if blocks:
         placed = timeline._scanned(df.where("g = 'big'"), "g", "at", "x", blocks)
@@ -360,3 +360,52 @@ def test_upserts_take_the_new_row(spark):
     again = spark.createDataFrame([("a", "1", "z", None, 6, None, day, None), ("b", "1", "w", "new", 1, day, day, day)], schema)
     rows = {(r.sha256, r.drive_uuid): tuple(r)[2:] for r in catalog.upsert_copies(copies_, again).collect()}
     assert rows == {("a", "1"): ("z", None, 6, day, None, day), ("a", "2"): ("y", "old", 5, day, day, day), ("b", "1"): ("w", "new", 1, None, None, None)}
+
+
+def test_adoption(spark):
+    """Against the loop: a stride of the records, a stride of three of those that are there, and all of them at once."""
+    rng = random.Random(12)
+    copies_, listing, digests = [], [], []
+    for drive in range(8):
+        for n in range(rng.choice([0, 2, 30, 41, 90, 133])):
+            path, sha = f"{drive}/{n:03}", f"s{drive}-{n}"
+            copies_.append((str(drive), path, sha, None if n % 5 == 0 else f"baked-{sha}"))
+            here = drive in (1, 2) or rng.random() < (0.9 if drive % 2 else 0.45)
+            refused = not here and drive == 4 and rng.random() < 0.9
+            if here or refused:
+                listing.append((path, refused))
+            if here:
+                digests.append((path, "other" if drive == 2 and n % 2 else (sha if n % 5 == 0 else f"baked-{sha}")))
+    args = (spark.createDataFrame(copies_, "drive_uuid string, relative string, sha256 string, copy_sha256 string"), spark.createDataFrame(listing, "path string, refused boolean"), spark.createDataFrame(digests, "path string, digest string"))
+    stride = lambda xs, n: xs if len(xs) <= n else [xs[i * len(xs) // n] for i in range(n)]
+    there, seen, want = {p for p, r in listing if not r}, dict(digests), {}
+    for drive in {c[0] for c in copies_}:
+        own = {c[1]: c[3] or c[2] for c in copies_ if c[0] == drive}
+        sample = stride(sorted(own), 40)
+        present = [p for p in sample if p in there]
+        refused = sum(p in {q for q, r in listing if r} for p in sample)
+        probed = stride(present, 3)
+        agreed = sum(seen[p] == own[p] for p in probed)
+        if len(present) < len(sample) / 2:
+            verdict = "unreadable" if len(present) + refused >= len(sample) / 2 else "no_match"
+            probed, agreed = [], 0
+        else:
+            verdict = "proven" if agreed and agreed == len(probed) else "content_differs"
+        same = {p: d for p, d in own.items()} == {p: d for p, d in seen.items() if p.startswith(f"{drive}/")}
+        want[drive] = (len(sample), len(present), refused, len(probed), agreed, verdict, same)
+    got = {r.drive_uuid: (r.sampled, r.present, r.refused, r.probed, r.agreed, r.verdict) for r in copies.adoption_verdict(*args).collect()}
+    assert got == {d: w[:-1] for d, w in want.items()} and len({w[5] for w in want.values()}) >= 3
+    for drive in want:  # the tree of one drive, as a whole
+        whole = {r.drive_uuid: r.exact for r in copies.adoption_verdict(args[0], args[1], args[2].where(F.col("path").startswith(f"{drive}/"))).collect()}
+        assert whole[drive] == want[drive][-1] and not any(v for d, v in whole.items() if d != drive)
+
+
+def test_cache_answers_what_is_asked(spark):
+    listing = spark.createDataFrame([("a", 1, 10), ("b", 1, 10), ("c", 1, 10), ("d", 1, 10), ("e", 2, 10)], "path string, size int, mtime int")
+    fp = copies.tag_fingerprint(["Model", "Make", "Model"])
+    assert fp == copies.tag_fingerprint(["Make", "Model"]) != copies.tag_fingerprint(["Make"])
+    rows = [("a", 1, 10, "s", True, fp, "{}"), ("b", 1, 11, "s", True, fp, "{}"), ("c", 1, 10, None, False, fp, "{}"), ("d", 1, 10, "s", False, "old", "{}")]
+    cache = spark.createDataFrame(rows, "path string, size int, mtime int, sha256 string, perceptual_computed boolean, tags_fp string, tags string")
+    reused = lambda **ask: {r.path for r in copies.cache_reuse(listing, cache, **ask).where("reused").collect()}
+    assert reused() == {"a", "d"} and reused(want_sha=False) == {"a", "c", "d"} and reused(want_perceptual=True) == {"a"}
+    assert reused(want_sha=False, tags=["Make", "Model"]) == {"a", "c"} and reused(tags=["Make", "Model", "Lens"]) == set()
