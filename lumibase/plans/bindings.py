@@ -24,7 +24,7 @@ VIEWS = {
   CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderdate END AS captured_at,
   CASE o_orderpriority WHEN '1-URGENT' THEN 'Camera' WHEN '2-HIGH' THEN 'Camera' WHEN '3-MEDIUM' THEN 'Screenshots' WHEN '5-LOW' THEN 'Saved' ELSE 'Adobe Photoshop' END AS category,
   CASE o_orderkey % 5 WHEN 0 THEN 'exif' WHEN 1 THEN 'takeout' WHEN 2 THEN 'filename' WHEN 3 THEN 'inferred_local' END AS date_source,
-  CASE o_orderkey % 5 WHEN 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'DateTimeOriginal' ELSE 'CreateDate' END WHEN 3 THEN 'CreateDate|TimeZone|+02:00' END AS date_tag,
+  CASE o_orderkey % 5 WHEN 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'DateTimeOriginal' ELSE 'CreateDate' END WHEN 3 THEN CASE o_custkey % 4 WHEN 0 THEN 'CreateDate|TimeZone|+02:00' WHEN 1 THEN 'TrackCreateDate|TimeZone|-03:30' WHEN 2 THEN 'CreateDate|GPSDateStamp+filename:VID_|+05:45' ELSE 'MediaCreateDate|not_proven_utc' END END AS date_tag,
   CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderkey % 1000 END AS perceptual,
   'IMG_' || {_DAY} || '_' || CAST(o_orderkey AS STRING) || '.' || {_EXT} AS original_name,
   '/src/' || CAST(o_custkey % 50 AS STRING) || '/' || CAST(o_orderkey AS STRING) || '.jpg' AS source_path,
@@ -57,9 +57,15 @@ FROM {events}""",
   CASE WHEN o_custkey % 6 < 3 THEN 1080 ELSE 4000 END AS width, CASE WHEN o_custkey % 2 = 0 THEN 1350 ELSE 3000 END AS height,
   CASE o_custkey % 8 WHEN 0 THEN {_EXIF} || ' 10:11:12' WHEN 1 THEN '0000:00:00 00:00:00' WHEN 2 THEN {_EXIF} || ' 10:11:12.753+02:00' WHEN 3 THEN '1904:01:01 00:00:00'
     WHEN 4 THEN '2051:01:01 00:00:00' WHEN 5 THEN '2000:01:01 00:00:00' WHEN 6 THEN {_ISO} END AS dto,
-  CASE o_custkey % 3 WHEN 0 THEN {_EXIF} || ' 08:11:12' WHEN 1 THEN '1850:01:02 03:04:05' END AS created,
-  CASE WHEN o_custkey % 2 = 0 THEN '+02:00' END AS zone,
-  CASE WHEN o_orderstatus = 'F' THEN o_orderdate END AS taken_at
+  CASE o_custkey % 3 WHEN 0 THEN {_EXIF} || CASE WHEN o_custkey % 5 IN (1, 2) THEN ' 08:11:42' ELSE ' 08:11:12' END WHEN 1 THEN '1850:01:02 03:04:05' END AS created,
+  CASE WHEN o_custkey % 11 = 5 THEN {_EXIF} || ' 07:00:00+05:30' END AS creation,
+  CASE o_custkey % 13 WHEN 4 THEN {_EXIF} || ' 06:11:12' WHEN 5 THEN '1970:01:01 00:00:00' END AS media_created, CASE WHEN o_custkey % 17 < 4 THEN {_EXIF} || ' 05:11:12' END AS track_created,
+  CASE WHEN o_custkey % 19 < 9 THEN {_EXIF} || ' 04:00:00' END AS date_created,
+  CASE o_custkey % 8 WHEN 0 THEN '+02:00' WHEN 2 THEN '-03:30' WHEN 4 THEN '+05:45' END AS zone,
+  CASE o_custkey % 5 WHEN 1 THEN '0:00:30' WHEN 2 THEN '30 s' WHEN 3 THEN '0:30:00' END AS duration,
+  CASE WHEN o_custkey % 7 < 2 THEN {_EXIF} END AS gps_day, CASE o_custkey % 7 WHEN 0 THEN '08:11:14' WHEN 1 THEN '09:00:00.5' END AS gps_time,
+  CASE WHEN o_custkey % 23 = 8 THEN 'video/mp4' END AS mime,
+  CASE WHEN o_orderstatus = 'F' THEN o_orderdate END AS taken_at, CASE WHEN o_custkey % 2 = 0 THEN o_orderdate + INTERVAL '40' DAY END AS uploaded_at
 FROM {{orders}}""",
     "docs": """SELECT doc_id, path, sha256, size, b - b % 8 + size % 8 AS perceptual, part FROM (SELECT doc_id, '/' || source || '/' || lang || '/doc_' || CAST(doc_id AS STRING) || '.txt' AS path, md5(text) AS sha256,
   n_chars AS size, <HEX60 CAST(n_chars - n_chars % 8 AS STRING)> AS b, doc_id % 4 AS part FROM {documents})""",
@@ -98,13 +104,13 @@ class Tables:
         """With the metadata as a struct, tags."""
         rows = self.view("media")
         cores = self.spark.sparkContext.defaultParallelism
-        if rows.rdd.getNumPartitions() < cores:  # a small file is one task, and dates are work for all cores
+        if len(self.raw("orders").inputFiles()) < cores:  # a small file is one task, and dates are work for all cores
             rows = rows.repartition(cores)
-        none = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
         tags = F.struct(
             F.col("make").alias("Make"), F.col("model").alias("Model"), F.col("software").alias("Software"), F.col("samsung").alias("SamsungCaptureInfo"),
             F.col("width").alias("ImageWidth"), F.col("height").alias("ImageHeight"), F.col("dto").alias("DateTimeOriginal"), F.col("created").alias("CreateDate"), F.col("zone").alias("TimeZone"),
-            *none("LensModel", "CreationDate", "MediaCreateDate", "TrackCreateDate", "DateCreated", "GPSDateStamp", "GPSTimeStamp", "Duration", "MIMEType"),
+            F.col("creation").alias("CreationDate"), F.col("media_created").alias("MediaCreateDate"), F.col("track_created").alias("TrackCreateDate"), F.col("date_created").alias("DateCreated"),
+            F.col("gps_day").alias("GPSDateStamp"), F.col("gps_time").alias("GPSTimeStamp"), F.col("duration").alias("Duration"), F.col("mime").alias("MIMEType"), F.lit(None).cast("string").alias("LensModel"),
         )
         return rows.withColumn("tags", tags)
 

@@ -14,9 +14,11 @@ from lumibase.operators import decisions, duplicates, sidecars, timeline
 from lumibase.operators import copies as on_drives
 from lumibase.operators.stages import fresh_path, written
 from lumibase import streaming
+from lumibase.sources import documents
 from lumibase.streaming import corrections
 from lumibase.streaming.runs import arrived, files, rocks_store, run, to_files
 from lumibase.plans import pipelines
+from lumibase.plans.custody import SENTENCE
 from lumibase.plans.registry import query
 
 NOW = "2024-06-01 00:00:00"
@@ -73,18 +75,31 @@ query("f3_f4_date_from_filename", f"WITH {DATED} SELECT id, {FILENAME_DATE} AS v
 query("f5_filename_capture_date", f"WITH {DATED} SELECT id, CASE WHEN ({MESSENGER}) IS NULL THEN {FILENAME_DATE} END AS value FROM d")(lambda t: t.media.select("id", dates.filename_capture_date(F.col("name")).alias("value")))
 DTO = "CASE WHEN dto LIKE '0000%' THEN NULL WHEN length(dto) = 10 THEN try_strptime(dto, '%Y-%m-%d') ELSE try_strptime(substr(dto, 1, 19), '%Y:%m:%d %H:%M:%S') END"
 query("f1_f2_parse_exif", f"SELECT id, {DTO} AS value FROM media")(lambda t: t.media.select("id", dates.parse_exif_datetime(F.col("dto")).alias("value")))
-EMBED = f"""e AS (SELECT d.*, {DTO} v1, try_strptime(created, '%Y:%m:%d %H:%M:%S') v2 FROM d),
-k AS (SELECT *, CASE WHEN v1 IS NULL THEN NULL WHEN v1 IN (TIMESTAMP '1904-01-01', TIMESTAMP '1970-01-01') THEN 'sentinel' WHEN v1 > TIMESTAMP '{NOW}' + INTERVAL 2 DAY THEN 'future' WHEN year(v1) < 1900 THEN 'early' ELSE 'ok' END s1,
- CASE WHEN v2 IS NULL THEN NULL WHEN year(v2) < 1900 THEN 'early' ELSE 'ok' END s2 FROM e),
-x AS (SELECT *, CASE WHEN s1 = 'ok' THEN v1 WHEN s2 = 'ok' THEN v2 END val, CASE WHEN s1 = 'ok' THEN 'DateTimeOriginal' WHEN s2 = 'ok' THEN 'CreateDate' END tg FROM k)"""
-query("f6_f9_embedded_date", f"WITH {DATED}, {EMBED} SELECT id, val AS value, tg AS tag, coalesce(s1 = 'sentinel', false) AS sentinel, coalesce(s1 = 'future', false) AS future, coalesce(s1 = 'early', false) OR (coalesce(s1, '') <> 'ok' AND coalesce(s2 = 'early', false)) AS early FROM x")(
+_AT = lambda c: f"try_strptime(substr({c}, 1, 19), '%Y:%m:%d %H:%M:%S')"
+#: The six tags in order, what is wrong with each, the first that is not, and what was wrong with those before it.
+EMBED = f"""e AS (SELECT d.*, list_filter([{{'t': 'DateTimeOriginal', 'v': {DTO}}}, {{'t': 'CreationDate', 'v': {_AT("creation")}}}, {{'t': 'CreateDate', 'v': {_AT("created")}}}, {{'t': 'MediaCreateDate', 'v': {_AT("media_created")}}},
+  {{'t': 'TrackCreateDate', 'v': {_AT("track_created")}}}, {{'t': 'DateCreated', 'v': {_AT("date_created")}}}], lambda r: r.v IS NOT NULL) fs FROM d),
+k AS (SELECT *, list_transform(fs, lambda r: CASE WHEN r.v IN (TIMESTAMP '1904-01-01', TIMESTAMP '1970-01-01') THEN 'sentinel' WHEN r.v > TIMESTAMP '{NOW}' + INTERVAL 2 DAY THEN 'future' WHEN year(r.v) < 1900 THEN 'early' ELSE 'ok' END) ks FROM e),
+q AS (SELECT *, coalesce(list_position(ks, 'ok'), 0) p FROM k), x AS (SELECT *, CASE WHEN p > 0 THEN fs[p].v END val, CASE WHEN p > 0 THEN fs[p].t END tg, CASE WHEN p = 0 THEN ks ELSE ks[1:p - 1] END bad FROM q)"""
+query("f6_f9_embedded_date", f"WITH {DATED}, {EMBED} SELECT id, val AS value, tg AS tag, list_contains(bad, 'sentinel') AS sentinel, list_contains(bad, 'future') AS future, list_contains(bad, 'early') AS early FROM x")(
     lambda t: dates.with_embedded_date(t.media, _now(), out="e").select("id", "e.value", "e.tag", "e.sentinel", "e.future", "e.early"))
-RESOLVED = f"""y AS (SELECT *, CASE WHEN ({MESSENGER}) IS NULL THEN {FILENAME_DATE} END fd FROM x),
-z AS (SELECT *, CASE WHEN val IS NOT NULL THEN CASE WHEN tg = 'CreateDate' AND (id % 14 = 5 OR id % 14 = 13 AND zone IS NOT NULL) THEN 'inferred_local' ELSE 'exif' END WHEN taken_at IS NOT NULL THEN 'takeout' WHEN fd IS NOT NULL THEN 'filename'
- WHEN s1 = 'future' THEN 'rejected_future' WHEN s1 = 'sentinel' THEN 'rejected_sentinel' WHEN s2 = 'early' THEN 'rejected_early' ELSE 'none' END src FROM y)"""
-query("f10_f11_resolve_capture", f"""WITH {DATED}, {EMBED}, {RESOLVED} SELECT id, src AS source, CASE src WHEN 'inferred_local' THEN val + INTERVAL 2 HOUR WHEN 'exif' THEN val WHEN 'takeout' THEN taken_at WHEN 'filename' THEN fd END AS value,
- CASE src WHEN 'inferred_local' THEN CASE WHEN zone IS NOT NULL THEN 'CreateDate|TimeZone|+02:00' ELSE 'CreateDate|filename:VID_|+02:00' END WHEN 'exif' THEN CASE WHEN tg = 'CreateDate' AND id % 14 IN (5, 13) THEN 'CreateDate|not_proven_utc' ELSE tg END END AS tag FROM z""")(
+#: The zone's minutes, or else the one offset between the stamp and the name's clock; a position's clock adds to the evidence.
+RESOLVED = f"""y AS (SELECT *, CASE WHEN ({MESSENGER}) IS NULL THEN {FILENAME_DATE} END fd, (regexp_matches(lower(name), '[.](mp4|mov)$') OR coalesce(mime LIKE 'video/%', false)) AND tg IN ('CreateDate', 'MediaCreateDate', 'TrackCreateDate') AS vid,
+  CASE id % 14 WHEN 2 THEN date_trunc('day', od) + INTERVAL 12 HOUR WHEN 5 THEN date_trunc('day', od) + INTERVAL 36672 SECOND END dev, CASE id % 14 WHEN 2 THEN 'filename:IMG_' WHEN 5 THEN 'filename:VID_' END dn, CASE zone WHEN '+02:00' THEN 120 WHEN '-03:30' THEN -210 WHEN '+05:45' THEN 345 END zm,
+  CASE WHEN duration = '0:30:00' THEN 1800 WHEN duration IS NOT NULL THEN 30 END dur, coalesce(abs(epoch(try_strptime(gps_day || ' ' || substr(gps_time, 1, 8), '%Y:%m:%d %H:%M:%S')) - epoch(val)) <= 5, false) gps FROM x),
+hh AS (SELECT *, list_filter(range(-28, 29), lambda n: n <> 0 AND (abs(n * 1800 - (epoch(dev) - epoch(val))) <= 3 OR coalesce(abs(n * 1800 - (epoch(dev) - epoch(val)) - dur) <= 3, false))) hits FROM y),
+mm AS (SELECT *, CASE WHEN vid THEN CASE WHEN zm IS NOT NULL THEN zm WHEN len(hits) = 1 THEN hits[1] * 30 END END mins FROM hh),
+z AS (SELECT *, CASE WHEN zm IS NOT NULL THEN val + INTERVAL 1 MINUTE * zm ELSE dev END loc, CASE WHEN gps THEN 'GPSDateStamp+' ELSE '' END || CASE WHEN zm IS NOT NULL THEN 'TimeZone' ELSE dn END evid,
+ CASE WHEN val IS NOT NULL THEN CASE WHEN mins IS NOT NULL THEN 'inferred_local' ELSE 'exif' END WHEN taken_at IS NOT NULL THEN 'takeout' WHEN fd IS NOT NULL THEN 'filename'
+ WHEN list_contains(bad, 'future') THEN 'rejected_future' WHEN list_contains(bad, 'sentinel') THEN 'rejected_sentinel' WHEN list_contains(bad, 'early') THEN 'rejected_early' ELSE 'none' END src FROM mm)"""
+TAGGED = "CASE WHEN mins IS NOT NULL THEN tg || '|' || evid || '|' || CASE WHEN mins < 0 THEN '-' ELSE '+' END || lpad(CAST(abs(mins) // 60 AS STRING), 2, '0') || ':' || lpad(CAST(abs(mins) % 60 AS STRING), 2, '0') WHEN vid THEN tg || '|not_proven_utc' ELSE tg END"
+CAP = "CASE src WHEN 'inferred_local' THEN loc WHEN 'exif' THEN val WHEN 'takeout' THEN taken_at WHEN 'filename' THEN fd END"
+query("f10_f11_resolve_capture", f"""WITH {DATED}, {EMBED}, {RESOLVED} SELECT id, src AS source, {CAP} AS value, CASE WHEN src IN ('inferred_local', 'exif') THEN {TAGGED} END AS tag FROM z""")(
     lambda t: dates.with_capture_datetime(t.media, _now(), taken="taken_at", out="r").select("id", "r.source", "r.value", "r.tag"))
+# the export's own time first, and its upload time before the name
+query("f10_prefer_sidecars", f"""WITH {DATED}, {EMBED}, {RESOLVED} SELECT id, CASE WHEN taken_at IS NOT NULL THEN 'takeout' WHEN val IS NOT NULL THEN src WHEN uploaded_at IS NOT NULL THEN 'takeout_upload' ELSE src END AS source,
+ CASE WHEN taken_at IS NOT NULL THEN taken_at WHEN mins IS NOT NULL THEN loc WHEN val IS NOT NULL THEN val WHEN uploaded_at IS NOT NULL THEN uploaded_at ELSE fd END AS value, CASE WHEN taken_at IS NULL AND val IS NOT NULL THEN {TAGGED} END AS tag FROM z""")(
+    lambda t: dates.with_capture_datetime(t.media, _now(), taken="taken_at", created="uploaded_at", prefer_takeout=True, out="r").select("id", "r.source", "r.value", "r.tag"))
 query("f7_f8_date_quality", f"""WITH {DATED}, {EMBED}, {RESOLVED} SELECT count(*) AS files, count(*) FILTER (src = 'rejected_sentinel') AS sentinel_rejected, count(*) FILTER (src = 'rejected_future') AS future_rejected,
  count(*) FILTER (src IN ('exif', 'takeout', 'inferred_local') AND CASE src WHEN 'exif' THEN val WHEN 'takeout' THEN taken_at END IN (TIMESTAMP '2000-01-01', TIMESTAMP '1999-12-31', TIMESTAMP '1980-01-01')) AS suspect FROM z""")(
     lambda t: pipelines.date_quality(dates.with_capture_datetime(t.media, _now(), taken="taken_at", out="r")))
@@ -92,7 +107,8 @@ query("f12_parse_duration", "SELECT l_orderkey, l_linenumber, CASE l_linenumber
     lambda t: t.raw("lineitem").selectExpr("l_orderkey", "l_linenumber", "CASE l_linenumber % 4 WHEN 0 THEN CAST(l_suppkey AS STRING) || ':' || lpad(CAST(l_partkey % 60 AS STRING), 2, '0') || ':' || lpad(CAST(l_orderkey % 60 AS STRING), 2, '0') WHEN 1 THEN CAST(l_partkey % 60 AS STRING) || ':' || lpad(CAST(l_orderkey % 60 AS STRING), 2, '0') || '.5' WHEN 2 THEN CAST(l_quantity AS STRING) || ' s' ELSE 'x' END AS d").select("l_orderkey", "l_linenumber", dates.parse_duration(F.col("d")).alias("seconds")))
 query("f13_device_clock", f"WITH {DATED} SELECT id, CASE id % 14 WHEN 2 THEN date_trunc('day', od) + INTERVAL 12 HOUR WHEN 5 THEN date_trunc('day', od) + INTERVAL '10:11:12' HOUR TO SECOND END AS local, CASE id % 14 WHEN 2 THEN 'filename:IMG_' WHEN 5 THEN 'filename:VID_' END AS evidence FROM d".replace("INTERVAL '10:11:12' HOUR TO SECOND", "INTERVAL 36672 SECOND"))(
     lambda t: t.media.select("id", dates.device_filename_local(F.col("name")).alias("d")).select("id", "d.local", "d.evidence"))
-query("f14_date_tags", "SELECT DISTINCT date_tag, split_part(date_tag, '|', 1) AS container, split_part(date_tag, '|', 2) AS evidence, 120 AS minutes, '+02:00' AS again FROM files WHERE date_tag LIKE '%|%'")(
+query("f14_date_tags", """SELECT DISTINCT date_tag, split_part(date_tag, '|', 1) AS container, split_part(date_tag, '|', 2) AS evidence, CASE date_tag[-6:] WHEN '+02:00' THEN 120 WHEN '-03:30' THEN -210 WHEN '+05:45' THEN 345 END AS minutes,
+ CASE WHEN date_tag NOT LIKE '%not_proven%' THEN date_tag[-6:] END AS again FROM files WHERE date_tag LIKE '%|%'""")(
     lambda t: t.files.select("date_tag", dates.parse_date_tag(F.col("date_tag")).alias("p")).where("p IS NOT NULL").select("date_tag", "p.*").withColumn("again", dates.format_offset(F.col("minutes"))).distinct())
 query("f16_dated_filename", """SELECT sha256, CASE WHEN captured_at IS NULL OR contains(original_name, strftime(captured_at, '%Y%m%d_%H%M%S')) THEN original_name ELSE strftime(captured_at, '%Y%m%d_%H%M%S') || '_' || original_name END AS name FROM files""")(
     lambda t: t.files.select("sha256", paths.dated_filename(F.col("original_name"), F.col("captured_at"), F.lit(True)).alias("name")))
@@ -126,8 +142,8 @@ query("f26_tidy", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Marys Weddi
     lambda t: t.raw("part").selectExpr("p_partkey", "CASE p_partkey % 4 WHEN 0 THEN \"(Mary's_Wedding)\" WHEN 1 THEN '2015-07-29 Goa Trip 14' WHEN 2 THEN 'Goa (2015)' ELSE 'Beach~~day!' END AS n").select("p_partkey", paths.strip_year(paths.tidy_folder(F.col("n")), F.lit(2015)).alias("name")))
 query("f27_upright_size", "SELECT id, CASE WHEN id % 9 BETWEEN 5 AND 8 OR id % 5 IN (1, 3) THEN height ELSE width END AS w, CASE WHEN id % 9 BETWEEN 5 AND 8 OR id % 5 IN (1, 3) THEN width ELSE height END AS h FROM media")(
     lambda t: t.media.select("id", measures.upright_size(F.col("width"), F.col("height"), F.col("id") % 9, F.col("id") % 5).alias("s")).select("id", F.col("s.width").alias("w"), F.col("s.height").alias("h")))
-query("f28_explain_source", """SELECT date_source, date_tag, count(*) AS files, CASE date_source WHEN 'exif' THEN 'Embedded in the file' WHEN 'takeout' THEN 'Export sidecar' WHEN 'filename' THEN 'File name' WHEN 'inferred_local' THEN 'Shifted to local time' ELSE 'Not recorded' END AS label,
- coalesce(date_source = 'filename', false) AS review, CASE WHEN date_tag IS NULL THEN NULL WHEN date_source = 'inferred_local' THEN 'CreateDate, moved +02:00 by TimeZone' ELSE 'from ' || date_tag END AS evidence FROM files GROUP BY 1, 2""")(
+query("f28_explain_source", f"""SELECT date_source, date_tag, count(*) AS files, CASE date_source WHEN 'exif' THEN 'Embedded in the file' WHEN 'takeout' THEN 'Export sidecar' WHEN 'filename' THEN 'File name' WHEN 'inferred_local' THEN 'Shifted to local time' ELSE 'Not recorded' END AS label,
+ coalesce(date_source = 'filename', false) AS review, {SENTENCE} AS evidence FROM files GROUP BY 1, 2""")(
     lambda t: t.files.groupBy("date_source", "date_tag").agg(F.count("*").alias("files")).withColumn("x", dates.explain_source(F.col("date_source"))).select("date_source", "date_tag", "files", "x.label", "x.review", dates.explain_evidence(F.col("date_source"), F.col("date_tag")).alias("evidence")))
 query("c17_review_predicates", f"WITH {SHOTS} SELECT path, bucket <> 'exact' AS should_upload, bucket = 'unique' OR bucket = 'unreadable' AND cs.path IS NULL AS is_unique FROM ks LEFT JOIN cs USING (path)")(
     lambda t: duplicates.resolve(t.shots.where("part = 0"), t.shots.where("part > 0")).select("path", origin.should_upload(F.col("kind")).alias("should_upload"), origin.is_unique(F.col("kind")).alias("is_unique")))
@@ -400,7 +416,7 @@ f AS (SELECT count(*) FILTER (n = 0) AS no_copy, count(*) FILTER (n = 1) AS one_
 d AS (SELECT label, CASE WHEN count(*) = count(last_verified) THEN min(last_verified) END v FROM copies JOIN drives ON uuid = drive_uuid GROUP BY uuid, label),
 g AS (SELECT count(*) FILTER (v IS NULL) AS never_checked, coalesce(string_agg(label, ';' ORDER BY label) FILTER (v IS NULL), '') AS never_checked_names, min(v) AS oldest_check, greatest(0, floor((epoch(TIMESTAMP '{CHECKED}') - epoch(min(v))) / 86400))::BIGINT AS age_days FROM d)
 SELECT *, CASE WHEN age_days >= 90 THEN 'stale' WHEN age_days >= 30 THEN 'softening' ELSE 'fresh' END AS tier FROM k, p, o, f, g""")(lambda t: pipelines.library_status(t.files, t.copies, t.drives, CHECKED))
-query("k3_analyze", f"""WITH {DATED}, {EMBED}, {RESOLVED}, w AS (SELECT z.id, z.name, src, CASE src WHEN 'inferred_local' THEN val + INTERVAL 2 HOUR WHEN 'exif' THEN val WHEN 'takeout' THEN z.taken_at WHEN 'filename' THEN fd END cap FROM z),
+query("k3_analyze", f"""WITH {DATED}, {EMBED}, {RESOLVED}, w AS (SELECT z.id, z.name, src, CASE src WHEN 'inferred_local' THEN loc WHEN 'exif' THEN val WHEN 'takeout' THEN z.taken_at WHEN 'filename' THEN fd END cap FROM z),
 y2 AS (SELECT w.*, shots.size, shots.sha256, regexp_extract(lower(w.name), '[.]([^.]*)$', 1) ext FROM w JOIN shots USING (id)), sz AS (SELECT size, count(*) n FROM y2 GROUP BY 1)
 SELECT count(*) AS files, sum(size)::BIGINT AS bytes, (SELECT coalesce(sum(n), 0) FROM sz WHERE n > 1)::BIGINT AS colliding_files, (SELECT coalesce(sum(n * size), 0) FROM sz WHERE n > 1)::BIGINT AS colliding_bytes,
  count(*) FILTER (ext IN ('jpg', 'png', 'heic', 'webp')) AS images, count(*) FILTER (ext = 'heic') AS slow_images, round((SELECT coalesce(sum(n * size), 0) FROM sz WHERE n > 1) / sum(size), 6)::DOUBLE AS share, round(count(*) FILTER (ext = 'heic') / count(*) FILTER (ext IN ('jpg', 'png', 'heic', 'webp')), 6) AS slow_share,
@@ -411,11 +427,11 @@ SELECT count(*) AS files, sum(size)::BIGINT AS bytes, (SELECT coalesce(sum(n), 0
 
 # pipelines of the above
 
-query("k2_plan", f"""WITH {RULES}, {DATED}, {EMBED}, {RESOLVED}, w AS (SELECT z.id, src, CASE src WHEN 'inferred_local' THEN val + INTERVAL 2 HOUR WHEN 'exif' THEN val WHEN 'takeout' THEN z.taken_at WHEN 'filename' THEN fd END cap FROM z)
+query("k2_plan", f"""WITH {RULES}, {DATED}, {EMBED}, {RESOLVED}, w AS (SELECT z.id, src, CASE src WHEN 'inferred_local' THEN loc WHEN 'exif' THEN val WHEN 'takeout' THEN z.taken_at WHEN 'filename' THEN fd END cap FROM z)
 SELECT c.id, label, cap AS captured_at, src AS source, CASE WHEN rule NOT IN ('device', 'camera_filename') THEN label || '/' || CASE WHEN cap IS NULL THEN 'Undated' ELSE strftime(cap, '%Y/%Y-%m') END WHEN cap IS NULL THEN 'Undated' ELSE strftime(cap, '%Y/%Y-%m/%Y-%m - Everyday') END AS folder,
  src NOT IN ('exif', 'takeout', 'inferred_local', 'none', 'rejected_sentinel', 'rejected_future', 'rejected_early') AS needs_review FROM c JOIN w USING (id)""")(
     lambda t: pipelines.plan(t.media, _now(), taken="taken_at").select("id", "label", "captured_at", "source", "folder", "needs_review"))
-query("k4_organize_preview", f"""WITH {RULES}, {DATED}, {EMBED}, {RESOLVED}, {SHOTS}, w AS (SELECT z.id, src, CASE src WHEN 'inferred_local' THEN val + INTERVAL 2 HOUR WHEN 'exif' THEN val WHEN 'takeout' THEN z.taken_at WHEN 'filename' THEN fd END cap FROM z),
+query("k4_organize_preview", f"""WITH {RULES}, {DATED}, {EMBED}, {RESOLVED}, {SHOTS}, w AS (SELECT z.id, src, CASE src WHEN 'inferred_local' THEN loc WHEN 'exif' THEN val WHEN 'takeout' THEN z.taken_at WHEN 'filename' THEN fd END cap FROM z),
 p AS (SELECT ks.*, c.label, c.name, c.rule, src, cap, CASE WHEN regexp_matches(lower(c.name), '[.](jpg|png|heic|webp)$') THEN 'photo' WHEN regexp_matches(lower(c.name), '[.](mp4|mov)$') THEN 'video' END kind, bucket IN ('unique', 'near') goes FROM ks JOIN c USING (id) JOIN w USING (id)),
 lb AS (SELECT label, count(*) n FROM p WHERE goes GROUP BY 1), dy AS (SELECT CAST(cap AS DATE) d FROM p WHERE rule IN ('device', 'camera_filename') UNION ALL SELECT CAST(captured_at AS DATE) FROM files WHERE category = 'Camera' AND event_id IS NULL AND CAST(captured_at AS DATE) NOT IN (SELECT CAST(ts AS DATE) FROM events WHERE user_id % 5 = 0)),
 hv AS (SELECT d FROM dy WHERE d IS NOT NULL GROUP BY d HAVING count(*) > {HEAVY})
@@ -424,7 +440,7 @@ SELECT count(*) AS files, count(*) FILTER (kind = 'photo') AS photos, count(*) F
  count(*) FILTER (goes AND src = 'rejected_sentinel') AS sentinel_rejected, count(*) FILTER (goes AND src = 'rejected_future') AS future_rejected,
  count(*) FILTER (goes AND src IN ('exif', 'takeout', 'inferred_local') AND cap IN (TIMESTAMP '2000-01-01', TIMESTAMP '1999-12-31', TIMESTAMP '1980-01-01')) AS suspect_default, count(*) FILTER (goes AND src = 'inferred_local') AS shifted, count(*) FILTER (goes AND src = 'filename') AS needs_review, count(*) FILTER (goes AND rule IN ('device', 'camera_filename') AND CAST(cap AS DATE) IN (SELECT d FROM hv)) AS on_heavy_days,
  min(cap) FILTER (goes) AS earliest, max(cap) FILTER (goes) AS latest, (SELECT string_agg(label || ':' || CAST(n AS STRING), ';' ORDER BY n DESC, label) FROM lb) AS folders FROM p""")(lambda t: _preview(t))
-query("a14_inferred_shifts", f"WITH {DATED}, {EMBED}, {RESOLVED} SELECT id, CASE WHEN zone IS NOT NULL THEN 'TimeZone' ELSE 'filename:VID_' END AS evidence, 120 AS minutes FROM z WHERE src = 'inferred_local'")(
+query("a14_inferred_shifts", f"WITH {DATED}, {EMBED}, {RESOLVED} SELECT id, evid AS evidence, CAST(mins AS INT) AS minutes FROM z WHERE src = 'inferred_local'")(
     lambda t: pipelines.inferred_local_shifts(dates.with_capture_datetime(t.media, _now(), taken="taken_at", out="r").select("id", "r.source", "r.tag")))
 query("a23_uncompared_photos", "WITH u AS (SELECT source_path AS path FROM files WHERE lower(split_part(original_name, '.', -1)) IN ('jpg', 'heic', 'png') AND size % 3 > 0 AND perceptual IS NULL) SELECT path, (SELECT count(*) FROM u) AS total FROM u ORDER BY path LIMIT 20")(
     lambda t: duplicates.uncompared_photos(t.files.withColumns({"path": F.col("source_path"), "perceptual_computed": F.col("size") % 3 > 0}), origin.media_kind(F.col("original_name"))))
@@ -481,21 +497,27 @@ g AS (SELECT trip, d.name, count(d.day) n, count(k.name) h, count(*) FILTER (k.n
     t.raw("orders").where("o_orderkey % 6 = 0").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.concat(F.lit("T"), F.min("o_custkey").cast("string")).alias("name"))))
 query("c19_preflight", f"WITH {KIND} SELECT count(*) AS files, sum(size)::BIGINT AS bytes, count(*) FILTER (size > 30000) AS oversized, sum(size) <= 2000000 AND count(*) FILTER (size > 30000) = 0 AS fits FROM k WHERE kind <> 'exact'")(
     lambda t: duplicates.preflight(duplicates.write_candidates(_resolved(t), 30000), 2_000_000))
-query("s7_decision_documents", f"WITH {SECTION} SELECT drive_uuid, max(written) AS written, count(*) AS decisions FROM sec WHERE event_type <> 'error' OR user_id % 2 = 1 GROUP BY 1".replace("FROM sec WHERE event_type", "FROM (SELECT sec.*, events.event_type, events.user_id FROM sec JOIN events USING (event_id)) WHERE event_type"))(lambda t: _documents(t))
+# documents of the four drives are written and read again; a fifth of the settings is of one machine, and some sections are unknown
+DOCUMENTS = """SELECT drive_uuid, CASE WHEN event_id % 7 = 0 THEN 'settings' WHEN event_id % 7 = 1 THEN 'unknown' WHEN event_id % 7 < 5 THEN 'events' ELSE 'albums' END AS section,
+ CASE WHEN event_id % 5 = 0 THEN 'path_hint.' ELSE 'k' END || CAST(event_id AS STRING) AS key, CAST(event_id AS STRING) AS value FROM sec"""
+query("s7_decision_documents", f"WITH {SECTION}, r AS ({DOCUMENTS}) SELECT drive_uuid, section, key, value FROM r WHERE NOT (section = 'settings' AND key LIKE 'path_hint%')")(lambda t: _documents(t))
 
 
 def _documents(t):
-    from lumibase.sources import decision_documents
-
-    rows = _section(t).join(t.raw("events").select("event_id", "event_type", "user_id"), "event_id")
-    rows = rows.select("drive_uuid", "written", F.when(F.col("event_type") == "error", "settings").otherwise("events").alias("section"), F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("path_hint."), "key")).otherwise(F.col("key")).alias("key"), "value")
-    return decision_documents(rows).select("drive_uuid", "written", F.size("sections").cast("long").alias("decisions"))
+    rows = t.spark.sql(DOCUMENTS.replace("FROM sec", "FROM {sec}"), sec=_section(t))
+    name = F.when(F.col("section") == "events", "signature").otherwise("name")
+    item = F.when(F.col("section").isin("events", "albums"), F.to_json(F.map_from_arrays(F.array(name, F.lit("value")), F.array("key", "value")))).otherwise(F.concat(F.lit('"'), "value", F.lit('"')))
+    none = F.lit(None).cast("string")
+    path = fresh_path(t.spark, "documents")
+    documents.write_documents(rows.select("drive_uuid", none.alias("label"), none.alias("notes"), none.alias("written"), "section", F.lit(0).alias("place"), "key", F.parse_json(item).alias("item")), path)
+    read = documents.read_documents(t.spark, f"{path}/drive=*")
+    return read.select("drive_uuid", "section", "key", F.coalesce(F.try_variant_get("item", "$.value", "string"), F.try_variant_get("item", "$", "string")).alias("value"))
 
 
 # the incremental operators on the given tables as one batch
 
 query("r1_ingest_rows", f"""WITH {RULES}, {DATED}, {EMBED}, y4 AS (SELECT * REPLACE (NULL::TIMESTAMP AS taken_at) FROM x), {RESOLVED.replace('FROM x', 'FROM y4')}
-SELECT md5(CAST(c.id AS STRING)) AS sha256, label, rule, src AS date_source, CASE src WHEN 'inferred_local' THEN val + INTERVAL 2 HOUR WHEN 'exif' THEN val WHEN 'filename' THEN fd END AS captured_at FROM c JOIN z USING (id) WHERE c.id % 3 > 0""")(
+SELECT md5(CAST(c.id AS STRING)) AS sha256, label, rule, src AS date_source, CASE src WHEN 'inferred_local' THEN loc WHEN 'exif' THEN val WHEN 'filename' THEN fd END AS captured_at FROM c JOIN z USING (id) WHERE c.id % 3 > 0""")(
     lambda t: streaming.ingest_rows(t.media.select(F.md5(F.col("id").cast("string")).alias("sha256"), "name", "tags"), t.media.where("id % 3 = 0").select(F.md5(F.col("id").cast("string")).alias("sha256")), _now()).select("sha256", "label", "rule", "date_source", "captured_at"))
 query("r3_session_events", """WITH g AS (SELECT library, captured_at, CASE WHEN captured_at - lag(captured_at) OVER w < INTERVAL 48 HOUR THEN 0 ELSE 1 END nw FROM items WINDOW w AS (PARTITION BY library ORDER BY captured_at)),
 s AS (SELECT *, sum(nw) OVER (PARTITION BY library ORDER BY captured_at) k FROM g) SELECT library, count(*) AS files, min(captured_at) AS "start", max(captured_at) AS "end" FROM s GROUP BY library, k HAVING count(*) >= 8""")(lambda t: streaming.session_events(t.items))
@@ -573,7 +595,7 @@ def _dedup_stream(t):
 
 
 @query("r1_ingest_stream", f"""WITH {RULES}, {DATED}, {EMBED}, y4 AS (SELECT * REPLACE (NULL::TIMESTAMP AS taken_at) FROM x), {RESOLVED.replace('FROM x', 'FROM y4')}
-SELECT md5(CAST(c.id AS STRING)) AS sha256, label, rule, src AS date_source, CASE src WHEN 'inferred_local' THEN val + INTERVAL 2 HOUR WHEN 'exif' THEN val WHEN 'filename' THEN fd END AS captured_at FROM c JOIN z USING (id)""")
+SELECT md5(CAST(c.id AS STRING)) AS sha256, label, rule, src AS date_source, CASE src WHEN 'inferred_local' THEN loc WHEN 'exif' THEN val WHEN 'filename' THEN fd END AS captured_at FROM c JOIN z USING (id)""")
 def _ingest_stream(t):
     rows = t.media.select(F.md5(F.col("id").cast("string")).alias("sha256"), "name", "tags", "id")
     # the last part brings all of the first one again

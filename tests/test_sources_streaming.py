@@ -187,3 +187,31 @@ def test_corrections_equal_the_batch(spark):
     assert names == {r.signature for r in want.collect()} and state.rows.count() == len(rows) + 1
     assert sorted(map(tuple, state.days.collect())) == sorted(map(tuple, df([*rows, (9, 1, "", datetime(2021, 1, 1), None, None)]).groupBy("library", F.to_date("captured_at")).count().collect()))
     assert corrections.correct(state, df([])).changes.count() == 0
+
+
+def test_documents_go_through_unchanged(spark, tmp_path):
+    """A document with all named sections, entries with fields of their own, and sections that nothing here knows."""
+    from lumibase.sources import documents
+
+    whole = {
+        "captions": [{"sha256": "a", "text": "uñí \"x\""}, 5, None], "format": 1, "future": {"deep": {"n": 1.5, "yes": True}}, "written": "2024-05-01T10:00:00",
+        "drive": {"uuid": "d1", "label": "Blue", "notes": None}, "settings": {"layout": "year", "theme": "dark"},
+        "trips": [{"name": "Goa", "days": ["2014-08-14", "2014-08-15"], "cover": {"sha256": "q"}}, {"name": "B", "days": []}],
+        "events": [{"signature": "s2", "name": "Party"}, {"signature": "s1", "name": "Zoo", "mood": [1, 2]}], "skipped_clusters": ["c2", "c1"],
+        "date_confirmations": [{"sha256": "a", "captured_at": "2011-01-01T00:00:00", "confirmed_at": "2024-01-01"}], "albums": [{"name": "Best", "members": ["a"]}],
+    }
+    bare = {"drive": {"uuid": "d2"}, "events": "not a list", "settings": None}
+    (tmp_path / "in").mkdir()
+    for name, text in (("a", json.dumps(whole)), ("b", json.dumps(bare)), ("c", "{broken"), ("d", "[1]"), ("e", json.dumps({"drive": {"uuid": "d3"}, "settings": {"path_hint.x": "/home", "layout": "a/b"}}))):
+        (tmp_path / "in" / f"{name}.json").write_text(text)
+    rows = documents.read_documents(spark, str(tmp_path / "in"))
+    assert sorted(r.key for r in rows.where("drive_uuid = 'd1' AND section = 'events'").collect()) == ["s1", "s2"]
+    documents.write_documents(rows, str(tmp_path / "out"))
+    found = {p.name.removeprefix("drive="): json.loads("".join(f.read_text() for f in p.glob("part-*"))) for p in (tmp_path / "out").glob("drive=*")}
+    assert found["d1"] == whole and set(found) == {"d1", "d2", "d3"}
+    empty = {"format": 1, "written": "", "trips": [], "events": [], "skipped_clusters": [], "date_confirmations": [], "albums": []}
+    assert found["d2"] == empty | {"drive": {"uuid": "d2", "label": None, "notes": None}, "settings": {}}
+    assert found["d3"]["settings"] == {"layout": "a/b"}
+    again = documents.read_documents(spark, str(tmp_path / "out" / "drive=*"))
+    text = lambda df: sorted((r.drive_uuid, str(r.section), str(r.key), str(r.item)) for r in df.select("drive_uuid", "section", "key", F.to_json("item").alias("item")).collect())
+    assert text(again) == [r for r in text(rows) if "path_hint" not in r[2]]
