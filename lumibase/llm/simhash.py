@@ -45,8 +45,6 @@ SHINGLE, SEED, BITS = 4, 42, 64
 ROW_COST = 500
 #: How many links of a forest may hang below one fingerprint.
 FAN_OUT = 64
-#: Over so many tasks the rows of one fingerprint are dealt.
-SALTS = 8
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Row b has the bits of the byte b, lowest first.
@@ -273,17 +271,21 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """Per row: id, row (a hash of the text), fp, root (the fingerprint with the component's least id) and component_id
     (the least id that its fingerprint reaches)."""
     prints = materialize(fingerprints(df, id_col, text_col), "fingerprints")
-    classes = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "classes")
+    classes = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("n")), "classes")
     node = F.struct(F.col("least").isNull().alias("none"), F.col("least"), F.col("fp"))
     nodes = lambda end: classes.select(F.col("fp").alias(end), node.alias(f"node_{end}"))
     edges = links(classes, threshold).join(nodes("u"), "u").join(nodes("v"), "v").select(F.col("node_u").alias("u"), F.col("node_v").alias("v"))
     members = components(edges).select(F.col("u.fp").alias("fp"), F.col("v").alias("first"))
     of_print = classes.join(members, "fp", "left").withColumn("first", F.coalesce("first", node))
     of_print = of_print.select("fp", F.col("first.fp").alias("root"), F.col("first.least").alias("component_id"))
-    # a fingerprint that very many rows share is dealt over several tasks
-    salted = prints.withColumn("salt", F.pmod(F.xxhash64(id_col, "row"), F.lit(SALTS)))
-    every = of_print.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return salted.join(every, ["fp", "salt"]).select(id_col, "row", "fp", "root", "component_id")
+    # a fingerprint with more rows than an even task has is dealt over as many tasks as these would fill
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(classes.where(F.col("n") * tasks > total).select("fp", F.ceil(F.col("n") * tasks / F.lit(max(1, total))).cast("int").alias("salts")))  # fewer rows than tasks
+    salts = F.coalesce("salts", F.lit(1))
+    salted = prints.join(hot, "fp", "left").withColumn("salt", F.pmod(F.monotonically_increasing_id(), salts).cast("int"))
+    every = of_print.join(hot, "fp", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return salted.drop("salts").join(every.drop("salts"), ["fp", "salt"]).select(id_col, "row", "fp", "root", "component_id")
 
 
 def as_hex(fp: Column) -> Column:
