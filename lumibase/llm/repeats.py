@@ -43,7 +43,6 @@ RUN = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("key", "<i8"), ("first",
 #: Kinds of packed runs: of the anchor's own bucket, of a crowded anchor, and the sign that an anchor is crowded.
 OWN, CROWDED, SIGN = range(3)
 WINDOW = np.dtype([("content", "<u8"), ("anchor", "<u8"), ("key", "<i8"), ("first", "<u4")])
-SALTS = np.uint64(61)
 #: Bytes of runs in one suffix array, of texts for each bucket of packed runs, and of texts in a task that joins them.
 ARRAY_BYTES, BUCKET_BYTES, TASK_BYTES = 512 << 10, 16 << 20, 64 << 20
 #: More tasks than so many cost the driver more than they save; they then hold more each, and spill.
@@ -83,7 +82,7 @@ def _found_runs(batches: Iterator[pa.RecordBatch], least: int, buckets: int, cro
         runs["kind"] = np.where(crowded, CROWDED, OWN)
         signs = runs[crowded & new]
         signs["kind"] = SIGN
-        salt = np.where(crowded, runs["content"] % SALTS + np.uint64(1), np.uint64(0))
+        salt = np.where(crowded, runs["content"] % np.uint64(buckets) + np.uint64(1), np.uint64(0))  # over all buckets
         bucket = np.concatenate(((runs["anchor"] + salt * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets), signs["anchor"] % np.uint64(buckets))).astype(np.int64)
         packed = list(_by_bucket(np.concatenate((runs, signs)), bucket))
         if len(repeats):
