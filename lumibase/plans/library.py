@@ -58,11 +58,12 @@ query("c13_c14_scan_partition", r"""SELECT id, CASE id % 4 WHEN 0 THEN 'hidden'
     lambda t: t.media.selectExpr("id", "CASE id % 4 WHEN 0 THEN '.' || name WHEN 1 THEN name || '_original' WHEN 2 THEN name ELSE CASE WHEN id % 3 = 0 THEN 'a.PDF' ELSE 'a.exe' END END AS name").select("id", origin.scan_partition(F.col("name")).alias("partition")))
 query("c15_year_folders", "SELECT o_orderkey, o_orderkey % 4 = 0 AS year_folder FROM orders")(
     lambda t: t.raw("orders").selectExpr("o_orderkey", "CASE o_orderkey % 4 WHEN 0 THEN 'Photos from ' || CAST(year(o_orderdate) AS STRING) WHEN 1 THEN 'Photos from ' || CAST(month(o_orderdate) AS STRING) WHEN 2 THEN 'photos from ' || CAST(year(o_orderdate) AS STRING) ELSE 'Photos from ' || CAST(year(o_orderdate) AS STRING) || ' b' END AS f").select("o_orderkey", origin.is_year_folder(F.col("f")).alias("year_folder")))
-# one folder for each pattern, and at the end some that name something
-FOLDERS = ("DCIM", "100APPLE", "123_PANA", "New folder (2)", "2014", "2015-07-29", "20150729", "Day 3", "August 2015", "takeout-1", "Copy of trip", "untitled 4", "folder", "(12)", "WhatsApp Images", "IMG_0001", "Sent", "scratch-a", "test-run", "pytest-5", "deadbeefdeadbeef", " ",
-    "Goa Trip", "Test Match", "Summer 1999", "Wedding of Ann", "Daytona", "Augusta")
-query("c18_junk_folders", f"SELECT p_partkey, p_partkey % {len(FOLDERS)} < 22 AS junk FROM part")(
-    lambda t: t.raw("part").select("p_partkey", origin.is_junk_folder(F.get(F.array(*map(F.lit, FOLDERS)), (F.col("p_partkey") % len(FOLDERS)).cast("int"))).alias("junk")))
+# folders named by a part's columns: the first thirteen kinds are junk whatever the values, the others name something
+FOLDERS = """CASE p_partkey % 18 WHEN 0 THEN CAST(1980 + p_size AS STRING) WHEN 1 THEN lpad(CAST(p_size AS STRING), 3, '0') || 'APPLE' WHEN 2 THEN lpad(CAST(p_size AS STRING), 3, '0') || '_PANA' WHEN 3 THEN 'New folder (' || CAST(p_size AS STRING) || ')'
+ WHEN 4 THEN CAST(1980 + p_size AS STRING) || '-07-29' WHEN 5 THEN 'Day ' || CAST(p_size AS STRING) WHEN 6 THEN 'takeout-' || p_name WHEN 7 THEN 'Copy of ' || p_name WHEN 8 THEN '(' || CAST(p_size AS STRING) || ')' WHEN 9 THEN 'IMG_' || CAST(p_partkey AS STRING)
+ WHEN 10 THEN md5(p_name) WHEN 11 THEN 'August ' || CAST(1980 + p_size AS STRING) WHEN 12 THEN ' ' WHEN 13 THEN p_name WHEN 14 THEN p_name || ' ' || CAST(1980 + p_size AS STRING) WHEN 15 THEN 'Summer ' || CAST(1980 + p_size AS STRING) WHEN 16 THEN 'Test Match ' || p_brand ELSE 'Augusta ' || p_type END"""
+query("c18_junk_folders", f"SELECT p_partkey, {FOLDERS} AS folder, p_partkey % 18 < 13 AS junk FROM part")(
+    lambda t: t.raw("part").selectExpr("p_partkey", f"{FOLDERS} AS folder").select("p_partkey", "folder", origin.is_junk_folder(F.col("folder")).alias("junk")))
 query("c19_oversized", "SELECT sha256, size > 300000 AS oversized FROM files")(lambda t: t.files.select("sha256", origin.is_oversized(F.col("size"), 300000).alias("oversized")))
 
 SHOTS = """rs AS (SELECT *, part > 0 b, CASE WHEN sha256 IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY sha256 ORDER BY part > 0, path) END n FROM shots),
@@ -132,14 +133,20 @@ def _placed(t):
     return t.files.select("sha256", place.alias("placement"), paths.DEFAULT_PRESET.folder(place, F.col("captured_at"), F.col("category"), event, trip, composed=True).alias("folder"))
 
 
-query("f23_axis_changed", "SELECT sha256, CASE WHEN size % 3 = 0 THEN true WHEN size % 3 = 1 THEN false END AS axis FROM files")(
-    lambda t: t.files.selectExpr("sha256", "CASE size % 3 WHEN 0 THEN '2014/2014-08 - Everyday/a' WHEN 1 THEN '2014/2014-08-02 - Everyday/a' ELSE 'x' END AS o", "CASE size % 3 WHEN 0 THEN '2014/2014-08-02 - Everyday/a' ELSE '2014/2014-08 - Everyday/a' END AS n").select("sha256", paths.everyday_axis_changed(F.col("o"), F.col("n")).alias("axis")))
+# a folder of the month, of the day, of an event, and none, by each file's own date, against one of them
+MOVES = """SELECT sha256, CASE size % 4 WHEN 0 THEN date_format(captured_at, 'yyyy/yyyy-MM/yyyy-MM') || ' - Everyday' WHEN 1 THEN date_format(captured_at, 'yyyy/yyyy-MM/yyyy-MM-dd') || ' - Everyday' WHEN 2 THEN date_format(captured_at, 'yyyy/yyyy-MM-dd') || ' - Trip' ELSE category END || '/' || original_name AS o,
+ replace(CASE size % 3 WHEN 0 THEN date_format(captured_at, 'yyyy/yyyy-MM/yyyy-MM-dd') || ' - Everyday' WHEN 1 THEN date_format(captured_at, 'yyyy/yyyy-MM/yyyy-MM') || ' - Everyday' ELSE category END, '/', CASE WHEN size % 5 = 0 THEN chr(92) ELSE '/' END) || '/' || original_name AS n FROM {files}"""
+query("f23_axis_changed", "SELECT sha256, CASE WHEN captured_at IS NULL THEN NULL WHEN size % 4 = 0 AND size % 3 = 0 THEN true WHEN size % 4 = 1 AND size % 3 = 1 THEN false END AS axis FROM files")(
+    lambda t: t.spark.sql(MOVES, files=t.files).select("sha256", paths.everyday_axis_changed(F.col("o"), F.col("n")).alias("axis")))
 query("f24_haversine", """SELECT c_custkey, round(2 * 6371.0088 * asin(sqrt(pow(sin((radians(b) - radians(a)) / 2), 2) + cos(radians(a)) * cos(radians(b)) * pow(sin((radians(d) - radians(c)) / 2), 2))), 6) AS km
  FROM (SELECT c_custkey, c_custkey % 80 a, c_nationkey * 3 b, c_custkey % 170 c, c_nationkey d FROM customer)""")(
     lambda t: t.raw("customer").select("c_custkey", F.round(measures.haversine_km(F.col("c_custkey") % 80, F.col("c_custkey") % 170, F.col("c_nationkey") * 3, F.col("c_nationkey")), 6).alias("km")))
 query("f25_hamming", "SELECT o_orderkey, bit_count(xor(o_orderkey, o_custkey))::INT AS distance FROM orders")(lambda t: t.raw("orders").select("o_orderkey", measures.hamming(F.col("o_orderkey"), F.col("o_custkey")).alias("distance")))
-query("f26_tidy", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Marys Wedding' WHEN 1 THEN 'Goa Trip 14' WHEN 2 THEN 'Goa' ELSE 'Beach day' END AS name FROM part")(
-    lambda t: t.raw("part").selectExpr("p_partkey", "CASE p_partkey % 4 WHEN 0 THEN \"(Mary's_Wedding)\" WHEN 1 THEN '2015-07-29 Goa Trip 14' WHEN 2 THEN 'Goa (2015)' ELSE 'Beach~~day!' END AS n").select("p_partkey", paths.strip_year(paths.tidy_folder(F.col("n")), F.lit(2015)).alias("name")))
+# a part's name in wrappers, with a possessive, a date before it, separators, and a year of two or four digits behind it
+query("f26_tidy", """WITH y AS (SELECT *, 1970 + p_partkey % 60 AS year FROM part)
+SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN upper(p_name) || ' Wedding' WHEN 1 THEN p_name WHEN 2 THEN p_name WHEN 3 THEN p_name || ' (' || CAST(year + 1 AS STRING) WHEN 4 THEN p_name || ' day' ELSE p_brand || ' ' || p_name || ' ' || CAST(p_size AS STRING) || 'x' END AS name FROM y""")(
+    lambda t: t.raw("part").selectExpr("p_partkey", "1970 + p_partkey % 60 AS year", """CASE p_partkey % 6 WHEN 0 THEN '(' || upper(p_name) || "'s Wedding)" WHEN 1 THEN CAST(1970 + p_partkey % 60 AS STRING) || '-0' || CAST(1 + p_size % 9 AS STRING) || '-1 ' || p_name || ' ' || substr(CAST(1970 + p_partkey % 60 AS STRING), 3)
+  WHEN 2 THEN p_name || ' (' || CAST(1970 + p_partkey % 60 AS STRING) || ')' WHEN 3 THEN p_name || ' (' || CAST(1971 + p_partkey % 60 AS STRING) || ')~~' WHEN 4 THEN replace(p_name, ' ', '~~') || '_day!' ELSE '  ' || p_brand || '|' || p_name || ' · ' || CAST(p_size AS STRING) || 'x ' END AS n""").select("p_partkey", paths.strip_year(paths.tidy_folder(F.col("n")), F.col("year")).alias("name")))
 query("f27_upright_size", "SELECT id, CASE WHEN id % 9 BETWEEN 5 AND 8 OR id % 5 IN (1, 3) THEN height ELSE width END AS w, CASE WHEN id % 9 BETWEEN 5 AND 8 OR id % 5 IN (1, 3) THEN width ELSE height END AS h FROM media")(
     lambda t: t.media.select("id", measures.upright_size(F.col("width"), F.col("height"), F.col("id") % 9, F.col("id") % 5).alias("s")).select("id", F.col("s.width").alias("w"), F.col("s.height").alias("h")))
 query("f28_explain_source", f"""SELECT date_source, date_tag, count(*) AS files, CASE date_source WHEN 'exif' THEN 'Embedded in the file' WHEN 'takeout' THEN 'Export sidecar' WHEN 'filename' THEN 'File name' WHEN 'inferred_local' THEN 'Shifted to local time' ELSE 'Not recorded' END AS label,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lumibase.functions.dates import DATE_TAGS
 from lumibase.operators.decisions import is_machine_local
+from lumibase.operators.stages import written
 
 METADATA_SCHEMA = "path string, tags struct<" + ", ".join(
     f"{t}: string" for t in ("Make", "Model", "LensModel", "Software", "SamsungCaptureInfo", *DATE_TAGS, "GPSDateStamp", "GPSTimeStamp", "TimeZone", "Duration", "MIMEType")
@@ -38,12 +39,12 @@ def _listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read_listing(spark: SparkSession, roots: list[str]) -> DataFrame:
     """One row per entry below the roots (path, length, mtime, kind); hidden folders are named, and not entered.
-    Folders are listed by executors, one level at a time until a level has none; executors must see the roots. The levels stay
-    persisted, so that no folder is listed twice."""
+    Folders are listed by executors, one level at a time until a level has none; executors must see the roots. Each level is
+    written, so that no folder is listed twice, also if executors are lost."""
     level = spark.createDataFrame([(r,) for r in roots], "path string")
     found = None
     while True:
-        below = level.repartition("path").mapInPandas(_listed, "path string, length bigint, mtime timestamp_ntz, kind string").persist()
+        below = written(level.repartition("path").mapInPandas(_listed, "path string, length bigint, mtime timestamp_ntz, kind string"), "listing")
         found = below if found is None else found.unionByName(below)
         level = below.where("kind = 'dir'").select("path")
         if level.isEmpty():
@@ -51,8 +52,15 @@ def read_listing(spark: SparkSession, roots: list[str]) -> DataFrame:
 
 
 def read_metadata(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """Tag records; a tag that a file lacks is null."""
-    return spark.read.schema(METADATA_SCHEMA).format(fmt).load(path)
+    """Tag records; a tag that a file lacks is null. Records of lines of JSON keep tags that nothing here knows, as a
+    map of JSON texts (more)."""
+    if fmt != "json":
+        return spark.read.schema(METADATA_SCHEMA).format(fmt).load(path)
+    known = spark.range(0).select(F.from_json(F.lit(""), METADATA_SCHEMA).alias("m")).schema["m"].dataType["tags"].dataType.names
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    records = lines.select(F.from_json("value", METADATA_SCHEMA).alias("m"), F.expr("try_cast(try_variant_get(try_parse_json(value), '$.tags') AS map<string, variant>)").alias("all"))
+    more = F.transform_values(F.map_filter("all", lambda k, _: ~k.isin(*known)), lambda _, v: F.to_json(v))
+    return records.select("m.path", "m.tags", more.alias("more"))
 
 
 def parse_sidecars(texts: DataFrame) -> DataFrame:

@@ -34,9 +34,10 @@ def test_decisions_round_trip(spark, tmp_path):
 def test_run_record_and_metadata(spark, tmp_path):
     sources.write_run_record(spark.createDataFrame([(1, "a", "planned")], "run_id int, path string, status string"), str(tmp_path / "runs"))
     assert spark.read.parquet(str(tmp_path / "runs")).count() == 1
-    (tmp_path / "m.json").write_text('{"path": "a.jpg", "tags": {"Model": "X", "ImageWidth": 5}}\n')
-    row = sources.read_metadata(spark, str(tmp_path / "m.json")).first()
-    assert (row.tags.Model, row.tags.ImageWidth, row.tags.Make) == ("X", 5, None)
+    (tmp_path / "m.json").write_text('{"path": "a.jpg", "tags": {"Model": "X", "ImageWidth": 5, "Flash": "on", "Lens": [1, {"a": "ü"}]}}\n\n{"path": "b.jpg"}\n')
+    row, bare = sorted(sources.read_metadata(spark, str(tmp_path / "m.json")).collect(), key=lambda r: r.path)
+    assert (row.tags.Model, row.tags.ImageWidth, row.tags.Make) == ("X", 5, None) and bare.tags is None and bare.more is None
+    assert row.more == {"Flash": '"on"', "Lens": '[1,{"a":"ü"}]'}
 
 
 def run_stream(spark, tmp_path, rows, build, mode="append"):
