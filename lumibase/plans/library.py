@@ -144,7 +144,7 @@ query("f24_haversine", """SELECT c_custkey, round(2 * 6371.0088 * asin(sqrt(pow(
 query("f25_hamming", "SELECT o_orderkey, bit_count(xor(o_orderkey, o_custkey))::INT AS distance FROM orders")(lambda t: t.raw("orders").select("o_orderkey", measures.hamming(F.col("o_orderkey"), F.col("o_custkey")).alias("distance")))
 # a part's name in wrappers, with a possessive, a date before it, separators, and a year of two or four digits behind it
 query("f26_tidy", """WITH y AS (SELECT *, 1970 + p_partkey % 60 AS year FROM part)
-SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN upper(p_name) || ' Wedding' WHEN 1 THEN p_name WHEN 2 THEN p_name WHEN 3 THEN p_name || ' (' || CAST(year + 1 AS STRING) WHEN 4 THEN p_name || ' day' ELSE p_brand || ' ' || p_name || ' ' || CAST(p_size AS STRING) || 'x' END AS name FROM y""")(
+SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN upper(p_name) || ' Wedding' WHEN 1 THEN p_name WHEN 2 THEN p_name WHEN 3 THEN p_name || ' (' || CAST(year + 1 AS STRING) || ')' WHEN 4 THEN p_name || ' day' ELSE p_brand || ' ' || p_name || ' ' || CAST(p_size AS STRING) || 'x' END AS name FROM y""")(
     lambda t: t.raw("part").selectExpr("p_partkey", "1970 + p_partkey % 60 AS year", """CASE p_partkey % 6 WHEN 0 THEN '(' || upper(p_name) || "'s Wedding)" WHEN 1 THEN CAST(1970 + p_partkey % 60 AS STRING) || '-0' || CAST(1 + p_size % 9 AS STRING) || '-1 ' || p_name || ' ' || substr(CAST(1970 + p_partkey % 60 AS STRING), 3)
   WHEN 2 THEN p_name || ' (' || CAST(1970 + p_partkey % 60 AS STRING) || ')' WHEN 3 THEN p_name || ' (' || CAST(1971 + p_partkey % 60 AS STRING) || ')~~' WHEN 4 THEN replace(p_name, ' ', '~~') || '_day!' ELSE '  ' || p_brand || '|' || p_name || ' · ' || CAST(p_size AS STRING) || 'x ' END AS n""").select("p_partkey", paths.strip_year(paths.tidy_folder(F.col("n")), F.col("year")).alias("name")))
 query("f27_upright_size", "SELECT id, CASE WHEN id % 9 BETWEEN 5 AND 8 OR id % 5 IN (1, 3) THEN height ELSE width END AS w, CASE WHEN id % 9 BETWEEN 5 AND 8 OR id % 5 IN (1, 3) THEN width ELSE height END AS h FROM media")(
