@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumibase.operators import catalog, timeline
+from lumibase.operators.stages import written
 from lumibase.sources.snapshots import Snapshots
 
 KEYS = {"files": ("sha256",), "copies": ("sha256",), "events": ("signature",), "trip_days": ("day",)}
@@ -30,16 +31,23 @@ class Catalog:
     def read(self, name: str) -> DataFrame:
         return self.tables[name].read()
 
+    def _read_once(self, rows: DataFrame, table: str, batch: str) -> DataFrame:
+        """What an update reads several times, written; but for a batch that the table has already."""
+        now = self.tables[table].manifest()
+        return rows if now is not None and batch and batch in now.batches else written(rows, f"{table}-batch")
+
     def upsert_files(self, incoming: DataFrame, confirmations: DataFrame, batch: str = "", order: str | None = None) -> bool:
         """S5. Confirmations of contents that the batch doesn't touch stay as they were recorded."""
         return self.tables["files"].update(incoming, lambda old: catalog.upsert_files(old, incoming, confirmations.join(incoming, "sha256", "left_semi"), order), batch)
 
     def upsert_copies(self, incoming: DataFrame, batch: str = "", order: str | None = None) -> bool:
         """S6."""
+        incoming = self._read_once(incoming, "copies", batch)
         return self.tables["copies"].update(incoming, lambda old: catalog.upsert_copies(old, incoming, order), batch)
 
     def apply_verification(self, outcomes: DataFrame, now: str, batch: str = "") -> bool:
         """S10."""
+        outcomes = self._read_once(outcomes, "copies", batch)
         return self.tables["copies"].update(outcomes, lambda old: catalog.apply_verification(old, outcomes, now), batch)
 
     def confirm_dates(self, confirmations: DataFrame, batch: str = "") -> bool:
@@ -54,9 +62,10 @@ class Catalog:
 
     def forget_content(self, forgotten: DataFrame, batch: str = "") -> bool:
         """The copies, then the files that lost their last one by it."""
+        forgotten = self._read_once(forgotten, "files", batch)
         first = self.tables["copies"].update(forgotten, lambda old: old.join(forgotten, ["sha256", "drive_uuid"], "left_anti"), batch)
         copies = self.read("copies").join(forgotten, "sha256", "left_semi")
-        touched = forgotten.select("sha256").distinct().join(copies, "sha256", "left_anti")
+        touched = self._read_once(forgotten.select("sha256").distinct().join(copies, "sha256", "left_anti"), "files", batch)
         return self.tables["files"].update(touched, lambda old: old.join(touched, "sha256", "left_anti"), batch) or first
 
     def relocate(self, moves: DataFrame, table: str, column: str, batch: str = "") -> bool:

@@ -76,10 +76,11 @@ class Snapshots:
         return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
     def _written(self, rows: DataFrame, manifest: Manifest) -> dict[str, str]:
-        """Writes rows into new folders, a bucket each; the folder of each bucket that has rows."""
+        """Writes rows into new folders, a bucket each; the folder of each bucket that has rows. Each task writes a file to
+        each bucket that it has rows of: a shuffle by bucket would move all rows once more, for as many tasks as buckets."""
         name = f"data/{uuid.uuid4().hex}"
         placed = rows.withColumn("_bucket", self.bucket(manifest.keys, manifest.buckets))
-        placed.repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{name}")
+        placed.write.partitionBy("_bucket").parquet(f"{self.path}/{name}")
         if not self._files.exists(self._at(name)):
             return {}
         found = [f.getPath().getName() for f in self._files.listStatus(self._at(name))]
