@@ -72,6 +72,12 @@ def bands(signature: Column, threshold: int, agree: int = 1) -> Column:
 MOST_AGREEING, MOST_RADIUS = 8, 15
 
 
+def _dealt(signatures: DataFrame, rows: int, keys: int) -> DataFrame:
+    """Signatures dealt over tasks by what they become: each so many keys, which Spark, that goes by the bytes of the
+    table, would leave to one task."""
+    return signatures.repartition(max(signatures.sparkSession.sparkContext.defaultParallelism, rows * keys // 1_000_000), "perceptual")
+
+
 def signature_links(signatures: DataFrame, threshold: int, agree: int | None = None) -> DataFrame:
     """Pairs (a, b, distance) of different signatures within the threshold, in both orders. Each signature occurs once
     in the input, which is read several times, so it should be a written table. Keys are chosen by the number of
@@ -79,10 +85,11 @@ def signature_links(signatures: DataFrame, threshold: int, agree: int | None = N
     if threshold > MOST_AGREEING:
         pairs = flipped_pairs(signatures, threshold)
         return pairs.where(hamming(F.col("a"), F.col("b")) <= threshold).select("a", "b", hamming(F.col("a"), F.col("b")).alias("distance"))
-    agree = agree or cheapest_agree(threshold, signatures.count())
-    banded = signatures.select(F.col("perceptual").alias("sig"), F.explode(bands(F.col("perceptual"), threshold, agree)).alias("p")).select("sig", "p.band", "p.value")
+    n = signatures.count()
+    agree = agree or cheapest_agree(threshold, n)
+    banded = _dealt(signatures, n, comb(threshold + agree, agree)).select(F.col("perceptual").alias("sig"), F.explode(bands(F.col("perceptual"), threshold, agree)).alias("p")).select("sig", "p.band", "p.value")
     a, b = banded.alias("a"), banded.alias("b")
-    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.value") == F.col("b.value"))).where((F.col("a.sig") != F.col("b.sig")) & (hamming(F.col("a.sig"), F.col("b.sig")) <= threshold))
+    pairs = a.join(b.hint("merge"), (F.col("a.band") == F.col("b.band")) & (F.col("a.value") == F.col("b.value"))).where((F.col("a.sig") != F.col("b.sig")) & (hamming(F.col("a.sig"), F.col("b.sig")) <= threshold))
     spans, choices = pieces(threshold, agree)
     differ = F.col("a.sig").bitwiseXOR(F.col("b.sig"))
     mask = lambda choice: sum(((1 << (b - a)) - 1) << a for a, b in (spans[n] for n in choice))
@@ -121,7 +128,8 @@ def flipped_pairs(signatures: DataFrame, threshold: int, count: int | None = Non
     its pieces, and a looks up all flips of each of its own. A pair comes from the first such piece alone."""
     if not 0 <= threshold <= MOST_RADIUS:
         raise ValueError(f"radii from 0 to {MOST_RADIUS} can be searched")
-    count = count or cheapest_pieces(threshold, signatures.count())
+    n = signatures.count()
+    count = count or cheapest_pieces(threshold, n)
     edges = [64 * k // count for k in range(count + 1)]
     near = radii(threshold, count)
 
@@ -135,7 +143,8 @@ def flipped_pairs(signatures: DataFrame, threshold: int, count: int | None = Non
         masks = F.array(*(F.lit(m).cast("long") for m in flips(edges[k + 1] - edges[k], near[k])))
         return F.transform(masks, lambda m: F.struct(F.lit(k).alias("piece"), piece(own, k).bitwiseXOR(m).alias("value")))
 
-    probes = signatures.select(own.alias("a"), F.explode(F.concat(*map(looked_up, range(count)))).alias("p")).select("a", "p.piece", "p.value")
+    per_row = sum(len(flips(edges[k + 1] - edges[k], near[k])) for k in range(count))
+    probes = _dealt(signatures, n, per_row).select(own.alias("a"), F.explode(F.concat(*map(looked_up, range(count)))).alias("p")).select("a", "p.piece", "p.value")
     found = probes.join(index, ["piece", "value"]).where("a <> b")
     differ = F.col("a").bitwiseXOR(F.col("b"))
     fits = F.array(*(F.bit_count(piece(differ, k)) <= near[k] for k in range(count)))
