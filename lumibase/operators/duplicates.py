@@ -47,10 +47,14 @@ def pieces(threshold: int, agree: int) -> tuple[list[tuple[int, int]], list[tupl
     return list(zip(edges, edges[1:], strict=False)), list(combinations(range(count), agree))
 
 
+#: A key is shuffled and sorted, while a comparison is an exclusive or and a count of bits: so many of these cost less.
+COMPARED_PER_KEY = 32
+
+
 def cheapest_agree(threshold: int, signatures: int) -> int:
-    """How many pieces have to agree so that keys and compared pairs are fewest for so many signatures. More of them
+    """How many pieces have to agree so that keys and compared pairs cost least for so many signatures. More of them
     make more keys, each of more bits."""
-    cost = lambda agree: comb(threshold + agree, agree) * (1 + signatures / 2.0 ** (64 * agree / (threshold + agree)))
+    cost = lambda agree: comb(threshold + agree, agree) * (1 + signatures / 2.0 ** (64 * agree / (threshold + agree)) / COMPARED_PER_KEY)
     return min(range(1, 7), key=cost)
 
 
@@ -87,16 +91,18 @@ def signature_links(signatures: DataFrame, threshold: int, agree: int | None = N
         return pairs.where(hamming(F.col("a"), F.col("b")) <= threshold).select("a", "b", hamming(F.col("a"), F.col("b")).alias("distance"))
     n = signatures.count()
     agree = agree or cheapest_agree(threshold, n)
-    banded = _dealt(signatures, n, comb(threshold + agree, agree)).select(F.col("perceptual").alias("sig"), F.explode(bands(F.col("perceptual"), threshold, agree)).alias("p")).select("sig", "p.band", "p.value")
+    banded = _dealt(signatures, n, comb(threshold + agree, agree)).select(F.col("perceptual").alias("sig"), F.explode(bands(F.col("perceptual"), threshold, agree)).alias("p")).select("sig", "p.band", F.xxhash64("p.band", "p.value").alias("key"))
+    # one long to sort by; keys that are equal by chance have no pair, as its first choice has to be the band of both
     a, b = banded.alias("a"), banded.alias("b")
-    pairs = a.join(b.hint("merge"), (F.col("a.band") == F.col("b.band")) & (F.col("a.value") == F.col("b.value"))).where((F.col("a.sig") != F.col("b.sig")) & (hamming(F.col("a.sig"), F.col("b.sig")) <= threshold))
+    pairs = a.join(b.hint("merge"), F.col("a.key") == F.col("b.key")).where((F.col("a.sig") < F.col("b.sig")) & (hamming(F.col("a.sig"), F.col("b.sig")) <= threshold))
     spans, choices = pieces(threshold, agree)
     differ = F.col("a.sig").bitwiseXOR(F.col("b.sig"))
     mask = lambda choice: sum(((1 << (b - a)) - 1) << a for a, b in (spans[n] for n in choice))
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     agreed = F.array_position(F.transform(F.array(*(F.lit(signed(mask(c))) for c in choices)), lambda m: differ.bitwiseAND(m) == 0), F.lit(True)) - 1
-    first = pairs.where(agreed == F.col("a.band"))
-    return first.select(F.col("a.sig").alias("a"), F.col("b.sig").alias("b"), hamming(F.col("a.sig"), F.col("b.sig")).alias("distance"))
+    first = pairs.where(agreed == F.when(F.col("a.band") == F.col("b.band"), F.col("a.band")))  # named once, or Spark finds it for all that are compared
+    both = F.array(F.struct(F.col("a.sig").alias("a"), F.col("b.sig").alias("b")), F.struct(F.col("b.sig").alias("a"), F.col("a.sig").alias("b")))
+    return first.select(F.explode(both).alias("p")).select("p.a", "p.b", hamming(F.col("p.a"), F.col("p.b")).alias("distance"))
 
 
 def radii(threshold: int, count: int) -> list[int]:

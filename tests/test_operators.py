@@ -9,7 +9,7 @@ import pytest
 from oracle import compare
 from pyspark.sql import functions as F
 
-from lumibase.operators import catalog, copies, duplicates, timeline
+from lumibase.operators import catalog, copies, duplicates, sidecars, timeline
 from lumibase.plans.registry import ORACLES
 
 
@@ -429,3 +429,13 @@ def test_cache_answers_what_is_asked(spark):
     reused = lambda **ask: {r.path for r in copies.cache_reuse(listing, cache, **ask).where("reused").collect()}
     assert reused() == {"a", "d"} and reused(want_sha=False) == {"a", "c", "d"} and reused(want_perceptual=True) == {"a"}
     assert reused(want_sha=False, tags=["Make", "Model"]) == {"a", "c"} and reused(tags=["Make", "Model", "Lens"]) == set()
+
+
+def test_keys_cost_more_than_comparisons():
+    assert duplicates.cheapest_agree(5, 12_000_000) == 2  # 21 keys a signature, where 56 were made
+
+
+def test_sidecars_are_read_once_for_both_tiers(spark):
+    keys = sidecars.sidecar_keys(spark.createDataFrame([("f", "a.jpg.supplemental-me(1).json"), ("f", "b.txt")], "folder string, name string"))
+    assert "Union" not in keys._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, keys.collect())) == [("f", "a.jpg.supplemental-me(1).json", 0, "a.jpg.supplemental-me(1)"), ("f", "a.jpg.supplemental-me(1).json", 1, "a.jpg(1)")]
