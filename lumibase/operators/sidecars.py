@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumibase.functions import paths
+from lumibase.operators.stages import written
 
 # Fixed value: a supplemental sidecar's name, which exports cut off.
 SUPPLEMENTAL = r"(?i)^(.+?)\.supp[a-z-]*(\(\d+\))?\.json$"
@@ -13,17 +14,22 @@ SUPPLEMENTAL = r"(?i)^(.+?)\.supp[a-z-]*(\(\d+\))?\.json$"
 
 def sidecar_keys(sidecars: DataFrame) -> DataFrame:
     """Keys under which a sidecar (folder, name) is found: tier 0 its exact base, tier 1 its supplemental base."""
-    exact = sidecars.where(F.col("name").endswith(".json")).select("folder", "name", F.lit(0).alias("tier"), F.regexp_replace("name", r"\.json$", "").alias("key"))
-    key = F.concat(F.regexp_extract("name", SUPPLEMENTAL, 1), F.regexp_extract("name", SUPPLEMENTAL, 2))
-    more = sidecars.where(F.col("name").rlike(SUPPLEMENTAL)).select("folder", "name", F.lit(1).alias("tier"), key.alias("key"))
-    return exact.union(more)
+    name = F.col("name")
+    key = F.concat(F.regexp_extract(name, SUPPLEMENTAL, 1), F.regexp_extract(name, SUPPLEMENTAL, 2))
+    tier = lambda n, key: F.struct(F.lit(n).alias("tier"), key.alias("key"))
+    exact = F.when(name.endswith(".json"), tier(0, F.regexp_replace(name, r"\.json$", "")))
+    more = F.when(F.lower(name).contains(".supp") & name.rlike(SUPPLEMENTAL), tier(1, key))
+    return sidecars.select("folder", "name", F.explode(F.array(exact, more)).alias("k")).where("k IS NOT NULL").select("folder", "name", "k.tier", "k.key")
 
 
 def match_sidecars(media: DataFrame, sidecars: DataFrame) -> DataFrame:
     """Media (folder, name) with the sidecar of the best base name: all exact ones before any supplemental one.
     Null where there is none."""
+    media = written(media.select("folder", "name"), "media")  # read twice
     bases = media.select("folder", F.col("name").alias("media"), F.posexplode(paths.sidecar_bases(F.col("name"))).alias("pos", "key"))
-    hits = bases.join(sidecar_keys(sidecars), ["folder", "key"])
+    # a number first, as a sort compares folders and names only where their numbers are equal
+    hashed = lambda df: df.withColumn("hash", F.xxhash64("folder", "key"))
+    hits = hashed(bases).join(hashed(sidecar_keys(sidecars)), ["hash", "folder", "key"])
     best = hits.groupBy("folder", "media").agg(F.min_by("name", F.struct("tier", "pos", "name")).alias("sidecar"))
     return media.select("folder", F.col("name").alias("media")).join(best, ["folder", "media"], "left")
 
