@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lumibase.functions import origin, paths
 from lumibase.functions.measures import haversine_km
-from lumibase.operators.stages import ordered_blocks
+from lumibase.operators.stages import ordered_blocks, written
 
 
 @dataclass(frozen=True)
@@ -99,14 +99,17 @@ def boundaries(rows: DataFrame, by: Clustering = Clustering()) -> DataFrame:
 
 
 def counted_segments(cut: DataFrame) -> DataFrame:
-    """Adds segment to rows with _ends: how many boundaries of the library lie before the row."""
+    """Adds segment to rows with _ends: how many boundaries of the library lie before the row. The rows are written with
+    the count of their own block, in the order in which boundaries were found, as blocks are summed besides."""
     key = ["library", "_block"]
+    block = W.partitionBy(*key).orderBy("_row").rowsBetween(W.unboundedPreceding, -1)
+    columns = cut.columns
+    cut = written(cut.withColumn("_own", F.coalesce(F.sum("_ends").over(block), F.lit(0))), "cut")
     blocks = W.partitionBy("library").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     sums = cut.groupBy(*key).agg(F.sum("_ends").alias("_sum"))
     sums = sums.select(F.col("library").alias("_sl"), F.col("_block").alias("_sb"), F.coalesce(F.sum("_sum").over(blocks), F.lit(0)).alias("_offset"))
-    block = W.partitionBy(*key).orderBy("_row").rowsBetween(W.unboundedPreceding, -1)
     placed = cut.join(sums, F.col("library").eqNullSafe(F.col("_sl")) & F.col("_block").eqNullSafe(F.col("_sb")))
-    return placed.withColumn("segment", F.coalesce(F.sum("_ends").over(block), F.lit(0)) + F.col("_offset")).select(*cut.columns, "segment")
+    return placed.withColumn("segment", F.col("_own") + F.col("_offset")).select(*columns, "segment")
 
 
 def segments(items: DataFrame, by: Clustering = Clustering(), blocks: int | None = None) -> DataFrame:
@@ -246,13 +249,14 @@ def folder_suggestions(members: DataFrame, roots: DataFrame | None = None, *, le
     """Members (cluster, path, year): the name that at least a majority of all members of a cluster carry at one
     level of their folders, of the deepest level that has one. Names are tidied; junk and common roots are no names."""
     folders = F.filter(F.transform(paths.ancestors(F.col("path")), lambda p: F.element_at(F.split(p, "/"), -1)), lambda p: p != "")
-    exploded = members.select("cluster", "year", F.posexplode(F.slice(folders, 1, levels + 1)).alias("level", "raw"))
+    # members of a folder have its names, so each name is tidied once for a cluster, level and year
+    exploded = members.select("cluster", "year", F.posexplode(F.slice(folders, 1, levels + 1)).alias("level", "raw")).groupBy("cluster", "level", "raw", "year").agg(F.count("*").alias("_files"))
     name = paths.strip_year(paths.tidy_folder(F.col("raw")), F.col("year"))
     named = exploded.withColumn("name", name).where(~origin.is_junk_folder(F.col("raw")) & ~origin.is_junk_folder(F.col("name")) & paths.has_content(F.col("name")))
     if roots is not None:
         named = named.join(roots.select("name"), "name", "left_anti")
     sizes = members.groupBy("cluster").agg(F.count("*").alias("members"))
-    counted = named.groupBy("cluster", "level", "name").agg(F.count("*").alias("n")).join(sizes, "cluster").where(F.col("n") >= majority * F.col("members"))
+    counted = named.groupBy("cluster", "level", "name").agg(F.sum("_files").alias("n")).join(sizes, "cluster").where(F.col("n") >= majority * F.col("members"))
     best = F.min_by("name", F.struct("level", -F.col("n"), "name"))
     return counted.groupBy("cluster").agg(best.alias("suggestion"))
 
@@ -260,7 +264,7 @@ def folder_suggestions(members: DataFrame, roots: DataFrame | None = None, *, le
 def suggestion_roots(members: DataFrame, *, share: float = 0.8, least_cards: int = 3) -> DataFrame:
     """Folder names that most cards carry, and which so name none of them."""
     folders = F.transform(paths.ancestors(F.col("path")), lambda p: F.element_at(F.split(p, "/"), -1))
-    names = members.select("cluster", F.explode(folders).alias("raw")).select("cluster", paths.tidy_folder(F.col("raw")).alias("name")).distinct()
+    names = members.select("cluster", F.explode(folders).alias("raw")).distinct().select("cluster", paths.tidy_folder(F.col("raw")).alias("name")).distinct()
     cards = members.select("cluster").distinct().agg(F.count("*").alias("cards"))
     counted = names.groupBy("name").agg(F.count("*").alias("n")).join(F.broadcast(cards), F.lit(True))  # one row
     return counted.where((F.col("cards") >= least_cards) & (F.col("n") >= share * F.col("cards"))).select("name", "n")

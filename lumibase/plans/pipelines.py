@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumibase.functions import dates, origin, paths
 from lumibase.operators import catalog, decisions, duplicates, sidecars, timeline
-from lumibase.operators.stages import written
+from lumibase.operators.stages import dealt, written
 
 
 def _quality(value: Column, source: Column) -> list[Column]:
@@ -84,7 +84,7 @@ def trip_review(items: DataFrame, events: DataFrame, names: DataFrame, skipped:
     cards = timeline.review_cards(trips, timeline.named_overlay(events, names, skipped), items).withColumn("cluster", card)
     spans = cards.select("library", "cluster", F.explode(F.sequence("first_day", "last_day")).alias("day"))
     days = items.select("library", F.to_date("captured_at").alias("day"), "path", F.year("captured_at").alias("year"))
-    members = days.join(spans, ["library", "day"]).select("cluster", "path", "year")
+    members = written(days.join(dealt(spans, "library", "day"), ["library", "day"]).select("cluster", "path", "year"), "members")
     hints = timeline.folder_suggestions(members, timeline.suggestion_roots(members))
     columns = ("library", "kind", "first_day", "last_day", "files", "day_total", "name", "suggestion")
     return cards.join(hints, "cluster", "left").select(*columns).orderBy(F.desc("files"), "library", "first_day")

@@ -439,3 +439,10 @@ def test_sidecars_are_read_once_for_both_tiers(spark):
     keys = sidecars.sidecar_keys(spark.createDataFrame([("f", "a.jpg.supplemental-me(1).json"), ("f", "b.txt")], "folder string, name string"))
     assert "Union" not in keys._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, keys.collect())) == [("f", "a.jpg.supplemental-me(1).json", 0, "a.jpg.supplemental-me(1)"), ("f", "a.jpg.supplemental-me(1).json", 1, "a.jpg(1)")]
+
+
+def test_few_spans_of_many_rows_are_dealt(spark):
+    from lumibase.operators.stages import dealt
+
+    cores = spark.sparkContext.defaultParallelism
+    assert dealt(spark.range(100).coalesce(1), "id").rdd.getNumPartitions() >= cores
